@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, mixing, quality_rules, simhash, token_files
+from tally.llm import ann, bpe, mixing, quality_rules, simhash, token_files
 from tally.llm.common import ship, table
 
 
@@ -38,12 +38,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_files": op9_token_files,
+    "op10_multiprobe_lsh": op10_multiprobe_lsh,
 }
 
 _RULES = {"symbols": "n_symbols / word_chars", "marks": "n_marks / n_words", "capitals": "n_capitals / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
