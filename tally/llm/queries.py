@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, mixing, quality_rules, simhash, token_files
+from tally.llm import ann, bpe, mixing, quality_rules, simhash, suffix_dedup, token_files
 from tally.llm.common import ship, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,6 +48,7 @@ def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
