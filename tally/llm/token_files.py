@@ -11,7 +11,7 @@ shards. A document's start is base + offset. A shard is written under a name of
 so a task that is run again writes the same files again.
 
 The tokenizers library encodes each different match of the tokenizer's own pre-tokenizer; a worker keeps recent
-ones. A text that holds the string of an added token is encoded whole by the library, and so is every text
+ones, see pieces. A text that holds the string of an added token is encoded whole by the library, and so is every text
 if the tokenizer is not plain byte-level BPE.
 
 Nulls and empty texts have the end id alone; a null doc_id sorts first. Repeated rows are separate documents.
@@ -22,29 +22,30 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tally.llm import pieces
 from tally.llm.common import materialize, scratch_path, shuffle_partitions
 
 DOC = np.dtype([("doc_id", "<i8"), ("known", "u1")])
-#: The pattern of the byte-level pre-tokenizer, a fixed value of the format.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_MATCHES = 200_000
+#: Byte-level vocabularies write bytes as characters: printable ones of Latin-1 as themselves, the others, in order, from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 MANIFEST = "part int, n_docs long, n_ids long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class Encoder:
+class LibraryEncoder:
     """Texts to ids by a tokenizers file, as the library does without special tokens of its own."""
 
     def __init__(self, path: str):
@@ -54,47 +55,32 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         cutter = spec.get("pre_tokenizer") or {}
         plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not spec.get("normalizer")
-        self.cut = regex.compile(BYTE_LEVEL) if plain else None
+        self.by_parts = pieces.Encoder(pieces.BYTE_LEVEL, self.match).encode if plain else None
+        self.model = self.tokenizer.model
         self.added = [t["content"] for t in spec.get("added_tokens", []) if t.get("content")]
-        self.kept: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
-            return self._bytes(texts)
-        whole = [any(a in t for a in self.added) for t in texts]
-        matches = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
-        if len(self.kept) > KEPT_MATCHES:
-            self.kept.clear()
-        new = list({m for found in matches for m in found} - self.kept.keys())
-        self.kept.update(zip(new, self._bytes(new)))
-        get = self.kept.__getitem__
-        return [self._bytes([t])[0] if w else b"".join(map(get, found)) for t, w, found in zip(texts, whole, matches)]
+    def match(self, match: str) -> bytes:
+        """One match of the byte-level pattern, by the library's model alone."""
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.by_parts is None or any(a in text for a in self.added):
+            return self.whole(text)
+        return self.by_parts(text)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters together."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
     """Writes the shards of docs (doc_id, text) below folder; the manifest: part, n_docs, n_ids, base."""
 
@@ -111,8 +97,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
             for batch in batches:
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 doc_ids = batch.column("doc_id").to_pylist()
-                for a, b in _groups(texts):
-                    encoded = [x + end for x in enc.encode(texts[a:b])]
+                for a in range(0, len(texts), 256):
+                    encoded = [enc.encode(t) + end for t in texts[a : a + 256]]
                     ids.write(b"".join(encoded))
                     ends = offset + np.cumsum([len(x) // enc.dtype.itemsize for x in encoded])
                     offsets.write(ends.astype("<u8").tobytes())
