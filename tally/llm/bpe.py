@@ -6,7 +6,7 @@ neighbour, and its root the leftmost smallest; a merge takes the root, joins the
 leaves (the joined part, the one that went, and the left neighbour), each in logarithmic time. So a match of
 n bytes takes O(n log n), however long it is.
 
-Matches recur, so a worker keeps the ids of recent short ones; the store is emptied when it is full.
+Matches recur, so a worker keeps the ids of recent short ones, see pieces.
 
 Nulls and empty texts give no ids. Very long texts and matches are encoded whole. Repeated rows are separate
 documents; other columns pass through untouched, whatever their names. Empty tables give empty results.
@@ -20,13 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Matches that a worker keeps, and the longest that it keeps, in characters.
-KEPT_MATCHES = 200_000
-KEPT_CHARS = 48
+from tally.llm.pieces import Encoder
 
 
 def encode_match(ranks: dict[bytes, int], match: bytes) -> list[int]:
@@ -85,22 +82,6 @@ def encode_match(ranks: dict[bytes, int], match: bytes) -> list[int]:
     return ids
 
 
-class Matches(dict):
-    """The encoded ids of matches, as little-endian unsigned 32-bit integers; filled as asked for."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, match: str) -> bytes:
-        ids = np.array(encode_match(self.ranks, match.encode()), "<u4").tobytes()
-        if len(match) <= KEPT_CHARS:
-            if len(self) >= KEPT_MATCHES:
-                self.clear()
-            self[match] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -113,12 +94,9 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 @lru_cache(maxsize=2)
-def matches_of(path: str) -> Matches:
-    return Matches(load_ranks(path))
-
-
-def encode_text(text: str, pattern: regex.Pattern, matches: Matches) -> bytes:
-    return b"".join(map(matches.__getitem__, pattern.findall(text)))
+def encoder(path: str, pattern: str) -> Encoder:
+    ranks = load_ranks(path)
+    return Encoder(pattern, lambda match: np.array(encode_match(ranks, match.encode()), "<u4").tobytes())
 
 
 def _added(batch: pa.RecordBatch, name: str, values: list[bytes]) -> pa.RecordBatch:
@@ -134,10 +112,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """docs without the text, with the column `ids`: the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, matches = regex.compile(pattern), matches_of(ranks_path)
+        to_ids = encoder(ranks_path, pattern).encode
         for whole in batches:
             for batch in _slices(whole):
-                values = [encode_text(t or "", cut, matches) for t in batch.column(text).to_pylist()]
+                values = [to_ids(t or "") for t in batch.column(text).to_pylist()]
                 yield _added(batch.drop_columns([text]), ids, values)
 
     rest = docs.drop(text)
