@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
+from tally.llm import ann, bpe, lm_score, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
 from tally.llm.common import ship, table
 
 
@@ -15,11 +15,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("date")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -55,7 +63,9 @@ def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
@@ -108,6 +118,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM features
 """
 
+def _urn(kind: str, source: str) -> str:
+    return rf"'<urn:uuid:' || regexp_replace(md5('{kind}|' || {source}), '^(.{{8}})(.{{4}}).(.{{3}}).(.{{3}})(.{{12}})$', '\1-\2-3\3-8\4-\5') || '>'"
+
+
+def _unescaped(text: str) -> str:
+    for name, char in warc.ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, name, char.replace("'", "''"))
+    return text
+
+
+_TITLE = _unescaped(r"regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1), '[ \t\r\n]+', ' ', 'g')")
+_TEXT = f"regexp_replace(regexp_replace(h, '{warc.DROPPED}', ' ', 'g'), '{warc.BLOCKS}', chr(10), 'g')"
+_TEXT = _unescaped(f"regexp_replace({_TEXT}, '{warc.TAGS}', '', 'g')")
+_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_CRLF = "chr(13) || chr(10)"
+
+OP4_SQL = rf"""
+WITH r AS (
+  SELECT url, coalesce(html, '') AS h, {_urn("response", "coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS rid FROM pages),
+b AS (
+  SELECT rid, url, 'sha256:' || sha256(h) AS pd, strlen(h) AS pl, {_urn("metadata", "rid")} AS mid, {_urn("conversion", "rid")} AS cid, {_TITLE} AS title,
+         regexp_extract(h, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) AS lang,
+         regexp_extract_all(h, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1) AS links, {_TEXT} AS text
+  FROM r),
+e AS (
+  SELECT rid, url, pd, 'metadata' AS t, mid AS id, cid AS other, 'application/warc-fields' AS ct,
+         CASE WHEN title <> '' THEN 'title: ' || title || {_CRLF} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_CRLF} ELSE '' END
+         || 'source-http-header: HTTP/1.1 200 OK' || {_CRLF} || 'source-http-header: Content-Type: text/html; charset=utf-8' || {_CRLF}
+         || 'source-http-header: Content-Length: ' || pl || {_CRLF} || 'source-payload-digest: ' || pd || {_CRLF} || 'source-payload-length: ' || pl || {_CRLF}
+         || array_to_string(list_transform(links, lambda x: 'outlink: ' || {_unescaped("x")} || {_CRLF}), '') AS block
+  FROM b UNION ALL
+  SELECT rid, url, pd, 'conversion', cid, mid, 'text/plain; charset=utf-8', text FROM b)
+SELECT id AS record_id, t AS warc_type, rid AS refers_to, other AS concurrent_to, url AS target_uri, ct AS content_type, strlen(block)::BIGINT AS content_length,
+       'sha256:' || sha256(block) AS block_digest, pd AS payload_digest,
+       'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || t || {_CRLF} || 'WARC-Record-ID: ' || id || {_CRLF} || 'WARC-Refers-To: ' || rid || {_CRLF} || 'WARC-Concurrent-To: ' || other || {_CRLF}
+       || coalesce('WARC-Target-URI: ' || url || {_CRLF}, '') || 'WARC-Date: 1970-01-01T00:00:00Z' || {_CRLF} || 'WARC-Block-Digest: sha256:' || sha256(block) || {_CRLF}
+       || 'Content-Type: ' || ct || {_CRLF} || 'Content-Length: ' || strlen(block) || {_CRLF} AS header, block
+FROM e
+"""
+
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (
@@ -132,7 +182,7 @@ r AS (
 SELECT doc_id, size, source_size, target, (floor(step * n + start) - floor(step * (n - 1) + start))::BIGINT * size AS taken FROM r
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
+ORACLE_SQL = {"op4_warc_derivatives": OP4_SQL, "op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
 
 
 def queries() -> dict:
