@@ -155,8 +155,8 @@ def _types(text: np.ndarray) -> np.ndarray:
     step = np.ones(n, bool)  # where the next symbol differs
     below[:-1] = text[:-1] < text[1:]
     step[:-1] = text[:-1] != text[1:]
-    at = np.where(step, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
+    places = np.arange(n, dtype=np.int32)  # a shard is below 2**31 symbols
+    nearest = np.minimum.accumulate(np.where(step, places, np.int32(n))[::-1])[::-1]
     return below[nearest]
 
 
@@ -165,9 +165,9 @@ def _runs(text: np.ndarray, limit: int) -> np.ndarray:
     n = len(text)
     last = np.ones(n, bool)
     last[:-1] = text[:-1] != text[1:]
-    at = np.where(last, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return np.minimum(nearest - np.arange(n) + 1, limit).astype(np.int32)
+    places = np.arange(n, dtype=np.int32)
+    nearest = np.minimum.accumulate(np.where(last, places, np.int32(n))[::-1])[::-1]
+    return np.minimum(nearest - places + 1, limit)
 
 
 def _packed(text: np.ndarray, at: np.ndarray, end: np.ndarray, bits: int, per: int) -> np.ndarray:
