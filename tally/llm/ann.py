@@ -10,9 +10,10 @@ inner product in double precision on the original vectors.
 The largest inner product becomes a least distance by one more component: rows are scaled into the unit ball by
 the largest norm and completed to norm 1, queries are scaled to norm 1 and get 0.
 
-Index and probes are shuffled by (table, bucket); a bucket of more than `block` rows is split into blocks, each
-visited by all probes of the bucket, so no task holds more than a block, and a task keeps `k` rows for each query
-that it met. Queries for which fewer than k candidates were found visit every bucket of one table.
+Index and probes are shuffled to shards by (table, bucket), as many as the index has `shard_rows`; a bucket of
+more than `block` rows is split into blocks, each visited by all probes of the bucket. A task takes the buckets
+of its shard one after another, so it never holds more than a block, and it keeps `k` rows for each query that
+it met. Queries for which fewer than k candidates were found visit every bucket of one table.
 
 Vectors that are null, empty or zero, or hold a null or a number that is not finite, or whose length is not the
 most frequent one, take no part; nor do null ids. Rows repeated in id and vector count once; ties in score go
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import materialize
+from tally.llm.common import blocks_for, materialize
 
 TABLES = 2
 FUNCTIONS = 6
 WIDTH = 2.5
 PROBES = 80
 BLOCK = 8192
+SHARD_ROWS = 16384
 SEED = 11
 #: A function's number is within -64 and 63 and takes seven bits of the bucket.
 BITS = 7
@@ -165,12 +167,13 @@ def nearest_in_block(q_ids: np.ndarray, q_vecs: np.ndarray, ids: np.ndarray, vec
     return query[keep], near[keep], score[keep]
 
 
-def _visit(index: DataFrame, directory: DataFrame, probes: DataFrame, size: int, k: int, block: int) -> DataFrame:
-    """(query, id, score): what the probes find, k for each query and task."""
+def _visit(index: DataFrame, directory: DataFrame, probes: DataFrame, size: int, k: int, shards: int) -> DataFrame:
+    """(query, id, score): what the probes find, k for each query and shard."""
     spread = index.join(directory, ["tbl", "bucket"])
     members = spread.select("tbl", "bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(True).alias("member"), "id", "vec")
     visits = probes.join(directory, ["tbl", "bucket"]).select("tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), "id", "vec")
-    dealt = members.union(visits).repartition("tbl", "bucket", "block").sortWithinPartitions("tbl", "bucket", "block", F.col("member").desc())
+    shard = F.pmod(F.xxhash64("tbl", "bucket", "block"), F.lit(shards)).alias("shard")
+    dealt = members.union(visits).select(shard, "*").repartition(shards, "shard").sortWithinPartitions("shard", "tbl", "bucket", "block", F.col("member").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -213,7 +216,7 @@ def _visit(index: DataFrame, directory: DataFrame, probes: DataFrame, size: int,
     return dealt.mapInArrow(run, "query long, id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which is_query, a condition on `id`, holds."""
     spark = vectors.sparkSession
     all_rows = materialize(valid(vectors, id_col, vector_col), "ann-vectors")
@@ -226,13 +229,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     index = _index(rows, hashes, size, common["longest"])
     directory = materialize(index.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ann-buckets")
     queries = rows.filter(is_query)
-    found = materialize(_visit(index, directory, _probes(queries, hashes, size, probes), size, k, block), "ann-found")
+    shards = blocks_for(rows.count() * tables, shard_rows)
+    found = materialize(_visit(index, directory, _probes(queries, hashes, size, probes), size, k, shards), "ann-found")
     enough = found.groupBy("query").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= k)
     short = queries.join(enough, queries.id == enough["query"], "left_anti")
     if short.limit(1).count():
         # fewer than k found: a visit to every bucket of the first table meets all rows
         every = short.crossJoin(directory.filter("tbl = 0").select("tbl", "bucket")).select("tbl", "bucket", "id", "vec")
-        found = found.union(_visit(index, directory, every, size, k, block))
+        found = found.union(_visit(index, directory, every, size, k, shards))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
