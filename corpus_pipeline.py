@@ -1,10 +1,16 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, repeated-passage removal, source mixing, tokens."""
+"""A corpus pipeline: quality rules, near-duplicate removal, repeated-passage removal, source mixing, tokens.
+
+Each stage takes the documents that the one before it kept, written as Parquet and read again, and all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tally.llm import mixing, quality_rules
+from tally.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from tally.llm.common import materialize, ship, table
 
 
@@ -14,13 +20,42 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least doc_id.
+
+    Shingles have five words; the radius is that of texts that share 0.8 of their shingles."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur elsewhere are cut out; documents stay, with what is left of them."""
+    ship(spark)
+    return suffix_dedup.without_repeated(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights takes it."""
     ship(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("mixing", mixing_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source with the token ids (little-endian unsigned 32-bit) and the text that they decode to."""
+    ship(spark)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", passage_stage),
+    ("mixing to target weights", mixing_stage),
+    ("byte-level BPE", token_stage),
+]
 
 #: The near-duplicate, passage and token stages cannot be said in SQL.
 ORACLE_SQL = None

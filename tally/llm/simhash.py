@@ -4,9 +4,10 @@ A text's fingerprint has 64 bits; a bit is 1 if it is set in over half of the XX
 Different fingerprints are compared once each; documents that share one are linked by it already.
 
 Two fingerprints that differ in at most `radius` bits have population counts that differ by at most as much,
-in whole and summed over the four 16-bit quarters. A tile holds the fingerprints whose quarters have the same
-four population counts; pairs of tiles whose counts differ beyond the radius are skipped, and the others are
-compared whole, by numpy exclusive-or and bit counts. There are at most 17**4 tiles, whatever the input; a tile
+in whole and summed over the four 16-bit quarters. A tile holds the fingerprints of the same population count, or,
+for a small radius, whose quarters have the same four; pairs of tiles whose counts differ beyond the radius are
+skipped, and the others are compared whole, by numpy exclusive-or and bit counts. There are at most 17**4 tiles,
+whatever the input; a tile
 of more than `block` fingerprints is split into blocks that meet each other one by one, so that no task holds
 more than a block and passes its visitors by in slices.
 
@@ -36,8 +37,10 @@ RADIUS = 2
 WORDS = 3
 BLOCK = 8192
 SEED = 42
-#: 17 counts of a 16-bit quarter, four quarters.
-QUARTERS, COUNTS = 4, 17
+#: The radius for texts that share 0.8 of their shingles: 64 acos(2 * 0.8 / 1.8) / pi = 9.7 bits are expected to differ.
+SIMILAR_RADIUS = 10
+#: The widest radius for which tiles are told apart by quarters; beyond it quarters skip next to nothing.
+QUARTERED = 3
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -76,22 +79,29 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _tile(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for q in range(QUARTERS)]
+def _parts(radius: int) -> int:
+    """Into how many parts of equal width a fingerprint is cut to name its tile."""
+    return 4 if radius <= QUARTERED else 1
 
 
-def _steps(radius: int) -> list[tuple[int, ...]]:
+def _tile(fp: Column, parts: int) -> list[Column]:
+    width = 64 // parts
+    part = lambda q: F.shiftrightunsigned(fp, width * q).bitwiseAND(F.lit((1 << width) - 1).cast("long")) if parts > 1 else fp
+    return [F.bit_count(part(q)).cast("int") for q in range(parts)]
+
+
+def _steps(radius: int, parts: int) -> list[tuple[int, ...]]:
     """The differences of two tiles' counts within the radius, one of each pair of opposites."""
     found = [()]
-    for _ in range(QUARTERS):
+    for _ in range(parts):
         found = [s + (d,) for s in found for d in range(-radius, radius + 1) if sum(map(abs, s)) + abs(d) <= radius]
-    return [s for s in found if s > (0,) * QUARTERS]
+    return [s for s in found if s > (0,) * parts]
 
 
-def _number(counts: list[Column]) -> Column:
+def _number(counts: list[Column], parts: int) -> Column:
     number = F.lit(0)
     for c in counts:
-        number = number * COUNTS + c
+        number = number * (64 // parts + 1) + c
     return number
 
 
@@ -131,8 +141,9 @@ def link_block(members: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(a, b): links between the different values of fps.fp which join all that differ in radius bits or fewer."""
-    counts = _tile(F.col("fp"))
-    tiled = fps.select("fp", F.array(*counts).alias("counts"), _number(counts).alias("tile"))
+    parts = _parts(radius)
+    counts = _tile(F.col("fp"), parts)
+    tiled = fps.select("fp", F.array(*counts).alias("counts"), _number(counts, parts).alias("tile"))
     # at most 17**4 rows, whatever the input, so it can be broadcast
     blocks = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     blocks = F.broadcast(materialize(blocks, "simhash-tiles"))
@@ -146,10 +157,10 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         near = [F.element_at("counts", q + 1) + d for q, d in enumerate(step)]
         legal = F.lit(True)
         for c, d in zip(near, step):
-            legal = legal & c.between(0, COUNTS - 1) if d else legal
-        return F.when(legal, _number(near))
+            legal = legal & c.between(0, 64 // parts) if d else legal
+        return F.when(legal, _number(near, parts))
 
-    away = tiled.select("fp", F.explode(F.array_compact(F.array(*[beside(s) for s in _steps(radius)]))).alias("tile"))
+    away = tiled.select("fp", F.explode(F.array_compact(F.array(*[beside(s) for s in _steps(radius, parts)]))).alias("tile"))
     away = away.join(blocks, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), "fp")
     dealt = member.union(within).union(away).repartition("tile", "block").sortWithinPartitions("tile", "block", F.col("member").desc())
 
@@ -187,9 +198,9 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, n_words: int = WORDS) -> DataFrame:
     """docs without the text, with fp and component_id: the least doc_id reachable over links."""
-    marked = materialize(fingerprints(docs), "simhash")
+    marked = materialize(fingerprints(docs, n_words=n_words), "simhash")
     # signed order differs from unsigned order, but the root only names the component
     by_fp = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = materialize(components(links(by_fp.select("fp"), radius)), "simhash-roots")
@@ -199,12 +210,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = SIMILAR_RADIUS, n_words: int = 5) -> DataFrame:
     """docs with one document of each component: that of the least doc_id, nulls last, ties by the whole row."""
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64(*hashable).alias("tie"))
     narrow = whole.select("row.doc_id", "row.text", "tie")
-    marked = materialize(fingerprints(narrow), "simhash")
+    marked = materialize(fingerprints(narrow, n_words=n_words), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
     by_fp = materialize(marked.groupBy("fp").agg(first.alias("least")), "simhash-distinct")
     roots = materialize(components(links(by_fp.select("fp"), radius)), "simhash-roots")
