@@ -1,0 +1,102 @@
+"""Linking questions to dictionary entries, templates and what was asked before."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tally.functions import fuzzy, parse
+
+#: Phrases of questions by the report that answers them. Fixed values.
+TEMPLATES = {
+    "best_event": ("millor diada", "millor actuació", "millors diades", "millors actuacions", "quina diada", "quina va ser la millor", "millor jornada"),
+    "best_item": ("millor castell", "millor torre", "millor construcció", "castell més difícil", "castell més gran", "millor estructura"),
+    "item_history": ("quantes vegades han", "quants cops han", "han aconseguit mai", "quants 3d", "quants 2d", "quants 4d", "quants 5d", "quants pilars de", "quantes torres de"),
+    "first_item": ("quin va ser el primer", "quan van fer el primer", "quan es va fer per primer cop", "quan van descarregar per primer cop", "on es va fer el primer"),
+    "item_statistics": ("estadístiques de", "estadístiques del castell", "quantes colles han fet", "quantes colles han descarregat", "qui ha fet més"),
+    "year_summary": ("resum de la temporada", "resum any", "com va ser la temporada", "com va anar la temporada", "què van fer l'any", "quants castells van fer"),
+    "contest_ranking": ("classificació concurs", "quina posició", "guanyador concurs", "qui va guanyar el concurs", "resultats del concurs"),
+    "contest_history": ("historia del concurs", "concursos celebrats", "història dels concursos", "com va anar el concurs de"),
+}
+SUBSTRING_SCORE, LEAST_SCORE = 0.8, 0.3
+#: Words that stand for an event whatever its full name. Fixed values.
+EVENT_WORDS = (("asia", "Fair ASIA"), ("europa", "Fair EUROPE"), ("africa", "Fair AFRICA"), ("america", "Fair AMERICA"), ("orient", "Fair MIDDLE EAST"))
+
+
+def classify_by_phrase(question: Column) -> Column:
+    """The first template with a phrase that the question contains."""
+    text = F.lower(question)
+    tests = [(reduce(lambda a, b: a | b, [text.contains(p) for p in phrases]), name) for name, phrases in TEMPLATES.items()]
+    return parse._first(tests)
+
+
+def classify(questions: DataFrame) -> DataFrame:
+    """(qid, template, score): the template of the most similar phrase; one that is contained counts as 0.8 at
+    least. The phrases are a fixed dictionary, met by each question."""
+    spark = questions.sparkSession
+    phrases = spark.createDataFrame([(n, p) for n, ps in TEMPLATES.items() for p in ps], "template string, phrase string")
+    each = questions.select("qid", F.lower("text").alias("text")).crossJoin(F.broadcast(phrases))
+    ratio = fuzzy.sequence_ratio("text", "phrase")
+    scored = each.select("qid", "template", F.greatest(ratio, F.when(F.contains("text", "phrase"), SUBSTRING_SCORE).otherwise(0.0)).alias("score"))
+    best = scored.groupBy("qid").agg(F.max(F.struct("score", "template")).alias("b"))
+    return best.select("qid", F.when(F.col("b.score") >= LEAST_SCORE, F.col("b.template")).alias("template"), F.col("b.score").alias("score"))
+
+
+def _grams(text: Column, n: int = 3) -> Column:
+    """The different n-grams of a text."""
+    low = F.lower(text)
+    return F.array_distinct(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: low.substr(i, F.lit(n)))).otherwise(F.array(low)))
+
+
+def fuzzy_link(questions: DataFrame, names: DataFrame, least: float = 85.0, most: int = 5, share: float = 0.3) -> DataFrame:
+    """(qid, name, score): for each question the `most` names that fit it best, by partial ratio.
+
+    Only names that share at least `share` of their 3-grams with the question are scored, so the matcher meets
+    few pairs; 3-grams of names are few, and question and name meet by equality of grams."""
+    entries = names.select("name", F.size(_grams(F.col("name"))).alias("n"), F.explode(_grams(F.col("name"))).alias("gram"))
+    asked = questions.select("qid", F.explode(_grams(F.col("text"))).alias("gram"))
+    hits = asked.join(entries, "gram").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    pairs = hits.filter(F.col("hits") >= F.col("n") * share).join(questions.select("qid", "text"), "qid")
+    scored = pairs.select("qid", "name", fuzzy.partial_ratio(F.lower("name"), F.lower("text")).alias("score")).filter(F.col("score") >= least)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+
+
+def link_events(questions: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
+    """Events by fixed words first, then by similarity, at most `most` for each question."""
+    text = parse.fold(F.col("text"))
+    by_word = questions.select("qid", F.explode(F.array_compact(F.array(*[F.when(text.contains(w), F.lit(n)) for w, n in EVENT_WORDS]))).alias("name")).withColumn("score", F.lit(101.0))
+    alike = fuzzy_link(questions, names, least=50.0, most=most).select("qid", "name", "score")
+    all_ = by_word.union(alike).groupBy("qid", "name").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
+    return all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+
+
+def validate(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, entity, name): the dictionary's entry for each entity, equal or equal without accents and case."""
+    exact = entities.join(names, F.col("entity") == F.col("name"), "left").select("qid", "entity", "name")
+    folded = names.groupBy(parse.fold(F.col("name")).alias("folded")).agg(F.min("name").alias("near"))
+    joined = exact.withColumn("folded", parse.fold(F.col("entity"))).join(folded, "folded", "left")
+    return joined.select("qid", "entity", F.coalesce("name", "near").alias("name"))
+
+
+def follow_ups(asked: DataFrame) -> DataFrame:
+    """asked (qid, session, turn, text, template, group_name, years) with what a follow-up takes over: a short
+    question that begins like one, names something, and comes after one that a report answered."""
+    before = Window.partitionBy("session").orderBy("turn")
+    prev = F.lag(F.struct("text", "template", "group_name", "years")).over(before)
+    text = F.lower(F.trim("text"))
+    starts = reduce(lambda a, b: a | b, [text.startswith(p) for p in parse.FOLLOW_UP])
+    names_one = F.col("group_name").isNotNull() | (F.size("years") > 0)
+    with_prev = asked.withColumn("prev", prev)
+    follows = F.coalesce(F.col("prev.template").isNotNull() & (F.length("text") < parse.FOLLOW_UP_CHARS) & starts & names_one, F.lit(False))
+    took = lambda own, old: F.when(follows & own.isNull(), old).otherwise(own)
+    return with_prev.select(
+        "qid", "session", "turn", follows.alias("is_follow_up"),
+        F.when(follows, F.col("prev.template")).otherwise(F.col("template")).alias("template"),
+        took(F.col("group_name"), F.col("prev.group_name")).alias("group_name"),
+        F.array_join(F.when(follows & (F.size("years") == 0), F.col("prev.years")).otherwise(F.col("years")), ",").alias("years"),
+        parse.truncated(F.col("prev.text"), 30).alias("context"),
+    )

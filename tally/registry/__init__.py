@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reports",)
+MODULES = ("reports", "contest", "ingest", "parsing", "chat")
 
 
 def _merged(attribute: str) -> dict:
