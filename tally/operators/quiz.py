@@ -1,0 +1,189 @@
+"""Quiz datasets: every question of a kind as a row of one table, for each group and year at once, then samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tally.operators import reports, scoring
+from tally.plans.roles import ATTEMPT, COMPLETE, DISMANTLED, LOADED
+
+OPTIONS = 4
+TOP_ITEMS = 4
+BAND, BAND_PERCENT, NEAREST, WRONG = 200, 20, 6, 3
+#: A better outcome has a lower number.
+PRIORITY = {COMPLETE: 1, LOADED: 2, ATTEMPT: 3, DISMANTLED: 4}
+#: The weight of eras of years, newest first, and the years without events. Fixed values.
+ERAS = ((2010, 0.5), (2000, 0.3), (1980, 0.15), (0, 0.05))
+EXCLUDED_YEARS = (2020, 2021)
+KINDS = {"best_event": 0.25, "best_item": 0.2, "performance": 0.2, "counts": 0.2, "ordering": 0.15}
+
+
+def priority(status: str = "status") -> Column:
+    out = F.when(F.col(status) == COMPLETE, PRIORITY[COMPLETE])
+    for s in (LOADED, ATTEMPT, DISMANTLED):
+        out = out.when(F.col(status) == s, PRIORITY[s])
+    return out.otherwise(99)
+
+
+def best_event(perf: DataFrame) -> DataFrame:
+    """(group_name, year, correct, wrong): a group's best event of a year among its best four."""
+    totals = scoring.event_totals(perf)
+    year = F.year("event_date")
+    best = Window.partitionBy("group_id", year).orderBy(F.desc("total_points"), "event_date", "event_id")
+    top = totals.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= OPTIONS)
+    label = F.expr("concat(event_name, ', ', city, ' (', event_date, ' | ', group_name, ')')")
+    grouped = top.groupBy("group_name", year.alias("year")).agg(F.max(F.when(F.col("rn") == 1, label)).alias("correct"), F.expr("listagg(CASE WHEN rn > 1 THEN concat(event_name, ', ', city, ' (', event_date, ' | ', group_name, ')') END, '; ') WITHIN GROUP (ORDER BY rn) AS wrong"))
+    return grouped.filter("wrong IS NOT NULL")
+
+
+def best_item_unique(perf: DataFrame) -> DataFrame:
+    """Each item once for a group and year: its best outcome."""
+    best = Window.partitionBy("group_name", "event_year", "item_name").orderBy(F.desc("points"), priority(), "attempt_id")
+    return perf.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("group_name", "event_year", "item_name", "status", "points")
+
+
+def distractors(scores: DataFrame) -> DataFrame:
+    """(code, full, wrong): for each code other codes of nearly as many points: of the six values of points
+    nearest to its own, within the band, the first three, each by its least code.
+
+    The join is between different values of points, which are few however many codes there are."""
+    values = scores.groupBy("full").agg(F.min("code").alias("code"))
+    near = values.select(F.col("full").alias("p")).join(values, (F.abs(F.col("full") - F.col("p")) <= F.greatest(F.lit(BAND), F.floor(F.col("p") * BAND_PERCENT / 100))) & (F.col("full") != F.col("p")))
+    order = Window.partitionBy("p").orderBy(F.abs(F.col("full") - F.col("p")), "full")
+    picked = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= min(NEAREST, WRONG))
+    wrong = picked.groupBy("p").agg(F.expr("listagg(code, ',') WITHIN GROUP (ORDER BY rn) AS wrong"))
+    return scores.join(wrong, scores["full"] == wrong["p"]).select("code", "full", "wrong")
+
+
+def _events_by_best(perf: DataFrame) -> DataFrame:
+    """A group's events of each year in order of the points of their best four items."""
+    best = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "attempt_id")
+    top = perf.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= TOP_ITEMS)
+    sums = top.groupBy("event_id", "group_id", "group_name", "event_name", "event_date", "event_year").agg(F.sum("points").alias("top_points"))
+    order = Window.partitionBy("group_id", "event_year").orderBy(F.desc("top_points"), "event_date", "event_id")
+    return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OPTIONS)
+
+
+def _items_of(perf: DataFrame) -> DataFrame:
+    """Items of an event and group without small pillars, each with its best outcome."""
+    best = F.min(F.struct(priority().alias("p"), F.col("status"))).alias("b")
+    return reports.without_small_pillars(perf).groupBy("event_id", "group_id", "item_name").agg(best, F.max("points").alias("points")).select("event_id", "group_id", "item_name", F.col("b.status").alias("status"), "points")
+
+
+def performance(perf: DataFrame) -> DataFrame:
+    """(group_name, event_year, items, correct, wrong): which event of the year had these items?"""
+    events = _events_by_best(perf)
+    items = _items_of(perf).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
+    label = "concat(event_name, ' (', event_date, ')')"
+    grouped = events.groupBy("group_id", "group_name", "event_year").agg(F.min_by("event_id", "place").alias("event_id"), F.expr(f"max(CASE WHEN place = 1 THEN {label} END) AS correct"), F.expr(f"listagg(CASE WHEN place > 1 THEN {label} END, '; ') WITHIN GROUP (ORDER BY place) AS wrong"))
+    return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", "correct", "wrong")
+
+
+def multi(perf: DataFrame, scores: DataFrame) -> DataFrame:
+    """(group_name, event_id, right, wrong): four items of one of a group's three best events of a year; wrong are
+    the first two with another outcome and similar items of the last two."""
+    events = _events_by_best(perf).filter("place <= 3").select("event_id", "group_id", "group_name")
+    order = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "item_name")
+    items = _items_of(perf.filter("item_code IS NOT NULL")).join(events, ["event_id", "group_id"])
+    first = items.withColumn("rn", F.row_number().over(order)).filter("rn <= 4")
+    code = scoring.aliases(scores).select(F.col("alias").alias("item_name"), F.col("item_code").alias("code"))
+    similar = distractors(scores).select("code", F.split_part("wrong", F.lit(","), F.lit(1)).alias("other"))
+    joined = first.join(code, "item_name", "left").join(similar, "code", "left")
+    flipped = F.when(F.col("status") == COMPLETE, LOADED).otherwise(COMPLETE)
+    wrong = F.when(F.col("rn") <= 2, F.concat("item_name", F.lit(" ("), flipped, F.lit(")"))).otherwise(F.concat("other", F.lit(" ("), "status", F.lit(")")))
+    labelled = joined.select("group_name", "event_id", "rn", F.concat("item_name", F.lit(" ("), "status", F.lit(")")).alias("right"), wrong.alias("wrong"))
+    grouped = labelled.groupBy("group_name", "event_id").agg(F.count("*").alias("n"), F.expr("listagg(right, ', ') WITHIN GROUP (ORDER BY rn) AS right"), F.expr("listagg(wrong, ', ') WITHIN GROUP (ORDER BY rn) AS wrong"))
+    return grouped.filter("n = 4").drop("n")
+
+
+def first_groups(perf: DataFrame, most: int = 4) -> DataFrame:
+    """(item_code, place, group_name, date): the first groups that did each item."""
+    first = perf.filter("item_code IS NOT NULL").groupBy("item_code", "group_name").agg(F.min(F.struct("event_date", "event_id")).alias("f"))
+    order = Window.partitionBy("item_code").orderBy("f.event_date", "f.event_id", "group_name")
+    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("item_code", "place", "group_name", F.col("f.event_date").alias("date"))
+
+
+def attribute(groups: DataFrame) -> DataFrame:
+    """groups (group_name, value) with wrong: the first three different values that are not the group's. Names
+    that end in years are no groups of today. Values of an attribute are few."""
+    today = groups.filter(~F.col("group_name").rlike(r"\([0-9]{4}(-[0-9]{4})?\)$"))
+    values = today.agg(F.array_sort(F.collect_set("value")).alias("all"))
+    others = F.slice(F.array_remove("all", F.col("value")), 1, WRONG)
+    return today.crossJoin(F.broadcast(values)).select("group_name", F.col("value").alias("correct"), F.array_join(others, ", ").alias("wrong"))
+
+
+def counts(perf: DataFrame) -> DataFrame:
+    """(group_name, event_year, item_name, status, answer, margin, slider_max): how often was it completed, or, if
+    never, loaded?"""
+    grouped = reports.without_small_pillars(perf).groupBy("group_name", "event_year", "item_name").agg(F.count_if(F.col("status") == COMPLETE).alias("complete"), F.count_if(F.col("status") == LOADED).alias("loaded"))
+    done = F.col("complete") > 0
+    answer = F.when(done, F.col("complete")).otherwise(F.col("loaded"))
+    asked = grouped.select("group_name", "event_year", "item_name", F.when(done, COMPLETE).otherwise(LOADED).alias("status"), answer.alias("answer")).filter("answer > 0")
+    return asked.select("*", F.when(F.col("answer") <= 2, 0).when(F.col("answer") <= 9, 1).otherwise(2).alias("margin"), (F.col("answer") + 5 + F.col("answer") % 16).alias("slider_max"))
+
+
+def ordering(ranked: DataFrame, most: int = 10, least: int = 3) -> DataFrame:
+    """(year, day, n, names): the first groups of each session-day in order."""
+    order = Window.partitionBy("year", "day").orderBy("position")
+    top = ranked.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    return top.groupBy("year", "day").agg(F.count("*").alias("n"), F.expr("listagg(group_name, ' > ') WITHIN GROUP (ORDER BY rn) AS names")).filter(F.col("n") >= least)
+
+
+def slider_score(user: Column, correct: Column, margin: Column) -> Column:
+    off = F.abs(user - correct)
+    inside = F.greatest(F.lit(0.1), F.lit(0.9) - off / margin * 0.8)
+    return F.when(off == 0, 1.0).when((margin > 0) & (off <= margin), inside).otherwise(0.0)
+
+
+def multi_score(chosen: Column, right: Column) -> Column:
+    hits = F.size(F.filter(chosen, lambda x: F.array_contains(right, x)))
+    n = F.size(right)
+    return F.when(n > 0, F.greatest(F.lit(0.0), hits / n - (F.size(chosen) - hits) / n * 0.5)).otherwise(0.0)
+
+
+def ordering_score(given: Column, right: Column) -> Column:
+    same = F.size(F.filter(F.zip_with(given, right, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    return F.when(F.size(right) > 0, same / F.size(right)).otherwise(0.0)
+
+
+def game(points: Column, n: Column) -> tuple[Column, Column]:
+    """A game's per cent and its band."""
+    percent = F.floor(points / n * 100 + 0.5).cast("int")
+    return percent, F.when(percent >= 80, "excellent").when(percent >= 50, "good").otherwise("again")
+
+
+def weighted_order(weight: Column, *key: Column, seed: int = 1) -> Column:
+    """A number to sort by: the first n rows are a weighted sample without replacement, the same on every run."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    return -F.log(u) / weight
+
+
+def sample_years(perf: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
+    """(group_name, event_year): n years of each group, by the weight of their era."""
+    years = perf.filter(~F.col("event_year").isin(*EXCLUDED_YEARS)).select("group_name", "event_year").distinct()
+    weight = F.when(F.col("event_year") >= ERAS[0][0], ERAS[0][1])
+    for start, w in ERAS[1:]:
+        weight = weight.when(F.col("event_year") >= start, w)
+    order = Window.partitionBy("group_name").orderBy(weighted_order(weight, F.col("group_name"), F.col("event_year"), seed=seed))
+    return years.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
+
+
+def dataset(perf: DataFrame, ranked: DataFrame, n: int = 200, seed: int = 1) -> DataFrame:
+    """(kind, question, answer): n questions of all kinds, drawn by the kinds' weights, no question twice."""
+    q = lambda kind, text, answer: [F.lit(kind).alias("kind"), F.expr(text).alias("question"), F.col(answer).cast("string").alias("answer")]
+    parts = [
+        best_event(perf).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
+        best_item_unique(perf).filter("points > 0").groupBy("group_name", "event_year").agg(F.max_by("item_name", F.struct("points", "item_name")).alias("item")).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
+        performance(perf).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
+        counts(perf).select(*q("counts", "concat('How often was ', item_name, ' ', status, ' by ', group_name, ' in ', event_year, '?')", "answer")),
+        ordering(ranked).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names")),
+    ]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.union(p)
+    all_ = all_.dropDuplicates(["question"])
+    per_kind = all_.groupBy("kind").agg(F.count("*").alias("of_kind"))
+    weights = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    weight = F.element_at(weights, F.col("kind")) / F.col("of_kind")
+    return all_.join(F.broadcast(per_kind), "kind").orderBy(weighted_order(weight, F.col("question"), seed=seed), "question").limit(n).select("kind", "question", "answer")

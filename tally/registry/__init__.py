@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reports", "contest", "ingest", "parsing", "chat")
+MODULES = ("reports", "contest", "ingest", "parsing", "chat", "retrieval", "quiz", "streams")
 
 
 def _merged(attribute: str) -> dict:
