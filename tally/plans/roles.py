@@ -42,7 +42,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_partkey").cast("string")
     item = F.when(F.col("l_linenumber") % 4 == 0, p).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("P"), p)).when(F.col("l_linenumber") % 4 == 2, F.concat(p, F.lit("de"))).otherwise(F.concat(F.lit("X"), p))
     status = F.when(F.col("l_returnflag") == "A", COMPLETE).when(F.col("l_returnflag") == "R", LOADED).when(F.col("l_linestatus") == "O", ATTEMPT).otherwise(DISMANTLED)
-    lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("attempt_id"), "l_suppkey", item.alias("item_name"), status.alias("status"))
+    lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("attempt_id"), "l_suppkey", item.alias("item_name"), status.alias("status"))
     joined = lines.join(order_events(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select("attempt_id", "event_id", F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day")
 

@@ -150,7 +150,7 @@ SQL = {
     "code_to_name": f"SELECT p_partkey, coalesce(m.name, c) AS name FROM (SELECT *, (p_partkey % 9 + 1) || 'd' || (p_partkey % 4 + 6) || CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'f' ELSE '' END AS c FROM part) LEFT JOIN (VALUES {_NAMES}) m(code, name) ON m.code = c",
     "name_resolve": R("grp") + _RAW + " SELECT raw, group_id, step FROM raws LEFT JOIN best USING (raw)",
     "unmatched_names": R("grp") + _RAW + " SELECT raw FROM raws WHERE raw NOT IN (SELECT raw FROM best)",
-    "upsert_latest": R("att") + f", {_OLD} SELECT *, 2 AS batch FROM new UNION ALL SELECT *, 1 FROM old WHERE attempt_id NOT IN (SELECT attempt_id FROM new)",
+    "upsert_latest": R("att") + f", {_OLD} SELECT * FROM (SELECT *, 2 AS batch FROM new UNION ALL SELECT *, 1 FROM old) QUALIFY row_number() OVER (PARTITION BY attempt_id ORDER BY batch DESC) = 1",
     "upsert_ignore": R("att") + f", {_OLD} SELECT DISTINCT event_id, group_id FROM old UNION SELECT DISTINCT event_id, group_id FROM new",
     "upsert_diff": R("att") + f", {_OLD} SELECT CASE WHEN o.status IS NULL THEN 'insert' WHEN n.status IS NULL THEN 'keep' WHEN o.status = n.status THEN 'same' ELSE 'update' END AS action, count(*) AS n FROM old o FULL JOIN new n USING (attempt_id) GROUP BY 1",
     "incremental_new": R("att") + f", {_OLD} SELECT * FROM new WHERE attempt_id NOT IN (SELECT attempt_id FROM old)",
