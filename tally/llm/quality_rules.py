@@ -67,16 +67,16 @@ def features(docs: DataFrame, stratum: str = "lang", carry: tuple = ()) -> DataF
 
     lines = F.filter(F.split(text, "\n"), line_words)
     drop = lambda keep: F.length(F.regexp_replace(text, F.lit(keep), F.lit(""))).cast("long")
-    one = docs.select(
-        "doc_id", *carry,
-        F.coalesce(F.concat(F.lit("s:"), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
+    # as the one element of an exploded array, the counts are not computed again by what filters on them
+    counted = F.struct(
         _let(F.array_remove(F.split(text, SPACE), ""), counts).alias("w"),
         drop(r"[^#*$%&|<>]+").alias("n_symbols"),
         drop(r"[^!?]+").alias("n_marks"),
         drop(r"[^\p{Lu}]+").alias("n_capitals"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
     )
-    flat = one.select("doc_id", *carry, "stratum", "w.n_words", "w.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", "n_marks", "n_capitals", F.col("l.n").alias("n_lines"))
+    one = docs.select("doc_id", *carry, F.coalesce(F.concat(F.lit("s:"), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"), F.explode(F.array(counted)).alias("c"))
+    flat = one.select("doc_id", *carry, "stratum", "c.w.n_words", "c.w.word_chars", "c.n_symbols", F.col("c.l.dup").alias("n_dup_lines"), "c.w.n_repeat_words", "c.n_marks", "c.n_capitals", F.col("c.l.n").alias("n_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEAT_PERCENT)
     share = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(F.lit(0.0))
     scores = {"symbols": ("n_symbols", "word_chars"), "marks": ("n_marks", "n_words"), "capitals": ("n_capitals", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
@@ -136,10 +136,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns of docs. The text's features are computed once and
-    travel beside the row; only the cutoffs are a table of their own."""
+    """The rows of docs that judge() keeps, with the columns of docs. The features are computed once for the cutoffs
+    and once beside each row, which is less work than a shuffle of all texts to join them."""
     beside = docs.select(F.struct("*").alias("row")).select("row", "row.doc_id", "row.text", F.col(f"row.`{stratum}`").alias("stratum_of"))
     scored = features(beside, "stratum_of", carry=("row",))
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = materialize(calibrate(features(labelled, stratum), labels), "quality-cutoffs")
+    known = materialize(features(docs, stratum), "quality-features")
+    cutoffs = materialize(calibrate(known, labels), "quality-cutoffs")
     return verdicts(scored, cutoffs).filter("kept").select("row.*")
