@@ -36,6 +36,8 @@ from tally.llm.components import components
 RADIUS = 2
 WORDS = 3
 BLOCK = 8192
+#: Pairs that are compared at once; if all are near, their numbers take some forty bytes each.
+COMPARED = 1 << 20
 SEED = 42
 #: The radius for texts that share 0.8 of their shingles: 64 acos(2 * 0.8 / 1.8) / pi = 9.7 bits are expected to differ.
 SIMILAR_RADIUS = 10
@@ -64,14 +66,14 @@ def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", n_words: int = WORDS) -> DataFrame:
-    """docs without the text, with `fp`, the fingerprint as a signed 64-bit number."""
+    """docs without the text, with `fp`, the fingerprint as a signed 64-bit number, in place of a column of this name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t or b"", n_words) for t in batch.column(text).cast(pa.binary()).to_pylist()]
             yield batch.drop_columns([text]).append_column("fp", pa.array(np.array(values, np.uint64).view(np.int64)))
 
-    rest = docs.drop(text)
+    rest = docs.drop(text, "fp")
     return docs.select(text, *[F.col(f"`{c}`") for c in rest.columns]).mapInArrow(run, rest.withColumn("fp", F.lit(0).cast("long")).schema)
 
 
@@ -112,7 +114,7 @@ def link_block(members: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[
     order = np.unique(both)
     own, guests = np.searchsorted(order, members), np.searchsorted(order, visitors)
     root = np.arange(len(order))
-    side = max(1, (1 << 22) // max(1, len(members)))
+    side = max(1, COMPARED // max(1, len(members)))
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -199,8 +201,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, n_words: int = WORDS) -> DataFrame:
-    """docs without the text, with fp and component_id: the least doc_id reachable over links."""
-    marked = materialize(fingerprints(docs, n_words=n_words), "simhash")
+    """(doc_id, fp, component_id) for each row of docs: the least doc_id reachable over links."""
+    marked = materialize(fingerprints(docs.select("doc_id", "text"), n_words=n_words), "simhash")
     # signed order differs from unsigned order, but the root only names the component
     by_fp = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = materialize(components(links(by_fp.select("fp"), radius)), "simhash-roots")
@@ -213,13 +215,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n_words: int = WORDS)
 def keep_one(docs: DataFrame, radius: int = SIMILAR_RADIUS, n_words: int = 5) -> DataFrame:
     """docs with one document of each component: that of the least doc_id, nulls last, ties by the whole row."""
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(*hashable).alias("tie"))
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("key"), F.xxhash64(*hashable).alias("tie"))
     narrow = whole.select("row.doc_id", "row.text", "tie")
     marked = materialize(fingerprints(narrow, n_words=n_words), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
     by_fp = materialize(marked.groupBy("fp").agg(first.alias("least")), "simhash-distinct")
     roots = materialize(components(links(by_fp.select("fp"), radius)), "simhash-roots")
     grouped = by_fp.join(roots, by_fp.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = materialize(grouped.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.tie"), "simhash-kept").alias("k")
-    found = whole.alias("d").join(kept, F.col("d.row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tie") == F.col("k.tie")), "left_semi")
-    return found.dropDuplicates(["tie"]).select("row.*")
+    kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.xxhash64("least.doc_id").alias("key"), "least.tie")
+    # rows that are equal in all columns share key and tie; join and dropDuplicates are by them, after one shuffle
+    return whole.join(materialize(kept, "simhash-kept"), ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"]).select("row.*")
