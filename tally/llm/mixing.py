@@ -29,9 +29,10 @@ OFFSET_STEPS = 65536
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """docs with `size`, the words of the whole text, and `tie`, a hash of the whole row for a total order."""
-    hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return docs.select("*", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(*hashable).alias("tie"))
+    """(doc_id, source, size, tie, row): the words of the whole text, a hash of the whole row for a total order,
+    and the row itself."""
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(*hashable).alias("tie"), F.struct("*").alias("row"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent=SHARE_PERCENT, most_times=MOST_TIMES) -> DataFrame:
@@ -97,13 +98,11 @@ def mixture_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is emitted, with the columns of docs."""
-    whole = docs.select(F.struct("*").alias("row"))
-    sized = sizes(whole.select("row.doc_id", "row.source", "row.text", "row"))
+    sized = sizes(docs)
     narrow = materialize(sized.select("doc_id", "source", "size", "tie"), "mix-sizes")
     plan = copies(narrow, materialize(source_targets(narrow), "mix-targets"), seed)
     # rows that are equal in every column are one row here, emitted as often as they are together
-    plan = plan.groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 0)
-    once = sized.select("doc_id", "tie", "row").dropDuplicates(["doc_id", "tie"]).alias("d")
-    out = once.join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tie") == F.col("p.tie")))
-    out = out.select("d.row", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int"))).alias("copy"))
-    return out.select("row.*")
+    plan = plan.groupBy(F.xxhash64("doc_id").alias("key"), "tie").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 0)
+    once = sized.select(F.xxhash64("doc_id").alias("key"), "tie", "row").dropDuplicates(["key", "tie"])
+    out = once.join(plan, ["key", "tie"])
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
