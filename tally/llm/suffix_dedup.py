@@ -227,10 +227,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
     (start, n), n windows in a row from byte `start` on."""
     spark = docs.sparkSession
     found = materialize(occurrences(docs, length), "suffix-occurrences")
+    # as tables, the counts leave their joins free for Spark to split where an anchor holds very many rows
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
+    found = materialize(found.join(often, "anchor", "left_semi"), "suffix-often")
     contexts = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "doc_id", "first")).alias("at"), F.first("windows").alias("windows"))
     contexts = materialize(contexts.select("anchor", "c1", "c2", "copies", "at.*", "windows"), "suffix-contexts")
-    often = contexts.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("copies").alias("all")).filter(F.col("all") > 1)
-    wanted = materialize(contexts.join(often.select("anchor", "different"), "anchor"), "suffix-wanted")
+    different = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("different")), "suffix-different")
+    wanted = materialize(contexts.join(different, "anchor"), "suffix-wanted")
     cold, is_hot = wanted.filter(F.col("different") <= hot), wanted.filter(F.col("different") > hot)
 
     def rows(text: bytes, c: dict) -> Iterator[dict]:
