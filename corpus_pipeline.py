@@ -14,6 +14,10 @@ from tally.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from tally.llm.common import materialize, ship, table
 
 
+#: Workers stay while the other stages run, so this stage's stores are smaller than the operator's own.
+KEPT_PARTS = 60_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     ship(spark)
@@ -44,9 +48,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source with the token ids (little-endian unsigned 32-bit) and the text that they decode to."""
     ship(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded", kept=KEPT_PARTS)
+    return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.pieces import Encoder
+from tally.llm.pieces import KEPT, Encoder
 
 
 def encode_match(ranks: dict[bytes, int], match: bytes) -> list[int]:
@@ -94,32 +94,40 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, kept: int = KEPT) -> Encoder:
     ranks = load_ranks(path)
-    return Encoder(pattern, lambda match: np.array(encode_match(ranks, match.encode()), "<u4").tobytes())
+    return Encoder(pattern, lambda match: np.array(encode_match(ranks, match.encode()), "<u4").tobytes(), kept)
 
 
 def _added(batch: pa.RecordBatch, name: str, values: list[bytes]) -> pa.RecordBatch:
     return batch.append_column(name, pa.array(values, pa.large_binary()).cast(pa.binary()))
 
 
+def _decoded(ids: bytes | None, known: dict[int, bytes]) -> bytes:
+    return b"".join(map(known.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """docs without the text, with the column `ids`: the ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, kept: int = KEPT) -> DataFrame:
+    """docs without the text, with the column `ids`: the ids as little-endian unsigned 32-bit integers; and, if
+    it has a name, with the column `decoded`: the bytes that the ids stand for, by the worker that encoded them.
+    Columns of docs that are called like the new ones give way to them. A worker's stores hold `kept` entries each:
+    fewer take less memory and more time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(ranks_path, pattern).encode
+        to_ids, known = encoder(ranks_path, pattern, kept).encode, token_bytes(ranks_path)
         for whole in batches:
             for batch in _slices(whole):
                 values = [to_ids(t or "") for t in batch.column(text).to_pylist()]
-                yield _added(batch.drop_columns([text]), ids, values)
+                out = _added(batch.drop_columns([text]), ids, values)
+                yield _added(out, decoded, [_decoded(x, known) for x in values]) if decoded else out
 
-    rest = docs.drop(text)
-    schema = rest.withColumn(ids, F.lit(None).cast("binary")).schema
+    rest = docs.drop(text, ids, *([decoded] if decoded else []))
+    schema = rest.withColumns({c: F.lit(None).cast("binary") for c in (ids, decoded) if c}).schema
     return docs.select(text, *[F.col(f"`{c}`") for c in rest.columns]).mapInArrow(run, schema)
 
 
@@ -130,8 +138,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
         known = token_bytes(ranks_path)
         for whole in batches:
             for batch in _slices(whole):
-                values = [b"".join(map(known.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids).to_pylist()]
-                yield _added(batch, out, values)
+                yield _added(batch, out, [_decoded(x, known) for x in batch.column(ids).to_pylist()])
 
     return tokens.mapInArrow(run, tokens.withColumn(out, F.lit(None).cast("binary")).schema)
 

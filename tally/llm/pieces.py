@@ -44,11 +44,11 @@ class Recent(dict):
 class Encoder:
     """Texts to the ids' bytes, by a pattern and a function that encodes one match."""
 
-    def __init__(self, pattern: str, match_ids: Callable[[str], bytes]):
+    def __init__(self, pattern: str, match_ids: Callable[[str], bytes], kept: int = KEPT):
         self.find = regex.compile(pattern).findall
         self.parts_at_spaces = pattern == BYTE_LEVEL
-        self.matches = Recent(match_ids)
-        self.after_space = Recent(lambda part: self.by_match(" " + part))
+        self.matches = Recent(match_ids, kept)
+        self.after_space = Recent(lambda part: self.by_match(" " + part), kept)
 
     def by_match(self, text: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.find(text)))
