@@ -1,0 +1,56 @@
+"""The registered queries on the smallest tables: against SQL where there is one, else their form."""
+
+import pytest
+from compare import connection, rows
+
+import corpus_pipeline
+from tally.llm import bpe, queries, warc
+
+SQL, QUERIES = queries.oracle_sql(), queries.queries()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equal_to_sql(name, spark, data):
+    assert rows(QUERIES[name](spark, data)) == rows(connection(data).execute(SQL[name]))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
+def test_one_row_for_each_document(name, spark, data):
+    found = QUERIES[name](spark, data)
+    if name.startswith("op10"):
+        assert found.count() == 25 * 20
+    else:
+        assert found.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, data)
+        assert docs.columns == columns, name
+        if not name.startswith("mixing"):
+            assert 0 < docs.count() <= n, name
+            n = docs.count()
+    out = corpus_pipeline.run(spark, data)
+    want = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert out.filter(bpe.n_tokens() != out["n_tokens"]).count() == 0
+
+
+def test_warc_files_read_back(spark, tmp_path):
+    html = '<html lang="ca"><head><title>A &amp; B</title></head><body><!-- no --><p>One <b>two</b></p><script>x()</script><a href="/l?a=1&amp;b">go</a></body></html>'
+    pages = spark.createDataFrame([(1, "http://x.y/", html, "c"), (2, None, None, "c"), (2, None, None, "c"), (3, "http://z/", "", "c")], "page_id long, url string, html string, header string")
+    records = warc.derivatives(warc.responses(pages, "2024-05-01T00:00:00Z"))
+    assert records.count() == 8
+    first = {r["warc_type"]: r for r in records.filter("target_uri = 'http://x.y/'").collect()}
+    assert first["conversion"]["block"] == "One two\ngo"
+    assert "title: A & B\r\nlanguage: ca\r\n" in first["metadata"]["block"] and "outlink: /l?a=1&b\r\n" in first["metadata"]["block"]
+    assert first["metadata"]["refers_to"] == first["conversion"]["refers_to"] and first["metadata"]["concurrent_to"] == first["conversion"]["record_id"]
+    assert "source-http-header: Content-Type: text/html; charset=utf-8" in first["metadata"]["block"]
+    warc.write(records, f"{tmp_path}/w")
+    back = warc.read(spark, f"{tmp_path}/w").collect()
+    assert len(back) == 8 and all(r["whole"] for r in back)
+    assert sorted(r["headers"]["warc-record-id"] for r in back) == sorted(r["record_id"] for r in records.collect())
+    assert sorted(r["block"] for r in back) == sorted(r["block"] for r in records.collect())
+    assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
