@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:
-    """docs without the text, with `score`, from 0 to 1."""
+    """docs without the text, with `score`, from 0 to 1, in place of a column of this name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if weights is not None:
@@ -199,5 +199,5 @@ def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> Da
                 batch = whole.slice(at, 1024)
                 yield batch.drop_columns([text]).append_column("score", pa.array([one(t) for t in batch.column(text).to_pylist()], pa.float64()))
 
-    rest = docs.drop(text)
+    rest = docs.drop(text, "score")
     return docs.select(text, *[F.col(f"`{c}`") for c in rest.columns]).mapInArrow(run, rest.withColumn("score", F.lit(0.0)).schema)
