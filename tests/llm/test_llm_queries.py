@@ -1,10 +1,17 @@
 """The registered queries on the smallest tables: against SQL where there is one, else their form."""
 
+import base64
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from compare import connection, rows
+from test_dedup import brute, linked, slow_fingerprint
 
 import corpus_pipeline
-from tally.llm import bpe, queries, warc
+from tally.llm import bpe, mixing, quality_rules, queries, simhash, suffix_dedup, warc
 
 SQL, QUERIES = queries.oracle_sql(), queries.queries()
 
@@ -38,6 +45,38 @@ def test_pipeline(spark, data):
     assert out.filter(bpe.n_tokens() != out["n_tokens"]).count() == 0
 
 
+def test_pipeline_stages_by_brute_force(spark, data):
+    """Each stage on what the one before it kept."""
+    stage = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    good = stage[0](spark, docs, data)
+    kept = {r["doc_id"] for r in quality_rules.judge(docs, labels).filter("kept").collect()}
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(kept)
+
+    once = stage[1](spark, good, data)
+    before = sorted((r["doc_id"], r["text"]) for r in good.collect())
+    group = linked([slow_fingerprint(t, 5) for _, t in before], simhash.SIMILAR_RADIUS)
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted({before[g][0] for g in group})
+
+    cut = stage[2](spark, once, data)
+    before = sorted((r["doc_id"], r["text"]) for r in once.collect())
+    want = [w[2].decode(errors="ignore") for w in brute([t.encode() for _, t in before], suffix_dedup.LENGTH)]
+    assert sorted((r["doc_id"], r["text"]) for r in cut.collect()) == [(i, w) for (i, _), w in zip(before, want)]
+
+    mixed = stage[3](spark, cut, data)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mixture_plan(cut).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == copies
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = stage[4](spark, mixed, data).collect()
+    text = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert len(tokens) == sum(copies.values())
+    assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == library.encode_ordinary(text[r["doc_id"]]) and r["text"] == text[r["doc_id"]] for r in tokens)
+
+
 def test_warc_files_read_back(spark, tmp_path):
     html = '<html lang="ca"><head><title>A &amp; B</title></head><body><!-- no --><p>One <b>two</b></p><script>x()</script><a href="/l?a=1&amp;b">go</a></body></html>'
     pages = spark.createDataFrame([(1, "http://x.y/", html, "c"), (2, None, None, "c"), (2, None, None, "c"), (3, "http://z/", "", "c")], "page_id long, url string, html string, header string")
