@@ -14,6 +14,12 @@ more than a block and passes its visitors by in slices.
 A task links what it found to the least fingerprint of each local component, so no group of near copies is
 written as all its pairs; the links are joined into components by stars.
 
+keep_one() takes such links as candidates only, since 64 bits say too little about a similarity of 0.8: texts just
+above it are often further apart than the radius, and others are within it by chance. Texts that share a band of
+minimum hashes are candidates too, which misses a pair of similarity 0.8 with a chance of 5e-6. In each component of
+candidates the texts' whole sets of shingles are compared, and only pairs with a Jaccard similarity of SIMILAR or
+more are linked.
+
 Nulls and empty texts have fingerprint 0 and are linked like any other. A null doc_id is kept and never names a
 component that has another id. Repeated rows are separate documents. Empty tables give empty results.
 """
@@ -43,20 +49,29 @@ SEED = 42
 SIMILAR_RADIUS = 10
 #: The widest radius for which tiles are told apart by quarters; beyond it quarters skip next to nothing.
 QUARTERED = 3
+#: The least Jaccard similarity of two near copies' sets of shingles.
+SIMILAR = 0.8
+#: Bands of minimum hashes, and hashes in each: 1 - (1 - 0.8**6)**40 = 0.999995 of the pairs at 0.8 share a band.
+BANDS, ROWS = 40, 6
+#: Shingles of a component that are compared with one another in one task, in whole texts.
+VERIFIED = 1 << 19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
-    """The SimHash of a text in UTF-8, as an unsigned number."""
+def shingle_hashes(text: bytes, n_words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The XXH64 hashes of a text's shingles in their order; a text of fewer words is one shingle, an empty one none."""
     words = text.translate(LOWER).split()  # bytes split at 0x09-0x0D and 0x20
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < n_words:
         shingles = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words))))
-    n = max(1, len(words) - n_words + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, n)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, max(1, len(words) - n_words + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -65,6 +80,11 @@ def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
+    """The SimHash of a text in UTF-8, as an unsigned number."""
+    return _majority(shingle_hashes(text, n_words, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", n_words: int = WORDS) -> DataFrame:
     """docs without the text, with `fp`, the fingerprint as a signed 64-bit number, in place of a column of this name."""
 
@@ -212,16 +232,159 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n_words: int = WORDS)
     return marked.join(by_fp, "fp")
 
 
+def _bands() -> tuple[np.ndarray, np.ndarray]:
+    """The factors of the minimum hashes, and those that join the minima of a band."""
+    rng = np.random.default_rng(SEED)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    return draw(BANDS * ROWS), draw(BANDS * ROWS).reshape(BANDS, ROWS)
+
+
+def band_keys(distinct: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One key for each band: texts of similarity s have the same key of a band with chance s**ROWS."""
+    scale, join = factors
+    least = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 1 << 10):
+        np.minimum(least, (scale[:, None] * distinct[None, at : at + (1 << 10)]).min(axis=1), out=least)
+    return (least.reshape(BANDS, ROWS) * join).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+
+
+def _sketches(docs: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, tie, node, n, fp, keys): node names the set of shingles, of which there are n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _bands()
+        for batch in batches:
+            nodes, sizes, prints, keys = [], [], [], []
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(t or b"", n_words)
+                distinct = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), seed=SEED))
+                sizes.append(len(distinct))
+                prints.append(_majority(hashes))
+                keys.append(band_keys(distinct, factors).view(np.int64))
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tie"), signed(nodes), pa.array(sizes, pa.int64()), signed(prints), listed],
+                names=["doc_id", "tie", "node", "n", "fp", "keys"],
+            )
+
+    out = docs.select("doc_id", "tie", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("fp"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    return docs.select("text", "doc_id", "tie").mapInArrow(run, out)
+
+
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links whose components hold all pairs of nodes that share a band, or whose fingerprints are linked."""
+    keyed = nodes.filter("n > 0").select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("key", "a")
+    by_band = keyed.join(materialize(shared, "simhash-bands"), "key").select("a", F.col("node").alias("b"))
+    by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-distinct")
+    near = materialize(links(by_fp.select("fp"), radius), "simhash-near")
+    least = by_fp.withColumnRenamed("fp", "x")
+    linked = near.join(least, near.a == least.x).select(F.col("first").alias("a"), F.col("b").alias("other"))
+    linked = linked.join(least, linked.other == least.x).select("a", F.col("first").alias("b"))
+    same = nodes.join(by_fp, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return by_band.union(linked).union(same).filter("a <> b").distinct()
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Links that join all pairs of sets of different sides (any, if all are of one side) that are as similar as
+    `least` or more. Two such sets share one of the first n - ceil(least * n) + 1 elements of each, in any common
+    order; the rarest come first. Pairs that earlier links join already are left out."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((inverse, counts[inverse], owner))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    whole = len(np.unique(side)) == 1
+    root = np.arange(len(sets))
+    posted: dict[int, list[int]] = {}
+    found = []
+    for i in range(len(sets)):
+        n = int(sizes[i])
+        # a little less than least * n, lest rounding cut one element too many
+        prefix = inverse[order[starts[i] : starts[i] + n - int(np.ceil(least * n - 1e-9)) + 1]]
+        lists = []
+        for e in prefix[counts[prefix] > 1].tolist():
+            held = posted.setdefault(e, [])
+            if held:
+                lists.append(np.array(held))
+            held.append(i)
+        others = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        if not whole:
+            others = others[side[others] != side[i]]
+        others = others[np.minimum(sizes[others], n) >= least * np.maximum(sizes[others], n) - 1e-9]
+        others = others[root[others] != root[i]]
+        while len(others):
+            j = int(others[0])
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= least * (n + int(sizes[j]) - both) - 1e-9:
+                found.append((j, i))
+                root[root == root[i]] = root[j]
+            others = others[1:]
+            others = others[root[others] != root[i]]
+    return found
+
+
+def _verified(docs: DataFrame, chosen: DataFrame, n_words: int) -> DataFrame:
+    """(a, b): links between nodes that join all near copies within each component of candidates.
+
+    chosen (node, root, n, key, tie) names a row of docs for each node. A component of many shingles is cut into blocks
+    that meet each other one by one."""
+    blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") / VERIFIED).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = chosen.join(materialize(blocks, "simhash-blocks"), "root").select("key", "tie", "node", "root", "blocks", home.alias("home"))
+    texts = docs.join(materialize(dealt, "simhash-chosen"), ["key", "tie"]).dropDuplicates(["node"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", n_words)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.drop_columns(["text"]).append_column("set", pa.array(sets, pa.binary()))
+
+    sets = materialize(texts.select("text", "node", "root", "blocks", "home").mapInArrow(hashed, "node long, root long, blocks int, home int, set binary"), "simhash-sets")
+    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = sets.select("node", "root", "home", "set", meet).select("node", "root", "home", "set", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"))
+    pairs = pairs.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, homes, held = None, [], [], []
+
+        def compare() -> pa.RecordBatch:
+            found = similar_pairs(held, np.array(homes))
+            a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            for node, root, home, x, y, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "home", "x", "y", "set"))):
+                if (root, x, y) != at:
+                    if len(held) > 1:
+                        yield compare()
+                    at, nodes, homes, held = (root, x, y), [], [], []
+                nodes.append(node)
+                homes.append(home)
+                held.append(np.frombuffer(raw, np.uint64))
+        if len(held) > 1:
+            yield compare()
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def keep_one(docs: DataFrame, radius: int = SIMILAR_RADIUS, n_words: int = 5) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id, nulls last, ties by the whole row."""
+    """docs with one document of each group of near copies: that of the least doc_id, nulls last, ties by the whole
+    row. Near copies share SIMILAR or more of their shingles; groups are the components of such pairs."""
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("key"), F.xxhash64(*hashable).alias("tie"))
-    narrow = whole.select("row.doc_id", "row.text", "tie")
-    marked = materialize(fingerprints(narrow, n_words=n_words), "simhash")
+    narrow = whole.select("row.doc_id", "row.text", "key", "tie")
+    marked = materialize(_sketches(narrow, n_words), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
-    by_fp = materialize(marked.groupBy("fp").agg(first.alias("least")), "simhash-distinct")
-    roots = materialize(components(links(by_fp.select("fp"), radius)), "simhash-roots")
-    grouped = by_fp.join(roots, by_fp.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    alike = marked.groupBy("node").agg(first.alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialize(alike, "simhash-nodes")
+    loose = materialize(components(_candidates(nodes, radius)), "simhash-loose")
+    chosen = nodes.filter("n > 0").join(loose, "node").select("node", "root", "n", F.xxhash64("least.doc_id").alias("key"), "least.tie")
+    proved = materialize(_verified(narrow, chosen, n_words), "simhash-proved")
+    roots = materialize(components(proved), "simhash-roots").withColumnRenamed("node", "of")
+    grouped = nodes.join(roots, nodes.node == roots.of, "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.xxhash64("least.doc_id").alias("key"), "least.tie")
     # rows that are equal in all columns share key and tie; join and dropDuplicates are by them, after one shuffle
     return whole.join(materialize(kept, "simhash-kept"), ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"]).select("row.*")

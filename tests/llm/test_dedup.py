@@ -142,6 +142,53 @@ def test_near_duplicates_and_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def near_groups(rows):
+    """The least id of each document's group of near copies, by comparing all pairs of sets of shingles."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = [i for i, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (both * 10 >= 8 * (len(sets[a]) + len(sets[b]) - both)) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def altered(words, n):
+    """words with n of them changed, each far from the others."""
+    out = list(words)
+    for k in range(n):
+        out[(2 * k + 1) * len(words) // (2 * n)] = f"new{k}"
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 19, 150])
+def test_near_copies_by_brute_force(spark, block, monkeypatch):
+    """Pairs about 0.8, short texts, and fingerprints that are alike without common shingles."""
+    monkeypatch.setattr(simhash, "VERIFIED", block)
+    rows = [(1000, None), (1001, ""), (1002, "a b"), (1003, "A b"), (1004, "a c")]
+    for k in range(60):
+        words = sentence(100 + k).split()
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(altered(words, 1 + k % 4))), (3 * k + 2, " ".join(altered(words, 2 + k % 4)))]
+    # fingerprints of the first and the last text are within the radius, their shingles are not alike
+    few = [" ".join(f"w{RNG.randrange(10**6)}" for _ in range(5)) for _ in range(3000)]
+    prints = np.array([simhash.fingerprint(t.encode(), 5) for t in few], np.uint64)
+    a, b = next((a, b) for a in range(len(few)) for b in range(a) if int(prints[a] ^ prints[b]).bit_count() <= 14)
+    rows += [(2000, few[a]), (2001, few[b])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, radius=14).collect()) == sorted(set(near_groups(rows)))
+
+
+def test_near_copies_of_the_tables(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(near_groups(rows)))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (500, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
