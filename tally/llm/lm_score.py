@@ -1,11 +1,14 @@
 """Scoring by masked pseudo-likelihood: how likely is each token, given the tokens on both sides?
 
-The vocabulary is the most frequent words of the whole corpus, counted by a shuffle; every other word is one of
-a few unknown tokens, by its hash. The network sees SIDE tokens before and SIDE after a place, never the token
+The tokens are the most frequent words of the whole corpus, counted by a shuffle; all other words are dealt to a few
+tokens by their hash. The vocabulary is every word of the corpus: a word that shares a token has the probability of
+the token, given both sides, times its own share of the token's occurrences. These shares stay a table that grows with
+the corpus and is joined to the texts' words; they are never collected, and the probabilities of all words add up to 1
+but for what tokens that no word has take. The network sees SIDE tokens before and SIDE after a place, never the token
 itself: their embeddings, one table for each place of the window, are added and squashed, and two softmax layers
 give the class of the token and the token in its class. It is trained in numpy, on all texts: each task takes
 steps over its own texts from common weights, and the tasks' weights are averaged by the tokens they saw, in
-ROUNDS rounds that each take other texts. A text's score is the sum of the log-probabilities of all its tokens.
+ROUNDS rounds that each take other texts. A text's score is the sum of the log-probabilities of all its words.
 
 Nulls and texts without words have no tokens and score 0, mean null. Very long texts are scored whole, in
 batches. Repeated rows are separate documents; other columns take no part. An empty table gives an empty result.
@@ -41,8 +44,8 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # lower() of bytes is that of ASCII
 
 
-def vocabulary(docs: DataFrame) -> list[tuple[bytes, int]]:
-    """The TOKENS - UNKNOWN most frequent words with their counts in all texts, ties by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): every word with its count in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -55,12 +58,24 @@ def vocabulary(docs: DataFrame) -> list[tuple[bytes, int]]:
                     counts.clear()
         yield out()
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(TOKENS - UNKNOWN).collect()]
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The TOKENS - UNKNOWN most frequent words with their counts in all texts, ties by the word."""
+    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOKENS - UNKNOWN).collect()]
+
+
+def shares(counts: DataFrame, known: list[tuple[bytes, int]]) -> DataFrame:
+    """(word, log_share) of each word without a token of its own: its part of its token's occurrences."""
+    top = counts.sparkSession.createDataFrame([(bytearray(w),) for w, _ in known], "word binary")
+    rest = counts.join(F.broadcast(top), "word", "left_anti").withColumn("token", F.crc32("word") % UNKNOWN)
+    totals = rest.groupBy("token").agg(F.sum("n").alias("total"))  # UNKNOWN rows at most
+    return rest.join(F.broadcast(totals), "token").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 class Ids(dict):
-    """Words to tokens; what is not known goes to one of the unknown tokens, the last ones."""
+    """Words to tokens; what has no token of its own shares one of the last ones."""
 
     def __init__(self, known: list[bytes]):
         super().__init__({w: i for i, w in enumerate(known)})
@@ -157,20 +172,24 @@ def _windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[real], around, owner[real]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
-    """Texts as tokens, in groups of about BATCH tokens: (batch number, row) of each, and the tokens."""
-    names, group, held = [], [], 0
+def _batches(batches: Iterator[pa.RecordBatch], ids: Ids, sharing: bool = False) -> Iterator[tuple[list[tuple[int, int]], list[list[int]], list[Counter]]]:
+    """Texts as tokens, in groups of about BATCH tokens: (batch number, row) of each, the tokens, and, if asked for,
+    the counts of the words that share a token."""
+    names, group, others, held = [], [], [], 0
     for number, batch in enumerate(batches):
         for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-            doc = list(map(ids.__getitem__, words(text)))
+            said = words(text)
+            doc = list(map(ids.__getitem__, said))
+            if sharing:
+                others.append(Counter(w for w in said if w not in ids))
             names.append((number, row))
             group.append(doc)
             held += len(doc)
             if held >= BATCH:
-                yield names, group
-                names, group, held = [], [], 0
+                yield names, group, others
+                names, group, others, held = [], [], [], 0
     if group:
-        yield names, group
+        yield names, group, others
 
 
 def _steps(group: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -194,7 +213,7 @@ def train(docs: DataFrame, known: list[tuple[bytes, int]]) -> Network:
             own = Network(np.frombuffer(start, np.float32).copy())
             squares = Network(np.full(length, 1e-7, np.float32))
             seen = 0
-            for _, group in _batches(batches, Ids(vocab)):
+            for _, group, _ in _batches(batches, Ids(vocab)):
                 for target, around, _ in _steps(group):
                     _, grad = own.forward(around, target, slopes=True)
                     for name, g in grad.items():
@@ -216,7 +235,8 @@ def train(docs: DataFrame, known: list[tuple[bytes, int]]) -> Network:
 
 
 def score(docs: DataFrame, net: Network, known: list[tuple[bytes, int]]) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row of docs."""
+    """(row, doc_id, n_tokens, log_likelihood, others) for each row of docs: the score by tokens, and the counts of the
+    words that share one."""
     vocab, flat = [w for w, _ in known], net.flat.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,23 +245,33 @@ def score(docs: DataFrame, net: Network, known: list[tuple[bytes, int]]) -> Data
 
         def noted() -> Iterator[pa.RecordBatch]:
             for number, batch in enumerate(batches):
-                held[number] = batch.column("doc_id")
+                held[number] = batch.column("row"), batch.column("doc_id")
                 yield batch
 
-        for names, group in _batches(noted(), ids):
+        for names, group, others in _batches(noted(), ids, sharing=True):
             total = np.zeros(len(group))
             for target, around, owner in _steps(group):
                 logs, _ = own.forward(around, target, slopes=False)
                 total += np.bincount(owner, logs.astype(np.float64), minlength=len(group))
             n = np.array([len(d) for d in group], np.int64)
-            doc_ids = [held[number][row].as_py() for number, row in names]
+            at, doc_ids = ([held[number][c][row].as_py() for number, row in names] for c in (0, 1))
             for old in [k for k in held if k < names[-1][0]]:
                 del held[old]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)})
+            starts = np.cumsum([0, *map(len, others)], dtype=np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array([w for o in others for w in o], pa.binary()), pa.array([k for o in others for k in o.values()], pa.int64())], ["word", "k"])
+            yield pa.RecordBatch.from_pydict({"row": pa.array(at, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "others": pa.ListArray.from_arrays(pa.array(starts), pairs)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double, others array<struct<word: binary, k: long>>")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    known = vocabulary(docs)
-    return score(docs, train(docs, known), known)
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row of docs."""
+    counts = materialize(word_counts(docs), "lm-counts")
+    known = vocabulary(counts)
+    scored = materialize(score(docs, train(docs, known), known), "lm-scores")  # rows keep their numbers from here on
+    each = scored.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.k")
+    extra = each.join(materialize(shares(counts, known), "lm-shares"), "word").groupBy("row").agg(F.sum(F.col("k") * F.col("log_share")).alias("extra"))
+    total = F.col("log_likelihood") + F.coalesce("extra", F.lit(0.0))
+    whole = scored.join(extra, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return whole.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -59,6 +59,18 @@ def test_scores_follow_the_corpus(spark):
     assert lm_score.pseudo_likelihood(df.limit(0)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    """Words beyond the tokens, of one token but of different counts, differ by the logarithm of their counts."""
+    by_token = {}
+    for w in (f"rare{i}" for i in range(200)):
+        by_token.setdefault(zlib.crc32(w.encode()) % lm_score.UNKNOWN, []).append(w)
+    often, seldom = next(v for v in by_token.values() if len(v) > 1)[:2]
+    common = " ".join(f"c{i}" for i in range(lm_score.TOKENS - lm_score.UNKNOWN))
+    texts = [common] * 9 + [f"c1 {often} c2", f"c1 {seldom} c2", *[often] * 4]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.pseudo_likelihood(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[9] - got[10] == pytest.approx(math.log(5), abs=1e-4)
+
+
 def test_toxicity_on_held_out_texts(spark):
     bad = ["scoundrel", "rascal", "villain", "fiend"]
     rows, marks = [], []
