@@ -63,20 +63,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 50, probes: int = 10) -> DataFrame:
+def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 50, probes: int | None = None) -> DataFrame:
     """As top_k, by an inverted file: vectors are listed by their nearest centre, and a query visits the lists of
-    the nearest `probes` centres. With probes = lists it is exact."""
+    the nearest `probes` centres, all of them if it is None, which is exact. A query goes on to further lists as
+    long as those it visited hold fewer than k vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     points = vectors.select("id", "vec", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=lists, seed=7, maxIter=10).fit(points)
     listed = model.transform(points).select("id", "vec", F.col("prediction").alias("list"))
+    sizes = listed.groupBy("list").agg(F.count("*").alias("size"))  # one row for each list
     spark = vectors.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
     distance = F.aggregate(F.zip_with("qvec", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
     near = Window.partitionBy("query_id").orderBy("distance", "list")
-    visits = queries.crossJoin(F.broadcast(centres)).withColumn("distance", distance).withColumn("n", F.row_number().over(near)).filter(F.col("n") <= probes)
+    visits = queries.crossJoin(F.broadcast(centres.join(F.broadcast(sizes), "list"))).withColumn("distance", distance)
+    if probes is not None:
+        before = F.coalesce(F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        visits = visits.withColumn("n", F.row_number().over(near)).withColumn("before", before).filter((F.col("n") <= probes) | (F.col("before") < k))
     scored = listed.join(visits.select("query_id", "qvec", "list"), "list").select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -79,6 +79,20 @@ def test_streams_equal_batches_in_any_order(spark, tmp_path):
     assert got == {m: (max(s, key=chat.STATES.index), len(s)) for m, s in want.items()}
 
 
+def test_inverted_file_finds_all(spark, data):
+    from tally.registry import retrieval as registered
+
+    vectors = registered._vectors(spark, data)
+    queries = vectors.filter("id % 50 = 0").selectExpr("id AS query_id", "vec AS qvec")
+    found = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
+    want = found(retrieval.top_k(vectors, queries, 10))
+    got = found(registered.QUERIES["vector_ivf"](spark, data))
+    assert {q for q, _ in got} == {r["query_id"] for r in queries.collect()}
+    assert len(want & got) >= 0.99 * len(want)
+    few = retrieval.ivf(vectors, queries, 60, lists=20, probes=1).groupBy("query_id").count()
+    assert {r["count"] for r in few.collect()} == {60}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "attempt_id string, event_id long, group_id long, item_name string, status string, day string")
     scores = spark.createDataFrame([], 'code string, external string, name string, full long, partial long, tier string')
