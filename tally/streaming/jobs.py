@@ -24,11 +24,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/tally/{name}-{uuid.uuid4().hex}"
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream of files. The path is given as a pattern, since a table may be a single file,
-    and a stream takes a plain path for a folder."""
+    and a stream takes a plain path for a folder. A table's files are in no order of time: unless all of them are
+    one batch, the watermark of the first batch makes rows of later ones late, and drops them."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:

@@ -93,6 +93,18 @@ def test_inverted_file_finds_all(spark, data):
     assert {r["count"] for r in few.collect()} == {60}
 
 
+def test_streams_of_many_files_lose_nothing(spark, tmp_path):
+    """More than 64 files, the latest rows in those that are read first."""
+    rows = spark.range(700).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + (699 - id) * 600) AS ts", "id % 3 AS user_id", "'view' AS event_type")
+    rows.repartitionByRange(70, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("part-*.parquet"))) > 64
+    total = lambda df: df.agg({"n": "sum"}).first()[0]
+    open_ = 2  # windows that the watermark of the end has not passed
+    assert total(jobs.run(jobs.windows(jobs.source(spark, f"{tmp_path}/events.parquet"), "5 minutes"), "windows")) >= 700 - open_
+    assert total(jobs.run(jobs.sessions(jobs.source(spark, f"{tmp_path}/events.parquet"), "5 minutes"), "sessions")) >= 700 - open_
+    assert jobs.run(jobs.dedupe(jobs.source(spark, f"{tmp_path}/events.parquet"), ["event_id"]), "dedupe").count() == 700
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "attempt_id string, event_id long, group_id long, item_name string, status string, day string")
     scores = spark.createDataFrame([], 'code string, external string, name string, full long, partial long, tier string')
