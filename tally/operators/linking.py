@@ -21,6 +21,8 @@ TEMPLATES = {
     "contest_history": ("historia del concurs", "concursos celebrats", "història dels concursos", "com va anar el concurs de"),
 }
 SUBSTRING_SCORE, LEAST_SCORE = 0.8, 0.3
+#: Below this ratio a name need not share any 3-gram with the question.
+GRAMS_FROM = 85.0
 #: Words that stand for an event whatever its full name. Fixed values.
 EVENT_WORDS = (("asia", "Fair ASIA"), ("europa", "Fair EUROPE"), ("africa", "Fair AFRICA"), ("america", "Fair AMERICA"), ("orient", "Fair MIDDLE EAST"))
 
@@ -53,12 +55,19 @@ def _grams(text: Column, n: int = 3) -> Column:
 def fuzzy_link(questions: DataFrame, names: DataFrame, least: float = 85.0, most: int = 5, share: float = 0.3) -> DataFrame:
     """(qid, name, score): for each question the `most` names that fit it best, by partial ratio.
 
-    Only names that share at least `share` of their 3-grams with the question are scored, so the matcher meets
-    few pairs; 3-grams of names are few, and question and name meet by equality of grams."""
+    From a ratio of GRAMS_FROM on, only names that share at least `share` of their 3-grams with the question are scored,
+    so the matcher meets few pairs; 3-grams of names are few, and question and name meet by equality of grams. For lower
+    ratios, which names without a common 3-gram can have, every name of the dictionary is scored."""
+    if least < GRAMS_FROM:
+        return _ranked(questions.select("qid", "text").crossJoin(names.select("name").distinct()), least, most)
     entries = names.select("name", F.size(_grams(F.col("name"))).alias("n"), F.explode(_grams(F.col("name"))).alias("gram"))
     asked = questions.select("qid", F.explode(_grams(F.col("text"))).alias("gram"))
     hits = asked.join(entries, "gram").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
     pairs = hits.filter(F.col("hits") >= F.col("n") * share).join(questions.select("qid", "text"), "qid")
+    return _ranked(pairs, least, most)
+
+
+def _ranked(pairs: DataFrame, least: float, most: int) -> DataFrame:
     scored = pairs.select("qid", "name", fuzzy.partial_ratio(F.lower("name"), F.lower("text")).alias("score")).filter(F.col("score") >= least)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tally.operators import chat, ingest, quiz, reports, retrieval, scoring
+from tally.functions import fuzzy
+from tally.operators import chat, ingest, linking, quiz, reports, retrieval, scoring
 from tally.plans import roles
 from tally.plans.filters import FilterSpec
 from tally.streaming import jobs
@@ -105,6 +106,15 @@ def test_streams_of_many_files_lose_nothing(spark, tmp_path):
     assert jobs.run(jobs.dedupe(jobs.source(spark, f"{tmp_path}/events.parquet"), ["event_id"]), "dedupe").count() == 700
 
 
+def test_events_are_linked_as_by_brute_force(spark):
+    names = ["Fair AFRICA", "Fair AMERICA", "Fair ASIA", "Fair EUROPE", "Fair MIDDLE EAST"]
+    texts = ["castells de 8 i gamma extra dels anys 80 a la Fira Asia", "Quina va ser la millor diada de NATION_3 l'any 1998?", "res"]
+    questions = spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
+    got = {(r["qid"], r["name"]) for r in linking.link_events(questions, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    want = {(q, n) for q, t in enumerate(texts) for n in names if fuzzy.partial_ratio_of(n.lower(), t.lower()) >= 50}
+    assert (0, "Fair AFRICA") in want and got == want | {(0, "Fair ASIA")}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "attempt_id string, event_id long, group_id long, item_name string, status string, day string")
     scores = spark.createDataFrame([], 'code string, external string, name string, full long, partial long, tier string')
