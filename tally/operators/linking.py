@@ -23,6 +23,8 @@ TEMPLATES = {
 SUBSTRING_SCORE, LEAST_SCORE = 0.8, 0.3
 #: Below this ratio a name need not share any 3-gram with the question.
 GRAMS_FROM = 85.0
+#: The least token-set ratio of an entity to the entry that repairs it.
+LEAST_TOKEN_SET = 75.0
 #: Words that stand for an event whatever its full name. Fixed values.
 EVENT_WORDS = (("asia", "Fair ASIA"), ("europa", "Fair EUROPE"), ("africa", "Fair AFRICA"), ("america", "Fair AMERICA"), ("orient", "Fair MIDDLE EAST"))
 
@@ -84,11 +86,18 @@ def link_events(questions: DataFrame, names: DataFrame, most: int = 6) -> DataFr
 
 
 def validate(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, entity, name): the dictionary's entry for each entity, equal or equal without accents and case."""
+    """(qid, entity, name): the dictionary's entry for each entity: equal, equal without accents and case, or that of
+    the largest token-set ratio from 75 on. Each entity that is left over is scored once with every entry."""
     exact = entities.join(names, F.col("entity") == F.col("name"), "left").select("qid", "entity", "name")
     folded = names.groupBy(parse.fold(F.col("name")).alias("folded")).agg(F.min("name").alias("near"))
     joined = exact.withColumn("folded", parse.fold(F.col("entity"))).join(folded, "folded", "left")
-    return joined.select("qid", "entity", F.coalesce("name", "near").alias("name"))
+    joined = joined.select("qid", "entity", F.coalesce("name", "near").alias("name"))
+    left = joined.filter(F.col("name").isNull() & F.col("entity").isNotNull()).select(F.col("entity").alias("left_over")).distinct()
+    pairs = left.crossJoin(names.select(F.col("name").alias("entry")).distinct())
+    alike = pairs.withColumn("score", fuzzy.token_set_ratio("left_over", "entry")).filter(F.col("score") >= LEAST_TOKEN_SET)
+    repaired = alike.groupBy("left_over").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry")).alias("b")).select("left_over", F.col("b.entry").alias("repaired"))
+    both = joined.join(repaired, joined.entity == repaired.left_over, "left")
+    return both.select("qid", "entity", F.coalesce("name", "repaired").alias("name"))
 
 
 def follow_ups(asked: DataFrame) -> DataFrame:

@@ -115,6 +115,14 @@ def test_events_are_linked_as_by_brute_force(spark):
     assert (0, "Fair AFRICA") in want and got == want | {(0, "Fair ASIA")}
 
 
+def test_entities_are_repaired(spark):
+    names = spark.createDataFrame([("NATION_3",), ("Colla Vella de Valls",), ("Àger",)], "name string")
+    asked = ["NATION_3", "nation_3", "colla NATION_3", "Valls Vella Colla", "ager", "Nobody", None]
+    rows = linking.validate(spark.createDataFrame(list(enumerate(asked)), "qid int, entity string"), names).collect()
+    assert {r["qid"]: r["name"] for r in rows} == {0: "NATION_3", 1: "NATION_3", 2: "NATION_3", 3: "Colla Vella de Valls", 4: "Àger", 5: None, 6: None}
+    assert len(rows) == len(asked)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "attempt_id string, event_id long, group_id long, item_name string, status string, day string")
     scores = spark.createDataFrame([], 'code string, external string, name string, full long, partial long, tier string')
