@@ -5,7 +5,8 @@ a text whose score is above a cutoff. Cutoffs come from labelled texts that pass
 stratum (a language) and for each rule, a cutoff is certified if the exact binomial tail says that at most
 `risk` of the good texts are rejected, at the level `delta` divided by the number of all cutoffs of all rules
 and strata that are tested (Bonferroni), so that all certified cutoffs hold together with probability
-1 - delta. Among the certified cutoffs, the one that rejects most bad texts, less `good_cost` times the good
+1 - delta. The risk holds for each rule by itself; a text is rejected if any of the five rules does, so at most five
+times `risk` of a stratum's good texts are rejected. Among the certified cutoffs, the one that rejects most bad texts, less `good_cost` times the good
 texts, is taken, the largest where several are equal. A rule with no certified cutoff that helps rejects nothing.
 
 Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own; labels that
