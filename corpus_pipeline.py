@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tally.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from tally.llm.common import materialize, ship, table
 
-
+#: Repeated passages from here on are cut: some fifty words, at five bytes a word with its space.
+PASSAGE_BYTES = 250
 #: Workers stay while the other stages run, so this stage's stores are smaller than the operator's own.
 KEPT_PARTS = 60_000
 
@@ -33,9 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out; documents stay, with what is left of them."""
+    """Passages of PASSAGE_BYTES or more that occur elsewhere are cut out; documents stay, with what is left of them."""
     ship(spark)
-    return suffix_dedup.without_repeated(docs)
+    return suffix_dedup.without_repeated(docs, PASSAGE_BYTES)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
