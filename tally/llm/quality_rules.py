@@ -1,23 +1,26 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Fixed base rules fail a text at once. The method's rules each give a score, larger for worse texts, and reject
-a text whose score is above a cutoff. Cutoffs come from labelled texts that pass the base rules: in each
-stratum (a language) and for each rule, a cutoff is certified if the exact binomial tail says that at most
-`risk` of the good texts are rejected, at the level `delta` divided by the number of all cutoffs of all rules
-and strata that are tested (Bonferroni), so that all certified cutoffs hold together with probability
-1 - delta. The risk holds for each rule by itself; a text is rejected if any of the five rules does, so at most five
-times `risk` of a stratum's good texts are rejected. Among the certified cutoffs, the one that rejects most bad texts, less `good_cost` times the good
-texts, is taken, the largest where several are equal. A rule with no certified cutoff that helps rejects nothing.
+a text whose score is above a cutoff. Labelled texts that pass the base rules are dealt to two halves by a hash of
+their doc_id. The first half proposes: in each stratum (a language), for each rule the cutoff that rejects most bad
+texts, less `good_cost` times the good texts, the largest where several are equal; and the order of the rules, by
+that gain. The second half, the holdout, certifies: the rules are taken one after another as long as the exact
+binomial tail says that at most `risk` of the stratum's good texts are rejected by any of those taken, all
+together, at the level `delta` divided by the number of strata tested (Bonferroni). Within a stratum the tests
+follow a sequence that the holdout has no part in and end at the first failure, so they need no further correction.
+With probability 1 - delta, every stratum loses at most `risk` of its good texts to the union of its rules. A rule
+that is not taken, and a stratum with too few labels, rejects nothing.
 
 Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own; labels that
-are null, or whose doc_id is null, are left out; a doc_id that has several labels counts as bad if one says so.
+are null, or whose doc_id is null, are left out; a doc_id that has several labels counts as bad if one says so, and
+one that several rows of a stratum have counts once, with the largest of their scores.
 Empty texts fail the base rules. Repeated rows are separate documents. Empty tables give empty results, empty
 labels reject by the base rules alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import SPACE, materialize, text_or_empty
@@ -101,24 +104,51 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(steps, start, add, lambda acc: acc["sum"] * F.exp(acc["top"])))
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, good_cost: int = GOOD_COST) -> DataFrame:
-    """(stratum, rule, cutoff): the certified cutoffs that are taken. One pass over the labelled texts gives
-    counts for each stratum, rule and interval between cutoffs; the rest works on these counts."""
+def is_holdout(doc_id: Column) -> Column:
+    """Whether the labelled text certifies rules instead of proposing them."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1), 16, 10).cast("int") % 2 == 1
+
+
+def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, doc_id, good, holdout, the rules' scores) of the labelled texts that pass the base rules."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = scored.filter(~F.col("base_failed")).join(marks, "doc_id")
+    once = known.groupBy("stratum", "doc_id").agg((F.min("quality") == 1).alias("good"), *[F.max(f"score_{r}").alias(f"score_{r}") for r in RULES])
+    return once.withColumn("holdout", is_holdout(F.col("doc_id")))
+
+
+def proposals(known: DataFrame, good_cost: int = GOOD_COST) -> DataFrame:
+    """(stratum, rule, cutoff, place) from the proposing half: the best cutoff of each rule that has one, in the
+    order in which they are to be certified. One pass over the labelled texts gives counts for each stratum, rule and
+    interval between cutoffs; the rest works on these counts."""
     cutoffs = F.array(*[F.lit(c) for c in CUTOFFS])
     above = lambda rule: F.size(F.filter(cutoffs, lambda c: F.col(f"score_{rule}") > c))
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), above(r).alias("above")) for r in RULES])).alias("r")
-    counts = known.select("stratum", (F.col("quality") == 1).alias("good"), rules).groupBy("stratum", "r.rule", "r.above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counts = known.filter("not holdout").select("stratum", "good", rules).groupBy("stratum", "r.rule", "r.above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     # a text whose score is above j cutoffs is rejected by the first j
     tested = F.explode(F.transform(F.lit(cutoffs), lambda c, j: F.struct(c.alias("cutoff"), (j + 1).alias("needs")))).alias("t")
     reject = lambda kind: F.sum(F.when(F.col("above") >= F.col("t.needs"), F.col(kind)).otherwise(0))
-    by_cutoff = counts.select("*", tested).groupBy("stratum", "rule", "t.cutoff").agg(F.sum("good").alias("n_good"), reject("good").alias("good_rejected"), reject("bad").alias("bad_rejected"))
-    tests = by_cutoff.agg(F.count("*").alias("tests"))
-    tail = binomial_tail(F.col("n_good"), F.col("good_rejected"), risk)
-    gain = F.col("bad_rejected") - F.col("good_rejected") * good_cost
-    certified = by_cutoff.crossJoin(F.broadcast(tests)).filter((F.col("n_good") > 0) & (tail <= F.lit(delta) / F.col("tests")) & (gain > 0))
-    return certified.groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), F.col("cutoff"))).alias("best")).select("stratum", "rule", "best.cutoff")
+    gain = (reject("bad") - reject("good") * good_cost).alias("gain")
+    by_cutoff = counts.select("*", tested).groupBy("stratum", "rule", "t.cutoff").agg(gain).filter("gain > 0")
+    best = by_cutoff.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("best"))
+    order = Window.partitionBy("stratum").orderBy(F.desc("best.gain"), "rule")  # at most one row for each rule
+    return best.select("stratum", "rule", "best.cutoff", F.row_number().over(order).alias("place"))
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, good_cost: int = GOOD_COST) -> DataFrame:
+    """(stratum, rule, cutoff): what is certified on the holdout."""
+    known = materialize(labelled(scored, labels), "quality-labelled")
+    proposed = materialize(proposals(known, good_cost), "quality-proposed")
+    path = proposed.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("place", "rule", "cutoff"))).alias("path"))
+    scores = F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(f"score_{r}"))])
+    held = known.filter("holdout and good").select("stratum", scores.alias("scores")).join(path, "stratum")
+    first = F.array_min(F.transform(F.filter("path", lambda p: F.element_at("scores", p["rule"]) > p["cutoff"]), lambda p: p["place"]))
+    counts = held.groupBy("stratum", first.alias("first")).agg(F.count("*").alias("n"))
+    joint = proposed.join(counts, "stratum").groupBy("stratum", "rule", "cutoff", "place").agg(F.sum("n").alias("n_good"), F.coalesce(F.sum(F.when(F.col("first") <= F.col("place"), F.col("n"))), F.lit(0)).alias("rejected"))
+    tests = proposed.agg(F.count_distinct("stratum").alias("tests"))
+    tail = binomial_tail(F.col("n_good"), F.col("rejected"), risk)
+    # what is rejected grows along the path, so what follows a failure fails as well
+    return joint.crossJoin(F.broadcast(tests)).filter(tail <= F.lit(delta) / F.col("tests")).select("stratum", "rule", "cutoff")
 
 
 def verdicts(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -99,18 +99,25 @@ scores AS (
   SELECT rid, doc_id, stratum, base_failed, rule, CASE WHEN b > 0 THEN least(1.0::DOUBLE, a::DOUBLE / b) ELSE 0.0 END AS score
   FROM ({" UNION ALL ".join(f"SELECT rid, doc_id, stratum, base_failed, '{r}' AS rule, {x.split(' / ')[0]} AS a, {x.split(' / ')[1]} AS b FROM features" for r, x in _RULES.items())})),
 marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-tested AS (
-  SELECT stratum, rule, c AS cutoff, count_if(quality = 1) AS n, count_if(quality = 1 AND score > c) AS k, count_if(quality <> 1 AND score > c) AS bad
-  FROM scores JOIN marks USING (doc_id), (SELECT unnest([{", ".join(map(str, quality_rules.CUTOFFS))}])::DOUBLE AS c)
-  WHERE NOT base_failed GROUP BY ALL),
+known AS (
+  SELECT stratum, doc_id, rule, min(quality) = 1 AS good, max(score) AS score, ('0x' || substr(md5(doc_id::VARCHAR), 1, 1))::INT % 2 = 1 AS holdout
+  FROM scores JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum, doc_id, rule),
+gains AS (
+  SELECT stratum, rule, c AS cutoff, count_if(NOT good AND score > c) - {quality_rules.GOOD_COST} * count_if(good AND score > c) AS gain
+  FROM known, (SELECT unnest([{", ".join(map(str, quality_rules.CUTOFFS))}])::DOUBLE AS c)
+  WHERE NOT holdout GROUP BY ALL HAVING gain > 0),
+proposed AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS place
+  FROM (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1)),
+firsts AS (
+  SELECT k.stratum, k.doc_id, min(p.place) FILTER (k.score > p.cutoff) AS first
+  FROM known k LEFT JOIN proposed p ON p.stratum = k.stratum AND p.rule = k.rule WHERE holdout AND good GROUP BY ALL),
 tails AS (
-  SELECT *, CASE WHEN k > n * {quality_rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, (k + 1)::BIGINT), lambda i:
+  SELECT stratum, rule, cutoff, CASE WHEN k > n * {quality_rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, (k + 1)::BIGINT), lambda i:
          exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK})))) END AS tail
-  FROM tested WHERE n > 0),
+  FROM (SELECT stratum, rule, cutoff, place, count(*) AS n, count(*) FILTER (first <= place) AS k FROM proposed JOIN firsts USING (stratum) GROUP BY ALL)),
 taken AS (
-  SELECT stratum, rule, cutoff FROM tails
-  WHERE tail <= {quality_rules.DELTA}::DOUBLE / (SELECT count(*) FROM tested) AND bad - {quality_rules.GOOD_COST} * k > 0
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {quality_rules.GOOD_COST} * k DESC, cutoff DESC) = 1),
+  SELECT stratum, rule, cutoff FROM tails WHERE tail <= {quality_rules.DELTA}::DOUBLE / (SELECT count(DISTINCT stratum) FROM proposed)),
 rejected AS (SELECT DISTINCT rid FROM scores JOIN taken USING (stratum, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rid NOT IN (SELECT rid FROM rejected) AS kept

@@ -146,6 +146,36 @@ def test_cutoffs_spare_good_texts(spark):
     assert quality_rules.judge(docs, labels.limit(0)).filter("kept").count() == 710
 
 
+def simulated(spark, n_good, n_bad, reject):
+    """Texts without words: their scores are 0.5 for the rules that reject(id, is_good) names, else 0."""
+    rows = [(i, "s:en", False, *[0.5 if r in reject(i, i < n_good) else 0.0 for r in quality_rules.RULES]) for i in range(n_good + n_bad)]
+    scored = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"score_{r} double" for r in quality_rules.RULES))
+    return scored, spark.createDataFrame([(i, int(i < n_good)) for i in range(n_good + n_bad)], "doc_id long, quality int")
+
+
+def test_the_union_of_rules_is_certified(spark):
+    """Each rule alone would reject 0.8 % of the good texts, all together 4 %: only as many are taken as spare 98 %."""
+    names = quality_rules.RULES
+    scored, labels = simulated(spark, 4000, 1000, lambda i, good: {names[i % 125]} if good and i % 125 < 5 else set() if good else set(names))
+    taken = quality_rules.calibrate(scored, labels).collect()
+    assert len(taken) == 1 and taken[0]["cutoff"] == 0.4
+    # rules that reject the same good texts are taken together
+    scored, labels = simulated(spark, 4000, 1000, lambda i, good: set() if good and i % 125 else set(names))
+    assert {r["rule"] for r in quality_rules.calibrate(scored, labels).collect()} == set(names)
+    # what only the proposing half knows is not believed
+    hold = {r["id"] for r in spark.range(5000).filter(quality_rules.is_holdout(F.col("id"))).collect()}
+    scored, labels = simulated(spark, 4000, 1000, lambda i, good: {"marks"} if not good or (i in hold and i % 10 == 0) else set())
+    assert quality_rules.calibrate(scored, labels).count() == 0
+
+
+def test_a_doc_id_counts_once(spark):
+    """Many rows of few labelled documents certify nothing."""
+    scored, labels = simulated(spark, 40, 40, lambda i, good: set() if good else {"marks"})
+    many = scored.crossJoin(spark.range(100)).drop("id")
+    assert quality_rules.calibrate(many, labels).count() == 0
+    assert quality_rules.labelled(many, labels).count() == 80
+
+
 def fill(sizes, weights):
     """Targets by resharing the excess until none is left."""
     total, target, open_ = 1.5 * sum(sizes.values()), dict.fromkeys(sizes, 0.0), set(sizes)
