@@ -15,6 +15,7 @@ Prefixes are compared up to `limit` symbols: suffixes that agree so far may stan
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections import deque
 from collections.abc import Iterator
@@ -26,6 +27,11 @@ MEMORY = 96 << 20
 BASE = 1 << 23
 
 
+def _spill_folder() -> str | None:
+    """Where Spark itself spills on this executor; the system's choice outside a task."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+
+
 class Spools:
     """For each symbol a sequence of (position, common prefix), kept in memory up to a budget and else on disk."""
 
@@ -41,7 +47,7 @@ class Spools:
             self._spill()
 
     def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile(prefix="suffix-spool-")  # noqa: SIM115
+        self.file = self.file or tempfile.TemporaryFile(prefix="suffix-spool-", dir=_spill_folder())  # noqa: SIM115
         for parts in self.parts.values():
             live = [p for p in parts if isinstance(p[0], np.ndarray)]
             if not live:
@@ -340,9 +346,11 @@ def suffix_array(text: np.ndarray, limit: int, memory: int = MEMORY, base: int =
     return down[::-1], np.r_[0, common[::-1][:-1]]
 
 
-def repeated(strings: list[bytes], copies: np.ndarray, length: int, memory: int = MEMORY, base: int = BASE) -> list[np.ndarray]:
+def repeated(strings: list[bytes], copies: np.ndarray, length: int, owner: np.ndarray | None = None, place: np.ndarray | None = None, memory: int = MEMORY, base: int = BASE) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each string, where substrings of `length` bytes start that also start elsewhere, in it or in another
-    string; a string that stands for several copies is repeated as a whole."""
+    string; a string that stands for several copies is repeated as a whole. And, if owner (the rank of the text in
+    which the string's first copy stands) and place (where) are given, whether each such start is the first of all
+    that are equal to it, in order of text and place."""
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.r_[0, np.cumsum(sizes + 1)]
     text = np.empty(int(starts[-1]) + 1, np.uint16)
@@ -353,12 +361,27 @@ def repeated(strings: list[bytes], copies: np.ndarray, length: int, memory: int
     found = np.zeros(len(text), bool)
     for k in np.flatnonzero(copies > 1):
         found[starts[k] : starts[k + 1]] = True
-    before = -1
+    alike = np.zeros(len(text) if owner is not None else 0, np.int32)  # equal starts have the same number
+    before, classes = -1, 0
     for pos, lcp in _descending(text, length, memory, base):
         same = np.flatnonzero(lcp >= length)
         found[pos[same]] = True
         found[pos[same[same > 0] - 1]] = True
         if len(same) and same[0] == 0:
             found[before] = True
+        if owner is not None:
+            number = classes + np.cumsum(lcp < length)
+            alike[pos] = number
+            classes = int(number[-1])
         before = int(pos[-1])
-    return [np.flatnonzero(found[a : a + max(0, n - length + 1)]) for a, n in zip(starts.tolist(), sizes.tolist())]
+    each = [np.flatnonzero(found[a : a + max(0, n - length + 1)]) for a, n in zip(starts.tolist(), sizes.tolist())]
+    if owner is None:
+        return each, []
+    counts = [len(x) for x in each]
+    string = np.repeat(np.arange(len(strings)), counts)
+    at = np.concatenate([*each, np.zeros(0, np.int64)]).astype(np.int64)
+    number = alike[starts[string] + at]
+    order = np.lexsort((place[string] + at, owner[string], number))
+    first = np.zeros(len(at), bool)
+    first[order] = np.r_[True, np.diff(number[order]) != 0][: len(at)]
+    return each, np.split(first, np.cumsum(counts)[:-1])

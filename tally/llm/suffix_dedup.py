@@ -10,8 +10,11 @@ it also starts anywhere else.
    suffix_array. Neighbours that share `length` bytes, and contexts counted twice or more, are repeated.
 4. What was found returns to every document that holds the context, and the documents' bytes are removed.
 
-An anchor of more than `hot` different contexts would outgrow a shard. Its windows are counted one by one
-instead, by 128-bit hashes, and what is repeated is found from the counts.
+An anchor of more than `hot` different contexts would outgrow a shard. Its contexts are cut in two, by how far
+before the anchor their windows start. All windows of a half hold the same middle, which is longer than the
+anchor: halves are dealt anew by a hash of it, those whose middle occurs once are let go, and halves that are
+still hot are cut again, in the end to single windows, whose middle is the window. So equal windows always meet,
+and no shard has more than `hot` contexts of a kind.
 
 Nulls count as empty texts. Texts shorter than `length` lose nothing, and no string reaches over the end of a
 document. Exact copies, and rows that are repeated in doc_id and text, lose everything from `length` bytes on.
@@ -21,7 +24,7 @@ their names, take no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,12 @@ from tally.llm.common import blocks_for, materialize, shuffle_partitions
 
 LENGTH = 400
 KGRAM = 32
-HOT = 32768
+HOT = 2048
 SHARD_BYTES = 5 << 20
 PIECE = 1 << 20
 GROUP = 1 << 18
+#: The bits of a hash that give way to the place in which it stands.
+LOW = np.uint64((1 << 24) - 1)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -72,9 +77,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     if len(data) < length:
         return np.zeros(0, np.uint64), none, none
     hashes = _gram_hashes(data)
-    low = np.uint64((1 << 24) - 1)
-    least = _sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - KGRAM + 1)
-    at = (least & low).astype(np.int64)
+    least = _sliding_min((hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64), length - KGRAM + 1)
+    at = (least & LOW).astype(np.int64)
     inside = np.zeros(len(data) + 1, np.int32)
     starts = np.r_[0, ends[:-1]]
     long = ends - starts >= length
@@ -147,10 +151,15 @@ def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "text", "t1", "t2").mapInArrow(run, OCCURRENCES)
 
 
-def _cut(wanted: DataFrame, docs: DataFrame, columns: str, rows) -> DataFrame:
-    """rows(text bytes, context) of each context in `wanted`, cut from the document that stands for it."""
-    fields = ["anchor", "c1", "c2", "first", "windows", "copies"]
-    per_doc = wanted.groupBy("t1", "t2", "doc_id").agg(F.collect_list(F.struct(*fields)).alias("contexts")).alias("w")
+OWNER = "struct<unnamed: boolean, doc_id: long, t1: long, t2: long, first: int>"
+CONTEXT = f"anchor long, c1 long, c2 long, copies long, owner {OWNER}, windows int, low int, high int"
+_OWNER = pa.struct([("unnamed", pa.bool_()), ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int32())])
+
+
+def _cut(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """contexts with their bytes, cut from the document that owns each."""
+    names = contexts.columns
+    per_doc = contexts.groupBy("owner.t1", "owner.t2", "owner.doc_id").agg(F.collect_list(F.struct(*names)).alias("contexts")).alias("w")
     same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
     joined = docs.alias("d").join(per_doc, same).select("d.text", "w.contexts")
 
@@ -158,103 +167,151 @@ def _cut(wanted: DataFrame, docs: DataFrame, columns: str, rows) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                out = []
-                for text, contexts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("contexts").to_pylist()):
-                    for c in contexts:
-                        out.extend(rows(text or b"", c))
-                    if len(out) > 4096:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                listed = batch.column("contexts")
+                flat = pa.RecordBatch.from_struct_array(listed.flatten())
+                row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy()).tolist()
+                first = flat.column("owner").field("first").to_pylist()
+                windows = flat.column("windows").to_pylist()
+                for a in range(0, flat.num_rows, 4096):
+                    cut = [texts[r][f : f + w + length - 1] for r, f, w in zip(row[a : a + 4096], first[a : a + 4096], windows[a : a + 4096])]
+                    yield flat.slice(a, 4096).append_column("bytes", pa.array(cut, pa.binary()))
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, columns.split(","))])
-    return joined.mapInArrow(run, columns)
+    return joined.mapInArrow(run, f"{CONTEXT}, bytes binary")
 
 
-FOUND = "c1 long, c2 long, start int, n int"
+def _halves(contexts: DataFrame, length: int) -> DataFrame:
+    """Each context in two: the windows that start at least half of the range low..high before the anchor, and the
+    others. All windows of a half hold the same middle, so its hash takes the anchor's place. p1, p2 and skip say of
+    which context a half is part, and from which window on. A half of one window is grouped with its equals alone."""
 
-
-def _runs(c1: int, c2: int, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of consecutive starts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in schema.names}
+            for c in batch.to_pylist():
+                data, middle = c["bytes"], (c["low"] + c["high"]) // 2
+                hashes = _gram_hashes(np.frombuffer(data[:length], np.uint8))
+                at = int((hashes & ~LOW).argmin())
+                edge = at - middle  # the last start that is `middle` or more before the anchor
+                for first, last, low, high in ((0, min(c["windows"] - 1, edge), middle, c["high"]), (max(0, edge + 1), c["windows"] - 1, c["low"], middle)):
+                    if first > last:
+                        continue
+                    held = data[at - low : at - high + 1 + length]
+                    anchor = xxhash.xxh3_64_intdigest(held, (c["anchor"] + low * 0x9E3779B97F4A7C15) % (1 << 64))
+                    part = data[first : last + length]
+                    digest = _digests([part], [anchor])[0].tolist()
+                    owner = c["owner"] | {"first": c["owner"]["first"] + first}
+                    values = (anchor - (1 << 64) if anchor >> 63 else anchor, *digest, c["copies"], owner, last - first + 1, low, high, part, c["c1"], c["c2"], first)
+                    for name, v in zip(schema.names, values):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+    number, small = pa.int64(), pa.int32()
+    kinds = (number, number, number, number, _OWNER, small, small, small, pa.binary(), number, number, small)
+    schema = pa.schema(list(zip("anchor c1 c2 copies owner windows low high bytes p1 p2 skip".split(), kinds)))
+    return contexts.mapInArrow(run, f"{CONTEXT}, bytes binary, p1 long, p2 long, skip int")
+
+
+#: keeper: the owner in whose text the first copy of the run's windows stands, and its place there; null in other runs.
+FOUND = "c1 long, c2 long, start int, n int, keeper struct<doc_id: long, t1: long, t2: long, at: int>"
+_KEEPER = pa.struct([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32())])
+
+
+def _runs(starts: np.ndarray, kept: np.ndarray | None) -> Iterator[tuple[int, int, bool]]:
+    """(start, n, kept) of the runs of consecutive starts that are alike in kept."""
     if len(starts):
-        cut = np.flatnonzero(np.diff(starts) != 1) + 1
-        for part in np.split(starts, cut):
-            yield c1, c2, int(part[0]), len(part)
+        change = np.diff(starts) != 1
+        if kept is not None:
+            change |= kept[1:] != kept[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(starts)]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield int(starts[a]), b - a, kept is not None and bool(kept[a])
 
 
-def _sorted_shards(contexts: DataFrame, n_shards: int, length: int) -> DataFrame:
+def _sorted_shards(contexts: DataFrame, n_shards: int, length: int, keep_first: bool) -> DataFrame:
     """The runs of repeated windows of each context, by one suffix array for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, int]] = {}
+        held: dict[tuple[int, int], tuple[bytes, int, dict]] = {}
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("c1", "c2", "bytes", "copies"))
-            for c1, c2, data, copies in zip(*columns):
-                held[c1, c2] = data, copies
+            owners = batch.column("owner").to_pylist() if keep_first else [None] * batch.num_rows
+            for c1, c2, data, copies, owner in zip(*columns, owners):
+                held[c1, c2] = data, copies, owner
         if not held:
             return
         keys = list(held)
-        strings = [held[k][0] for k in keys]
-        copies = np.array([held[k][1] for k in keys])
+        strings, copies, owners = zip(*(held[k] for k in keys))
         held.clear()
-        found = suffix_array.repeated(strings, copies, length)
-        out = [r for (c1, c2), starts in zip(keys, found) for r in _runs(c1, c2, starts)]
-        for at in range(0, len(out), 1 << 16):
-            part = list(zip(*out[at : at + (1 << 16)]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int32())], ["c1", "c2", "start", "n"])
+        rank = place = None
+        if keep_first:
+            texts = [(o["unnamed"], o["doc_id"] or 0, o["t1"], o["t2"]) for o in owners]
+            order = {t: i for i, t in enumerate(sorted(set(texts)))}
+            rank, place = np.array([order[t] for t in texts]), np.array([o["first"] for o in owners])
+        found, first = suffix_array.repeated(strings, np.array(copies), length, rank, place)
+        out: dict[str, list] = {n: [] for n in ("c1", "c2", "start", "n", "keeper")}
+        for k, (c1, c2) in enumerate(keys):
+            for start, n, kept in _runs(found[k], first[k] if keep_first else None):
+                o = owners[k]
+                for name, v in zip(out, (c1, c2, start, n, {"doc_id": o["doc_id"], "t1": o["t1"], "t2": o["t2"], "at": o["first"] + start} if kept else None)):
+                    out[name].append(v)
+        schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("keeper", _KEEPER)])
+        for at in range(0, len(out["n"]), 1 << 16):
+            yield pa.RecordBatch.from_pydict({name: v[at : at + (1 << 16)] for name, v in out.items()}, schema)
 
     return contexts.repartition(n_shards, "anchor").mapInArrow(run, FOUND)
 
 
-def _counted_windows(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The repeated windows of the contexts of hot anchors, by counts of the windows' hashes."""
-
-    def rows(text: bytes, c: dict) -> Iterator[dict]:
-        starts = range(c["first"], c["first"] + c["windows"])
-        digests = _digests([text[s : s + length] for s in starts], [0] * len(starts)).tolist()
-        for k, (w1, w2) in enumerate(digests):
-            yield {"w1": w1, "w2": w2, "c1": c["c1"], "c2": c["c2"], "start": k, "copies": c["copies"]}
-
-    windows = materialize(_cut(wanted, docs, "w1 long, w2 long, c1 long, c2 long, start int, copies long", rows), "suffix-hot-windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).select("c1", "c2", "start", F.lit(1).alias("n"))
-
-
-def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _repeated(contexts: DataFrame, with_bytes: Callable[[DataFrame], DataFrame], length: int, hot: int, shard_bytes: int, keep_first: bool) -> DataFrame:
+    """The runs of repeated windows of contexts; with_bytes adds their bytes to some of them."""
+    spark = contexts.sparkSession
+    hot_anchors = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor"), "suffix-hot")
+    cold = contexts.join(hot_anchors, "anchor", "left_anti")
+    size = cold.agg(F.coalesce(F.sum(F.col("windows") + (length - 1)), F.lit(0))).first()[0]
+    shards = max(shuffle_partitions(spark), blocks_for(size, shard_bytes))
+    found = materialize(_sorted_shards(with_bytes(cold), shards, length, keep_first), "suffix-repeated")
+    if not hot_anchors.limit(1).count():
+        return found
+    whole = with_bytes(contexts.join(hot_anchors, "anchor", "left_semi")).dropDuplicates(["c1", "c2"])
+    halves = materialize(_halves(whole, length), "suffix-halves")
+    often = materialize(halves.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
+    halves = halves.join(often, "anchor", "left_semi")
+    same = [F.first(c).alias(c) for c in ("windows", "low", "high", "bytes")]
+    grouped = halves.groupBy("anchor", "c1", "c2").agg(F.sum("copies").alias("copies"), F.min("owner").alias("owner"), *same)
+    below = _repeated(materialize(grouped, "suffix-contexts"), lambda some: some, length, hot, shard_bytes, keep_first)
+    back = halves.select("c1", "c2", "p1", "p2", "skip").join(below, ["c1", "c2"])
+    back = back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("start") + F.col("skip")).alias("start"), "n", "keeper")
+    return found.union(materialize(back, "suffix-repeated-hot"))
+
+
+def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, keep_first: bool = False) -> DataFrame:
     """(t1, t2, runs) for each content of docs (doc_id, text, t1, t2) that holds repeated windows: arrays of
-    (start, n), n windows in a row from byte `start` on."""
-    spark = docs.sparkSession
+    (start, n), n windows in a row from byte `start` on; with keep_first also of (kept, doc_id): whether these are the
+    first of their equals in the document doc_id of this content."""
     found = materialize(occurrences(docs, length), "suffix-occurrences")
     # as tables, the counts leave their joins free for Spark to split where an anchor holds very many rows
     often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
     found = materialize(found.join(often, "anchor", "left_semi"), "suffix-often")
-    contexts = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "doc_id", "first")).alias("at"), F.first("windows").alias("windows"))
-    contexts = materialize(contexts.select("anchor", "c1", "c2", "copies", "at.*", "windows"), "suffix-contexts")
-    different = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("different")), "suffix-different")
-    wanted = materialize(contexts.join(different, "anchor"), "suffix-wanted")
-    cold, is_hot = wanted.filter(F.col("different") <= hot), wanted.filter(F.col("different") > hot)
-
-    def rows(text: bytes, c: dict) -> Iterator[dict]:
-        yield {"anchor": c["anchor"], "c1": c["c1"], "c2": c["c2"], "copies": c["copies"], "bytes": text[c["first"] : c["first"] + c["windows"] + length - 1]}
-
-    size = cold.agg(F.coalesce(F.sum(F.col("windows") + (length - 1)), F.lit(0))).first()[0]
-    shards = max(shuffle_partitions(spark), blocks_for(size, shard_bytes))
-    repeated = _sorted_shards(_cut(cold, docs, "anchor long, c1 long, c2 long, copies long, bytes binary", rows), shards, length)
-    repeated = materialize(repeated, "suffix-repeated")
-    if is_hot.limit(1).count():
-        repeated = repeated.union(materialize(_counted_windows(is_hot, docs, length), "suffix-repeated-hot"))
+    owner = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2", "first")
+    contexts = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(owner).alias("owner"), F.first("windows").alias("windows"))
+    contexts = materialize(contexts.select("*", F.lit(0).alias("low"), F.lit(length - KGRAM + 1).alias("high")), "suffix-contexts")
+    repeated = _repeated(contexts, lambda some: _cut(some, docs, length), length, hot, shard_bytes, keep_first)
     # every content that holds the context, once
     held = found.select("c1", "c2", "t1", "t2", "first").join(repeated, ["c1", "c2"])
-    runs = held.select("t1", "t2", F.struct((F.col("first") + F.col("start")).alias("start"), "n").alias("run"))
+    start = F.col("first") + F.col("start")
+    run = [start.alias("start"), "n"]
+    if keep_first:
+        here = F.col("keeper").isNotNull() & (F.col("keeper.t1") == F.col("t1")) & (F.col("keeper.t2") == F.col("t2")) & (F.col("keeper.at") == start)
+        run += [here.alias("kept"), F.when(here, F.col("keeper.doc_id")).alias("doc_id")]
+    runs = held.select("t1", "t2", F.struct(*run).alias("run"))
     return materialize(runs.groupBy("t1", "t2").agg(F.collect_set("run").alias("runs")), "suffix-runs")
 
 
-def removed_spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal spans [from, to) that the windows cover, in order."""
+def removed_spans(runs: list[dict], length: int, doc_id: int | None = None) -> list[tuple[int, int]]:
+    """Maximal spans [from, to) that the windows cover, in order; without those that are kept in doc_id."""
     spans: list[list[int]] = []
-    for start, end in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs or ()):
+    gone = (r for r in runs or () if not (r.get("kept") and r["doc_id"] == doc_id))
+    for start, end in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in gone):
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], end)
         else:
@@ -262,12 +319,16 @@ def removed_spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, as_text: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, as_text: bool = False, keep_first: bool = False) -> DataFrame:
     """docs (all columns, in a struct `row`) with n_bytes, spans (array of from, to), n_removed and kept: the bytes
-    that are left, or (as_text) what they read, without characters of which a byte was removed."""
+    that are left, or (as_text) what they read, without characters of which a byte was removed.
+
+    keep_first: the first of equal strings, in order of doc_id (null last), content and place, is no reason to remove
+    anything. So each removed byte stands in a string that also starts at an earlier place. Rows that are repeated in
+    doc_id and text are one document in this."""
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", *_key(F.col("text")))
     narrow = keyed.select("doc_id", "text", "t1", "t2")
-    runs = repeated_starts(narrow, length, hot, shard_bytes)
+    runs = repeated_starts(narrow, length, hot, shard_bytes, keep_first)
     joined = keyed.join(runs, ["t1", "t2"], "left").select("row", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +336,8 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 texts = batch.column("row").field("text").cast(pa.binary()).to_pylist()
-                spans = [removed_spans(r, length) for r in batch.column("runs").to_pylist()]
+                names = batch.column("row").field("doc_id").to_pylist()
+                spans = [removed_spans(r, length, d) for r, d in zip(batch.column("runs").to_pylist(), names)]
                 kept = []
                 for text, gone in zip(texts, spans):
                     text, at_ = text or b"", 0
@@ -295,9 +357,10 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
 SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-def without_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated passages cut out of text, and n_chars, where there is one, counted anew."""
-    cleaned = remove_repeated(docs, length, as_text=True)
+def without_repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
+    """docs with the repeated passages cut out of text (keep_first: but for the first of each), and n_chars, where
+    there is one, counted anew."""
+    cleaned = remove_repeated(docs, length, as_text=True, keep_first=keep_first)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return cleaned.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"row.`{f.name}`") for f in docs.schema])

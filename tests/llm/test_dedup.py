@@ -60,6 +60,43 @@ def test_repeated_passages(spark, hot):
     assert suffix_dedup.remove_repeated(df.limit(0), length=100).count() == 0
 
 
+def brute_first(docs, length):
+    """What is left of docs (doc_id, text) if each string stays where it stands first."""
+    seen, out = set(), {}
+    for doc_id, t in sorted(docs, key=lambda d: (d[0] is None, d[0])):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(t[i : i + length])
+        out[doc_id] = bytes(c for c, g in zip(t, gone) if not g)
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_first_copies_stay(spark, hot):
+    passage, other = sentence(40), sentence(25)
+    texts = [sentence(30) + passage + sentence(20) for _ in range(12)] + [other * 3, passage[50:220] + other[20:], None, "", "a" * 900, "ab" * 400, "a" * 300]
+    docs = [(50 - i if i != 2 else None, t) for i, t in enumerate(texts)] + [(7, texts[0]), (90, texts[0]), (60, texts[12])]
+    docs.append(docs[-1])  # a row that is there twice is one document
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeated(df, length=100, hot=hot, shard_bytes=4000, keep_first=True).select("row.doc_id", "kept").collect()
+    want = brute_first({d: (t or "").encode() for d, t in docs}.items(), 100)
+    assert len(got) == len(docs) and all(bytes(r["kept"]) == want[r["doc_id"]] for r in got)
+    assert passage in {bytes(r["kept"]).decode().find(passage) >= 0 and passage for r in got}
+
+
+def test_a_hot_anchor_is_cut_in_two(spark):
+    """One line in front of texts that differ early, late or in the last byte."""
+    line = sentence(14)[:90]
+    texts = [sentence(3) + line + f"{k:09d}" + sentence(4) for k in range(80)] + [line + "same end here" + "xyz"[k % 3] * (k // 3) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute([t.encode() for t in texts], 100)
+    for hot in (1, 4, 1000):
+        got = suffix_dedup.remove_repeated(df, length=100, hot=hot).select("row.doc_id", "n_removed", F.size("spans").alias("n"), "kept").collect()
+        assert {r["doc_id"]: (r["n_removed"], r["n"], bytes(r["kept"])) for r in got} == dict(enumerate(want))
+
+
 def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 500)
     passage = sentence(30)
