@@ -2,6 +2,12 @@
 
 Each stage takes the documents that the one before it kept, written as Parquet and read again, and all but the
 last return the columns of documents.
+
+Null and empty texts fail the quality rules, so later stages meet them only where a passage stage leaves nothing of
+a text: it then has no words, is mixed with size 0 and has no tokens. Null doc_ids stand last, null languages and
+sources are strata and sources of their own. Very long texts are worked on whole. Rows that are repeated in all
+columns are near copies, of which one stays. Columns of documents beyond the usual ones pass through the stages,
+whatever their names, and the last stage drops them. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +32,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id.
-
-    Shingles have five words; the radius is that of texts that share 0.8 of their shingles."""
+    """One document of each group of near copies stays, that of the least doc_id. Near copies share 0.8 or more of
+    their shingles of five words, as whole sets."""
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_BYTES or more that occur elsewhere are cut out; documents stay, with what is left of them."""
+    """Passages of PASSAGE_BYTES or more stay where they occur first, by doc_id, and are cut out elsewhere; documents
+    stay, with what is left of them."""
     ship(spark)
-    return suffix_dedup.without_repeated(docs, PASSAGE_BYTES)
+    return suffix_dedup.without_repeated(docs, PASSAGE_BYTES, keep_first=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
