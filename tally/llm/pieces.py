@@ -17,6 +17,8 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: White space other than the space and the line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Letters of the Latin alphabets, and marks of ASCII after them: a space, letters and marks are two matches of the pattern.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 KEPT = 300_000
 KEPT_CHARS = 48
 
@@ -48,7 +50,14 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.parts_at_spaces = pattern == BYTE_LEVEL
         self.matches = Recent(match_ids, kept)
-        self.after_space = Recent(lambda part: self.by_match(" " + part), kept)
+        self.after_space = Recent(self._after_space, kept)
+
+    def _after_space(self, part: str) -> bytes:
+        plain = _PLAIN.fullmatch(part)
+        if plain is None:
+            return self.by_match(" " + part)
+        letters, marks = plain.groups()
+        return self.after_space[letters] + self.matches[marks] if marks else self.matches.make(" " + letters)
 
     def by_match(self, text: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.find(text)))

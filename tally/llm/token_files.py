@@ -64,7 +64,11 @@ class LibraryEncoder:
 
     def match(self, match: str) -> bytes:
         """One match of the byte-level pattern, by the library's model alone."""
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        if match.isascii() and match.isprintable():
+            as_chars = match.replace(" ", "\u0120")  # of ASCII's printable bytes only the space is written as another character
+        else:
+            as_chars = match.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(as_chars)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.by_parts is None or any(a in text for a in self.added):
