@@ -8,10 +8,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 from compare import connection, rows
-from test_dedup import brute, linked, slow_fingerprint
+from test_dedup import brute_first, near_groups
 
 import corpus_pipeline
-from tally.llm import bpe, mixing, quality_rules, queries, simhash, suffix_dedup, warc
+from tally.llm import bpe, mixing, quality_rules, queries, warc
 
 SQL, QUERIES = queries.oracle_sql(), queries.queries()
 
@@ -56,13 +56,13 @@ def test_pipeline_stages_by_brute_force(spark, data):
 
     once = stage[1](spark, good, data)
     before = sorted((r["doc_id"], r["text"]) for r in good.collect())
-    group = linked([slow_fingerprint(t, 5) for _, t in before], simhash.SIMILAR_RADIUS)
-    assert sorted(r["doc_id"] for r in once.collect()) == sorted({before[g][0] for g in group})
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(near_groups(before)))
 
     cut = stage[2](spark, once, data)
     before = sorted((r["doc_id"], r["text"]) for r in once.collect())
-    want = [w[2].decode(errors="ignore") for w in brute([t.encode() for _, t in before], suffix_dedup.LENGTH)]
-    assert sorted((r["doc_id"], r["text"]) for r in cut.collect()) == [(i, w) for (i, _), w in zip(before, want)]
+    want = brute_first([(i, t.encode()) for i, t in before], corpus_pipeline.PASSAGE_BYTES)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {i: w.decode(errors="ignore") for i, w in want.items()}
+    assert sum(len(w) for w in want.values()) < sum(len(t.encode()) for _, t in before)
 
     mixed = stage[3](spark, cut, data)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixture_plan(cut).collect() if r["copies"]}
@@ -77,6 +77,23 @@ def test_pipeline_stages_by_brute_force(spark, data):
     assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == library.encode_ordinary(text[r["doc_id"]]) and r["text"] == text[r["doc_id"]] for r in tokens)
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, an empty table, columns with clashing names."""
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 5, "r", "k"), (2, None, None, None, None, None, None), (None, words + " more", None, "a", None, "r", "k"), (4, "", "en", None, 0, "x", "y"), (5, " ".join(f"other{i}" for i in range(30)), None, None, None, None, "z"), (5, " ".join(f"other{i}" for i in range(30)), None, None, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` string, `key` string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for some, want in ((docs, {1, 5}), (docs.limit(0), set())):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+        out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "text"]
+        assert {r["doc_id"] for r in out.collect()} <= want and {r["doc_id"] for r in now.collect()} <= want
+
+
 def test_warc_files_read_back(spark, tmp_path):
     html = '<html lang="ca"><head><title>A &amp; B</title></head><body><!-- no --><p>One <b>two</b></p><script>x()</script><a href="/l?a=1&amp;b">go</a></body></html>'
     pages = spark.createDataFrame([(1, "http://x.y/", html, "c"), (2, None, None, "c"), (2, None, None, "c"), (3, "http://z/", "", "c")], "page_id long, url string, html string, header string")
