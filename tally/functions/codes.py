@@ -1,25 +1,15 @@
-"""Item codes and contest cells as column expressions, with their fixed tables."""
+"""Item codes and contest cells as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tally.functions.tables import DISPLAY_NAMES
 from tally.plans.roles import ATTEMPT, COMPLETE, DISMANTLED, LOADED
 
-#: Codes with a pinnacle ("a") are shown with "p", "af" as "fp"; all others only write "de" for "d".
-SHOWN_OTHERWISE = {"3d9af": "3de9fp", "4d9af": "4de9fp"}
-PLAIN = ("2d6", "2d6s", "2d7", "2d8", "2d8f", "2d9f", "2d9fm", "3d10fm", "3d6", "3d6s", "3d7", "3d7s", "3d8", "3d8s", "3d9", "3d9f", "4d10fm", "4d6", "4d7", "4d8", "4d9", "4d9f", "5d6", "5d7", "5d8", "5d9f", "7d6", "7d7", "7d8", "7d9f", "9d6", "9d7", "9d8", "9d9f", "Pd4", "Pd5", "Pd6", "Pd7f", "Pd8fm", "Pd9fmp")
-PINNACLES = tuple(f"{w}d{h}a" for w in (3, 4, 5, 7) for h in (6, 7, 8))
-
-
-def display_names() -> dict[str, str]:
-    """Code to display name."""
-    return {c: c.replace("d", "de") for c in PLAIN} | {c: c.replace("d", "de")[:-1] + "p" for c in PINNACLES} | SHOWN_OTHERWISE
-
-
 def code_to_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in display_names().items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(names, code), code)
 
 

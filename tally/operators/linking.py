@@ -8,21 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions import fuzzy, parse
+from tally.functions.tables import TEMPLATES
+from tally.plans.roles import STATUSES
 
-#: Phrases of questions by the report that answers them. Fixed values.
-TEMPLATES = {
-    "best_event": ("millor diada", "millor actuació", "millors diades", "millors actuacions", "quina diada", "quina va ser la millor", "millor jornada"),
-    "best_item": ("millor castell", "millor torre", "millor construcció", "castell més difícil", "castell més gran", "millor estructura"),
-    "item_history": ("quantes vegades han", "quants cops han", "han aconseguit mai", "quants 3d", "quants 2d", "quants 4d", "quants 5d", "quants pilars de", "quantes torres de"),
-    "first_item": ("quin va ser el primer", "quan van fer el primer", "quan es va fer per primer cop", "quan van descarregar per primer cop", "on es va fer el primer"),
-    "item_statistics": ("estadístiques de", "estadístiques del castell", "quantes colles han fet", "quantes colles han descarregat", "qui ha fet més"),
-    "year_summary": ("resum de la temporada", "resum any", "com va ser la temporada", "com va anar la temporada", "què van fer l'any", "quants castells van fer"),
-    "contest_ranking": ("classificació concurs", "quina posició", "guanyador concurs", "qui va guanyar el concurs", "resultats del concurs"),
-    "contest_history": ("historia del concurs", "concursos celebrats", "història dels concursos", "com va anar el concurs de"),
-}
-SUBSTRING_SCORE, LEAST_SCORE = 0.8, 0.3
-#: Below this ratio a name need not share any 3-gram with the question.
-GRAMS_FROM = 85.0
+SUBSTRING_SCORE = 0.8
+#: The least score of a template by the route that a question was given: one that is not for reports needs more.
+LEAST_SCORES = {"sql": 0.3, "hybrid": 0.3, "rag": 0.8, "direct": 0.85}
 #: The least token-set ratio of an entity to the entry that repairs it.
 LEAST_TOKEN_SET = 75.0
 #: Words that stand for an event whatever its full name. Fixed values.
@@ -37,42 +28,87 @@ def classify_by_phrase(question: Column) -> Column:
 
 
 def classify(questions: DataFrame) -> DataFrame:
-    """(qid, template, score): the template of the most similar phrase; one that is contained counts as 0.8 at
-    least. The phrases are a fixed dictionary, met by each question."""
-    spark = questions.sparkSession
-    phrases = spark.createDataFrame([(n, p) for n, ps in TEMPLATES.items() for p in ps], "template string, phrase string")
-    each = questions.select("qid", F.lower("text").alias("text")).crossJoin(F.broadcast(phrases))
-    ratio = fuzzy.sequence_ratio("text", "phrase")
-    scored = each.select("qid", "template", F.greatest(ratio, F.when(F.contains("text", "phrase"), SUBSTRING_SCORE).otherwise(0.0)).alias("score"))
-    best = scored.groupBy("qid").agg(F.max(F.struct("score", "template")).alias("b"))
-    return best.select("qid", F.when(F.col("b.score") >= LEAST_SCORE, F.col("b.template")).alias("template"), F.col("b.score").alias("score"))
-
-
-def _grams(text: Column, n: int = 3) -> Column:
-    """The different n-grams of a text."""
-    low = F.lower(text)
-    return F.array_distinct(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: low.substr(i, F.lit(n)))).otherwise(F.array(low)))
-
-
-def fuzzy_link(questions: DataFrame, names: DataFrame, least: float = 85.0, most: int = 5, share: float = 0.3) -> DataFrame:
-    """(qid, name, score): for each question the `most` names that fit it best, by partial ratio.
+    """(qid, template, score): the template of the most similar phrase of those that score enough; one that is
+    contained counts as 0.8 at least, and of equal templates the first counts. The phrases are a fixed dictionary.
 
-    From a ratio of GRAMS_FROM on, only names that share at least `share` of their 3-grams with the question are scored,
-    so the matcher meets few pairs; 3-grams of names are few, and question and name meet by equality of grams. For lower
-    ratios, which names without a common 3-gram can have, every name of the dictionary is scored."""
-    if least < GRAMS_FROM:
-        return _ranked(questions.select("qid", "text").crossJoin(names.select("name").distinct()), least, most)
-    entries = names.select("name", F.size(_grams(F.col("name"))).alias("n"), F.explode(_grams(F.col("name"))).alias("gram"))
-    asked = questions.select("qid", F.explode(_grams(F.col("text"))).alias("gram"))
-    hits = asked.join(entries, "gram").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    pairs = hits.filter(F.col("hits") >= F.col("n") * share).join(questions.select("qid", "text"), "qid")
-    return _ranked(pairs, least, most)
-
-
-def _ranked(pairs: DataFrame, least: float, most: int) -> DataFrame:
-    scored = pairs.select("qid", "name", fuzzy.partial_ratio(F.lower("name"), F.lower("text")).alias("score")).filter(F.col("score") >= least)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    Optional columns: route (sql, hybrid, rag or direct; sql if absent), has_entities (questions that are not for
+    reports are matched only if they name something) and has_places_in_contest (days or positions turn the history of
+    contests into their ranking). Only phrases whose length lets them beat what is contained are compared letter by letter."""
+    spark = questions.sparkSession
+    listed = [(k, n, p) for k, (n, ps) in enumerate(TEMPLATES.items()) for p in ps]
+    phrases = spark.createDataFrame(listed, "place int, template string, phrase string")
+    given = lambda name, default: F.coalesce(F.col(name), default) if name in questions.columns else default
+    route, named, ranked = given("route", F.lit("sql")), given("has_entities", F.lit(True)), given("has_places_in_contest", F.lit(False))
+    least = F.coalesce(*[F.when(route == r, v) for r, v in LEAST_SCORES.items()], F.lit(LEAST_SCORES["sql"]))
+    asked = questions.select("qid", F.lower("text").alias("text"), least.alias("least"), route.isin("rag", "direct").alias("strict"), named.alias("named"), ranked.alias("ranked"))
+    texts = asked.select("text").filter("text IS NOT NULL").distinct()
+    pairs = texts.crossJoin(F.broadcast(phrases)).withColumn("inside", F.contains("text", "phrase"))
+    contained = pairs.groupBy("text").agg(F.max(F.when(F.col("inside"), SUBSTRING_SCORE)).alias("sure"))
+    bound = 2 * F.least(F.length("text"), F.length("phrase")) / (F.length("text") + F.length("phrase"))
+    open_ = pairs.join(contained, "text").filter(bound >= F.coalesce("sure", F.lit(min(LEAST_SCORES.values()))))
+    alike = open_.select("text", "place", "template", fuzzy.sequence_ratio("text", "phrase").alias("score"))
+    scored = pairs.filter("inside").select("text", "place", "template", F.lit(SUBSTRING_SCORE).alias("score")).union(alike)
+    best = scored.groupBy("text").agg(F.max(F.struct("score", (-F.col("place")).alias("first"), "template")).alias("b"))
+    joined = asked.join(best, "text", "left")
+    template = F.when((F.col("b.template") == "contest_history") & F.col("ranked"), "contest_ranking").otherwise(F.col("b.template"))
+    enough = (F.col("b.score") >= F.col("least")) & (~F.col("strict") | F.col("named"))
+    return joined.select("qid", F.when(enough, template).alias("template"), F.when(F.col("b.score") >= LEAST_SCORES["sql"], F.col("b.score")).alias("score"))
+
+
+def inherit_template(asked: DataFrame) -> DataFrame:
+    """asked (qid, session, turn, template) with the last template of the session where a question has none."""
+    before = Window.partitionBy("session").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return asked.withColumn("template", F.coalesce("template", F.last("template", ignorenulls=True).over(before)))
+
+
+def fuzzy_link(questions: DataFrame, names: DataFrame, least: float = 85.0, most: int = 5) -> DataFrame:
+    """(qid, name, score, rank): for each question the `most` names of the dictionary that fit it best, by partial ratio
+    from `least` on.
+
+    Each different question meets each name once, and a pair is compared only if the letters that the shorter one
+    shares with the other could give the ratio, so nothing is lost: with p of n letters shared it is at most 2p / (n + p)."""
+    texts = questions.select(F.lower("text").alias("asked")).filter("asked IS NOT NULL").distinct()
+    pairs = texts.crossJoin(names.select("name").filter("name IS NOT NULL").distinct()).withColumn("low", F.lower("name"))
+    short = F.when(F.length("low") <= F.length("asked"), F.col("low")).otherwise(F.col("asked"))
+    long = F.when(F.length("low") <= F.length("asked"), F.col("asked")).otherwise(F.col("low"))
+    pairs = pairs.select("asked", "name", "low", short.alias("short"), long.alias("long"))
+    shared = F.length("short") - F.length(F.expr("translate(short, long, '')"))
+    scored = pairs.filter(200 * shared >= least * (F.length("short") + shared)).select("asked", "name", fuzzy.partial_ratio("low", "asked").alias("score")).filter(F.col("score") >= least)
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
+    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    return questions.select("qid", F.lower("text").alias("asked")).join(top, "asked").select("qid", "name", "score", "rank")
+
+
+def link_items(questions: DataFrame, codes: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, code, status, score): the item that a question names by its rules, else the codes that fit it best from a
+    ratio of 30 on; with the outcome that the question asks for."""
+    read = questions.select("qid", "text", parse.item_code(F.col("text")).alias("code"), parse.status(F.col("text")).alias("status"))
+    direct = read.filter("code <> ''").select("qid", "code", "status", F.lit(100.0).alias("score"))
+    rest = read.filter("code = ''")
+    found = fuzzy_link(rest, codes, least=30.0, most=most).select("qid", F.col("name").alias("code"), "score")
+    return direct.union(found.join(rest.select("qid", "status"), "qid").select("qid", "code", "status", "score"))
+
+
+def link_cities(questions: DataFrame, cities: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, name, score, rank): cities from a ratio of 50 on."""
+    return fuzzy_link(questions, cities, least=50.0, most=most)
+
+
+def repair_items(asked: DataFrame, codes: DataFrame) -> DataFrame:
+    """(qid, code, item, status): asked (qid, code, status) with the code that stands for it: itself, or, if there is no
+    such item, the first code that contains it without its "e", else itself; and its status, if there is such a one."""
+    known = codes.select(F.col("name").alias("item")).distinct()
+    odd = asked.select("code").distinct().join(known, F.col("code") == F.col("item"), "left_anti")
+    # the codes are a dictionary of some fifty entries
+    near = odd.crossJoin(F.broadcast(known)).filter(F.contains("item", F.replace("code", F.lit("e"), F.lit(""))))
+    first = near.groupBy("code").agg(F.min("item").alias("near"))
+    status = F.when(F.col("status").isin(*STATUSES), F.col("status"))
+    return asked.join(first, "code", "left").select("qid", "code", F.coalesce("near", "code").alias("item"), status.alias("status"))
+
+
+def known_values(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of asked (qid, kind, value) whose value is an entry of its kind in known (kind, value)."""
+    return asked.join(known.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
 
 
 def link_events(questions: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.functions import codes
+from tally.functions.tables import DISPLAY_NAMES
 from tally.operators import ingest, scoring
 from tally.plans import roles
 from tally.registry.sqlroles import roles as R
@@ -140,7 +141,7 @@ QUERIES = {
 
 _OLD = "old AS (SELECT attempt_id, event_id, group_id, item_name, status FROM att WHERE group_id < 15), new AS (SELECT attempt_id, event_id, group_id, item_name, CASE WHEN group_id % 2 = 0 THEN upper(status) ELSE status END AS status FROM att WHERE group_id >= 10)"
 _RAW = ", raws AS (SELECT DISTINCT CASE s_suppkey % 5 WHEN 0 THEN 'NATION_' || s_nationkey WHEN 1 THEN 'N' || s_nationkey WHEN 2 THEN 'TION_' || s_nationkey WHEN 3 THEN 'Colla NATION_' || s_nationkey || ' de dalt' ELSE 'ZZ' || s_nationkey END AS raw FROM supplier), hits AS (SELECT raw, group_id, CASE WHEN raw = group_name THEN 1 WHEN raw = 'N' || group_id THEN 2 WHEN contains(group_name, raw) THEN 3 ELSE 4 END AS step FROM raws JOIN grp ON raw = group_name OR raw = 'N' || group_id OR contains(group_name, raw) OR contains(raw, group_name)), best AS (SELECT raw, step, group_id FROM hits QUALIFY row_number() OVER (PARTITION BY raw ORDER BY step, group_id) = 1)"
-_NAMES = ", ".join(f"('{c}', '{n}')" for c, n in codes.display_names().items())
+_NAMES = ", ".join(f"('{c}', '{n}')" for c, n in DISPLAY_NAMES.items())
 _PD = "CASE month(event_date) % 6 WHEN 0 THEN strftime(event_date, '%d/%m/%Y') WHEN 2 THEN strftime(event_date, '%d-%m-%Y') WHEN 3 THEN strftime(event_date, '%Y/%m/%d') WHEN 4 THEN 'soon' ELSE strftime(event_date, '%Y-%m-%d') END"
 
 SQL = {

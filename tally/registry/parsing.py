@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.functions import parse
-from tally.functions.synonyms import pairs
+from tally.functions.tables import DISPLAY_NAMES, SYNONYMS
 from tally.operators import linking, pages, text
 from tally.plans import roles
 from tally.registry.sqlroles import roles as R
@@ -67,6 +67,34 @@ def follow_up(s, d):
     return linking.follow_ups(a)
 
 
+def _routed(s, d):
+    """Questions with the route that they were given, and what they name."""
+    route = F.element_at(F.array(*map(F.lit, ("sql", "hybrid", "rag", "direct"))), (F.col("session") % 4 + 1).cast("int"))
+    return asked(s, d).select("*", route.alias("route"), F.contains("text", F.lit("NATION")).alias("has_entities"), (F.col("turn") % 4 == 0).alias("has_places_in_contest"))
+
+
+def _codes(s, d):
+    return s.createDataFrame([(c,) for c in DISPLAY_NAMES], "name string")
+
+
+def _asked_items(s, d):
+    """Items as they are asked for: codes, codes with "de", unknown ones, with outcomes that exist or not."""
+    k = (F.col("session") + F.col("turn")) % 5
+    code = F.when(k == 0, "3d9f").when(k == 1, "3de10").when(k == 2, "9de9").when(k == 3, "12d12").otherwise("4d8")
+    return asked(s, d).select("qid", code.alias("code"), F.when(F.col("session") % 3 == 0, roles.COMPLETE).when(F.col("session") % 3 == 1, "Caigut").alias("status"))
+
+
+def entity_checks(s, d):
+    """The years, cities and events that questions name, of which only those stay that events have."""
+    e = roles.events(s, d)
+    kind = lambda rows, name, value: rows.select(F.lit(name).alias("kind"), value.cast("string").alias("value"))
+    known = kind(e, "year", F.year("event_date")).union(kind(e, "city", F.col("city"))).union(kind(e, "event", F.col("event_name"))).distinct()
+    one = lambda name, value: F.struct(F.lit(name).alias("kind"), value.cast("string").alias("value"))
+    city = F.element_at(F.array(*map(F.lit, ("ASIA", "Asia", "EUROPE", "ATLANTIS"))), (F.col("session") % 4 + 1).cast("int"))
+    named = asked(s, d).select("qid", F.explode(F.array(one("year", F.col("session") % 20 + 1985), one("city", city), one("event", F.concat(F.lit("Fair "), city)))).alias("v")).select("qid", "v.*")
+    return linking.known_values(named, known)
+
+
 def _raw_event(s, d):
     """Events as scraped: date, time, place and city run together, and names glued to places."""
     e = roles.events(s, d)
@@ -90,7 +118,12 @@ QUERIES = {
     "text_sections": lambda s, d: text.sections(roles.table(s, d, "documents"), r"^[^ ]+\.$"),
     "entity_validate": lambda s, d: linking.validate(_entities(s, d), _names(s, d)),
     "follow_up": follow_up,
-    "classify_question": lambda s, d: linking.classify(asked(s, d)),
+    "classify_question": lambda s, d: linking.classify(_routed(s, d)),
+    "template_inherit": lambda s, d: linking.inherit_template(asked(s, d).select("qid", "session", "turn", linking.classify_by_phrase(F.col("text")).alias("template"))),
+    "link_items": lambda s, d: linking.link_items(asked(s, d), _codes(s, d)),
+    "link_cities": lambda s, d: linking.link_cities(asked(s, d), _names(s, d, "city")),
+    "item_repair": lambda s, d: linking.repair_items(_asked_items(s, d), _codes(s, d)),
+    "entity_checks": entity_checks,
     "fuzzy_link": lambda s, d: linking.fuzzy_link(asked(s, d), _names(s, d)),
     "link_events": lambda s, d: linking.link_events(asked(s, d), _names(s, d, "event_name")),
     "page_extract": lambda s, d: pages.extract(roles.table(s, d, "pages")),
@@ -125,7 +158,7 @@ SELECT qid, text, CASE
 
 def _synonyms_sql() -> str:
     out = "text"
-    for old, new in pairs():
+    for old, new in sorted(SYNONYMS.items(), key=lambda p: -len(p[0])):
         out = f"regexp_replace({out}, '{old}', '{new}', 'gi')"
     return out
 
@@ -161,6 +194,9 @@ SQL = {
     "text_categorize": f"SELECT doc_id, {_cases('upper(text)', _CATS, chr(39) + 'other' + chr(39))} AS category FROM documents",
     "text_sections": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), m AS (SELECT *, regexp_matches(trim(line), '^[^ ]+\.$') AS head FROM l), f AS (SELECT *, last_value(CASE WHEN head THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS category FROM m) SELECT doc_id, n AS line_number, category, trim(line) AS text FROM f WHERE NOT head AND trim(line) <> ''",
     "entity_validate": _W + ", e AS (SELECT qid, CASE session % 4 WHEN 0 THEN 'NATION_' || session % 25 WHEN 1 THEN 'nation_' || session % 25 WHEN 2 THEN 'Nàtìon_' || session % 25 ELSE 'Nobody' END AS entity FROM asked) SELECT qid, entity, n_name AS name FROM e LEFT JOIN nation ON lower(strip_accents(entity)) = lower(n_name)",
+    "template_inherit": _W + f"SELECT qid, session, turn, coalesce({_TEMPLATE}, last_value({_TEMPLATE} IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS template FROM asked",
+    "item_repair": _W + "SELECT qid, code, CASE code WHEN '3de10' THEN '3d10fm' WHEN '9de9' THEN '9d9f' ELSE code END AS item, status FROM (SELECT qid, CASE (session + turn) % 5 WHEN 0 THEN '3d9f' WHEN 1 THEN '3de10' WHEN 2 THEN '9de9' WHEN 3 THEN '12d12' ELSE '4d8' END AS code, CASE WHEN session % 3 = 0 THEN 'Descarregat' END AS status FROM asked)",
+    "entity_checks": R("ev") + f", {ASKED}, v AS (SELECT qid, session, ['ASIA', 'Asia', 'EUROPE', 'ATLANTIS'][session % 4 + 1] AS city FROM asked) SELECT qid, 'year' AS kind, (session % 20 + 1985)::VARCHAR AS value FROM v WHERE session % 20 + 1985 IN (SELECT year(event_date) FROM ev) UNION ALL SELECT qid, 'city', city FROM v WHERE city IN (SELECT city FROM ev) UNION ALL SELECT qid, 'event', 'Fair ' || city FROM v WHERE 'Fair ' || city IN (SELECT event_name FROM ev)",
     "follow_up": _W + f", a AS (SELECT *, {_TEMPLATE} AS tpl, nullif(regexp_extract(text, '(NATION_[0-9]+)', 1), '') AS g, {_YEARS} AS y FROM asked), p AS (SELECT *, lag(text) OVER w AS pt, lag(tpl) OVER w AS pp, lag(g) OVER w AS pg, lag(y) OVER w AS py FROM a WINDOW w AS (PARTITION BY session ORDER BY turn)), f AS (SELECT *, coalesce(pp IS NOT NULL AND length(text) < 50 AND (" + " OR ".join("starts_with(lower(trim(text)), '{}')".format(x.replace("'", "''")) for x in parse.FOLLOW_UP) + ") AND (g IS NOT NULL OR len(y) > 0), false) AS is_follow_up FROM p) SELECT qid, session, turn, is_follow_up, CASE WHEN is_follow_up THEN pp ELSE tpl END AS template, CASE WHEN is_follow_up THEN coalesce(g, pg) ELSE g END AS group_name, array_to_string(CASE WHEN is_follow_up AND len(y) = 0 THEN py ELSE y END, ',') AS years, CASE WHEN length(pt) > 30 THEN substr(pt, 1, 30) || '...' ELSE pt END AS context FROM f",
     "page_links": r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) AS href FROM pages), k AS (SELECT page_id, href, lower(regexp_extract(href, '^https?://([^/]+)', 1)) AS host FROM h) SELECT page_id, CASE WHEN host = '' THEN 'internal' WHEN contains(host, 'instagram') THEN 'instagram' WHEN contains(host, 'facebook') THEN 'facebook' WHEN contains(host, 'twitter') OR contains(host, 'x.com') THEN 'twitter' WHEN contains(host, 'youtube') THEN 'youtube' WHEN contains(host, 'wikipedia') THEN 'wikipedia' ELSE 'other' END AS kind, count(DISTINCT href) AS links FROM k GROUP BY ALL""",
 }

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.functions import codes, fuzzy, parse
+from tally.functions.tables import DISPLAY_NAMES
 
 
 def one(spark, text, column):
@@ -51,7 +52,7 @@ def test_decades(spark):
 
 
 def test_display_names(spark):
-    names = codes.display_names()
+    names = DISPLAY_NAMES
     assert len(names) == 54 and names["3d6a"] == "3de6p" and names["3d9af"] == "3de9fp" and names["Pd4"] == "Pde4"
     assert one(spark, "zz", codes.code_to_name) == "zz"
 
