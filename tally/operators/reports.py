@@ -83,10 +83,12 @@ def item_statistics(perf: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFra
     is_ = lambda s: F.col("status") == s
     names = lambda s, out: F.substring(_names(F.when(is_(s), F.col("group_name")), out), 1, 400).alias(out)
     outcomes = {"complete": roles.COMPLETE, "loaded": roles.LOADED, "attempted": roles.ATTEMPT, "dismantled": roles.DISMANTLED}
-    return filters.apply(perf, spec).groupBy("item_name").agg(
-        *[F.count_if(is_(s)).alias(f"times_{n}") for n, s in outcomes.items()],
-        *[F.min(F.when(is_(outcomes[n]), F.col("event_date"))).alias(f"first_{n}") for n in ("complete", "loaded")],
-        *[F.count_distinct(F.when(is_(s), F.col("group_id"))).alias(f"groups_{n}") for n, s in outcomes.items()],
+    # one row for each group and outcome of an item first, so that groups are counted without being distinct
+    each = filters.apply(perf, spec).groupBy("item_name", "status", "group_id", "group_name").agg(F.count("*").alias("n"), F.min("event_date").alias("first"), F.max("full").alias("full"), F.max("partial").alias("partial"))
+    return each.groupBy("item_name").agg(
+        *[F.coalesce(F.sum(F.when(is_(s), F.col("n"))), F.lit(0)).alias(f"times_{n}") for n, s in outcomes.items()],
+        *[F.min(F.when(is_(outcomes[n]), F.col("first"))).alias(f"first_{n}") for n in ("complete", "loaded")],
+        *[F.count_if(is_(s)).alias(f"groups_{n}") for n, s in outcomes.items()],
         names(roles.COMPLETE, "names_complete"), names(roles.LOADED, "names_loaded"),
         F.max("full").alias("full"), F.max("partial").alias("partial"),
     )
@@ -109,7 +111,7 @@ def group_year_ranges(attempts: DataFrame, events: DataFrame, groups: DataFrame)
 
 def groups_with_min_events(perf: DataFrame, n: int = 10, year: int | None = None, fallback: int = 50) -> DataFrame:
     """Groups of n events or more (in the year); if there is none, any groups, at most `fallback`."""
-    rows = perf.filter(F.col("event_year") == year) if year else perf
+    rows = perf.filter(filters.in_years(perf, (year,))) if year else perf
     enough = rows.groupBy("group_name").agg(F.count_distinct("event_id").alias("n")).filter(F.col("n") >= n).select("group_name")
     found = enough.agg(F.count("*").alias("found"))
     others = perf.select("group_name").distinct().orderBy("group_name").limit(fallback).crossJoin(F.broadcast(found)).filter("found = 0").select("group_name")
@@ -125,6 +127,14 @@ def item_count(perf: DataFrame, items: list[str], status: str) -> DataFrame:
     return perf.filter(F.col("item_code").isin(*items) & (F.col("status") == status)).groupBy("group_name", "event_year", "item_code").agg(F.count("*").alias("n"))
 
 
+def items_with_points(perf: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    """(group_name, event_year, item_name, item_code, full): the items of each group and year that a score is known for,
+    once each, with the points of a complete one."""
+    spec.only("groups", "years")
+    known = filters.apply(perf, spec).filter(F.col("full") > 0)
+    return known.groupBy("group_name", "event_year", "item_name", "item_code").agg(F.max("full").alias("full"))
+
+
 #: Pillars too small to count, and the beginnings of their names without spaces and dashes. Fixed values.
 SMALL_PILLARS = ("P1", "P2", "P3", "P4", "P5")
 SMALL_BEGINNINGS = ("p10", "p11", "p12")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,52 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+BLOCK_ROWS = 2048
+
+
+def _blocks(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vectors of one length as rows of at most BLOCK_ROWS: their ids, and their units one after another."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                ids = batch.column("id").to_numpy().astype(np.int64)
+                flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+                rows = flat.reshape(len(ids), -1)
+                units = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "units": [units.tobytes()]})
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return rows.mapInArrow(pack, "ids binary, units binary")
+
+
+def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As top_k, for a query set that grows with the table: blocks of queries meet blocks of vectors, each pair by one
+    product of matrices, and gives k rows for each of its queries. No side is broadcast whole."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, units, q_ids, q_units in zip(*(batch.column(c).to_pylist() for c in ("ids", "units", "q_ids", "q_units"))):
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                scores = np.frombuffer(q_units).reshape(len(q_ids), -1) @ np.frombuffer(units).reshape(len(ids), -1).T
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+                query, row = np.nonzero(scores >= least[:, None])  # k for each query, and those tied with the last
+                yield pa.RecordBatch.from_pydict({"query_id": q_ids[query], "id": ids[row], "score": scores[query, row]})
+
+    asked = _blocks(queries, "query_id", "qvec").toDF("q_ids", "q_units")
+    found = _blocks(vectors, "id", "vec").crossJoin(asked).mapInArrow(meet, "query_id long, id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def above(found: DataFrame, least: float = 0.2, most: int = 2) -> DataFrame:
+    """(query_id, id, score) of the raw retrieval: the best `most` of found whose score is `least` or more."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    enough = found.filter(F.col("score") >= least)
+    return enough.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).select("query_id", "id", "score")
+
+
 def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 50, probes: int | None = None) -> DataFrame:
     """As top_k, by an inverted file: vectors are listed by their nearest centre, and a query visits the lists of
     the nearest `probes` centres, all of them if it is None, which is exact. A query goes on to further lists as

@@ -33,8 +33,8 @@ def item_class(item: str = "item_name") -> Column:
 
 def performances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide fact: each attempt with its event, group, score, points and class."""
-    scored = alias_join(roles.attempts(spark, sf_dir), roles.scores(spark, sf_dir))
-    joined = scored.join(roles.events(spark, sf_dir), "event_id").join(roles.groups(spark, sf_dir), "group_id")
+    scored = alias_join(roles.attempts_at_events(spark, sf_dir), roles.scores(spark, sf_dir))
+    joined = scored.join(roles.groups(spark, sf_dir), "group_id")
     return joined.select("*", points().alias("points"), item_class().alias("item_class"), F.year("event_date").alias("event_year"))
 
 

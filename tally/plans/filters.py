@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.tables import TIER_CODES
+
 
 @dataclass(frozen=True)
 class FilterSpec:
@@ -36,16 +40,26 @@ def one_or_many(column: str, values: tuple[str, ...]) -> Column:
     return F.col(column).contains(values[0]) if len(values) == 1 else F.col(column).isin(*values)
 
 
+def in_years(df: DataFrame, years: tuple[int, ...]) -> Column:
+    """Whether an event is in one of the years. Where the rows carry the date from which the event's month comes, the
+    years are ranges of it, which scans can take over."""
+    if "ordered_on" not in df.columns:
+        return F.year("event_date").isin(*years)
+    day = lambda year: F.lit(datetime.date(year, 1, 1))
+    return reduce(lambda a, b: a | b, [(F.col("ordered_on") >= day(y)) & (F.col("ordered_on") < day(y + 1)) for y in sorted(set(years))])
+
+
 def apply(df: DataFrame, spec: FilterSpec, group: str = "group_name") -> DataFrame:
-    """Rows of performances that pass the filters on group, item, year, location, event name, status and tier."""
+    """Rows of performances that pass the filters on group, item, year, location, event name, status and tier. A tier
+    that is a named list of codes stands for these codes; any other one is a value of the column."""
     tests = [
         (spec.groups, lambda: F.col(group).isin(*spec.groups)),
         (spec.items, lambda: F.col("item_code").isin(*spec.items)),
-        (spec.years, lambda: F.year("event_date").isin(*spec.years)),
+        (spec.years, lambda: in_years(df, spec.years)),
         (spec.locations, lambda: one_or_many("city", spec.locations)),
         (spec.event_names, lambda: one_or_many("event_name", spec.event_names)),
         (spec.statuses, lambda: F.col("status").isin(*spec.statuses)),
-        (spec.tier, lambda: F.col("tier") == spec.tier),
+        (spec.tier, lambda: F.col("item_code").isin(*TIER_CODES[spec.tier]) if spec.tier in TIER_CODES else F.col("tier") == spec.tier),
     ]
     for given, test in tests:
         if given:

@@ -18,18 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event of each order: o_orderkey, event_id, event_date, region and the order's priority."""
+    """The event of each order: o_orderkey, event_id, event_date, region, the order's priority, and its own date,
+    which filters on years reach the scan by."""
     t = lambda name: table(spark, sf_dir, name)
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
     number = (F.year("o_orderdate") * 100 + F.month("o_orderdate")) * 10 + F.col("r_regionkey")
-    return t("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", number.cast("long").alias("event_id"), month.alias("event_date"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"), F.col("o_orderpriority").alias("day"))
+    return t("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", number.cast("long").alias("event_id"), month.alias("event_date"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"), F.col("o_orderpriority").alias("day"), F.col("o_orderdate").alias("ordered_on"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+EVENT_COLUMNS = ["event_id", "event_date", "date_text", "event_name", "place", "city"]
+
+
+def _named(orders: DataFrame) -> DataFrame:
+    """orders with what an event is called and where it is."""
     text = F.when(F.col("region_id") % 2 == 0, F.date_format("event_date", "dd/MM/yyyy")).otherwise(F.date_format("event_date", "yyyy-MM-dd"))
-    found = order_events(spark, sf_dir).select("event_id", "event_date", "region_id", "region").distinct()
-    return found.select("event_id", "event_date", text.alias("date_text"), F.concat(F.lit("Fair "), "region").alias("event_name"), F.concat(F.lit("Square "), "region").alias("place"), F.col("region").alias("city"))
+    return orders.select("*", text.alias("date_text"), F.concat(F.lit("Fair "), "region").alias("event_name"), F.concat(F.lit("Square "), "region").alias("place"), F.col("region").alias("city"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(order_events(spark, sf_dir).select("event_id", "event_date", "region_id", "region").distinct()).select(*EVENT_COLUMNS)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +46,18 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """attempt_id, event_id, group_id, item_name, status and the session-day of the order."""
+    return attempts_at_events(spark, sf_dir).select("attempt_id", "event_id", "group_id", "item_name", "status", "day")
+
+
+def attempts_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """attempts with the columns of their events and ordered_on, by one pass over the orders."""
     t = lambda name: table(spark, sf_dir, name)
     p = F.col("l_partkey").cast("string")
     item = F.when(F.col("l_linenumber") % 4 == 0, p).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("P"), p)).when(F.col("l_linenumber") % 4 == 2, F.concat(p, F.lit("de"))).otherwise(F.concat(F.lit("X"), p))
     status = F.when(F.col("l_returnflag") == "A", COMPLETE).when(F.col("l_returnflag") == "R", LOADED).when(F.col("l_linestatus") == "O", ATTEMPT).otherwise(DISMANTLED)
     lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("attempt_id"), "l_suppkey", item.alias("item_name"), status.alias("status"))
-    joined = lines.join(order_events(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select("attempt_id", "event_id", F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day")
+    joined = lines.join(_named(order_events(spark, sf_dir)), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select("attempt_id", F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day", "ordered_on", *EVENT_COLUMNS)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

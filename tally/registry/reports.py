@@ -36,6 +36,13 @@ def agg_counts(s, d):
     return perf(s, d).agg(F.count("*").alias("rows"), F.count("item_code").alias("scored"), F.count_distinct("event_id").alias("events"), F.count_distinct("group_id").alias("groups"), F.count_distinct("item_name").alias("items"))
 
 
+def _with_codes(s, d):
+    """Performances whose items have codes of the domain: a width, a height and a letter by the number of the part."""
+    k = F.regexp_extract("item_name", "([0-9]+)", 1).cast("int")
+    code = F.concat((k % 9 + 1).cast("string"), F.lit("d"), (k % 4 + 6).cast("string"), F.when(k % 3 == 0, "a").when(k % 3 == 1, "f").otherwise(""))
+    return perf(s, d).withColumn("item_code", code)
+
+
 def text_report(s, d):
     """A line for each event and group with its results in order."""
     line = "listagg(concat(item_name, ' (', status, ')'), '; ') WITHIN GROUP (ORDER BY attempt_id)"
@@ -86,6 +93,8 @@ QUERIES = {
     "filter_event_name": _filtered(FilterSpec(event_names=("Fair ASIA", "Fair EUROPE"))),
     "filter_status": _filtered(FilterSpec(statuses=(roles.COMPLETE,))),
     "filter_tier": lambda s, d: reports.best_item(perf(s, d), FilterSpec(tier="ECONOMY", limit=50)),
+    "filter_tier_codes": lambda s, d: reports.item_history(_with_codes(s, d), FilterSpec(tier="gamma extra", limit=1000)).select("item_name", "status", "occurrences"),
+    "items_with_points": lambda s, d: reports.items_with_points(perf(s, d)),
     "text_report": text_report,
     "dataset_stats": dataset_stats,
     "option_lists": option_lists,
@@ -119,6 +128,8 @@ SQL = {
     "filter_event_name": _filtered_sql("event_name IN ('Fair ASIA', 'Fair EUROPE')"),
     "filter_status": _filtered_sql("status = 'Descarregat'"),
     "filter_tier": R("perf") + "SELECT 'ECONOMY' AS tier_filtered, event_name, event_date AS date, place, city, group_name, item_name, status, points FROM perf WHERE tier = 'ECONOMY' ORDER BY points DESC, event_date, attempt_id LIMIT 50",
+    "filter_tier_codes": R("perf") + ", k AS (SELECT *, regexp_extract(item_name, '([0-9]+)', 1)::INTEGER AS k FROM perf) SELECT item_name, status, count(*) AS occurrences FROM k WHERE (k % 9 + 1) || 'd' || (k % 4 + 6) || CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'f' ELSE '' END IN ('2d9fm', '4d9af', '3d9af', '5d9f', '9d8', '9d9f', '3d10fm', '4d10fm', 'pd8fm', 'pd9fmp', '4d9', '7d9f', '2d9f', '3d9') GROUP BY ALL ORDER BY occurrences DESC, item_name, status LIMIT 1000",
+    "items_with_points": R("perf") + "SELECT group_name, event_year, item_name, item_code, max(\"full\") AS \"full\" FROM perf WHERE \"full\" > 0 GROUP BY ALL",
     "text_report": R("perf") + "SELECT event_id, date_text || ' ' || event_name || ' - ' || group_name || ': ' || string_agg(item_name || ' (' || status || ')', '; ' ORDER BY attempt_id) AS line FROM perf GROUP BY event_id, event_name, date_text, group_name",
     "dataset_stats": R("att", "ev") + "SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT event_id) FROM att) AS events_with_results, (SELECT count(*) FROM ev WHERE event_id NOT IN (SELECT event_id FROM att)) AS events_without_results, (SELECT count(DISTINCT city) FROM ev) AS cities, (SELECT count(*) FROM att) AS attempts, (SELECT count(DISTINCT group_id) FROM att) AS groups",
     "option_lists": R("perf") + "SELECT DISTINCT 'group' AS kind, group_name AS value FROM perf UNION ALL SELECT DISTINCT 'city', city FROM perf UNION ALL SELECT DISTINCT 'event', event_name FROM perf UNION ALL SELECT DISTINCT 'item', item_code FROM perf WHERE item_code IS NOT NULL UNION ALL SELECT DISTINCT 'year', regexp_extract(date_text, '([0-9]{4})', 1) FROM ev",

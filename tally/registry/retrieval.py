@@ -95,6 +95,8 @@ QUERIES = {
     "vector_combine": lambda s, d: _vectors(s, d).alias("a").join(_vectors(s, d).alias("b"), F.col("a.id") + 1 == F.col("b.id")).select("a.id", _rounded(retrieval.combined(F.col("a.vec"), F.col("b.vec")), "unit")),
     "vector_topk": lambda s, d: retrieval.top_k(_vectors(s, d), _queries(s, d, 1), 20),
     "vector_topk_batch": lambda s, d: retrieval.top_k(_vectors(s, d), _queries(s, d, 10), 10),
+    "vector_topk_each": lambda s, d: retrieval.top_k_blocks(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10),
+    "vector_raw_floor": lambda s, d: retrieval.above(retrieval.top_k_blocks(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 350).filter("id <> query_id")),
     "vector_ivf": lambda s, d: retrieval.ivf(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10),
     "rerank": _reranked,
     "rerank_fuzzy": lambda s, d: _reranked(s, d, similar=True),
@@ -104,6 +106,7 @@ QUERIES = {
 
 _COS = lambda a, b: f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))"
 _TOP = lambda n, k, where="true": f"SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS('e.embedding', 'q.embedding')} DESC, e.vec_id) AS rank, e.vec_id AS id, round({_COS('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < {n} AND {where} QUALIFY rank <= {k}"
+_EACH = lambda k: _TOP(0, k).replace("q.vec_id < 0", "q.vec_id % 50 = 0")
 _RERANK = f"""WITH top AS ({_TOP(1, 50, "e.vec_id > 0")}),
 f AS (SELECT top.id, score, 'Doc ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'history' WHEN 1 THEN 'colles' ELSE 'technique' END AS category, source, lang, doc_id % 30 + 1970 AS y FROM top JOIN documents ON doc_id = id),
 m AS (SELECT *, contains(lower(source), 'src3') OR contains('src3', lower(source)) AS is_match,
@@ -120,6 +123,8 @@ SQL = {
     "vector_combine": "WITH c AS (SELECT a.vec_id AS id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * 0.2 + z[2]::DOUBLE * 0.8) AS v FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6) + 0.0::DOUBLE) AS unit FROM c",
     "vector_topk": _TOP(1, 20),
     "vector_topk_batch": _TOP(10, 10),
+    "vector_topk_each": _EACH(10),
+    "vector_raw_floor": f"WITH t AS ({_EACH(350)}) SELECT query_id, id, score FROM t WHERE id <> query_id AND score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 2",
     "rerank": _RERANK + "SELECT * FROM reranked",
     "context_build": _RERANK + ", t AS (SELECT *, row_number() OVER (ORDER BY is_match DESC, score DESC, id) AS n FROM reranked QUALIFY n <= 2) SELECT string_agg('[Document ' || n || ': ' || title || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS documents FROM t JOIN documents ON doc_id = id",
     "hybrid_context": R("totals") + ", y AS (SELECT DISTINCT year(event_date)::INTEGER AS y FROM ev WHERE event_id IN (SELECT event_id FROM att)), q AS (SELECT y AS qid FROM y UNION SELECT y + 5 FROM y), b AS (SELECT year(event_date)::INTEGER AS qid, event_name || ' ' || group_name || ' ' || total_points AS report FROM totals QUALIFY row_number() OVER (PARTITION BY year(event_date) ORDER BY total_points DESC, event_id, group_id) = 1) SELECT qid, CASE WHEN report IS NOT NULL THEN 'report' WHEN doc_id IS NOT NULL THEN 'documents' ELSE 'none' END AS source, coalesce(report, 'Doc ' || doc_id) AS context FROM q LEFT JOIN b USING (qid) LEFT JOIN documents ON doc_id + 2000 = qid",
