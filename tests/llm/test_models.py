@@ -249,6 +249,29 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("parameters", [None, (1, 3, 1.0, 5), (3, 10, 2.0, 200)])
+def test_recall_through_the_query(spark, data, parameters):
+    """The registered query's operator on the smallest table of vectors, by what it chooses and by given parameters."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = ann.nearest(df, F.col("id") % 20 == 0, k=20, parameters=parameters, block=100, shard_rows=200).collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    wanted = {q: set(exact(vectors, q, 20)) for q in vectors if q % 20 == 0}
+    assert len(rows) == 20 * len(wanted)
+    recall = sum(r["vec_id"] in wanted[r["query_id"]] for r in rows) / len(rows)
+    assert recall >= (0.9 if parameters is None else 0.1)
+
+
+def test_more_rows_make_more_functions_worth_it():
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(3000, 32))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    queries, rest = rows[:20], rows[20:]
+    near = [rest[np.argsort(-(rest @ q))[:10]] for q in queries]
+    small = ann.choose(queries, near, rest[:1000], 1.0, len(rows))
+    large = ann.choose(queries, near, rest[:1000], 1.0, 10**9)
+    assert large[1] >= small[1] and large[3] >= small[3]
+
+
 def test_probe_order():
     rng = np.random.default_rng(1)
     within = rng.uniform(size=4)
