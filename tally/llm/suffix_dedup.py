@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,7 @@ def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 OWNER = "struct<unnamed: boolean, doc_id: long, t1: long, t2: long, first: int>"
-CONTEXT = f"anchor long, c1 long, c2 long, copies long, owner {OWNER}, windows int, low int, high int"
+CONTEXT = f"anchor long, c1 long, c2 long, copies long, owner {OWNER}, windows int, low int, high int, hot boolean"
 _OWNER = pa.struct([("unnamed", pa.bool_()), ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int32())])
 
 
@@ -180,36 +181,30 @@ def _cut(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, f"{CONTEXT}, bytes binary")
 
 
-def _halves(contexts: DataFrame, length: int) -> DataFrame:
+HALVES = f"anchor long, c1 long, c2 long, copies long, owner {OWNER}, windows int, low int, high int, bytes binary, p1 long, p2 long, skip int"
+_HALF = pa.schema(list(zip("anchor c1 c2 copies owner windows low high bytes p1 p2 skip".split(), [*[pa.int64()] * 4, _OWNER, *[pa.int32()] * 3, pa.binary(), pa.int64(), pa.int64(), pa.int32()])))
+
+
+def _halves(contexts: pa.RecordBatch, length: int) -> list[dict]:
     """Each context in two: the windows that start at least half of the range low..high before the anchor, and the
     others. All windows of a half hold the same middle, so its hash takes the anchor's place. p1, p2 and skip say of
     which context a half is part, and from which window on. A half of one window is grouped with its equals alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for c in batch.to_pylist():
-                data, middle = c["bytes"], (c["low"] + c["high"]) // 2
-                hashes = _gram_hashes(np.frombuffer(data[:length], np.uint8))
-                at = int((hashes & ~LOW).argmin())
-                edge = at - middle  # the last start that is `middle` or more before the anchor
-                for first, last, low, high in ((0, min(c["windows"] - 1, edge), middle, c["high"]), (max(0, edge + 1), c["windows"] - 1, c["low"], middle)):
-                    if first > last:
-                        continue
-                    held = data[at - low : at - high + 1 + length]
-                    anchor = xxhash.xxh3_64_intdigest(held, (c["anchor"] + low * 0x9E3779B97F4A7C15) % (1 << 64))
-                    part = data[first : last + length]
-                    digest = _digests([part], [anchor])[0].tolist()
-                    owner = c["owner"] | {"first": c["owner"]["first"] + first}
-                    values = (anchor - (1 << 64) if anchor >> 63 else anchor, *digest, c["copies"], owner, last - first + 1, low, high, part, c["c1"], c["c2"], first)
-                    for name, v in zip(schema.names, values):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    number, small = pa.int64(), pa.int32()
-    kinds = (number, number, number, number, _OWNER, small, small, small, pa.binary(), number, number, small)
-    schema = pa.schema(list(zip("anchor c1 c2 copies owner windows low high bytes p1 p2 skip".split(), kinds)))
-    return contexts.mapInArrow(run, f"{CONTEXT}, bytes binary, p1 long, p2 long, skip int")
+    out = []
+    for c in contexts.to_pylist():
+        data, middle = c["bytes"], (c["low"] + c["high"]) // 2
+        hashes = _gram_hashes(np.frombuffer(data[:length], np.uint8))
+        at = int((hashes & ~LOW).argmin())
+        edge = at - middle  # the last start that is `middle` or more before the anchor
+        for first, last, low, high in ((0, min(c["windows"] - 1, edge), middle, c["high"]), (max(0, edge + 1), c["windows"] - 1, c["low"], middle)):
+            if first > last:
+                continue
+            anchor = xxhash.xxh3_64_intdigest(data[at - low : at - high + 1 + length], (c["anchor"] + low * 0x9E3779B97F4A7C15) % (1 << 64))
+            part = data[first : last + length]
+            digest = _digests([part], [anchor])[0].tolist()
+            owner = c["owner"] | {"first": c["owner"]["first"] + first}
+            values = (anchor - (1 << 64) if anchor >> 63 else anchor, *digest, c["copies"], owner, last - first + 1, low, high, part, c["c1"], c["c2"], first)
+            out.append(dict(zip(_HALF.names, values)))
+    return out
 
 
 #: keeper: the owner in whose text the first copy of the run's windows stands, and its place there; null in other runs.
@@ -228,12 +223,25 @@ def _runs(starts: np.ndarray, kept: np.ndarray | None) -> Iterator[tuple[int, in
             yield int(starts[a]), b - a, kept is not None and bool(kept[a])
 
 
+_FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("keeper", _KEEPER)])
+
+
 def _sorted_shards(contexts: DataFrame, n_shards: int, length: int, keep_first: bool) -> DataFrame:
-    """The runs of repeated windows of each context, by one suffix array for each shard."""
+    """run: the runs of repeated windows of each context, by one suffix array for each shard; half: the halves of the
+    contexts that are hot, which are dealt out by themselves."""
+
+    def both(run: list[dict], half: list[dict]) -> pa.RecordBatch:
+        nulls = lambda rows, other: [*rows, *[None] * other]
+        arrays = [pa.array(nulls(run, len(half)), pa.struct(list(_FOUND))), pa.array([None] * len(run) + half, pa.struct(list(_HALF)))]
+        return pa.RecordBatch.from_arrays(arrays, ["run", "half"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[bytes, int, dict]] = {}
         for batch in batches:
+            hot = batch.filter(batch.column("hot"))
+            for at in range(0, hot.num_rows, 1024):
+                yield both([], _halves(hot.slice(at, 1024), length))
+            batch = batch.filter(pc.invert(batch.column("hot")))
             columns = (batch.column(c).to_pylist() for c in ("c1", "c2", "bytes", "copies"))
             owners = batch.column("owner").to_pylist() if keep_first else [None] * batch.num_rows
             for c1, c2, data, copies, owner in zip(*columns, owners):
@@ -249,31 +257,35 @@ def _sorted_shards(contexts: DataFrame, n_shards: int, length: int, keep_first:
             order = {t: i for i, t in enumerate(sorted(set(texts)))}
             rank, place = np.array([order[t] for t in texts]), np.array([o["first"] for o in owners])
         found, first = suffix_array.repeated(strings, np.array(copies), length, rank, place)
-        out: dict[str, list] = {n: [] for n in ("c1", "c2", "start", "n", "keeper")}
+        out: list[dict] = []
         for k, (c1, c2) in enumerate(keys):
             for start, n, kept in _runs(found[k], first[k] if keep_first else None):
                 o = owners[k]
-                for name, v in zip(out, (c1, c2, start, n, {"doc_id": o["doc_id"], "t1": o["t1"], "t2": o["t2"], "at": o["first"] + start} if kept else None)):
-                    out[name].append(v)
-        schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("keeper", _KEEPER)])
-        for at in range(0, len(out["n"]), 1 << 16):
-            yield pa.RecordBatch.from_pydict({name: v[at : at + (1 << 16)] for name, v in out.items()}, schema)
+                out.append({"c1": c1, "c2": c2, "start": start, "n": n, "keeper": {"doc_id": o["doc_id"], "t1": o["t1"], "t2": o["t2"], "at": o["first"] + start} if kept else None})
+            if len(out) > 1 << 15:
+                yield both(out, [])
+                out = []
+        if out:
+            yield both(out, [])
 
-    return contexts.repartition(n_shards, "anchor").mapInArrow(run, FOUND)
+    shard = F.when(F.col("hot"), F.xxhash64("anchor", "c1")).otherwise(F.col("anchor"))
+    return contexts.repartition(n_shards, shard).mapInArrow(run, f"run struct<{FOUND}>, half struct<{HALVES}>")
 
 
 def _repeated(contexts: DataFrame, with_bytes: Callable[[DataFrame], DataFrame], length: int, hot: int, shard_bytes: int, keep_first: bool) -> DataFrame:
-    """The runs of repeated windows of contexts; with_bytes adds their bytes to some of them."""
+    """The runs of repeated windows of contexts; with_bytes adds their bytes."""
     spark = contexts.sparkSession
-    hot_anchors = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor"), "suffix-hot")
-    cold = contexts.join(hot_anchors, "anchor", "left_anti")
-    size = cold.agg(F.coalesce(F.sum(F.col("windows") + (length - 1)), F.lit(0))).first()[0]
+    hot_anchors = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("is_hot")), "suffix-hot")
+    marked = contexts.join(hot_anchors, "anchor", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False))).drop("is_hot")
+    size = contexts.agg(F.coalesce(F.sum(F.col("windows") + (length - 1)), F.lit(0))).first()[0]
     shards = max(shuffle_partitions(spark), blocks_for(size, shard_bytes))
-    found = materialize(_sorted_shards(with_bytes(cold), shards, length, keep_first), "suffix-repeated")
+    both = materialize(_sorted_shards(with_bytes(marked), shards, length, keep_first), "suffix-repeated")
+    found = both.filter("run IS NOT NULL").select("run.*")
     if not hot_anchors.limit(1).count():
         return found
-    whole = with_bytes(contexts.join(hot_anchors, "anchor", "left_semi")).dropDuplicates(["c1", "c2"])
-    halves = materialize(_halves(whole, length), "suffix-halves")
+    # a context comes as often as its owner's row
+    halves = both.filter("half IS NOT NULL").select("half.*").dropDuplicates(["p1", "p2", "skip"])
+    halves = materialize(halves, "suffix-halves")
     often = materialize(halves.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
     halves = halves.join(often, "anchor", "left_semi")
     same = [F.first(c).alias(c) for c in ("windows", "low", "high", "bytes")]
