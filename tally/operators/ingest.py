@@ -18,6 +18,14 @@ def flatten_events(nested: DataFrame) -> dict[str, DataFrame]:
     return {"events": one.drop("colles").dropDuplicates(["event_id"]), "event_groups": each.select("event_id", F.col("c.colla_name").alias("group_name")).distinct(), "attempts": attempts}
 
 
+def flatten_attempts(nested: DataFrame) -> DataFrame:
+    """The attempts of nested events with their event's columns, by one parse: what the tables give when joined."""
+    one = nested.select(F.from_json("json", EVENT).alias("e")).select("e.*")
+    each = one.select("event_id", "event_name", "date", "place", "city", F.explode("colles").alias("c"))
+    item = F.explode("c.castells").alias("a")
+    return each.select("event_id", "event_name", "date", "place", "city", F.col("c.colla_name").alias("group_name"), item).select("*", F.col("a.castell_name").alias("item_name"), "a.status", "a.raw_text").drop("a")
+
+
 def flatten_groups(nested: DataFrame) -> DataFrame:
     """The children of nested groups (column `json`) as (group_id, kind, position, key, value): the facts of a map,
     the texts that are not blank, the best performances and the best items, whose name has one of three fields."""
@@ -53,15 +61,22 @@ def resolve_names(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> Da
     return raw.join(best, "raw", "left").select("raw", "b.group_id", "b.step")
 
 
+def _tie(df: DataFrame) -> Column:
+    """A number for each row by which equal keys are told apart alike on every run."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes])
+
+
 def upsert_latest(batches: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
-    """The row of the last batch for each key."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(batch))
+    """The row of the last batch for each key; of several in one batch, that of the least hash."""
+    last = Window.partitionBy(*keys).orderBy(F.desc(batch), _tie(batches))
     return batches.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn")
 
 
 def upsert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old, and the rows of new whose key it lacks."""
-    return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
+    """old, and the rows of new whose key it lacks; of several, that of the least hash."""
+    first = Window.partitionBy(*keys).orderBy(_tie(new))
+    once = new.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    return old.unionByName(once.join(old, keys, "left_anti"))
 
 
 def incremental_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -106,9 +106,10 @@ def first_groups(perf: DataFrame, most: int = 4) -> DataFrame:
 
 def attribute(groups: DataFrame) -> DataFrame:
     """groups (group_name, value) with wrong: the first three different values that are not the group's. Names
-    that end in years are no groups of today. Values of an attribute are few."""
+    that end in years are no groups of today. The first three of the others are among the first four of all."""
     today = groups.filter(~F.col("group_name").rlike(r"\([0-9]{4}(-[0-9]{4})?\)$"))
-    values = today.agg(F.array_sort(F.collect_set("value")).alias("all"))
+    least = today.select("value").filter("value IS NOT NULL").distinct().orderBy("value").limit(WRONG + 1)
+    values = least.agg(F.array_sort(F.collect_list("value")).alias("all"))
     others = F.slice(F.array_remove("all", F.col("value")), 1, WRONG)
     return today.crossJoin(F.broadcast(values)).select("group_name", F.col("value").alias("correct"), F.array_join(others, ", ").alias("wrong"))
 

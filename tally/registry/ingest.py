@@ -9,11 +9,13 @@ from tally.functions.tables import DISPLAY_NAMES
 from tally.operators import ingest, scoring
 from tally.plans import roles
 from tally.registry.sqlroles import roles as R
+from tally.sources import sinks
+from tally.sources.scratch import materialize, scratch_path
 
 
 def _nested_events(s, d):
     """One nested event for each order and group of suppliers in it."""
-    rows = roles.attempts(s, d).join(roles.events(s, d), "event_id").join(roles.groups(s, d), "group_id")
+    rows = roles.attempts_at_events(s, d).join(roles.groups(s, d), "group_id")
     rows = rows.withColumn("order_key", F.split_part("attempt_id", F.lit("-"), F.lit(1)))
     item = F.struct(F.col("item_name").alias("castell_name"), "status", F.concat("item_name", F.lit(" ("), "status", F.lit(")")).alias("raw_text"))
     per_group = rows.groupBy("order_key", "event_id", "event_name", "date_text", "place", "city", "group_name").agg(F.collect_list(item).alias("castells"))
@@ -22,9 +24,8 @@ def _nested_events(s, d):
 
 
 def ingest_flatten(s, d):
-    tables = ingest.flatten_events(_nested_events(s, d))
-    joined = tables["attempts"].join(tables["event_groups"], ["event_id", "group_name"]).join(tables["events"], "event_id")
-    return joined.groupBy("event_id", "event_name", "date", "city", "group_name", "item_name", "status", "raw_text").agg(F.count("*").alias("n"))
+    flat = ingest.flatten_attempts(_nested_events(s, d))
+    return flat.groupBy("event_id", "event_name", "date", "city", "group_name", "item_name", "status", "raw_text").agg(F.count("*").alias("n"))
 
 
 def _nested_groups(s, d):
@@ -102,9 +103,12 @@ def _stores(s, d):
 
 
 def reload_counts(s, d):
-    """Counts of the tables after their children: what a reload in the order of dependency must give."""
-    tables = ingest.flatten_events(_nested_events(s, d))
-    return ingest.count_compare(tables, tables)
+    """The tables of nested events, written over older ones in the order of dependency: their counts, and those of
+    what is stored then."""
+    tables = ingest.flatten_events(materialize(_nested_events(s, d), "nested-events"))
+    folder = scratch_path(s, "reload")
+    sinks.write_tables({name: df.limit(7) for name, df in tables.items()}, folder)
+    return sinks.reload_tables(s, tables, folder)
 
 
 def _date_texts(s, d):

@@ -43,8 +43,15 @@ def stream_score(s, d):
     return jobs.run(jobs.score(attempts, roles.scores(s, d)), "score").groupBy("status", F.col("item_code").isNotNull().alias("known")).agg(F.count("*").alias("n"), F.sum("points").alias("points"))
 
 
+def stream_insert(s, d):
+    """Events by user, kind and hour, stored once however often a batch brings them."""
+    e = _events(s, d).withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
+    return jobs.run_insert(e.select("user_id", "event_type", "hour", "event_id", "value"), "insert", ["user_id", "event_type", "hour"], "event_id")
+
+
 QUERIES = {
     "stream_dedupe": stream_dedupe,
+    "stream_insert": stream_insert,
     "stream_status": lambda s, d: jobs.run_latest(jobs.advance(_updates(s, d)), "status", ["message_id"], "updates"),
     "stream_ttl": lambda s, d: jobs.run(jobs.expiring(_updates(s, d)), "ttl"),
     "stream_windows": stream_windows,
@@ -56,6 +63,7 @@ _MARK = "WITH m AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM {0})"
 _SESSION = "SELECT *, sum(fresh) OVER (PARTITION BY {1} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY {1} ORDER BY ts) >= interval {2} THEN 1 ELSE 0 END AS fresh FROM {0})"
 
 SQL = {
+    "stream_insert": "SELECT user_id, event_type, strftime(ts, '%Y%m%d%H') AS hour, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL",
     "stream_dedupe": "SELECT DISTINCT event_type, strftime(ts, '%Y%m%d%H%M') AS minute FROM events",
     "stream_status": PENDING + "SELECT message_id, arg_max(status, list_position(['pending', 'entities_ready', 'complete', 'error'], status)) AS status, count(*) AS updates FROM u GROUP BY 1",
     "stream_ttl": PENDING + ", m AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM u), s AS (" + _SESSION.format("u", "message_id", "5 minute") + "), g AS (SELECT message_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 300000000 AS \"end\", count(*) AS n FROM s GROUP BY message_id, s) SELECT * FROM g WHERE \"end\" <= (SELECT mark FROM m) * 1000",

@@ -20,6 +20,21 @@ def write_tables(tables: dict[str, DataFrame], folder: str, partition: dict[str,
         writer.parquet(f"{folder}/{name}")
 
 
+def clear_tables(spark: SparkSession, names: list[str], folder: str) -> None:
+    """Empties stored tables, children before parents; their columns stay."""
+    for name in sorted(names, key=lambda n: (ORDER.index(n) if n in ORDER else len(ORDER), n), reverse=True):
+        schema = spark.read.parquet(f"{folder}/{name}").schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def reload_tables(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Clears the stored tables, writes the given ones, and compares the counts of both. The tables must not be read
+    from the same folder."""
+    clear_tables(spark, list(tables), folder)
+    write_tables(tables, folder)
+    return ingest.count_compare(tables, {n: spark.read.parquet(f"{folder}/{n}") for n in tables})
+
+
 def write_dataset(rows: DataFrame, statistics: DataFrame, folder: str) -> None:
     """A dataset as JSON lines, beside one line of statistics."""
     rows.write.mode("overwrite").json(f"{folder}/rows")

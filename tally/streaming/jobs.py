@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,14 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tally.operators import scoring
 from tally.operators.chat import STATES
+from tally.sources.scratch import scratch_path
 
 DELAY = "10 minutes"
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both write."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tally-shared")
-    return f"{shared.rstrip('/')}/tally/{name}-{uuid.uuid4().hex}"
+#: A message's state is forgotten when the watermark has passed its last update by so much.
+EXPIRES_MS = 3_600_000
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -37,7 +31,7 @@ def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -
 def run(stream: DataFrame, name: str) -> DataFrame:
     """What an appending stream has written when all that is there is read."""
     spark = stream.sparkSession
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -46,18 +40,37 @@ def run(stream: DataFrame, name: str) -> DataFrame:
 def run_latest(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
     """The last row of each key of an updating stream: batches are written with their number, and merged on reading."""
     spark = stream.sparkSession
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    write(spark.createDataFrame([], stream.schema), -1)  # there may be no batch at all
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     values = [c for c in stream.columns if c not in keys]
     last = F.max_by(F.struct(*values), F.struct("batch", order)).alias("l")
     return rows.groupBy(*keys).agg(last).select(*keys, "l.*")
 
 
+def run_insert(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
+    """The table of a stream whose keys are stored once: each batch adds the rows whose key is not there yet, of several
+    the least by `order`. A batch that is run again writes the same rows again."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    stored = lambda: spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+
+    def add(batch: DataFrame, number: int) -> None:
+        values = [c for c in stream.columns if c not in keys]
+        once = batch.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("v")).select(*keys, "v.*").select(*stream.columns)
+        known = stored().filter(F.col("batch") < number).select(*keys)
+        once.join(known, keys, "left_anti").select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return stored().drop("batch")
+
+
 def with_time(events: DataFrame) -> DataFrame:
     """The event time as a timestamp with a watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
@@ -89,17 +102,31 @@ STATUS = "message_id string, status string, updates long"
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A message's state moves forward only, in whatever order its updates come."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     rank, updates = state.get if state.exists else (0, 0)
+    last = None
     for rows in batches:
         known = rows["status"].map({s: i for i, s in enumerate(STATES)})
         rank, updates = max(rank, int(known.max())), updates + len(rows)
+        if "ts" in rows:
+            last = max(filter(None, (last, rows["ts"].max().value // 1_000_000)))
     state.update((rank, updates))
+    if last is not None:
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRES_MS)
     yield pd.DataFrame({"message_id": [key[0]], "status": [STATES[rank]], "updates": [updates]})
 
 
 def advance(updates: DataFrame) -> DataFrame:
-    """(message_id, status, updates) for each message that a batch touched."""
-    return updates.select("message_id", "status").groupBy("message_id").applyInPandasWithState(_advance, STATUS, "rank int, updates long", "update", GroupStateTimeout.NoTimeout)
+    """(message_id, status, updates) for each message that a batch touched. Updates without a known status, or without a
+    message, are no updates. With a time (ts), updates later than the watermark are left out, and a message's state is
+    forgotten some time after its last update, so the state does not grow for ever."""
+    known = updates.filter(F.col("status").isin(*STATES) & F.col("message_id").isNotNull())
+    if "ts" not in updates.columns:
+        return known.select("message_id", "status").groupBy("message_id").applyInPandasWithState(_advance, STATUS, "rank int, updates long", "update", GroupStateTimeout.NoTimeout)
+    timed = with_time(known.filter("ts IS NOT NULL")).select("message_id", "status", "ts")
+    return timed.groupBy("message_id").applyInPandasWithState(_advance, STATUS, "rank int, updates long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def score(attempts: DataFrame, scores: DataFrame) -> DataFrame:
