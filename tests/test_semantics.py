@@ -80,6 +80,47 @@ def test_streams_equal_batches_in_any_order(spark, tmp_path):
     assert got == {m: (max(s, key=chat.STATES.index), len(s)) for m, s in want.items()}
 
 
+def test_odd_updates_do_not_end_the_stream(spark, tmp_path):
+    """Batches of unknown or null statuses alone, and no batch at all; a message's state is forgotten in time."""
+    schema = "message_id string, status string, ts timestamp"
+    at = lambda minute: __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
+    files = [[("a", "what", at(0)), ("b", None, at(0)), (None, "complete", at(0))], [("a", "complete", at(1))], [("c", "pending", at(300))], [("c", "error", at(301)), ("d", "pending", None)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in.parquet")
+    stream = jobs.source(spark, f"{tmp_path}/in.parquet", files_per_batch=1)
+    got = {r["message_id"]: (r["status"], r["updates"]) for r in jobs.run_latest(jobs.advance(stream), "status", ["message_id"], "updates").collect()}
+    assert got == {"a": ("complete", 1), "c": ("error", 2)}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none.parquet")
+    assert jobs.run_latest(jobs.advance(jobs.source(spark, f"{tmp_path}/none.parquet")), "status", ["message_id"], "updates").count() == 0
+
+
+def test_inserts_of_a_stream_come_once(spark, tmp_path):
+    for k in range(4):
+        rows = [(i % 7, i + 100 * k, f"v{k}") for i in range(10)]
+        spark.createDataFrame(rows, "key long, n long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in.parquet")
+    got = jobs.run_insert(jobs.source(spark, f"{tmp_path}/in.parquet", files_per_batch=1), "insert", ["key"], "n").collect()
+    assert sorted(r["key"] for r in got) == list(range(7))
+    assert all(r["n"] % 100 == r["key"] and r["v"] == f"v{r['n'] // 100}" for r in got)
+
+
+def test_reports_read_each_table_once_and_push_years(spark, data):
+    df = reports.year_summary(scoring.performances(spark, data), FilterSpec(years=(1997,)))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") <= 8
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01" in text
+    assert "Expand" not in plan(reports.item_statistics(scoring.performances(spark, data)))
+
+
+def test_blocks_of_queries_find_what_single_ones_do(spark):
+    rng = __import__("random").Random(3)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, vec array<double>").repartition(5)
+    queries = vectors.filter("id % 7 = 0").selectExpr("id AS query_id", "vec AS qvec")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.top_k_blocks(vectors, queries, 9)) == rows(retrieval.top_k(vectors, queries, 9))
+    assert retrieval.top_k_blocks(vectors.limit(0), queries, 9).count() == 0
+    assert retrieval.top_k_blocks(vectors.limit(4), queries, 9).count() == 4 * queries.count()
+
+
 def test_inverted_file_finds_all(spark, data):
     from tally.registry import retrieval as registered
 
