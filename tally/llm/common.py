@@ -1,15 +1,17 @@
-"""What the training-data operators share: the word rule, table reading and scratch tables in the shared folder."""
+"""What the training-data operators share: the word rule, table reading and, from the library, scratch tables in the
+shared folder."""
 
 from __future__ import annotations
 
 import math
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.sources.scratch import materialize, scratch_path
+
+__all__ = ["materialize", "scratch_path"]
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: A word: a longest run of characters other than the ASCII white space 0x09-0x0D and 0x20.
@@ -31,25 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tally-shared")
-    return f"{folder.rstrip('/')}/tally"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, and a lost executor
-    costs no recomputation. The files are scratch; the shared folder is cleared after a job."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -16,6 +16,7 @@ batches. Repeated rows are separate documents; other columns take no part. An em
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -221,19 +222,36 @@ def train(docs: DataFrame, known: list[tuple[bytes, int]]) -> Network:
                         own.part[name][:] -= RATE * g / np.sqrt(squares.part[name])
                     seen += len(target)
             if seen:
-                yield pa.RecordBatch.from_pydict({"seen": pa.array(np.full(length, seen, np.int64)), "place": pa.array(np.arange(length, dtype=np.int32)), "weight": pa.array(own.flat.astype(np.float64) * seen)})
+                yield _sum_row(seen, own.flat.astype(np.float64) * seen)
 
         mine = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == round_).select("text")
-        # the tasks' weights are summed by place, before and after a shuffle
-        summed = mine.mapInArrow(learn, "seen long, place int, weight double").groupBy("place").agg(F.sum("seen").alias("seen"), F.sum("weight").alias("weight"))
-        rows = materialize(summed, "lm-weights").toPandas()  # one row for each weight of the network
-        if len(rows):
-            flat = net.flat.copy()
-            flat[rows["place"].to_numpy()] = (rows["weight"] / rows["seen"]).to_numpy(np.float32)
-            net = Network(flat)
+        # one row for each task, which a tree of two levels sums
+        each = materialize(mine.mapInArrow(learn, SUM), "lm-weights")
+        level = max(1, math.isqrt(each.count()))
+        dealt = each.select(F.pmod(F.xxhash64("seen", "weights"), F.lit(level)).alias("part"), "seen", "weights")
+        total = dealt.repartition(level, "part").select("seen", "weights").mapInArrow(_summed, SUM).coalesce(1).mapInArrow(_summed, SUM).collect()
+        for row in total:  # one, or none if there were no tokens
+            net = Network((np.frombuffer(row["weights"]) / row["seen"]).astype(np.float32))
     return net
 
 
+SUM = "seen long, weights binary"
+
+
+def _sum_row(seen: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"seen": pa.array([seen], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, weights = 0, None
+    for batch in batches:
+        for n, raw in zip(batch.column("seen").to_pylist(), batch.column("weights")):
+            one = np.frombuffer(raw.as_buffer())
+            seen, weights = seen + n, one.copy() if weights is None else np.add(weights, one, out=weights)
+    if weights is not None:
+        yield _sum_row(seen, weights)
+
+
 def score(docs: DataFrame, net: Network, known: list[tuple[bytes, int]]) -> DataFrame:
     """(row, doc_id, n_tokens, log_likelihood, others) for each row of docs: the score by tokens, and the counts of the
     words that share one."""

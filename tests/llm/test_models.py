@@ -71,6 +71,64 @@ def test_every_word_has_its_own_probability(spark):
     assert got[9] - got[10] == pytest.approx(math.log(5), abs=1e-4)
 
 
+def slow_log_probability(net, before, after, token):
+    """The network's log-probability of a token between two on each side, in plain Python."""
+    part, kinds = net.part, lm_score.CLASSES
+    around = [*before, *after]
+    hidden = [math.tanh(sum(float(part["embedding"][o][t][k]) for o, t in enumerate(around))) for k in range(lm_score.SIZE)]
+
+    def soft(weights, bias, chosen):
+        logits = [float(bias[j]) + sum(h * float(weights[k][j]) for k, h in enumerate(hidden)) for j in range(kinds)]
+        top = max(logits)
+        return logits[chosen] - top - math.log(sum(math.exp(x - top) for x in logits))
+
+    kind, member = divmod(token, kinds)
+    return soft(part["class_w"], part["class_b"], kind) + soft(part["token_w"][kind], part["token_b"][kind], member)
+
+
+def test_scores_by_brute_force(spark):
+    """Every text's score, by the trained weights, from each token and its neighbours, and the words' shares; with nulls,
+    repeated rows, a null doc_id and a text longer than a batch of steps."""
+    rng = random.Random(4)
+    frequent = [f"c{i}" for i in range(lm_score.TOKENS - lm_score.UNKNOWN)]
+    texts = [" ".join(frequent) + " " + " ".join(rng.choice(frequent[:40]) for _ in range(50)) for _ in range(3)]
+    texts += [" ".join(rng.choice([*frequent[:30], "Rare1", "rare2", "rare3", "\u00e9t\u00e9"]) for _ in range(12)) for _ in range(6)] + [None, "", " \t", "rare1"]
+    rows = [*enumerate(texts), (None, texts[4]), (4, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = lm_score.word_counts(docs).cache()
+    known = lm_score.vocabulary(counts)
+    net = lm_score.train(docs, known)
+    number = {w: i for i, (w, _) in enumerate(known)}
+    every = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    of = lambda w: number.get(w, lm_score.TOKENS - lm_score.UNKNOWN + zlib.crc32(w) % lm_score.UNKNOWN)
+    total = {}
+    for w, n in every.items():
+        if w not in number:
+            total[of(w)] = total.get(of(w), 0) + n
+    want = {}
+    for doc_id, text in rows[3:]:
+        words = [w.lower() for w in (text or "").encode().split()]
+        tokens, gap, score = [of(w) for w in words], [lm_score.TOKENS] * 2, 0.0
+        for i, (w, t) in enumerate(zip(words, tokens)):
+            line = [*gap, *tokens, *gap]
+            score += slow_log_probability(net, line[i : i + 2], line[i + 3 : i + 5], t)
+            score += 0.0 if w in number else math.log(every[w] / total[t])
+        want[doc_id, len(words)] = score
+    got = lm_score.pseudo_likelihood(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if (r["doc_id"], r["n_tokens"]) in want:
+            assert r["log_likelihood"] == pytest.approx(want[r["doc_id"], r["n_tokens"]], rel=1e-3, abs=1e-3)
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} >= set(want)
+
+
+def test_a_very_long_text_is_scored_whole(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 64)
+    long = " ".join(RNG.choice(WORDS[:20]) for _ in range(5000))
+    got = {r["doc_id"]: r for r in lm_score.pseudo_likelihood(spark.createDataFrame([(1, long), (2, "w1 w2")], "doc_id long, text string")).collect()}
+    assert got[1]["n_tokens"] == 5000 and got[1]["log_likelihood"] < -5000
+
+
 def test_toxicity_on_held_out_texts(spark):
     bad = ["scoundrel", "rascal", "villain", "fiend"]
     rows, marks = [], []
