@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BATCH = 1 << 16
-MEMORY = 96 << 20
+MEMORY = 8 << 20
 BASE = 1 << 23
 
 

@@ -39,7 +39,7 @@ from tally.llm.common import blocks_for, materialize, shuffle_partitions
 LENGTH = 400
 KGRAM = 32
 HOT = 2048
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 3 << 20
 PIECE = 1 << 20
 GROUP = 1 << 18
 #: The bits of a hash that give way to the place in which it stands.
@@ -158,11 +158,10 @@ _OWNER = pa.struct([("unnamed", pa.bool_()), ("doc_id", pa.int64()), ("t1", pa.i
 
 
 def _cut(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """contexts with their bytes, cut from the document that owns each."""
-    names = contexts.columns
-    per_doc = contexts.groupBy("owner.t1", "owner.t2", "owner.doc_id").agg(F.collect_list(F.struct(*names)).alias("contexts")).alias("w")
+    """contexts, which are whole, with their bytes, cut from the document that owns each."""
+    per_doc = contexts.groupBy("owner.t1", "owner.t2", "owner.doc_id").agg(F.collect_list(F.struct("anchor", "c1", "c2", "copies", "owner.first", "windows", "hot")).alias("contexts")).alias("w")
     same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    joined = docs.alias("d").join(per_doc, same).select("d.text", "w.contexts")
+    joined = docs.alias("d").join(per_doc, same).select("d.text", "w.t1", "w.t2", "w.doc_id", "w.contexts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,13 +169,16 @@ def _cut(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 batch = whole.slice(at, 64)
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 listed = batch.column("contexts")
-                flat = pa.RecordBatch.from_struct_array(listed.flatten())
-                row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy()).tolist()
-                first = flat.column("owner").field("first").to_pylist()
-                windows = flat.column("windows").to_pylist()
-                for a in range(0, flat.num_rows, 4096):
-                    cut = [texts[r][f : f + w + length - 1] for r, f, w in zip(row[a : a + 4096], first[a : a + 4096], windows[a : a + 4096])]
-                    yield flat.slice(a, 4096).append_column("bytes", pa.array(cut, pa.binary()))
+                every = pa.RecordBatch.from_struct_array(listed.flatten())
+                rows = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+                for a in range(0, every.num_rows, 4096):
+                    flat, row = every.slice(a, 4096), pa.array(rows[a : a + 4096])
+                    doc_id, t1, t2 = (batch.column(c).take(row) for c in ("doc_id", "t1", "t2"))
+                    owner = pa.StructArray.from_arrays([doc_id.is_null(), doc_id, t1, t2, flat.column("first")], fields=list(_OWNER))
+                    cut = [texts[r][f : f + w + length - 1] for r, f, w in zip(row.to_pylist(), flat.column("first").to_pylist(), flat.column("windows").to_pylist())]
+                    whole_range = [pa.array(np.full(flat.num_rows, x, np.int32)) for x in (0, length - KGRAM + 1)]
+                    columns = [*(flat.column(c) for c in ("anchor", "c1", "c2", "copies")), owner, flat.column("windows"), *whole_range, flat.column("hot"), pa.array(cut, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, "anchor c1 c2 copies owner windows low high hot bytes".split())
 
     return joined.mapInArrow(run, f"{CONTEXT}, bytes binary")
 
@@ -306,7 +308,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
     found = materialize(found.join(often, "anchor", "left_semi"), "suffix-often")
     owner = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2", "first")
     contexts = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(owner).alias("owner"), F.first("windows").alias("windows"))
-    contexts = materialize(contexts.select("*", F.lit(0).alias("low"), F.lit(length - KGRAM + 1).alias("high")), "suffix-contexts")
+    contexts = materialize(contexts, "suffix-contexts")
     repeated = _repeated(contexts, lambda some: _cut(some, docs, length), length, hot, shard_bytes, keep_first)
     # every content that holds the context, once
     held = found.select("c1", "c2", "t1", "t2", "first").join(repeated, ["c1", "c2"])
