@@ -11,15 +11,25 @@ block; each names the other in WARC-Concurrent-To. Identifiers are made from the
 rerun makes the same records.
 
 A null payload counts as empty, and gives both records; a null target URI gives no WARC-Target-URI. A null
-record_id gives identifiers made from the empty string. Repeated rows give repeated records. Other columns,
+record_id gives identifiers made from the empty string. Malformed tags are text from their "<" on unless a ">" follows;
+characters by number (&#233;) stay as they are written. Very long pages are converted whole. Repeated rows give repeated records. Other columns,
 whatever their names, take no part. Empty tables give no records.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.llm.common import materialize
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 #: What goes whole, in this order; what breaks a line; named characters. Fixed values of the conversion.
@@ -93,18 +103,83 @@ def derivatives(source: DataFrame) -> DataFrame:
     return each.select("record_id", "warc_type", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", header.alias("header"), "block")
 
 
-def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files: header, an empty line, the block, and the two line ends that separate records."""
-    records.select(F.concat("header", F.lit(CRLF), "block")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block, whole) of the records of WARC files with textual blocks: the headers as a map with names
-    in lower case, and whether the block is as long as Content-Length says. The files are split at the version
-    line, by Spark's text reader; a block that holds such a line shows as not whole."""
-    parts = spark.read.option("lineSep", VERSION + CRLF).text(path).filter(F.trim("value") != "")
-    cut = F.instr("value", CRLF + CRLF)
-    lines = F.split(F.substring(F.col("value"), F.lit(1), cut - 1), CRLF)
-    pair = lambda x: F.struct(F.lower(F.split_part(x, F.lit(":"), F.lit(1))), F.regexp_replace(x, "^[^:]*: *", ""))
-    found = parts.select(F.map_from_entries(F.transform(lines, pair)).alias("headers"), F.regexp_replace(F.col("value").substr(cut + 4, F.length("value")), "\r\n\r\n$", "").alias("block"))
-    return found.select("headers", "block", (F.octet_length("block") == F.try_element_at("headers", F.lit("content-length")).try_cast("int")).alias("whole"))
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+INDEX = "record_id string, file string, offset long, length long"
+
+
+def write(records: DataFrame, folder: str) -> DataFrame:
+    """WARC files of records, one for each partition: each record (header, an empty line, the block, and two line ends)
+    is a gzip member of its own, so that it can be read alone. Gives where each stands: (record_id, file, offset, length).
+    A file is written under a name of its attempt and then renamed, so a task that is run again writes the same file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _place(folder)
+        task = TaskContext.get()
+        name, mine = f"{root}/part-{task.partitionId():05d}.warc.gz", f"{root}/_attempt-{task.taskAttemptId()}"
+        store.create_dir(root, recursive=True)
+        offset, index = 0, []
+        with store.open_output_stream(mine, compression=None) as out:
+            for batch in batches:
+                start = offset
+                for header, block in zip(batch.column("header").to_pylist(), batch.column("block").to_pylist()):
+                    member = gzip.compress(((header or "") + CRLF + (block or "") + CRLF + CRLF).encode(), mtime=0)
+                    out.write(member)
+                    index.append((offset, len(member)))
+                    offset += len(member)
+                if offset > start:
+                    places = pa.array(index, pa.list_(pa.int64(), 2)).flatten().to_numpy().reshape(-1, 2)
+                    yield pa.RecordBatch.from_pydict({"record_id": batch.column("record_id"), "file": pa.array([name] * len(index)), "offset": pa.array(places[:, 0]), "length": pa.array(places[:, 1])})
+                    index = []
+        store.move(mine, name)
+
+    return materialize(records.select("record_id", "header", "block").mapInArrow(run, INDEX), "warc-index")
+
+
+def _records(stream) -> Iterator[tuple[dict, bytes, bool]]:
+    """(headers, block, whole) of a stream of records that follow one another, each as long as its Content-Length says;
+    whole: the two line ends come where they should. What is no record ends the file."""
+    while True:
+        line = stream.readline()
+        if not line:
+            return
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            yield {}, line, False
+            return
+        headers = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode(errors="replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        size = headers.get("content-length", "")
+        block = stream.read(int(size)) if size.isdigit() else b""
+        yield headers, block, size.isdigit() and len(block) == int(size) and stream.read(4) == b"\r\n\r\n"
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(headers, block, whole) of the records of WARC files, plain or gzip: the headers as a map with names in lower case,
+    the block, and whether it is as long as Content-Length says. Files are tasks, and are read as streams."""
+    files = spark.read.format("binaryFile").load(folder).select("path")  # the content is not read here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.map_(pa.string(), pa.string()), pa.binary(), pa.bool_()]
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, name = _place(path)
+                with store.open_input_stream(name, compression=None) as raw:
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
+                    held, size = [], 0
+                    for headers, block, whole in _records(stream):
+                        held.append((list(headers.items()), block, whole))
+                        size += len(block)
+                        if size > 1 << 24 or len(held) == 1024:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["headers", "block", "whole"])
+                            held, size = [], 0
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["headers", "block", "whole"])
+
+    found = files.repartition(max(1, files.count()), "path").mapInArrow(run, "headers map<string, string>, block binary, whole boolean")
+    return found.withColumn("block", F.col("block").cast("string"))

@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: against SQL where there is one, else their form."""
 
 import base64
+import gzip
 from collections import Counter
 
 import numpy as np
@@ -110,3 +111,24 @@ def test_warc_files_read_back(spark, tmp_path):
     assert sorted(r["headers"]["warc-record-id"] for r in back) == sorted(r["record_id"] for r in records.collect())
     assert sorted(r["block"] for r in back) == sorted(r["block"] for r in records.collect())
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_records_stand_alone(spark, tmp_path):
+    """Blocks that hold what looks like a record, very long pages, malformed tags; each record is read by itself."""
+    html = ["<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n", "<div>" + "long text " * 200_000, "a <b c < d > e <", "<p", "é&amp;&#233;"]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    records = warc.derivatives(warc.responses(pages))
+    rows = {r["record_id"]: r for r in records.collect()}
+    long = next(r["block"] for r in rows.values() if r["warc_type"] == "conversion" and r["target_uri"] == "http://x/1")
+    assert long == ("long text " * 200_000).strip()
+    index = warc.write(records, f"file://{tmp_path}/w").collect()
+    back = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert all(r["whole"] for r in back) and sorted(r["block"] for r in back) == sorted(r["block"] for r in rows.values())
+    assert {r["record_id"] for r in index} == set(rows) and len(index) == len(rows)
+    for r in index:
+        with open(r["file"], "rb") as f:
+            f.seek(r["offset"])
+            text = gzip.decompress(f.read(r["length"])).decode()
+        assert text == rows[r["record_id"]]["header"] + "\r\n" + rows[r["record_id"]]["block"] + "\r\n\r\n"
+    (tmp_path / "w" / "broken.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
+    assert sum(not r["whole"] for r in warc.read(spark, f"file://{tmp_path}/w").collect()) == 1
