@@ -144,8 +144,12 @@ def train(positive: _Rows, unlabelled: _Rows, prior: float, seed: int = SEED) ->
 SAMPLE = "member int, positive boolean, features array<int>"
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """The averaged weights, or None if no label of the learning folds is positive."""
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> np.ndarray | None:
+    """The averaged weights, or None if no label of the learning folds is positive.
+
+    The classifier is fitted on at most most_positive toxic texts, and at most most_unlabelled others, by the least hashes
+    of their doc_ids: more of them make the features' shares and the risk estimate more exact, at a cost that grows with
+    their number; with fewer the classifier does not become biased, since the prior is counted over all labels."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialize(known, "toxicity-labels")
     n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -153,10 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         return None
     prior = min(0.95, n_toxic / n)
     least = lambda df, most: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    positive = least(known.filter("toxic = 1"), MOST_POSITIVE).withColumn("positive", F.lit(True))
-    others = least(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), MOST_UNLABELLED).withColumn("positive", F.lit(False))
-    # at most MOST_POSITIVE + MOST_UNLABELLED ids
-    sample = materialize(positive.union(others).withColumn("member", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks_for(min(n_toxic, MOST_POSITIVE), MEMBER_POSITIVE))).cast("int")), "toxicity-sample")
+    positive = least(known.filter("toxic = 1"), most_positive).withColumn("positive", F.lit(True))
+    others = least(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), most_unlabelled).withColumn("positive", F.lit(False))
+    # at most most_positive + most_unlabelled ids
+    sample = materialize(positive.union(others).withColumn("member", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks_for(min(n_toxic, most_positive), MEMBER_POSITIVE))).cast("int")), "toxicity-sample")
     texts = docs.join(F.broadcast(sample), "doc_id").select("member", "positive", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,71 @@ def test_toxicity_on_held_out_texts(spark):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_training_by_brute_force():
+    """The same steps text by text, over dictionaries."""
+    rng = random.Random(8)
+    draw = lambda words: np.array(sorted({rng.choice(words) for _ in range(6)}), np.int32)
+    positive, unlabelled = [draw(range(0, 20)) for _ in range(60)], [draw(range(10, 60)) for _ in range(90)]
+    prior = 0.2
+    got = toxicity.train(toxicity._Rows(positive), toxicity._Rows(unlabelled), prior)
+
+    counts = [[sum(f in t for t in side) for f in range(60)] for side in (positive, unlabelled)]
+
+    def tells(f):
+        p, u = counts[0][f], counts[1][f]
+        share = (p + u) / 150
+        return p + u >= toxicity.LEAST_TEXTS and abs(p / 60 - u / 90) >= toxicity.LEAST_Z * math.sqrt(max(1e-12, share * (1 - share)) * (1 / 60 + 1 / 90))
+
+    keep = {f for f in range(60) if tells(f)}
+    positive, unlabelled = ([[f for f in t.tolist() if f in keep] for t in side] for side in (positive, unlabelled))
+    w, g2, bias, bias2 = dict.fromkeys(keep, 0.0), dict.fromkeys(keep, 1e-6), math.log(prior / (1 - prior)), 1e-6
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    dice = np.random.default_rng(toxicity.SEED)
+    for _ in range(toxicity.EPOCHS):
+        order = dice.permutation(len(unlabelled)).tolist()
+        for at in range(0, len(order), toxicity.BATCH):
+            us = [unlabelled[i] for i in order[at : at + toxicity.BATCH]]
+            ps = [positive[i] for i in dice.integers(0, len(positive), min(toxicity.BATCH, len(positive))).tolist()]
+            margin = lambda t: sum(w[f] for f in t) + bias
+            zu, zp = [margin(t) for t in us], [margin(t) for t in ps]
+            rest = sum(math.log1p(math.exp(z)) for z in zu) / len(us) - prior * sum(math.log1p(math.exp(z)) for z in zp) / len(ps)
+            if rest >= 0:
+                slopes = [(t, sigmoid(z) / len(us)) for t, z in zip(us, zu)] + [(t, prior * (-sigmoid(-z) - sigmoid(z)) / len(ps)) for t, z in zip(ps, zp)]
+            else:
+                slopes = [(t, -sigmoid(z) / len(us)) for t, z in zip(us, zu)] + [(t, prior * sigmoid(z) / len(ps)) for t, z in zip(ps, zp)]
+            grad = {}
+            for t, s in slopes:
+                for f in t:
+                    grad[f] = grad.get(f, 0.0) + s
+            for f, g in grad.items():
+                g += toxicity.DECAY * w[f]
+                g2[f] += g * g
+                w[f] -= toxicity.RATE * g / math.sqrt(g2[f])
+            total = sum(s for _, s in slopes)
+            bias2 += total**2
+            bias -= toxicity.RATE * 0.1 * total / math.sqrt(bias2)
+    assert keep and got[-1] == pytest.approx(bias, abs=1e-9)
+    assert {f: got[f] for f in keep} == pytest.approx(w, abs=1e-9) and not np.delete(got[:-1], sorted(keep)).any()
+
+
+def test_toxicity_of_odd_rows(spark):
+    """An empty table, a very long text, repeated rows, a column called score; scores are sums of the words' weights."""
+    docs = spark.createDataFrame([(i, "scum word" if i % 2 else "fine word", 7) for i in range(300)] + [(500, "scum " * 200_000 + "fine", 7), (501, None, 7), (1, "scum word", 7)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, weights)
+    assert got.columns == ["doc_id", "score"]
+    rows = got.collect()
+    assert len(rows) == 303 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+    score = {r["doc_id"]: r["score"] for r in rows}
+    for i, text in ((1, "scum word"), (2, "fine word"), (500, "scum fine"), (501, "")):
+        z = sum(float(weights[f]) for f in toxicity.text_features(text)) + float(weights[-1])
+        assert score[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    assert toxicity.score(docs.limit(0), weights).count() == 0
+    assert toxicity.fit(docs.limit(0), labels) is None or toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+    assert toxicity.fit(docs, labels, most_positive=20, most_unlabelled=40) is not None
+
+
 def test_held_out_labels_are_not_read(spark):
     docs = spark.createDataFrame([(i, "scum" if i % 2 else "fine") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
@@ -307,6 +372,12 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_mixing_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x y", "a"), (3, "z", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["size"], r["copies"]) for r in mixing.mixture_plan(df).collect()}
+    assert got[1][0] == 400_000 and all(c <= 2 for _, c in got.values())
+
+
 @pytest.mark.parametrize("parameters", [None, (1, 3, 1.0, 5), (3, 10, 2.0, 200)])
 def test_recall_through_the_query(spark, data, parameters):
     """The registered query's operator on the smallest table of vectors, by what it chooses and by given parameters."""
