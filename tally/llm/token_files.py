@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tally.llm import pieces
-from tally.llm.common import materialize, scratch_path, shuffle_partitions
+from tally.llm.common import blocks_for, materialize, scratch_path, shuffle_partitions
 
 DOC = np.dtype([("doc_id", "<i8"), ("known", "u1")])
 #: Byte-level vocabularies write bytes as characters: printable ones of Latin-1 as themselves, the others, in order, from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: Bytes of text of a shard.
+SHARD_BYTES = 256 << 20
 MANIFEST = "part int, n_docs long, n_ids long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -85,8 +87,9 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
-    """Writes the shards of docs (doc_id, text) below folder; the manifest: part, n_docs, n_ids, base."""
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards of docs (doc_id, text) below folder, each of about shard_bytes of text or less; the manifest:
+    part, n_docs, n_ids, base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _place(folder)
@@ -115,20 +118,28 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
 
     spark = docs.sparkSession
     tied = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    dealt = tied.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(shuffle_partitions(spark), blocks_for(size, shard_bytes))
+    dealt = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     manifest = materialize(dealt.select("doc_id", "text").mapInArrow(run, MANIFEST), "token-manifest")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.select("*", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base"))
 
 
-def _mapped(store: fs.FileSystem, path: str, dtype) -> np.ndarray:
-    """The file as an array: memory-mapped where the store is a file system, else read."""
-    if store.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _File:
+    """A file as an array that is read by ranges: memory-mapped where the store is a file system."""
+
+    def __init__(self, store: fs.FileSystem, path: str, dtype):
+        self.dtype = np.dtype(dtype)
+        self.n = store.get_file_info(path).size // self.dtype.itemsize
+        self.mapped = np.memmap(path, self.dtype, "r") if self.n and isinstance(store, fs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else store.open_input_file(path)
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[a:b]
+        self.file.seek(a * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((b - a) * self.dtype.itemsize), self.dtype)
 
 
 def read_shards(manifest: DataFrame, folder: str, wide: bool = False) -> DataFrame:
@@ -140,16 +151,16 @@ def read_shards(manifest: DataFrame, folder: str, wide: bool = False) -> DataFra
         for batch in batches:
             for shard in batch.to_pylist():
                 name = f"{root}/shard-{shard['part']:05d}"
-                ids, offsets, docs = _mapped(store, f"{name}.ids", dtype), _mapped(store, f"{name}.offsets", "<u8"), _mapped(store, f"{name}.docs", DOC)
-                for a in range(0, len(docs), 4096):
-                    b = min(a + 4096, len(docs))
-                    at = offsets[a : b + 1].astype(np.int64)
-                    sums = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:])]
-                    known = docs["known"][a:b].astype(bool)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs["doc_id"][a:b].astype(np.int64), pa.int64(), mask=~known), "start": pa.array(at[:-1] + shard["base"]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(sums, pa.int64())})
-
-    spark = manifest.sparkSession
-    return manifest.repartition(shuffle_partitions(spark), "part").mapInArrow(run, FOUND)
+                ids, offsets, docs = _File(store, f"{name}.ids", dtype), _File(store, f"{name}.offsets", "<u8"), _File(store, f"{name}.docs", DOC)
+                for a in range(0, docs.n, 1024):
+                    b = min(a + 1024, docs.n)
+                    at = offsets.range(a, b + 1).astype(np.int64)
+                    own = docs.range(a, b)
+                    sums = [zlib.crc32(ids.range(x, y).astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                    known = own["known"].astype(bool)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own["doc_id"].astype(np.int64), pa.int64(), mask=~known), "start": pa.array(at[:-1] + shard["base"]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(sums, pa.int64())})
+
+    return manifest.repartition(shuffle_partitions(manifest.sparkSession), "part").mapInArrow(run, FOUND)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:

@@ -94,6 +94,29 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_files(df.limit(0), FILE, 2, f"file://{tmp_path}/none")[1].count() == 0
 
 
+def test_shards_by_size_and_clashing_columns(spark, tmp_path):
+    docs = [(i, "word " * (i % 7), "x", 1, 2) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, tie string, start int, n_tokens int").repartition(3)
+    manifest = token_files.write_shards(df, FILE, 2, f"file://{tmp_path}/t", shard_bytes=100)
+    assert manifest.count() > 4 and manifest.agg({"n_docs": "sum"}).first()[0] == 60
+    found = {r["doc_id"]: r["n_tokens"] for r in token_files.read_shards(manifest, f"file://{tmp_path}/t").collect()}
+    tok = Tokenizer.from_file(FILE)
+    assert found == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t, *_ in docs}
+    one = token_files._File(token_files.fs.SubTreeFileSystem(str(tmp_path), token_files.fs.LocalFileSystem()), "t/shard-00000.offsets", "<u8")
+    assert one.mapped is None and one.range(0, 1).tolist() == [0] and one.range(1, one.n).tolist() == sorted(one.range(1, one.n).tolist())
+
+
+def test_encode_long_and_clashing(spark, library):
+    """Texts of a megabyte, with and without spaces, and columns that are called like the new ones."""
+    long = ["x" * 300_000, "one two, three. " * 60_000, "ab\n" * 50_000]
+    df = spark.createDataFrame([(i, t, 5, 6) for i, t in enumerate([*long, long[2]])], "doc_id long, text string, token_ids int, decoded int")
+    out = bpe.encode(df, RANKS, P.PATTERN, decoded="decoded")
+    assert out.columns == ["doc_id", "token_ids", "decoded"]
+    for r in out.collect():
+        text = long[min(r["doc_id"], 2)]
+        assert ids(r["token_ids"]) == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
+
+
 def test_encode_in_spark(spark):
     df = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, decoded int")
     out = bpe.encode(df.withColumnRenamed("decoded", "token"), RANKS, P.PATTERN)
