@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tally.operators import contest, quiz, scoring
+from tally.operators import contest, quiz, reports, scoring
 from tally.plans import roles
 from tally.registry.contest import _RANKED
 from tally.registry.sqlroles import roles as R
+from tally.sources import readers
+from tally.sources.scratch import scratch_path
 
 perf = scoring.performances
 
@@ -31,7 +33,28 @@ def scoring_of_answers(s, d):
     return rows.groupBy("user_id").agg(F.round(F.sum("slider"), 4).alias("slider"), F.round(F.sum("multi"), 4).alias("multi"), F.round(F.sum("ordering"), 4).alias("ordering"), percent.alias("percent"), band.alias("band"))
 
 
+def quiz_dictionaries(s, d):
+    """The four dictionaries, written as files and read back: (dictionary, key, value)."""
+    ranges = reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d))
+    tables = {
+        "groups_active": ranges.select(F.col("group_name").alias("colla_name"), "min_year", "max_year", "year_range", F.col("num_years").cast("int").alias("years_with_10plus_events"), F.col("total_events").cast("string").alias("total_events_in_range"), (F.col("num_years") / 10).alias("boost")),
+        "groups_founded": roles.groups(s, d).select(F.col("group_name").alias("name"), (F.col("group_id") + 1900).cast("int").alias("any_primera_actuacio"), F.concat(F.lit("color "), (F.col("group_id") % 6).cast("string")).alias("color_camisa"), F.lit("#fff").alias("color_code")),
+        "contest_days": roles.order_events(s, d).select(F.year("event_date").alias("any"), F.col("day").alias("jornada")).distinct(),
+        "item_points": roles.scores(s, d).select(F.col("code").alias("castell_code"), F.col("external").alias("castell_code_external"), F.col("full").cast("int").alias("punts_descarregat"), F.col("partial").cast("int").alias("punts_carregat"), F.array(F.lit(2018), F.lit(2022)).alias("years")),
+    }
+    shown = {"groups_active": ("colla_name", "concat_ws('|', min_year, max_year, year_range, years_with_10plus_events, total_events_in_range)"), "groups_founded": ("name", "concat_ws('|', any_primera_actuacio, color_camisa, color_code)"), "contest_days": ("any", "jornada"), "item_points": ("castell_code", "concat_ws('|', castell_code_external, punts_descarregat, punts_carregat, size(years))")}
+    out = None
+    for name, df in tables.items():
+        folder = scratch_path(s, f"dictionary-{name}")
+        df.write.json(folder)
+        key, value = shown[name]
+        rows = readers.dictionary(s, folder, name, lines=True).select(F.lit(name).alias("dictionary"), F.col(key).cast("string").alias("key"), F.expr(value).alias("value"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 QUERIES = {
+    "quiz_dictionaries": quiz_dictionaries,
     "quiz_best_event": lambda s, d: quiz.best_event(perf(s, d)),
     "best_item_unique": lambda s, d: quiz.best_item_unique(perf(s, d)),
     "distractors": lambda s, d: quiz.distractors(roles.scores(s, d)),
@@ -63,6 +86,7 @@ _ARR = lambda *x: "[" + ", ".join(f"(({v}) % 6)" for v in x) + "]"
 _CH, _RI = f"list_distinct({_ARR('event_id', 'event_id + 2', 'event_id * 3')})", f"list_distinct({_ARR('event_id', 'event_id + 1')})"
 
 SQL = {
+    "quiz_dictionaries": R("ranges", "oe", "sc") + "SELECT 'groups_active' AS dictionary, group_name AS key, min_year || '|' || max_year || '|' || year_range || '|' || num_years || '|' || total_events AS value FROM ranges UNION ALL SELECT 'groups_founded', n_name, (n_nationkey + 1900) || '|color ' || n_nationkey % 6 || '|#fff' FROM nation UNION ALL SELECT DISTINCT 'contest_days', year(event_date)::VARCHAR, day FROM oe UNION ALL SELECT 'item_points', code, external || '|' || \"full\" || '|' || partial || '|2' FROM sc",
     "quiz_best_event": R("totals") + f", t AS (SELECT *, year(event_date)::INTEGER AS y, row_number() OVER (PARTITION BY group_id, year(event_date) ORDER BY total_points DESC, event_date, event_id) AS rn FROM totals QUALIFY rn <= 4) SELECT group_name, y AS year, max(CASE WHEN rn = 1 THEN {_LABEL} END) AS correct, string_agg(CASE WHEN rn > 1 THEN {_LABEL} END, '; ' ORDER BY rn) AS wrong FROM t GROUP BY group_name, y HAVING count(*) > 1",
     "best_item_unique": R("perf") + f"SELECT group_name, event_year, item_name, status, points FROM perf QUALIFY row_number() OVER (PARTITION BY group_name, event_year, item_name ORDER BY points DESC, {_PRIO}, attempt_id) = 1",
     "distractors": R("sc", **_WRONG) + 'SELECT code, "full", wrong FROM sc JOIN wrongs ON p = "full"',

@@ -57,8 +57,9 @@ def info_chunks(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", CHUNKS)["chunks"]).alias("c")).select("c.*")
 
 
-def dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(DICTIONARIES[name]).option("multiLine", True).json(path)
+def dictionary(spark: SparkSession, path: str, name: str, lines: bool = False) -> DataFrame:
+    """A dictionary of the quiz: files that hold a list, or, for those that grow, one object a line."""
+    return spark.read.schema(DICTIONARIES[name]).option("multiLine", not lines).json(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
