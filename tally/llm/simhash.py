@@ -42,6 +42,8 @@ from tally.llm.components import components
 RADIUS = 2
 WORDS = 3
 BLOCK = 8192
+#: Fingerprints of a row of those that travel.
+PACKED = 1024
 #: Pairs that are compared at once; if all are near, their numbers take some forty bytes each.
 COMPARED = 1 << 20
 SEED = 42
@@ -170,10 +172,13 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     blocks = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     blocks = F.broadcast(materialize(blocks, "simhash-tiles"))
     own_block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    at_home = tiled.join(blocks, "tile").select("fp", "counts", "tile", own_block.alias("home"), "blocks")
-    member = at_home.select("tile", F.col("home").alias("block"), F.lit(True).alias("member"), "fp")
+    # a block's fingerprints travel as arrays, to their own place and to those that they visit
+    at_home = tiled.join(blocks, "tile").groupBy("tile", own_block.alias("home")).agg(F.first("counts").alias("counts"), F.first("blocks").alias("blocks"), F.collect_list("fp").alias("fps"))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("fps") - 1) / PACKED).cast("int")), lambda i: F.slice("fps", i * PACKED + 1, F.lit(PACKED)))
+    at_home = materialize(at_home.select("tile", "home", "counts", "blocks", F.explode(slices).alias("fps")), "simhash-packed")
+    member = at_home.select("tile", F.col("home").alias("block"), F.lit(True).alias("member"), "fps")
     later = F.when(F.col("home") + 1 < F.col("blocks"), F.sequence(F.col("home") + 1, F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
-    within = at_home.filter("blocks > 1").select("tile", F.explode(later).alias("block"), F.lit(False).alias("member"), "fp")
+    within = at_home.filter("blocks > 1").select("tile", F.explode(later).alias("block"), F.lit(False).alias("member"), "fps")
 
     def beside(step: tuple[int, ...]) -> Column:
         near = [F.element_at("counts", q + 1) + d for q, d in enumerate(step)]
@@ -182,8 +187,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             legal = legal & c.between(0, 64 // parts) if d else legal
         return F.when(legal, _number(near, parts))
 
-    away = tiled.select("fp", F.explode(F.array_compact(F.array(*[beside(s) for s in _steps(radius, parts)]))).alias("tile"))
-    away = away.join(blocks, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), "fp")
+    away = at_home.select("fps", F.explode(F.array_compact(F.array(*[beside(s) for s in _steps(radius, parts)]))).alias("tile"))
+    away = away.join(blocks, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), "fps")
     dealt = member.union(within).union(away).repartition("tile", "block").sortWithinPartitions("tile", "block", F.col("member").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +201,11 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
         guests: list[np.ndarray] = []
         for batch in batches:
-            place = batch.column("tile").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
-            is_member = batch.column("member").to_numpy(zero_copy_only=False)
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            packed = batch.column("fps")
+            sizes = packed.value_lengths().to_numpy()
+            place = np.repeat(batch.column("tile").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy(), sizes)
+            is_member = np.repeat(batch.column("member").to_numpy(zero_copy_only=False), sizes)
+            fp = packed.flatten().to_numpy().view(np.uint64)
             cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
             for x, y in zip(cuts[:-1], cuts[1:]):
                 if x == y:
