@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tally.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from tally.llm.common import materialize, ship, table
+from tally.sources.scratch import scope
 
 #: Repeated passages from here on are cut: some fifty words, at five bytes a word with its space.
 PASSAGE_BYTES = 250
@@ -74,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scope(spark, keep="pipeline-"):  # what a stage keeps for itself goes when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

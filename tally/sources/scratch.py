@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tally"
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Deletes the scratch tables that are made inside, at its end, but for those whose name begins with `keep`. What is
+    computed from them must be written by then."""
+    start = len(_made)
+    yield
+    mine, _made[start:] = _made[start:], []
+    for path in mine:
+        if os.path.basename(path).startswith(keep):
+            _made.append(path)
+        else:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
