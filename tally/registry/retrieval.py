@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tally.operators import reports, retrieval, scoring
 from tally.plans import roles
-from tally.plans.filters import FilterSpec
 from tally.registry.sqlroles import roles as R
 
 QUESTION = "història de src3 als anys 80 a fr"
