@@ -47,13 +47,17 @@ def distractors(scores: DataFrame) -> DataFrame:
     """(code, full, wrong): for each code other codes of nearly as many points: of the six values of points
     nearest to its own, within the band, the first three, each by its least code.
 
-    The join is between different values of points, which are few however many codes there are."""
-    values = scores.groupBy("full").agg(F.min("code").alias("code"))
-    near = values.select(F.col("full").alias("p")).join(values, (F.abs(F.col("full") - F.col("p")) <= F.greatest(F.lit(BAND), F.floor(F.col("p") * BAND_PERCENT / 100))) & (F.col("full") != F.col("p")))
-    order = Window.partitionBy("p").orderBy(F.abs(F.col("full") - F.col("p")), "full")
-    picked = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= min(NEAREST, WRONG))
-    wrong = picked.groupBy("p").agg(F.expr("listagg(code, ',') WITHIN GROUP (ORDER BY rn) AS wrong"))
-    return scores.join(wrong, scores["full"] == wrong["p"]).select("code", "full", "wrong")
+    The nearest three are among the three next values on either side, in one pass over the different values in order.
+    Points are small whole numbers, so these are few however many codes there are."""
+    values = scores.groupBy("full").agg(F.min("code").alias("code")).filter("full IS NOT NULL")
+    order, own = Window.orderBy("full"), F.struct("full", "code")
+    beside = F.array_compact(F.array(*[f(own, i).over(order) for f in (F.lag, F.lead) for i in range(1, min(NEAREST, WRONG) + 1)]))
+    off = lambda x: F.abs(x["full"] - F.col("full"))
+    band = F.greatest(F.lit(BAND), F.floor(F.col("full") * BAND_PERCENT / 100))
+    near = F.array_sort(F.transform(F.filter("beside", lambda x: off(x) <= band), lambda x: F.struct(off(x).alias("off"), x["full"].alias("full"), x["code"].alias("code"))))
+    wrong = F.array_join(F.transform(F.slice(near, 1, min(NEAREST, WRONG)), lambda x: x["code"]), ",")
+    picked = values.withColumn("beside", beside).select(F.col("full").alias("p"), wrong.alias("wrong")).filter("wrong <> ''")
+    return scores.join(picked, scores["full"] == picked["p"]).select("code", "full", "wrong")
 
 
 def _events_by_best(perf: DataFrame) -> DataFrame:

@@ -61,8 +61,9 @@ def vector_columns(df: DataFrame) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k vectors of largest cosine for each of a few queries (query_id, qvec);
-    the queries are a stated set that is sent to all vectors, and each task keeps k of them before the shuffle."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score"))
+    whether they are sent to all vectors whole is left to Spark's own check of their size, and each task keeps k of them
+    before the shuffle. top_k_blocks is for sets that grow."""
+    scored = vectors.crossJoin(queries).select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
