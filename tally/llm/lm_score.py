@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.llm.common import materialize
+from tally.llm.pieces import Recent
 
 CLASSES = 32
 TOKENS = CLASSES * CLASSES
@@ -75,14 +76,16 @@ def shares(counts: DataFrame, known: list[tuple[bytes, int]]) -> DataFrame:
     return rest.join(F.broadcast(totals), "token").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
-class Ids(dict):
-    """Words to tokens; what has no token of its own shares one of the last ones."""
+SHARED = TOKENS - UNKNOWN
 
-    def __init__(self, known: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(known)})
 
-    def __missing__(self, word: bytes) -> int:
-        return TOKENS - UNKNOWN + zlib.crc32(word) % UNKNOWN
+class Ids(Recent):
+    """Words to tokens; what has no token of its own shares one from SHARED on. Words met lately are kept."""
+
+    def __init__(self, known: list[bytes]):
+        own = {w: i for i, w in enumerate(known)}
+        super().__init__(lambda word: own[word] if word in own else SHARED + zlib.crc32(word) % UNKNOWN, COUNTED)
+        self.update(own)
 
 
 class Network:
@@ -182,7 +185,7 @@ def _batches(batches: Iterator[pa.RecordBatch], ids: Ids, sharing: bool = False)
             said = words(text)
             doc = list(map(ids.__getitem__, said))
             if sharing:
-                others.append(Counter(w for w in said if w not in ids))
+                others.append(Counter([w for w, t in zip(said, doc) if t >= SHARED]))
             names.append((number, row))
             group.append(doc)
             held += len(doc)
