@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, lm_score, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
+from tally.llm import ann, bpe, collocations, lm_score, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
 from tally.llm.common import ship, table
 
 
@@ -60,6 +60,10 @@ def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_score": op2_lm_score,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_files": op9_token_files,
     "op10_multiprobe_lsh": op10_multiprobe_lsh,
+    "op12_collocations": op12_collocations,
 }
 
 _RULES = {"symbols": "n_symbols / word_chars", "marks": "n_marks / n_words", "capitals": "n_capitals / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
@@ -188,7 +193,29 @@ r AS (
 SELECT doc_id, size, source_size, target, (floor(step * n + start) - floor(step * (n - 1) + start))::BIGINT * size AS taken FROM r
 """
 
-ORACLE_SQL = {"op4_warc_derivatives": OP4_SQL, "op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+grams AS ({" UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS phrase FROM w" for k in (1, 2, 3))}),
+counts AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k >= 2 AND n >= {collocations.SUPPORT}),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN longer x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.a IS NULL OR 100 * x.a < 50 * c.a),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.n AS l, r.n AS r, cut, (1000000::HUGEINT * c.a * c.a // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:len(ws)], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst QUALIFY rank <= {collocations.TOP}),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+"""
+
+ORACLE_SQL = {"op12_collocations": OP12_SQL, "op4_warc_derivatives": OP4_SQL, "op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
 
 
 def queries() -> dict:
