@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, collocations, lm_score, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
+from tally.llm import ann, bpe, collocations, lm_score, mixing, quality_rules, resampling, simhash, suffix_dedup, token_files, toxicity, warc
 from tally.llm.common import ship, table
 
 
@@ -64,6 +64,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_score": op2_lm_score,
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_multiprobe_lsh": op10_multiprobe_lsh,
     "op12_collocations": op12_collocations,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _RULES = {"symbols": "n_symbols / word_chars", "marks": "n_marks / n_words", "capitals": "n_capitals / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
@@ -215,7 +220,33 @@ totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lan
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
 """
 
-ORACLE_SQL = {"op12_collocations": OP12_SQL, "op4_warc_derivatives": OP4_SQL, "op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
+_BITS = "flatten(list_transform(range(strlen(feature)), lambda i: [('0x' || substr(hex(feature), 2 * i::INT + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+_CRC32 = f"xor(4294967295, list_reduce({_BITS}, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295))"
+
+OP13_SQL = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, 's' AS side, doc_id, text FROM documents UNION ALL SELECT NULL, 't', NULL, text FROM benchmark),
+w AS (
+  SELECT rid, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+found AS (SELECT rid, side, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w),
+once AS (SELECT feature, {_CRC32} % {resampling.BUCKETS} AS bucket FROM (SELECT DISTINCT feature FROM found)),
+features AS (SELECT rid, side, bucket FROM found JOIN once USING (feature)),
+counts AS (SELECT bucket, count_if(side = 's') AS s, count_if(side = 't') AS t FROM features GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE + {resampling.BUCKETS} AS s, coalesce(sum(t), 0)::DOUBLE + {resampling.BUCKETS} AS t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((c.t + 1)::DOUBLE * totals.s) / ((c.s + 1)::DOUBLE * totals.t)))::BIGINT AS gain FROM counts c, totals),
+weights AS (SELECT rid, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE side = 's' GROUP BY rid),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (rid) WHERE side = 's'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place,
+         count_if(n_words >= {resampling.LEAST_WORDS}) OVER () * {resampling.PERCENT} // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {resampling.LEAST_WORDS} AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+ORACLE_SQL = {"op13_importance_resampling": OP13_SQL, "op12_collocations": OP12_SQL, "op4_warc_derivatives": OP4_SQL, "op3_quality_rules": OP3_SQL, "op8_source_mixing": OP8_SQL}
 
 
 def queries() -> dict:
