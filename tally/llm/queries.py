@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, collocations, lm_score, mixing, quality_rules, resampling, simhash, suffix_dedup, token_files, toxicity, warc
+from tally.llm import ann, bpe, collocations, lm_score, mixing, pii, quality_rules, resampling, simhash, suffix_dedup, token_files, toxicity, warc
 from tally.llm.common import ship, table
 
 
@@ -60,6 +60,10 @@ def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_files": op9_token_files,
     "op10_multiprobe_lsh": op10_multiprobe_lsh,
+    "op11_personal_data": op11_personal_data,
     "op12_collocations": op12_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
