@@ -246,10 +246,10 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS)
     return materialize(counts.filter((F.col("n") >= support) | (F.col("words") == 0)), "collocations-counts")
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases by the score of their worst cut, without those
     that a longer candidate holds and mostly stands for."""
-    counts = phrase_counts(docs, support)
+    counts = phrase_counts(docs, support, shards)
     phrases = counts.filter("words >= 2").select("lang", "words", "phrase", F.col("n").alias("a"))
     words = F.split("phrase", " ")
     # the most frequent longer phrase around each shorter one
