@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +88,9 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(pack, "ids binary, units binary")
 
 
-def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As top_k, for a query set that grows with the table: blocks of queries meet blocks of vectors, each pair by one
-    product of matrices, and gives k rows for each of its queries. No side is broadcast whole."""
+def best_of_blocks(k: int) -> Callable:
+    """A function for mapInArrow: (query_id, id, score) of the k rows of largest product for each query of each pair of blocks
+    (ids, units, q_ids, q_units), and those tied with the last."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +98,17 @@ def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 scores = np.frombuffer(q_units).reshape(len(q_ids), -1) @ np.frombuffer(units).reshape(len(ids), -1).T
                 least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
-                query, row = np.nonzero(scores >= least[:, None])  # k for each query, and those tied with the last
+                query, row = np.nonzero(scores >= least[:, None])
                 yield pa.RecordBatch.from_pydict({"query_id": q_ids[query], "id": ids[row], "score": scores[query, row]})
 
+    return meet
+
+
+def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As top_k, for a query set that grows with the table: blocks of queries meet blocks of vectors, each pair by one
+    product of matrices, and gives k rows for each of its queries. No side is broadcast whole."""
     asked = _blocks(queries, "query_id", "qvec").toDF("q_ids", "q_units")
-    found = _blocks(vectors, "id", "vec").crossJoin(asked).mapInArrow(meet, "query_id long, id long, score double")
+    found = _blocks(vectors, "id", "vec").crossJoin(asked).mapInArrow(best_of_blocks(k), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -114,30 +120,6 @@ def above(found: DataFrame, least: float = 0.2, most: int = 2) -> DataFrame:
     return enough.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).select("query_id", "id", "score")
 
 
-def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 50, probes: int | None = None) -> DataFrame:
-    """As top_k, by an inverted file: vectors are listed by their nearest centre, and a query visits the lists of
-    the nearest `probes` centres, all of them if it is None, which is exact. A query goes on to further lists as
-    long as those it visited hold fewer than k vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = vectors.select("id", "vec", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=lists, seed=7, maxIter=10).fit(points)
-    listed = model.transform(points).select("id", "vec", F.col("prediction").alias("list"))
-    sizes = listed.groupBy("list").agg(F.count("*").alias("size"))  # one row for each list
-    spark = vectors.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
-    distance = F.aggregate(F.zip_with("qvec", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    near = Window.partitionBy("query_id").orderBy("distance", "list")
-    visits = queries.crossJoin(F.broadcast(centres.join(F.broadcast(sizes), "list"))).withColumn("distance", distance)
-    if probes is not None:
-        before = F.coalesce(F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        visits = visits.withColumn("n", F.row_number().over(near)).withColumn("before", before).filter((F.col("n") <= probes) | (F.col("before") < k))
-    scored = listed.join(visits.select("query_id", "qvec", "list"), "list").select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
 def question_words(question: str) -> list[str]:
     import re
 

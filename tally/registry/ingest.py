@@ -11,6 +11,7 @@ from tally.plans import roles
 from tally.registry.sqlroles import roles as R
 from tally.sources import sinks
 from tally.sources.scratch import materialize, scratch_path
+from tally.sources.store import Store, copied
 
 
 def _nested_events(s, d):
@@ -106,9 +107,30 @@ def reload_counts(s, d):
     """The tables of nested events, written over older ones in the order of dependency: their counts, and those of
     what is stored then."""
     tables = ingest.flatten_events(materialize(_nested_events(s, d), "nested-events"))
-    folder = scratch_path(s, "reload")
-    sinks.write_tables({name: df.limit(7) for name, df in tables.items()}, folder)
-    return sinks.reload_tables(s, tables, folder)
+    store = Store(s, scratch_path(s, "reload"))
+    store.replace({name: df.limit(7) for name, df in tables.items()})
+    return sinks.reload_tables(store, tables)
+
+
+def load_batches(s, d):
+    """Attempts by the year of their event, each year a batch that is committed for itself; the load is broken off after
+    three years, and run again."""
+    rows = roles.attempts_at_events(s, d).select("attempt_id", "group_id", "item_name", "status", F.year("event_date").alias("year"))
+    files = scratch_path(s, "by-year")
+    rows.repartition("year").write.partitionBy("year").parquet(files)
+    years = sorted(r["year"] for r in s.read.parquet(files).select("year").distinct().collect())  # the names of folders
+    store = Store(s, scratch_path(s, "batches"))
+    batch = lambda year: lambda: s.read.parquet(f"{files}/year={year}").withColumn("year", F.lit(year))
+    for some in (years[:3], years):
+        store.load("attempts", {str(y): batch(y) for y in some})
+    return store.read("attempts").groupBy("year").agg(F.count("*").alias("rows"), F.count_distinct("attempt_id").alias("attempts"))
+
+
+def store_copy(s, d):
+    """Four tables written to one store and copied to another, with the counts of both."""
+    one, two = Store(s, scratch_path(s, "store")), Store(s, scratch_path(s, "store"))
+    one.replace(_stores(s, d)[0])
+    return copied(one, two)
 
 
 def _date_texts(s, d):
@@ -137,6 +159,8 @@ QUERIES = {
     "incremental_new": incremental_new,
     "event_dedupe": event_dedupe,
     "reload_counts": reload_counts,
+    "load_batches": load_batches,
+    "store_copy": store_copy,
     "verify_counts": lambda s, d: ingest.count_compare(*_stores(s, d)),
     "date_parse": lambda s, d: _date_texts(s, d).select("event_id", "text", ingest.parse_date(F.col("text")).alias("parsed")),
     "drop_empty": drop_empty,
@@ -161,6 +185,8 @@ SQL = {
     "incremental_new": R("att") + f", {_OLD} SELECT * FROM new WHERE attempt_id NOT IN (SELECT attempt_id FROM old)",
     "event_dedupe": R("ev") + "SELECT * FROM ev",
     "reload_counts": R("att", "ev", "grp") + "SELECT t AS \"table\", n AS source_rows, n AS target_rows, true AS equal FROM (SELECT 'attempts' AS t, count(*) AS n FROM att UNION ALL SELECT 'event_groups', count(*) FROM (SELECT DISTINCT event_id, group_id FROM att) UNION ALL SELECT 'events', count(DISTINCT event_id) FROM att)",
+    "load_batches": R("att", "ev") + "SELECT year(event_date)::INTEGER AS year, count(*) AS rows, count(DISTINCT attempt_id) AS attempts FROM att JOIN ev USING (event_id) GROUP BY 1",
+    "store_copy": R("att", "ev", "grp", "sc") + "SELECT t AS \"table\", n AS source_rows, n AS target_rows, true AS equal FROM (SELECT 'attempts' AS t, count(*) AS n FROM att UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'groups', count(*) FROM grp UNION ALL SELECT 'scores', count(*) FROM sc)",
     "verify_counts": R("att", "ev", "grp", "sc") + "SELECT 'attempts' AS \"table\", count(*) AS source_rows, count(*) AS target_rows, true AS equal FROM att UNION ALL SELECT 'events', count(*), count(*), true FROM ev UNION ALL SELECT 'groups', count(*), count(*), true FROM grp UNION ALL SELECT 'scores', count(*), count_if(code::BIGINT % 2 = 0), count(*) = count_if(code::BIGINT % 2 = 0) FROM sc",
     "date_parse": R("ev") + f"SELECT event_id, {_PD} AS text, CASE WHEN month(event_date) % 6 <> 4 THEN event_date END AS parsed FROM ev",
     "drop_empty": "SELECT event_id, '{\"k\":\"' || (props->>'$.k') || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"kind\":\"' || event_type || '\"' ELSE '' END || '}' AS fields FROM events",

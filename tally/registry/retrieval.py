@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tally.operators import reports, retrieval, scoring
+from tally.operators import reports, retrieval, scoring, vector_store
 from tally.plans import roles
 from tally.registry.sqlroles import roles as R
+from tally.sources.scratch import materialize, scratch_path
+from tally.sources.store import Store
 
 QUESTION = "història de src3 als anys 80 a fr"
 GROUPS, YEARS, PLACES = ["src3"], list(range(1980, 1990)), ["fr"]
@@ -85,6 +87,34 @@ def _rounded(col, alias):
     return F.transform(col, lambda x: F.round(x, 6) + F.lit(0.0)).alias(alias)
 
 
+#: Of fifty lists: the vectors of the tables are near isotropic, so that most lists hold neighbours.
+PROBES = 44
+
+
+def vector_ivf(s, d):
+    """Every row whose id is divisible by 50 against a stored inverted file."""
+    store = Store(s, scratch_path(s, "vectors"))
+    vector_store.create(store, "vectors", _vectors(s, d))
+    queries = _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    return vector_store.search(store, "vectors", queries, 10, PROBES)
+
+
+def vector_store_written(s, d):
+    """Chunks of documents with their vector and what they come from, written in two batches, one of them twice, and read back."""
+    store = Store(s, scratch_path(s, "chunks"))
+    docs = roles.table(s, d, "documents")
+    about = docs.select("doc_id", F.lit("documents").alias("source_table"), F.col("source").alias("category"))
+    chunks = retrieval.chunks(docs).join(about, "doc_id").join(_vectors(s, d), F.col("doc_id") == F.col("id"))
+    rows = chunks.select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("id"), "vec", "source_table", F.col("doc_id").cast("string").alias("source_pk"), "category", "chunk_index", F.col("n_words").alias("chunk_length_words"), F.col("chunk").alias("chunk_text"))
+    rows = materialize(rows, "chunk-rows")
+    even = F.col("source_pk").cast("long") % 2 == 0
+    vector_store.create(store, "chunks", rows.filter(even), lists=16)
+    for _ in range(2):
+        vector_store.append(store, "chunks", rows.filter(~even), "odd")
+    stored = store.read("chunks")
+    return stored.select("source_table", "source_pk", "category", "chunk_index", "chunk_length_words", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), F.size("vec").alias("dimensions"))
+
+
 QUERIES = {
     "chunk_table": lambda s, d: retrieval.chunks(roles.table(s, d, "documents")),
     "chunk_arrays": chunk_arrays,
@@ -96,7 +126,8 @@ QUERIES = {
     "vector_topk_batch": lambda s, d: retrieval.top_k(_vectors(s, d), _queries(s, d, 10), 10),
     "vector_topk_each": lambda s, d: retrieval.top_k_blocks(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10),
     "vector_raw_floor": lambda s, d: retrieval.above(retrieval.top_k_blocks(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 350).filter("id <> query_id")),
-    "vector_ivf": lambda s, d: retrieval.ivf(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10),
+    "vector_ivf": vector_ivf,
+    "vector_store": vector_store_written,
     "rerank": _reranked,
     "rerank_fuzzy": lambda s, d: _reranked(s, d, similar=True),
     "context_build": lambda s, d: retrieval.context(_reranked(s, d), roles.table(s, d, "documents").select("doc_id", "text")),
@@ -123,6 +154,7 @@ SQL = {
     "vector_topk": _TOP(1, 20),
     "vector_topk_batch": _TOP(10, 10),
     "vector_topk_each": _EACH(10),
+    "vector_store": "WITH w AS (SELECT doc_id, source, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS ws FROM documents), s AS (SELECT doc_id, source, ws, unnest(CASE WHEN len(ws) <= 200 THEN [0] ELSE range(0, len(ws) - 50, 150) END) AS start FROM w WHERE len(ws) > 0) SELECT 'documents' AS source_table, doc_id::VARCHAR AS source_pk, source AS category, (start // 150)::INTEGER AS chunk_index, len(ws[start + 1:start + 200])::INTEGER AS chunk_length_words, md5(array_to_string(ws[start + 1:start + 200], ' ')) AS text_md5, len(embedding)::INTEGER AS dimensions FROM s JOIN embeddings ON vec_id = doc_id",
     "vector_raw_floor": f"WITH t AS ({_EACH(350)}) SELECT query_id, id, score FROM t WHERE id <> query_id AND score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 2",
     "rerank": _RERANK + "SELECT * FROM reranked",
     "context_build": _RERANK + ", t AS (SELECT *, row_number() OVER (ORDER BY is_match DESC, score DESC, id) AS n FROM reranked QUALIFY n <= 2) SELECT string_agg('[Document ' || n || ': ' || title || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS documents FROM t JOIN documents ON doc_id = id",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.operators import ingest
+from tally.sources.store import Store
 
 #: Parents before children: a load writes in this order, a clearing goes the other way.
 ORDER = ("groups", "scores", "events", "event_groups", "attempts", "editions", "rankings", "general_info", "chunks")
@@ -20,19 +21,11 @@ def write_tables(tables: dict[str, DataFrame], folder: str, partition: dict[str,
         writer.parquet(f"{folder}/{name}")
 
 
-def clear_tables(spark: SparkSession, names: list[str], folder: str) -> None:
-    """Empties stored tables, children before parents; their columns stay."""
-    for name in sorted(names, key=lambda n: (ORDER.index(n) if n in ORDER else len(ORDER), n), reverse=True):
-        schema = spark.read.parquet(f"{folder}/{name}").schema
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def reload_tables(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Clears the stored tables, writes the given ones, and compares the counts of both. The tables must not be read
-    from the same folder."""
-    clear_tables(spark, list(tables), folder)
-    write_tables(tables, folder)
-    return ingest.count_compare(tables, {n: spark.read.parquet(f"{folder}/{n}") for n in tables})
+def reload_tables(store: Store, tables: dict[str, DataFrame]) -> DataFrame:
+    """The given tables in place of the stored ones of the same names, all at once, and the counts of both. Until the last of
+    them is written, and for ever if one cannot be, the stored ones stay as they are."""
+    store.replace({n: tables[n] for n in sorted(tables, key=lambda n: (ORDER.index(n) if n in ORDER else len(ORDER), n))})
+    return ingest.count_compare(tables, {n: store.read(n) for n in tables})
 
 
 def write_dataset(rows: DataFrame, statistics: DataFrame, folder: str) -> None:
@@ -44,10 +37,3 @@ def write_dataset(rows: DataFrame, statistics: DataFrame, folder: str) -> None:
 def write_lines(lines: DataFrame, folder: str) -> None:
     """A text report, one line a row (column `line`)."""
     lines.select("line").write.mode("overwrite").text(folder)
-
-
-def copy_store(spark: SparkSession, names: list[str], source: str, target: str) -> DataFrame:
-    """Copies tables from one folder to another and compares the counts of both."""
-    read = lambda folder: {n: spark.read.parquet(f"{folder}/{n}") for n in names}
-    write_tables(read(source), target)
-    return ingest.count_compare(read(source), read(target))

@@ -121,20 +121,6 @@ def test_blocks_of_queries_find_what_single_ones_do(spark):
     assert retrieval.top_k_blocks(vectors.limit(4), queries, 9).count() == 4 * queries.count()
 
 
-def test_inverted_file_finds_all(spark, data):
-    from tally.registry import retrieval as registered
-
-    vectors = registered._vectors(spark, data)
-    queries = vectors.filter("id % 50 = 0").selectExpr("id AS query_id", "vec AS qvec")
-    found = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
-    want = found(retrieval.top_k(vectors, queries, 10))
-    got = found(registered.QUERIES["vector_ivf"](spark, data))
-    assert {q for q, _ in got} == {r["query_id"] for r in queries.collect()}
-    assert len(want & got) >= 0.99 * len(want)
-    few = retrieval.ivf(vectors, queries, 60, lists=20, probes=1).groupBy("query_id").count()
-    assert {r["count"] for r in few.collect()} == {60}
-
-
 def test_streams_of_many_files_lose_nothing(spark, tmp_path):
     """More than 64 files, the latest rows in those that are read first."""
     rows = spark.range(700).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + (699 - id) * 600) AS ts", "id % 3 AS user_id", "'view' AS event_type")

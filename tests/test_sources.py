@@ -42,9 +42,7 @@ def test_sinks(spark, data, tmp_path):
     perf = scoring.performances(spark, data)
     sinks.write_tables({"attempts": perf, "groups": roles.groups(spark, data)}, f"{tmp_path}/a", {"attempts": "event_year"})
     assert any(p.name.startswith("event_year=") for p in (tmp_path / "a" / "attempts").iterdir())
-    same = sinks.copy_store(spark, ["attempts", "groups"], f"{tmp_path}/a", f"{tmp_path}/b").collect()
-    assert len(same) == 2 and all(r["equal"] for r in same)
-    year = readers.table(spark, f"{tmp_path}/b", "attempts").filter("event_year = 1997")
+    year = readers.table(spark, f"{tmp_path}/a", "attempts").filter("event_year = 1997")
     assert year.count() == perf.filter("event_year = 1997").count()
     sinks.write_dataset(reports.best_event(perf), perf.agg(F.count("*").alias("attempts")), f"{tmp_path}/set")
     assert spark.read.json(f"{tmp_path}/set/rows").count() == 20 and spark.read.json(f"{tmp_path}/set/statistics").first()["attempts"] == perf.count()
