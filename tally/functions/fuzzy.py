@@ -1,39 +1,146 @@
-"""Similarity of strings, where no built-in function has it: pandas UDFs over the standard library's matcher."""
+"""Similarity of strings, where no built-in function has it.
+
+Ratios count what two strings have in common in order, the longest common subsequence: 200 * common / (both lengths), from 0 to 100.
+The partial ratio is that of the shorter string with its best window in the longer one; windows are as long as the shorter string, or
+shorter at the ends. For many pairs at once, numpy keeps the subsequences of all windows of all pairs as bits of a word and moves
+them on by one character a step."""
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Bits of a word; longer strings take whole numbers of any length, one pair after another.
+WORD = 64
+#: Windows that are worked on at once.
+CELLS = 1 << 20
+
+
+def common_of(a: str, b: str) -> int:
+    """The length of the longest common subsequence: bit i of `open_` is cleared where a[:i + 1] gains one."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        hit = open_ & places.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return len(a) - open_.bit_count()
+
+
+def ratio_of(a: str, b: str) -> float:
+    return 200.0 * common_of(a, b) / (len(a) + len(b)) if a or b else 100.0
 
-def partial_ratio_of(short: str, long: str) -> float:
-    """How well the shorter string fits its best place in the longer one, from 0 to 100."""
-    if len(short) > len(long):
-        short, long = long, short
-    if not short:
+
+def _windows(short: str, long: str) -> list[str]:
+    m, n = len(short), len(long)
+    return [long[max(0, s) : s + m] for s in range(1 - m, n)]
+
+
+def partial_ratio_of(a: str, b: str) -> float:
+    """The plain form, window by window."""
+    if not a or not b:
         return 0.0
-    if short in long:
-        return 100.0
-    matcher = difflib.SequenceMatcher(None, short, long, autojunk=False)
-    starts = {max(0, b - a) for a, b, size in matcher.get_matching_blocks() if size}
-    return max((100 * difflib.SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts), default=0.0)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    found = [ratio_of(short, w) for w in _windows(short, long)]
+    if len(a) == len(b):
+        found += [ratio_of(long, w) for w in _windows(long, short)]
+    return max(found)
+
+
+def _one_way(shorts: list[str], longs: list[str]) -> np.ndarray:
+    """Partial ratios of pairs, each of a string of WORD characters at most in a window of the other."""
+    letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(shorts))))}  # 0 stands for all others, and for no character
+    places = np.zeros((len(shorts), len(letters) + 1), np.uint64)
+    for row, s in zip(places, shorts, strict=True):
+        for i, c in enumerate(s):
+            row[letters[c]] |= np.uint64(1 << i)
+    sizes = np.array([len(s) for s in shorts])
+    most, longest = int(sizes.max()), max(map(len, longs))
+    padded = np.zeros((len(longs), longest + 2 * most), np.int64)
+    for row, text in zip(padded, longs, strict=True):
+        row[most : most + len(text)] = [letters.get(c, 0) for c in text]
+    lengths = np.array([len(x) for x in longs])
+    starts = np.arange(longest + most)[None, :]  # of windows, in padded; they begin at most - size + 1 and end before most + length
+    used = (starts > (most - sizes)[:, None]) & (starts < (most + lengths)[:, None])
+    open_ = np.full(used.shape, ~np.uint64(0))
+    rows = np.arange(len(shorts))[:, None]
+    for step in range(most):
+        at = padded[:, step : step + used.shape[1]] if step + used.shape[1] <= padded.shape[1] else np.pad(padded[:, step:], ((0, 0), (0, step + used.shape[1] - padded.shape[1])))
+        hit = open_ & np.where((step < sizes)[:, None], places[rows, at], np.uint64(0))
+        open_ = (open_ + hit) | (open_ - hit)
+    low = np.where(sizes == WORD, ~np.uint64(0), (np.uint64(1) << (sizes % WORD).astype(np.uint64)) - np.uint64(1))
+    common = np.bitwise_count(~open_ & low[:, None])
+    ends = np.minimum(starts + sizes[:, None], (most + lengths)[:, None]) - np.maximum(starts, most)  # characters of the window
+    return np.where(used, 200.0 * common / (sizes[:, None] + np.maximum(ends, 1)), 0.0).max(axis=1)
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """The partial ratio of each pair."""
+    out = np.zeros(len(a))
+    easy = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if min(len(x), len(y)) > WORD:
+            out[i] = partial_ratio_of(x, y)
+        elif x and y:
+            easy.append(i)
+    easy.sort(key=lambda i: (min(len(a[i]), len(b[i])), max(len(a[i]), len(b[i]))))  # pairs of like sizes share arrays
+    at = 0
+    while at < len(easy):
+        wide, end = 1, at
+        while end < len(easy) and (end - at + 1) * (wide := max(wide, len(a[easy[end]]) + len(b[easy[end]]))) <= max(CELLS, wide):
+            end += 1
+        part = easy[at:end]
+        short, long = zip(*((a[i], b[i]) if len(a[i]) <= len(b[i]) else (b[i], a[i]) for i in part))
+        out[part] = _one_way(list(short), list(long))
+        if same := [k for k, i in enumerate(part) if len(a[i]) == len(b[i])]:
+            both = _one_way([long[k] for k in same], [short[k] for k in same])
+            where = [part[k] for k in same]
+            out[where] = np.maximum(out[where], both)
+        at = end
+    return out
+
+
+def least_common(size: int, least: float) -> int:
+    """How many characters, in order, a string of this size has in common with every window that gives the ratio `least`. A window
+    is no longer than the string."""
+    return -int(-least * size // (200 - least))
+
+
+def least_grams(size: int, least: float, q: int) -> int:
+    """How many runs of q characters the string shares at least with such a window: what is common lies in runs, of which each but
+    the first follows a character that one side has for itself, and a run of n characters has n - q + 1 of them."""
+    counts = []
+    for window in range(1, size + 1):
+        for common in range(int(-(-least * (size + window) // 200)), min(size, window) + 1):
+            counts.append(common - (q - 1) * min(common, 1 + size + window - 2 * common))
+    return min(counts, default=size)
 
 
 def token_set_ratio_of(a: str, b: str) -> float:
     """The best ratio between the common words and each side's words, from 0 to 100."""
     x, y = set(a.lower().split()), set(b.lower().split())
-    both = " ".join(sorted(x & y))
-    left, right = (" ".join(filter(None, [both, " ".join(sorted(s - (x & y)))])) for s in (x, y))
-    ratio = lambda p, q: 100 * difflib.SequenceMatcher(None, p, q, autojunk=False).ratio()
-    return max(ratio(both, left) if both else 0.0, ratio(both, right) if both else 0.0, ratio(left, right))
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and (not left or not right):
+        return 100.0
+    sizes = [len(both) + bool(both) + len(s) for s in (left, right)]
+    apart = len(left) + len(right) - 2 * common_of(left, right)
+    best = 100.0 * (1 - apart / sum(sizes))
+    if both:
+        best = max(best, *(100.0 * (1 - (s - len(both)) / (s + len(both))) for s in sizes))
+    return best
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(partial_ratios(list(a.fillna("")), list(b.fillna(""))), dtype="float64")
 
 
 @F.pandas_udf(DoubleType())

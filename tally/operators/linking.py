@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tally.functions import fuzzy, parse
 from tally.functions.tables import TEMPLATES
+from tally.operators import fuzzy_join
 from tally.plans.roles import STATUSES
 
 SUBSTRING_SCORE = 0.8
@@ -16,8 +17,33 @@ SUBSTRING_SCORE = 0.8
 LEAST_SCORES = {"sql": 0.3, "hybrid": 0.3, "rag": 0.8, "direct": 0.85}
 #: The least token-set ratio of an entity to the entry that repairs it.
 LEAST_TOKEN_SET = 75.0
-#: Words that stand for an event whatever its full name. Fixed values.
-EVENT_WORDS = (("asia", "Fair ASIA"), ("europa", "Fair EUROPE"), ("africa", "Fair AFRICA"), ("america", "Fair AMERICA"), ("orient", "Fair MIDDLE EAST"))
+#: Words that stand for events whatever their full name. Fixed values.
+EVENT_WORDS = (
+    ("sant magi", ("Diada de Sant Magí a Tarragona",)),
+    ("sant magí", ("Diada de Sant Magí a Tarragona",)),
+    ("santa tecla", ("Diada de Santa Tecla a Tarragona",)),
+    ("merce", ("Diada de la Mercè a Barcelona", "Diada de la Mercè (colles convidades) a Barcelona")),
+    ("mercè", ("Diada de la Mercè a Barcelona", "Diada de la Mercè (colles convidades) a Barcelona")),
+    ("sant felix", ("Diada de Sant Fèlix a Vilafranca del Penedès",)),
+    ("sant fèlix", ("Diada de Sant Fèlix a Vilafranca del Penedès",)),
+    ("sant ramon", ("Diada de Sant Ramon a Vilafranca del Penedès",)),
+    ("les santes", ("Les Santes a Mataró",)),
+    ("tots sants", ("Diada de Tots Sants a Vilafranca del Penedès",)),
+    ("sant narcis", ("Diada de Sant Narcís a Girona",)),
+    ("sant narcís", ("Diada de Sant Narcís a Girona",)),
+    ("santa ursula", ("Diada de Santa Úrsula a Valls",)),
+    ("santa úrsula", ("Diada de Santa Úrsula a Valls",)),
+    ("les neus", ("Diada de les Neus de Vilanova i la Geltrú",)),
+    ("santa teresa", ("Diada de Santa Teresa al Vendrell",)),
+    ("mercadal", ("Diada del Mercadal a Reus",)),
+)
+#: Words that say nothing about which event is meant. Fixed values.
+EVENT_STOP_WORDS = (
+    "diada", "diades", "actuació", "actuacions", "actuacio", "castellers", "casteller", "castell", "castells", "colla", "colles", "jornada", "jornades",
+    "millor", "millors", "pitjor", "primera", "primer", "última", "últim", "quina", "quin", "quines", "quins", "quan", "quant", "quantes", "quants",
+    "historia", "història", "temporada", "any", "anys", "part", "llarg", "estat", "sido", "fer", "fet", "feta", "fets",
+    "dels", "les", "els", "per", "que", "com", "amb", "una", "uns",
+)
 
 
 def classify_by_phrase(question: Column) -> Column:
@@ -65,18 +91,10 @@ def fuzzy_link(questions: DataFrame, names: DataFrame, least: float = 85.0, most
     """(qid, name, score, rank): for each question the `most` names of the dictionary that fit it best, by partial ratio
     from `least` on.
 
-    Each different question meets each name once, and a pair is compared only if the letters that the shorter one
-    shares with the other could give the ratio, so nothing is lost: with p of n letters shared it is at most 2p / (n + p)."""
-    texts = questions.select(F.lower("text").alias("asked")).filter("asked IS NOT NULL").distinct()
-    pairs = texts.crossJoin(names.select("name").filter("name IS NOT NULL").distinct()).withColumn("low", F.lower("name"))
-    short = F.when(F.length("low") <= F.length("asked"), F.col("low")).otherwise(F.col("asked"))
-    long = F.when(F.length("low") <= F.length("asked"), F.col("asked")).otherwise(F.col("low"))
-    pairs = pairs.select("asked", "name", "low", short.alias("short"), long.alias("long"))
-    shared = F.length("short") - F.length(F.expr("translate(short, long, '')"))
-    scored = pairs.filter(200 * shared >= least * (F.length("short") + shared)).select("asked", "name", fuzzy.partial_ratio("low", "asked").alias("score")).filter(F.col("score") >= least)
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
-    return questions.select("qid", F.lower("text").alias("asked")).join(top, "asked").select("qid", "name", "score", "rank")
+    Each different question is compared with the names that share enough with it for the ratio (fuzzy_join), so nothing is lost."""
+    asked = F.lower("text").alias("asked")
+    top = fuzzy_join.best_names(questions.select(asked), names, least, most)
+    return questions.select("qid", asked).join(top, "asked").select("qid", "name", "score", "rank")
 
 
 def link_items(questions: DataFrame, codes: DataFrame, most: int = 3) -> DataFrame:
@@ -111,14 +129,25 @@ def known_values(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.join(known.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
 
 
-def link_events(questions: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """Events by fixed words first, then by similarity, at most `most` for each question."""
-    text = parse.fold(F.col("text"))
-    by_word = questions.select("qid", F.explode(F.array_compact(F.array(*[F.when(text.contains(w), F.lit(n)) for w, n in EVENT_WORDS]))).alias("name")).withColumn("score", F.lit(101.0))
-    alike = fuzzy_link(questions, names, least=50.0, most=most).select("qid", "name", "score")
-    all_ = by_word.union(alike).groupBy("qid", "name").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
-    return all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+def without_stop_words(text: Column, words: tuple[str, ...] = EVENT_STOP_WORDS) -> Column:
+    """The text in small letters without these words and without numbers, words one space apart."""
+    # the boundaries of words are those of Unicode letters, digits and the underscore
+    rest = F.regexp_replace(F.lower(text), rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(rest, r"\p{Nd}+", ""), r"\s+", " "))
+
+
+def link_events(questions: DataFrame, names: DataFrame, most: int = 6, words=EVENT_WORDS) -> DataFrame:
+    """(qid, name, score, rank): the events that fixed words of the question stand for, in the order of these words, then those most
+    similar to what is left of it without words that fit every event, at most `most` together."""
+    low = F.lower("text")
+    listed = [F.when(low.contains(w), F.struct(F.lit(i * 10 + j).alias("place"), F.lit(n).alias("name"))) for i, (w, events) in enumerate(words) for j, n in enumerate(events)]
+    by_word = questions.select("qid", F.explode(F.array_compact(F.array(*listed))).alias("w")).groupBy("qid", "w.name").agg(F.min("w.place").alias("place"))
+    by_word = by_word.select("qid", "name", "place", F.lit(101.0).alias("score"))
+    cleaned = questions.select("qid", without_stop_words(F.col("text")).alias("text"))
+    alike = fuzzy_link(cleaned, names, least=50.0, most=most).select("qid", "name", F.lit(len(words) * 10).alias("place"), "score")
+    all_ = by_word.union(alike).groupBy("qid", "name").agg(F.min("place").alias("place"), F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy("place", F.desc("score"), "name")
+    return all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("qid", "name", "score", "rank")
 
 
 def validate(entities: DataFrame, names: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ FORMS = (
     "4D9 amb folre i agulla de {g} aconseguit",
     "I els {g} de l'any {y}?",
 )
+#: The events of the tables are regions.
+EVENT_WORDS = (("asia", ("Fair ASIA",)), ("europa", ("Fair EUROPE",)), ("africa", ("Fair AFRICA",)), ("america", ("Fair AMERICA",)), ("orient", ("Fair MIDDLE EAST",)))
 _values = {"g": "'NATION_' || conv_id % 25", "y": "(1995 + conv_id % 7)", "s": "lpad((conv_id % 90 + 10)::VARCHAR, 2, '0')", "h": "(conv_id % 5 + 4)"}
 
 
@@ -125,7 +127,7 @@ QUERIES = {
     "item_repair": lambda s, d: linking.repair_items(_asked_items(s, d), _codes(s, d)),
     "entity_checks": entity_checks,
     "fuzzy_link": lambda s, d: linking.fuzzy_link(asked(s, d), _names(s, d)),
-    "link_events": lambda s, d: linking.link_events(asked(s, d), _names(s, d, "event_name")),
+    "link_events": lambda s, d: linking.link_events(asked(s, d), _names(s, d, "event_name"), words=EVENT_WORDS),
     "page_extract": lambda s, d: pages.extract(roles.table(s, d, "pages")),
     "page_links": lambda s, d: pages.links(roles.table(s, d, "pages")),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tally.functions import fuzzy
 from tally.functions.tables import DISPLAY_NAMES, TEMPLATES
-from tally.operators import pages, quiz, retrieval
+from tally.operators import linking, pages, quiz, retrieval
 from tally.plans import roles
 from tally.registry import parsing, retrieval as registered
 from tally.registry import queries
@@ -80,11 +80,14 @@ def test_links_lose_nothing(spark, data, asked):
 def test_link_events(spark, data, asked):
     names = [r["name"] for r in parsing._names(spark, data, "event_name").collect()]
     words = {"asia": "Fair ASIA", "europa": "Fair EUROPE", "africa": "Fair AFRICA", "america": "Fair AMERICA", "orient": "Fair MIDDLE EAST"}
-    alike = ranked(asked, names, 50, 6)
+    cleaned = lambda t: re.sub(r"\s+", " ", re.sub(r"\d+", "", re.sub(r"\b(" + "|".join(linking.EVENT_STOP_WORDS) + r")\b", "", t.lower()))).strip()
+    alike = ranked([(q, cleaned(t)) for q, t in asked], names, 50, 6)
     want = {}
     for qid, text in asked:
-        found = {n: s for q, n, s in alike if q == qid} | {n: 101.0 for w, n in words.items() if w in text.lower()}
-        want |= {(qid, n): s for s, n in sorted(((s, n) for n, s in found.items()), key=lambda x: (-x[0], x[1]))[:6]}
+        first = [n for w, n in words.items() if w in text.lower()]
+        rest = sorted(((-s, n) for q, n, s in alike if q == qid and n not in first))
+        score = {n: s for q, n, s in alike if q == qid} | {n: 101.0 for n in first}
+        want |= {(qid, n): score[n] for n in (first + [n for _, n in rest])[:6]}
     assert {(r["qid"], r["name"]): round(r["score"], 6) for r in QUERIES["link_events"](spark, data).collect()} == want
 
 

@@ -137,9 +137,15 @@ def test_events_are_linked_as_by_brute_force(spark):
     names = ["Fair AFRICA", "Fair AMERICA", "Fair ASIA", "Fair EUROPE", "Fair MIDDLE EAST"]
     texts = ["castells de 8 i gamma extra dels anys 80 a la Fira Asia", "Quina va ser la millor diada de NATION_3 l'any 1998?", "res"]
     questions = spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
-    got = {(r["qid"], r["name"]) for r in linking.link_events(questions, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
-    want = {(q, n) for q, t in enumerate(texts) for n in names if fuzzy.partial_ratio_of(n.lower(), t.lower()) >= 50}
-    assert (0, "Fair AFRICA") in want and got == want | {(0, "Fair ASIA")}
+    found = linking.link_events(questions, spark.createDataFrame([(n,) for n in names], "name string"), words=(("asia", ("Fair ASIA",)), ("fira", ("Fair ASIA", "Fira de la Fira")))).collect()
+    cleaned = ["de i gamma extra a la fira asia", "va ser la de nation_ l'?", "res"]
+    assert [r["t"] for r in questions.select(linking.without_stop_words(F.col("text")).alias("t")).collect()] == [*cleaned[:1], "va ser la de nation_ l' ?", "res"]
+    got = {(r["qid"], r["name"]) for r in found}
+    want = {(q, n) for q, t in enumerate([cleaned[0], "va ser la de nation_ l' ?", "res"]) for n in names if fuzzy.partial_ratio_of(n.lower(), t) >= 50}
+    assert got == want | {(0, "Fair ASIA"), (0, "Fira de la Fira")}
+    assert [(r["rank"], r["name"]) for r in found if r["qid"] == 0 and r["rank"] <= 2] == [(1, "Fair ASIA"), (2, "Fira de la Fira")]
+    real = linking.link_events(spark.createDataFrame([(1, "la diada de la Mercè del 2019")], "qid int, text string"), spark.createDataFrame([], "name string"))
+    assert [r["name"] for r in real.orderBy("rank").collect()] == ["Diada de la Mercè a Barcelona", "Diada de la Mercè (colles convidades) a Barcelona"]
 
 
 def test_entities_are_repaired(spark):
