@@ -126,8 +126,12 @@ def best_names(texts: DataFrame, names: DataFrame, least: float, most: int) -> D
     it, from `least` on, ties by name. Nulls and empty strings have no part in it."""
     texts = texts.select("asked").filter("asked <> ''").distinct()
     names = names.select("name", F.lower("name").alias("low")).filter("name <> ''").distinct()
-    scored = _in_blocks(texts, names, least, most)
-    if needed(10 * TRIED, least) >= 1:  # else no string gives a gram
+    if needed(10 * TRIED, least) < 1:  # no string gives a gram
+        scored = _in_blocks(texts, names, least, most)
+    else:
+        short = [n for n in range(1, 10 * TRIED) if needed(n, least) < 1]
+        loose = lambda c: F.length(c).isin(short)
+        scored = _in_blocks(texts, names.filter(loose("low")), least, most).union(_in_blocks(texts.filter(loose("asked")), names.filter(~loose("low")), least, most))
         scored = scored.union(_indexed(texts, names, least).select("asked", "name", fuzzy.partial_ratio("low", "asked").alias("score")).filter(F.col("score") >= least))
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("asked", "name", "score", "rank")
