@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tally.sources.scratch import materialize
+from tally.sources.store import Store
 
 EVENT = "struct<event_id: bigint, event_name: string, date: string, place: string, city: string, colles: array<struct<colla_name: string, castells: array<struct<castell_name: string, status: string, raw_text: string>>>>>"
 GROUP = "struct<colla_id: bigint, colla_name: string, info: map<string, string>, texts: array<string>, best_actuacions: array<struct<diada: string, points: bigint>>, best_castells: array<struct<castell_name: string, castell: string, name: string, descarregats: bigint>>>"
@@ -121,6 +127,71 @@ def drop_empty(fields: Column) -> Column:
     return F.map_filter(fields, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
 
 
+def without_empty(value: Column, kind: T.DataType) -> Column:
+    """A nested value of this type without empty texts, lists and records, at any depth: fields of records become null, elements of
+    lists and entries of maps go. It is one pass from the top: what is empty only after it has lost its empty parts stays. A record
+    is empty if all its fields are null."""
+
+    def empty(v: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StringType):
+            return v == ""
+        if isinstance(t, (T.ArrayType, T.MapType)):
+            return F.size(v) == 0
+        if isinstance(t, T.StructType):
+            return v.isNotNull() & reduce(lambda x, y: x & y, [v[f.name].isNull() for f in t.fields], F.lit(True))
+        return F.lit(False)
+
+    kept = lambda t: lambda v: ~F.coalesce(empty(v, t), F.lit(False))
+    if isinstance(kind, T.StructType):
+        fields = [x for f in kind.fields for x in (F.lit(f.name), F.when(kept(f.dataType)(value[f.name]), without_empty(value[f.name], f.dataType)))]
+        return F.when(value.isNotNull(), F.named_struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.filter(value, kept(kind.elementType)), lambda v: without_empty(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.map_filter(value, lambda _, v: kept(kind.valueType)(v)), lambda _, v: without_empty(v, kind.valueType))
+    return value
+
+
+def with_dense_ids(rows: DataFrame, order: list[str], after: int, name: str) -> DataFrame:
+    """rows with the column `name`: after + 1, after + 2 and so on in this order, equal rows of which may stand either way. Ranges of the
+    order are sorted side by side; the numbers in a range follow those of the ranges before it, whose counts are one row for each."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(spread, *order).sortWithinPartitions(*order)
+    # the upper bits of the growing number are the partition's, the lower 33 count its rows
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = materialize(sorted_.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")), "dense-ids")
+    counts = written.groupBy("__part").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("all"))
+    before = F.aggregate(F.filter("all", lambda x: x["__part"] < F.col("part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    starts = counts.select("all", F.explode(F.transform("all", lambda x: x["__part"])).alias("part")).select(F.col("part").alias("__part"), before.alias("__before"))
+    numbered = written.join(F.broadcast(starts), "__part")  # one row for each partition
+    return numbered.select(*rows.columns, (F.col("__before") + F.col("__place") + 1 + after).alias(name))
+
+
+def events_after(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """old, and the events of new that it lacks by their keys, once each, with ids that follow the largest of old without a gap, in
+    this order."""
+    first = Window.partitionBy(*keys).orderBy(*order, _tie(new))
+    fresh = new.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "event_id").join(old, keys, "left_anti")
+    last = old.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    return old.unionByName(with_dense_ids(fresh, order, last, "event_id"), allowMissingColumns=True)
+
+
+ACTIONS = ("insert", "update", "same", "keep")
+
+
+def load_changes(store: Store, name: str, new: DataFrame, keys: list[str], values: list[str]) -> dict[str, int]:
+    """Brings a stored table up to new: keys that it lacks come in, values that differ are taken over, all else stays. Gives how many
+    rows each action had, counted by the pass that writes them."""
+    old = store.read(name)
+    o, n = old.select(*keys, F.struct(*values).alias("old")), new.select(*keys, F.struct(*values).alias("new"))
+    action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "keep").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("update")
+    merged = o.join(n, keys, "full").select(*keys, action.alias("action"), F.coalesce("new", "old").alias("v"))
+    seen = Observation()
+    counted = merged.observe(seen, *[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS])
+    store.replace({name: counted.select(*keys, "v.*").select(*old.columns)})
+    return {a: seen.get[a] for a in ACTIONS}
+
+
 def lenient_json(text: Column, schema: str) -> Column:
     """JSON that may have a comma before a closing bracket."""
     return F.from_json(F.regexp_replace(text, r",(\s*[\]}])", "$1"), schema)

@@ -146,6 +146,33 @@ def drop_empty(s, d):
     return e.select("event_id", F.to_json(ingest.drop_empty(fields)).alias("fields"))
 
 
+def drop_empty_nested(s, d):
+    """Documents as records of lists of records, some of them empty, without what is empty; what is left, counted."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"), F.map_from_arrays(F.array(F.lit("first"), F.lit("none")), F.array(F.substring(x, 1, 1), F.lit(""))).alias("marks")))
+    blank = F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.col("source"))
+    docs = roles.table(s, d, "documents").select("doc_id", F.struct(blank.alias("source"), F.filter(F.array(F.col("lang")), lambda x: F.col("doc_id") % 3 == 0).alias("langs"), lines.alias("lines")).alias("doc"))
+    clean = docs.select("doc_id", F.explode(F.array(ingest.without_empty(F.col("doc"), docs.schema["doc"].dataType))).alias("doc"))
+    count = lambda test: F.size(F.filter("doc.lines", test)).cast("long")
+    return clean.select("doc_id", F.col("doc.source").alias("source"), F.size("doc.langs").alias("langs"), F.size("doc.lines").alias("lines"), count(lambda x: x["line"].isNotNull()).alias("texts"), count(lambda x: x["words"].isNotNull()).alias("word_lists"), count(lambda x: F.size(x["marks"]) == 1).alias("marks"))
+
+
+def event_ids(s, d):
+    """Events of which a third are new, with ids after those that are there."""
+    e = roles.events(s, d).select("event_id", "event_date", "event_name", "city")
+    old = e.filter("event_id % 3 <> 0")
+    return ingest.events_after(old, e.union(e), ["event_date", "event_name", "city"], ["event_date", "event_name", "city"])
+
+
+def load_counters(s, d):
+    """A stored table brought up to date: what each action of the load counted, and what is stored then."""
+    old, new = _old_new(s, d)
+    store = Store(s, scratch_path(s, "load"))
+    store.replace({"attempts": old})
+    counters = ingest.load_changes(store, "attempts", new, ["attempt_id"], ["event_id", "group_id", "item_name", "status"])
+    stored = store.read("attempts").agg(F.count("*").alias("stored"), F.count_if(F.col("status") == F.upper("status")).alias("upper"))
+    return stored.select(*[F.lit(n).cast("long").alias(f"n_{a}") for a, n in counters.items()], "stored", "upper")
+
+
 QUERIES = {
     "ingest_flatten": ingest_flatten,
     "ingest_children": lambda s, d: ingest.flatten_groups(_nested_groups(s, d)),
@@ -164,6 +191,9 @@ QUERIES = {
     "verify_counts": lambda s, d: ingest.count_compare(*_stores(s, d)),
     "date_parse": lambda s, d: _date_texts(s, d).select("event_id", "text", ingest.parse_date(F.col("text")).alias("parsed")),
     "drop_empty": drop_empty,
+    "drop_empty_nested": drop_empty_nested,
+    "event_ids": event_ids,
+    "load_counters": load_counters,
     "lenient_json": lambda s, d: roles.stream_events(s, d).select("event_id", ingest.lenient_json(F.replace("props", F.lit("}"), F.lit(", }")), "struct<k: int>").getField("k").alias("k")),
 }
 
@@ -190,5 +220,8 @@ SQL = {
     "verify_counts": R("att", "ev", "grp", "sc") + "SELECT 'attempts' AS \"table\", count(*) AS source_rows, count(*) AS target_rows, true AS equal FROM att UNION ALL SELECT 'events', count(*), count(*), true FROM ev UNION ALL SELECT 'groups', count(*), count(*), true FROM grp UNION ALL SELECT 'scores', count(*), count_if(code::BIGINT % 2 = 0), count(*) = count_if(code::BIGINT % 2 = 0) FROM sc",
     "date_parse": R("ev") + f"SELECT event_id, {_PD} AS text, CASE WHEN month(event_date) % 6 <> 4 THEN event_date END AS parsed FROM ev",
     "drop_empty": "SELECT event_id, '{\"k\":\"' || (props->>'$.k') || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"kind\":\"' || event_type || '\"' ELSE '' END || '}' AS fields FROM events",
+    "drop_empty_nested": "WITH l AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND source <> '' THEN source END AS source, CASE WHEN doc_id % 3 = 0 THEN 1 END AS langs, len(ls)::INTEGER AS lines, len(list_filter(ls, lambda x: x <> '')) AS texts, len(list_filter(ls, lambda x: replace(x, ' ', '') <> '')) AS word_lists, len(list_filter(ls, lambda x: x <> '')) AS marks FROM l",
+    "event_ids": R("ev") + ", o AS (SELECT event_id, event_date, event_name, city FROM ev WHERE event_id % 3 <> 0) SELECT * FROM o UNION ALL SELECT (SELECT max(event_id) FROM o) + row_number() OVER (ORDER BY event_date, event_name, city), event_date, event_name, city FROM ev WHERE event_id % 3 = 0",
+    "load_counters": R("att") + f", {_OLD}, a AS (SELECT CASE WHEN o.status IS NULL THEN 'insert' WHEN n.status IS NULL THEN 'keep' WHEN o.status = n.status THEN 'same' ELSE 'update' END AS action, coalesce(n.status, o.status) AS s FROM old o FULL JOIN new n USING (attempt_id)) SELECT count_if(action = 'insert') AS n_insert, count_if(action = 'update') AS n_update, count_if(action = 'same') AS n_same, count_if(action = 'keep') AS n_keep, count(*) AS stored, count_if(s = upper(s)) AS upper FROM a",
     "lenient_json": "SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events",
 }

@@ -9,8 +9,9 @@ from tally.registry.chat import PENDING
 from tally.streaming import jobs
 
 
-def _events(s, d):
-    return jobs.source(s, f"{d}/events.parquet")
+def _events(s, d, order="ts"):
+    """The table in order, as a stream of several batches."""
+    return jobs.replay(s, f"{d}/events.parquet", order)
 
 
 def _updates(s, d):
@@ -26,9 +27,10 @@ def stream_dedupe(s, d):
 
 def stream_windows(s, d):
     """Five-minute windows, hours that slide by half an hour, and sessions of half an hour."""
-    five = jobs.run(jobs.windows(_events(s, d), "5 minutes"), "windows").withColumn("kind", F.lit("tumbling"))
-    slide = jobs.run(jobs.windows(_events(s, d), "1 hour", "30 minutes"), "windows").withColumn("kind", F.lit("sliding"))
-    gap = jobs.run(jobs.sessions(_events(s, d), "30 minutes"), "sessions")
+    e = _events(s, d)
+    five = jobs.run(jobs.windows(e, "5 minutes"), "windows").withColumn("kind", F.lit("tumbling"))
+    slide = jobs.run(jobs.windows(e, "1 hour", "30 minutes"), "windows").withColumn("kind", F.lit("sliding"))
+    gap = jobs.run(jobs.sessions(e, "30 minutes"), "sessions")
     gap = gap.select(F.floor(F.col("start") / 1_000_000).alias("start"), F.floor(F.col("end") / 1_000_000).alias("end"), F.col("user_id").cast("string").alias("event_type"), "n", F.lit("session").alias("kind"))
     return five.union(slide).union(gap)
 
@@ -45,8 +47,8 @@ def stream_score(s, d):
 
 def stream_insert(s, d):
     """Events by user, kind and hour, stored once however often a batch brings them."""
-    e = _events(s, d).withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
-    return jobs.run_insert(e.select("user_id", "event_type", "hour", "event_id", "value"), "insert", ["user_id", "event_type", "hour"], "event_id")
+    e = _events(s, d, "event_id").withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
+    return jobs.run(jobs.insert_once(e.select("user_id", "event_type", "hour", "event_id", "value"), ["user_id", "event_type", "hour"], "event_id"), "insert", on_disk=True)
 
 
 QUERIES = {

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tally.operators import scoring
 from tally.operators.chat import STATES
@@ -28,15 +30,63 @@ def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run(stream: DataFrame, name: str) -> DataFrame:
-    """What an appending stream has written when all that is there is read."""
+def replay(spark: SparkSession, path: str, order: str, files: int = 4, files_per_batch: int = 1) -> DataFrame:
+    """A table as a stream of several batches in the order of a column: it is written once as files of ranges of that column, and
+    the times of these files, by which a stream of files goes, are put in the same order. So, with a column of event time, no batch
+    has a row that is older than those of an earlier one. The file system must let times be set, as HDFS and local disks do.
+    Rows without a value come first."""
+    folder = scratch_path(spark, "replay")
+    spark.read.parquet(path).repartitionByRange(files, order).write.parquet(folder)
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = int(time.time()) * 1000
+    for i, part in enumerate(parts):  # names go by the number of the task, and that by the range
+        fs.setTimes(part, now - (len(parts) - i) * 1000, -1)
+    return source(spark, folder, files_per_batch)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, on disk beyond a bounded part; a query keeps the setting it began with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def run(stream: DataFrame, name: str, on_disk: bool = False) -> DataFrame:
+    """What an appending stream has written when all that is there is read; its state is kept in memory, or on disk."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    with rocksdb(spark) if on_disk else nullcontext():
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_by_lateness(stream: DataFrame, name: str, delay: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
+    """(on time, late): the rows of a stream (ts) as they come. A row is late if it is older than the newest of all earlier batches
+    less the delay; such rows are what jobs with a watermark of that delay may leave out."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    stored = lambda: spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+
+    def split(batch: DataFrame, number: int) -> None:
+        mark = stored().filter(F.col("batch") < number).agg((F.max("ts") - F.expr(f"interval {delay}")).alias("mark"))  # one row
+        late = F.coalesce(F.col("ts") < F.col("mark"), F.lit(False)).alias("late")
+        batch.join(F.broadcast(mark)).select(*stream.columns, late).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.createDataFrame([], stream.withColumn("late", F.lit(False)).schema).write.parquet(f"{out}/batch=-1")
+    stream.writeStream.foreachBatch(split).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    side = lambda late: stored().filter(F.col("late") == late).select(*stream.columns)
+    return side(False), side(True)
+
+
 def run_latest(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
     """The last row of each key of an updating stream: batches are written with their number, and merged on reading."""
     spark = stream.sparkSession
@@ -46,29 +96,41 @@ def run_latest(stream: DataFrame, name: str, keys: list[str], order: str) -> Dat
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     write(spark.createDataFrame([], stream.schema), -1)  # there may be no batch at all
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     values = [c for c in stream.columns if c not in keys]
     last = F.max_by(F.struct(*values), F.struct("batch", order)).alias("l")
     return rows.groupBy(*keys).agg(last).select(*keys, "l.*")
 
 
-def run_insert(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
-    """The table of a stream whose keys are stored once: each batch adds the rows whose key is not there yet, of several
-    the least by `order`. A batch that is run again writes the same rows again."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    stored = lambda: spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+class FirstRow(StatefulProcessor):
+    """Of each key the row of least order in the batch that brings the key first. The state says that the key is there."""
+
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at long")
 
-    def add(batch: DataFrame, number: int) -> None:
-        values = [c for c in stream.columns if c not in keys]
-        once = batch.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("v")).select(*keys, "v.*").select(*stream.columns)
-        known = stored().filter(F.col("batch") < number).select(*keys)
-        once.join(known, keys, "left_anti").select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            least = part.nsmallest(1, self.order)
+            first = least if first is None else pd.concat([first, least]).nsmallest(1, self.order)
+        if not self.seen.exists() and first is not None and len(first):
+            self.seen.update((int(first[self.order].iloc[0]),))
+            yield first
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return stored().drop("batch")
+    def close(self) -> None:
+        pass
+
+
+def insert_once(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of a stream whose key was in no earlier batch, of several in one the least by `order`, a whole number. What is known of
+    a key is kept in the state, so that a batch costs what it brings."""
+    return stream.groupBy(*keys).transformWithStateInPandas(FirstRow(order), stream.schema, "Append", "None")
 
 
 def with_time(events: DataFrame) -> DataFrame:
@@ -98,35 +160,57 @@ def expiring(updates: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 STATUS = "message_id string, status string, updates long"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A message's state moves forward only, in whatever order its updates come."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rank, updates = state.get if state.exists else (0, 0)
-    last = None
-    for rows in batches:
-        known = rows["status"].map({s: i for i, s in enumerate(STATES)})
-        rank, updates = max(rank, int(known.max())), updates + len(rows)
-        if "ts" in rows:
-            last = max(filter(None, (last, rows["ts"].max().value // 1_000_000)))
-    state.update((rank, updates))
-    if last is not None:
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRES_MS)
-    yield pd.DataFrame({"message_id": [key[0]], "status": [STATES[rank]], "updates": [updates]})
-
-
-def advance(updates: DataFrame) -> DataFrame:
-    """(message_id, status, updates) for each message that a batch touched. Updates without a known status, or without a
-    message, are no updates. With a time (ts), updates later than the watermark are left out, and a message's state is
-    forgotten some time after its last update, so the state does not grow for ever."""
+EXPIRED = "expired"
+
+
+class Lifecycle(StatefulProcessor):
+    """A message's state moves forward only, in whatever order its updates come. A timer forgets it some time after its last update;
+    with `tell`, a last row says that it expired."""
+
+    def __init__(self, timed: bool, tell: bool):
+        self.timed, self.tell = timed, tell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.message = handle.getValueState("message", "rank int, updates long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        rank, updates, last = self.message.get() if self.message.exists() else (0, 0, 0)
+        before = last
+        if before and before + EXPIRES_MS <= timerValues.getCurrentWatermarkInMs():  # its timer would fire after these rows
+            if self.tell:
+                yield pd.DataFrame({"message_id": [key[0]], "status": [EXPIRED], "updates": [updates]})
+            rank, updates, last = 0, 0, 0
+        for part in rows:
+            known = part["status"].map({s: i for i, s in enumerate(STATES)})
+            rank, updates = max(rank, int(known.max())), updates + len(part)
+            if self.timed:
+                last = max(last, part["ts"].max().value // 1_000_000)
+        self.message.update((rank, updates, last))
+        if self.timed and last != before:
+            if before:
+                self.handle.deleteTimer(before + EXPIRES_MS)
+            self.handle.registerTimer(last + EXPIRES_MS)
+        yield pd.DataFrame({"message_id": [key[0]], "status": [STATES[rank]], "updates": [updates]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, updates, _ = self.message.get()
+        self.message.clear()
+        if self.tell:
+            yield pd.DataFrame({"message_id": [key[0]], "status": [EXPIRED], "updates": [updates]})
+
+    def close(self) -> None:
+        pass
+
+
+def advance(updates: DataFrame, tell: bool = False) -> DataFrame:
+    """(message_id, status, updates) for each message that a batch touched, and, with `tell`, for each that expired. Updates without a
+    known status, or without a message, are no updates. With a time (ts), updates later than the watermark are left out, and a
+    message's state is forgotten EXPIRES_MS after its last update, so the state holds no more than the messages of that time."""
     known = updates.filter(F.col("status").isin(*STATES) & F.col("message_id").isNotNull())
-    if "ts" not in updates.columns:
-        return known.select("message_id", "status").groupBy("message_id").applyInPandasWithState(_advance, STATUS, "rank int, updates long", "update", GroupStateTimeout.NoTimeout)
-    timed = with_time(known.filter("ts IS NOT NULL")).select("message_id", "status", "ts")
-    return timed.groupBy("message_id").applyInPandasWithState(_advance, STATUS, "rank int, updates long", "update", GroupStateTimeout.EventTimeTimeout)
+    timed = "ts" in updates.columns
+    rows = with_time(known.filter("ts IS NOT NULL")).select("message_id", "status", "ts") if timed else known.select("message_id", "status")
+    return rows.groupBy("message_id").transformWithStateInPandas(Lifecycle(timed, tell), STATUS, "Update", "EventTime" if timed else "None")
 
 
 def score(attempts: DataFrame, scores: DataFrame) -> DataFrame:

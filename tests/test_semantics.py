@@ -98,9 +98,48 @@ def test_inserts_of_a_stream_come_once(spark, tmp_path):
     for k in range(4):
         rows = [(i % 7, i + 100 * k, f"v{k}") for i in range(10)]
         spark.createDataFrame(rows, "key long, n long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in.parquet")
-    got = jobs.run_insert(jobs.source(spark, f"{tmp_path}/in.parquet", files_per_batch=1), "insert", ["key"], "n").collect()
-    assert sorted(r["key"] for r in got) == list(range(7))
-    assert all(r["n"] % 100 == r["key"] and r["v"] == f"v{r['n'] // 100}" for r in got)
+    one_by_one = jobs.replay(spark, f"{tmp_path}/in.parquet", "n", files=10)
+    got = jobs.run(jobs.insert_once(one_by_one, ["key"], "n"), "insert", on_disk=True).collect()
+    assert sorted((r["key"], r["n"], r["v"]) for r in got) == [(i, i, "v0") for i in range(7)]
+
+
+def _batches(stream, tmp_path):
+    """How many batches a stream takes."""
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda batch, n: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/seen").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(n > 0 for n in seen)
+
+
+def test_shuffled_files_are_replayed_in_order(spark, tmp_path):
+    """70 files in no order of time, in ten batches and more, give what one batch gives; what is late otherwise has a side of its own."""
+    rows = spark.range(1400).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 300) AS ts", "id % 3 AS user_id", "'view' AS event_type")
+    rows.repartition(70, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    stream = jobs.replay(spark, f"{tmp_path}/events.parquet", "ts", files=12)
+    assert _batches(stream, tmp_path) >= 10
+    same = lambda df: sorted(map(tuple, df.collect()))
+    for name, job in (("windows", lambda s: jobs.windows(s, "10 minutes")), ("sessions", lambda s: jobs.sessions(s, "10 minutes")), ("dedupe", lambda s: jobs.dedupe(s, ["user_id", "event_id"]))):
+        whole = same(jobs.run(job(jobs.source(spark, f"{tmp_path}/events.parquet")), name))
+        assert same(jobs.run(job(stream), name)) == whole and whole
+    on_time, late = jobs.run_by_lateness(stream, "lateness")
+    assert late.count() == 0 and on_time.count() == 1400
+    on_time, late = jobs.run_by_lateness(jobs.source(spark, f"{tmp_path}/events.parquet", files_per_batch=7), "lateness")
+    assert late.count() > 0 and on_time.count() + late.count() == 1400
+
+
+def test_a_timer_forgets_a_message(spark, tmp_path):
+    at = lambda minute: __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
+    rows = [("a", "pending", at(0)), ("a", "complete", at(30)), ("b", "pending", at(31)), ("c", "pending", at(60 * 5)), ("a", "pending", at(60 * 10)), ("d", "pending", at(60 * 15))]
+    spark.createDataFrame(rows, "message_id string, status string, ts timestamp").write.parquet(f"{tmp_path}/in.parquet")
+    seen = []
+    stream = jobs.advance(jobs.replay(spark, f"{tmp_path}/in.parquet", "ts", files=6), tell=True)
+    with jobs.rocksdb(spark):
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [x for x in seen if x[0] == "a"] == [("a", "pending", 1), ("a", "complete", 2), ("a", "expired", 2), ("a", "pending", 1), ("a", "expired", 1)]
+    assert ("b", "expired", 1) in seen and ("c", "expired", 1) in seen and ("d", "expired", 1) not in seen
+    kept = [sum(o.numRowsTotal for o in p.stateOperators) for p in query.recentProgress if p.stateOperators]
+    assert max(kept) <= 4 * 3  # a message, its timer and the timer's index, of those of the last hours only
 
 
 def test_reports_read_each_table_once_and_push_years(spark, data):
