@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tally.operators import scoring
 from tally.plans.filters import FilterSpec
 from tally.plans.roles import COMPLETE
+from tally.sources.scratch import materialize
 
 ROUNDS = 8
 SHOWN_ROUNDS = 5
@@ -21,7 +22,15 @@ DAY_LABELS = ("Jornada Torredembarra", "Jornada Dissabte Tarragona", "Jornada Di
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, day, group_id, group_name, position, points, rounds): a group's best five attempts of a session-day
     are its rounds, as JSON text; positions count over the year."""
-    perf = scoring.performances(spark, sf_dir)
+    return rankings_of(materialize(scoring.performances(spark, sf_dir).select(*RANKED), "contest-performances"))
+
+
+#: What rankings need of performances.
+RANKED = ("event_year", "day", "group_id", "group_name", "points", "attempt_id", "item_name", "status")
+
+
+def rankings_of(perf: DataFrame) -> DataFrame:
+    """The rankings of performances, which are read twice: a stored table, or one that is written first."""
     best = Window.partitionBy("event_year", "day", "group_id").orderBy(F.desc("points"), "attempt_id")
     totals = perf.groupBy("event_year", "day", "group_id", "group_name").agg(F.sum("points").alias("points"))
     top = perf.withColumn("rn", F.row_number().over(best)).filter(f"rn <= {SHOWN_ROUNDS}")

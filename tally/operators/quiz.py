@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.operators import reports, scoring
 from tally.plans.roles import ATTEMPT, COMPLETE, DISMANTLED, LOADED
+from tally.sources.scratch import materialize
 
 OPTIONS = 4
 TOP_ITEMS = 4
 BAND, BAND_PERCENT, NEAREST, WRONG = 200, 20, 6, 3
 #: A better outcome has a lower number.
 PRIORITY = {COMPLETE: 1, LOADED: 2, ATTEMPT: 3, DISMANTLED: 4}
-#: The weight of eras of years, newest first, and the years without events. Fixed values.
-ERAS = ((2010, 0.5), (2000, 0.3), (1980, 0.15), (0, 0.05))
+#: The first and last year of eras with their chance, which their years share alike, and the years without events. Fixed values.
+ERAS = ((2016, 2025, 0.45), (2005, 2015, 0.25), (1990, 2004, 0.20), (1960, 1989, 0.10))
 EXCLUDED_YEARS = (2020, 2021)
-KINDS = {"best_event": 0.25, "best_item": 0.2, "performance": 0.2, "counts": 0.2, "ordering": 0.15}
+#: How often each way of answering comes, and within it each kind of question: of all questions, of those about chosen groups, and
+#: of those about chosen years. Fixed values.
+FORMS = {"all": {"options": 0.7, "multi": 0.15, "slider": 0.2, "ordering": 0.05}, "groups": {"options": 0.5, "multi": 0.25, "slider": 0.25}, "years": {"options": 0.45, "multi": 0.2, "slider": 0.2, "ordering": 0.15}}
+KINDS = {
+    "all": {"options": {"best_event": 3, "best_item": 2, "colour": 1, "founded": 1, "performance": 2, "first_group": 1}, "multi": {"multi": 1}, "slider": {"founded_year": 1, "counts": 1}, "ordering": {"ordering": 1}},
+    "groups": {"options": {"best_event": 1, "best_item": 1, "performance": 1}, "multi": {"multi": 1}, "slider": {"counts": 1}},
+    "years": {"options": {"best_event": 1, "best_item": 1, "first_group": 1}, "multi": {"multi": 1}, "slider": {"counts": 1}, "ordering": {"ordering": 1}},
+}
+
+
+def chances(groups: tuple = (), years: tuple = ()) -> dict[str, float]:
+    """How often each kind of question comes, given what was chosen."""
+    of = "groups" if groups else "years" if years else "all"
+    total = sum(FORMS[of].values())
+    return {k: FORMS[of][form] / total * w / sum(kinds.values()) for form, kinds in KINDS[of].items() for k, w in kinds.items()}
 
 
 def priority(status: str = "status") -> Column:
@@ -43,23 +60,52 @@ def best_item_unique(perf: DataFrame) -> DataFrame:
     return perf.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("group_name", "event_year", "item_name", "status", "points")
 
 
-def distractors(scores: DataFrame) -> DataFrame:
-    """(code, full, wrong): for each code other codes of nearly as many points: of the six values of points
-    nearest to its own, within the band, the first three, each by its least code.
+def distractors(scores: DataFrame, seed: int | None = None) -> DataFrame:
+    """(code, full, wrong): for each code three others of nearly as many points, within the band, each value of points by its least
+    code: with a seed, three drawn of the six nearest, else the nearest.
 
-    The nearest three are among the three next values on either side, in one pass over the different values in order.
+    The nearest six are among the six next values on either side, in one pass over the different values in order.
     Points are small whole numbers, so these are few however many codes there are."""
+    among = WRONG if seed is None else NEAREST
     values = scores.groupBy("full").agg(F.min("code").alias("code")).filter("full IS NOT NULL")
     order, own = Window.orderBy("full"), F.struct("full", "code")
-    beside = F.array_compact(F.array(*[f(own, i).over(order) for f in (F.lag, F.lead) for i in range(1, min(NEAREST, WRONG) + 1)]))
+    beside = F.array_compact(F.array(*[f(own, i).over(order) for f in (F.lag, F.lead) for i in range(1, among + 1)]))
     off = lambda x: F.abs(x["full"] - F.col("full"))
     band = F.greatest(F.lit(BAND), F.floor(F.col("full") * BAND_PERCENT / 100))
     near = F.array_sort(F.transform(F.filter("beside", lambda x: off(x) <= band), lambda x: F.struct(off(x).alias("off"), x["full"].alias("full"), x["code"].alias("code"))))
-    wrong = F.array_join(F.transform(F.slice(near, 1, min(NEAREST, WRONG)), lambda x: x["code"]), ",")
+    chosen = F.slice(near, 1, among)
+    if seed is not None:
+        drawn = lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("full"), x["code"]).alias("draw"), x["code"].alias("code"))
+        chosen = F.slice(F.array_sort(F.transform(chosen, drawn)), 1, WRONG)
+    wrong = F.array_join(F.transform(chosen, lambda x: x["code"]), ",")
     picked = values.withColumn("beside", beside).select(F.col("full").alias("p"), wrong.alias("wrong")).filter("wrong <> ''")
     return scores.join(picked, scores["full"] == picked["p"]).select("code", "full", "wrong")
 
 
+def similar_items(answers: DataFrame, scores: DataFrame, most: int = 2, order: Column | None = None, seed: int = 1) -> DataFrame:
+    """(key, average, similar): for answers (key, items: array of (item_name, status)) the first `most`, drawn unless there is an order, of
+    the codes whose points are within a fifth, or BAND, of the average points of the answer's items: complete ones if those
+    points are near, else loaded ones. Items of the answer are no choice, and items without points do not count.
+
+    Points are binned by BAND, so that a band meets the bins that it covers by equality."""
+    known = scoring.aliases(scores).select(F.lower(F.trim("alias")).alias("name"), "full", "partial")
+    each = answers.select("key", F.explode("items").alias("i")).select("key", F.lower(F.trim("i.item_name")).alias("name"), "i.status")
+    value = F.coalesce(F.when(F.col("status") == COMPLETE, F.col("full")).when(F.col("status") == LOADED, F.col("partial")), F.lit(0))
+    average = each.join(known, "name").groupBy("key").agg(F.avg(value).alias("average"))
+    width = F.greatest(F.lit(BAND), F.floor(F.col("average") * BAND_PERCENT / 100))
+    low, high = F.greatest(F.lit(0.0), F.col("average") - width), F.col("average") + width
+    bands = average.select("key", "average", low.alias("low"), high.alias("high")).select("*", F.explode(F.sequence(F.floor(F.col("low") / BAND), F.floor(F.col("high") / BAND))).alias("bin"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("full").alias("points")), F.struct(F.lit(1).alias("kind"), F.col("partial").alias("points")))).alias("p")
+    codes = scores.select(F.coalesce("external", "code").alias("code"), kinds).filter("p.points IS NOT NULL").select("code", "p.*", F.floor(F.col("p.points") / BAND).alias("bin"))
+    near = bands.join(codes, "bin").filter("points BETWEEN low AND high").groupBy("key", "average", "code").agg(F.min("kind").alias("kind"))
+    own = each.select("key", F.col("name").alias("own")).distinct()
+    near = near.join(own, (near["key"] == own["key"]) & (F.lower(F.trim("code")) == F.col("own")), "left_anti")
+    draw = weighted_order(F.lit(1.0), F.col("key").cast("string"), F.col("code"), seed=seed) if order is None else order
+    first = near.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(draw, "code"))).filter(F.col("rn") <= most)
+    text = F.concat("code", F.lit(" ("), F.when(F.col("kind") == 0, COMPLETE).otherwise(LOADED), F.lit(")"))
+    return first.groupBy("key", "average").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"]), ", ").alias("similar"))
+
+
 def _events_by_best(perf: DataFrame) -> DataFrame:
     """A group's events of each year in order of the points of their best four items."""
     best = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "attempt_id")
@@ -69,27 +115,27 @@ def _events_by_best(perf: DataFrame) -> DataFrame:
     return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OPTIONS)
 
 
-def _items_of(perf: DataFrame) -> DataFrame:
+def _items_of(perf: DataFrame, small: reports.SmallItems) -> DataFrame:
     """Items of an event and group without small pillars, each with its best outcome."""
     best = F.min(F.struct(priority().alias("p"), F.col("status"))).alias("b")
-    return reports.without_small_pillars(perf).groupBy("event_id", "group_id", "item_name").agg(best, F.max("points").alias("points")).select("event_id", "group_id", "item_name", F.col("b.status").alias("status"), "points")
+    return reports.without_small(perf, small).groupBy("event_id", "group_id", "item_name").agg(best, F.max("points").alias("points")).select("event_id", "group_id", "item_name", F.col("b.status").alias("status"), "points")
 
 
-def performance(perf: DataFrame) -> DataFrame:
+def performance(perf: DataFrame, small: reports.SmallItems = reports.SMALL_LISTED) -> DataFrame:
     """(group_name, event_year, items, correct, wrong): which event of the year had these items?"""
     events = _events_by_best(perf)
-    items = _items_of(perf).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
+    items = _items_of(perf, small).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
     label = "concat(event_name, ' (', event_date, ')')"
     grouped = events.groupBy("group_id", "group_name", "event_year").agg(F.min_by("event_id", "place").alias("event_id"), F.expr(f"max(CASE WHEN place = 1 THEN {label} END) AS correct"), F.expr(f"listagg(CASE WHEN place > 1 THEN {label} END, '; ') WITHIN GROUP (ORDER BY place) AS wrong"))
     return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", "correct", "wrong")
 
 
-def multi(perf: DataFrame, scores: DataFrame) -> DataFrame:
+def multi(perf: DataFrame, scores: DataFrame, small: reports.SmallItems = reports.SMALL_CHOSEN) -> DataFrame:
     """(group_name, event_id, right, wrong): four items of one of a group's three best events of a year; wrong are
     the first two with another outcome and similar items of the last two."""
     events = _events_by_best(perf).filter("place <= 3").select("event_id", "group_id", "group_name")
     order = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "item_name")
-    items = _items_of(perf.filter("item_code IS NOT NULL")).join(events, ["event_id", "group_id"])
+    items = _items_of(perf.filter("item_code IS NOT NULL"), small).join(events, ["event_id", "group_id"])
     first = items.withColumn("rn", F.row_number().over(order)).filter("rn <= 4")
     code = scoring.aliases(scores).select(F.col("alias").alias("item_name"), F.col("item_code").alias("code"))
     similar = distractors(scores).select("code", F.split_part("wrong", F.lit(","), F.lit(1)).alias("other"))
@@ -118,10 +164,10 @@ def attribute(groups: DataFrame) -> DataFrame:
     return today.crossJoin(F.broadcast(values)).select("group_name", F.col("value").alias("correct"), F.array_join(others, ", ").alias("wrong"))
 
 
-def counts(perf: DataFrame) -> DataFrame:
+def counts(perf: DataFrame, small: reports.SmallItems = reports.SMALL_COUNTED) -> DataFrame:
     """(group_name, event_year, item_name, status, answer, margin, slider_max): how often was it completed, or, if
     never, loaded?"""
-    grouped = reports.without_small_pillars(perf).groupBy("group_name", "event_year", "item_name").agg(F.count_if(F.col("status") == COMPLETE).alias("complete"), F.count_if(F.col("status") == LOADED).alias("loaded"))
+    grouped = reports.without_small(perf, small).groupBy("group_name", "event_year", "item_name").agg(F.count_if(F.col("status") == COMPLETE).alias("complete"), F.count_if(F.col("status") == LOADED).alias("loaded"))
     done = F.col("complete") > 0
     answer = F.when(done, F.col("complete")).otherwise(F.col("loaded"))
     asked = grouped.select("group_name", "event_year", "item_name", F.when(done, COMPLETE).otherwise(LOADED).alias("status"), answer.alias("answer")).filter("answer > 0")
@@ -164,31 +210,57 @@ def weighted_order(weight: Column, *key: Column, seed: int = 1) -> Column:
     return -F.log(u) / weight
 
 
-def sample_years(perf: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
-    """(group_name, event_year): n years of each group, by the weight of their era."""
-    years = perf.filter(~F.col("event_year").isin(*EXCLUDED_YEARS)).select("group_name", "event_year").distinct()
-    weight = F.when(F.col("event_year") >= ERAS[0][0], ERAS[0][1])
-    for start, w in ERAS[1:]:
-        weight = weight.when(F.col("event_year") >= start, w)
+def sample_years(perf: DataFrame, n: int = 5, seed: int = 1, chosen: tuple[int, ...] = ()) -> DataFrame:
+    """(group_name, event_year): n years of each group, by the chance of their era; of chosen years, each alike."""
+    years = perf.select("group_name", "event_year").distinct()
+    if chosen:
+        years, weight = years.filter(F.col("event_year").isin(*chosen)), F.lit(1.0)
+    else:
+        years = years.filter(~F.col("event_year").isin(*EXCLUDED_YEARS))
+        weight = F.lit(None).cast("double")
+        for first, last, chance in ERAS:
+            of_era = sum(y not in EXCLUDED_YEARS for y in range(first, last + 1))
+            weight = F.when(F.col("event_year").between(first, last), F.lit(chance / of_era)).otherwise(weight)
+        years = years.withColumn("w", weight).filter("w IS NOT NULL")
+        weight = F.col("w")
     order = Window.partitionBy("group_name").orderBy(weighted_order(weight, F.col("group_name"), F.col("event_year"), seed=seed))
-    return years.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
-
-
-def dataset(perf: DataFrame, ranked: DataFrame, n: int = 200, seed: int = 1) -> DataFrame:
-    """(kind, question, answer): n questions of all kinds, drawn by the kinds' weights, no question twice."""
+    return years.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).select("group_name", "event_year", "rn")
+
+
+def sample_groups(active: DataFrame, n: int = 5, seed: int = 1, chosen: tuple[str, ...] = ()) -> DataFrame:
+    """(year, group_name, rn): for each year n of the groups active in it (group_name, min_year, max_year, boost), by their boost; of chosen
+    groups, each alike. Years come by equality, the span of a group being rows."""
+    rows = active.filter(F.col("group_name").isin(*chosen)) if chosen else active.filter("boost > 0")
+    each = rows.select(F.explode(F.sequence("min_year", "max_year")).alias("year"), "group_name", F.lit(1.0).alias("w") if chosen else F.col("boost").cast("double").alias("w"))
+    order = Window.partitionBy("year").orderBy(weighted_order(F.col("w"), F.col("year"), F.col("group_name"), seed=seed), "group_name")
+    return each.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).select("year", "group_name", "rn")
+
+
+def dataset(perf: DataFrame, scores: DataFrame, ranked: DataFrame, colours: DataFrame, founded: DataFrame, n: int = 200, seed: int = 1, groups: tuple[str, ...] = (), years: tuple[int, ...] = (), small: reports.SmallItems | None = None) -> DataFrame:
+    """(kind, question, answer): n questions of all kinds that go with what was chosen, drawn by the kinds' chances, no question twice.
+    colours and founded: (group_name, value). The fact and the ranking are written once, narrow, and every kind reads that."""
+    kinds = chances(groups, years)
+    chosen = perf.filter(F.col("group_name").isin(*groups)) if groups else perf
+    chosen = chosen.filter(F.col("event_year").isin(*years)) if years else chosen
+    chosen = materialize(chosen.select("attempt_id", "event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "place", "city", "item_name", "item_code", "item_class", "status", "points"), "quiz-fact")
+    days = ranked.filter(F.col("year").isin(*years)) if years else ranked
+    named = lambda default: default if small is None else small
     q = lambda kind, text, answer: [F.lit(kind).alias("kind"), F.expr(text).alias("question"), F.col(answer).cast("string").alias("answer")]
-    parts = [
-        best_event(perf).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
-        best_item_unique(perf).filter("points > 0").groupBy("group_name", "event_year").agg(F.max_by("item_name", F.struct("points", "item_name")).alias("item")).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
-        performance(perf).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
-        counts(perf).select(*q("counts", "concat('How often was ', item_name, ' ', status, ' by ', group_name, ' in ', event_year, '?')", "answer")),
-        ordering(ranked).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names")),
-    ]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.union(p)
-    all_ = all_.dropDuplicates(["question"])
-    per_kind = all_.groupBy("kind").agg(F.count("*").alias("of_kind"))
-    weights = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    makers = {
+        "best_event": lambda: best_event(chosen).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
+        "best_item": lambda: best_item_unique(chosen).filter("points > 0").groupBy("group_name", "event_year").agg(F.max_by("item_name", F.struct("points", "item_name")).alias("item")).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
+        "colour": lambda: attribute(colours).select(*q("colour", "concat('Colour of the shirt of ', group_name, '?')", "correct")),
+        "founded": lambda: attribute(founded).select(*q("founded", "concat('Founding year of ', group_name, '?')", "correct")),
+        "performance": lambda: performance(chosen, named(reports.SMALL_LISTED)).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
+        "first_group": lambda: first_groups(chosen, most=1).select(*q("first_group", "concat('Which group did ', item_code, ' first?')", "group_name")),
+        "multi": lambda: multi(chosen, scores, named(reports.SMALL_CHOSEN)).select(*q("multi", "concat('Which items did ', group_name, ' do at event ', event_id, '?')", "right")),
+        "founded_year": lambda: founded.select(*q("founded_year", "concat('In which year was ', group_name, ' founded?')", "value")),
+        "counts": lambda: counts(chosen, named(reports.SMALL_COUNTED)).select(*q("counts", "concat('How often was ', item_name, ' ', status, ' by ', group_name, ' in ', event_year, '?')", "answer")),
+        "ordering": lambda: ordering(days).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names")),
+    }
+    all_ = reduce(DataFrame.union, [makers[k]() for k in kinds])
+    all_ = materialize(all_.filter("question IS NOT NULL AND answer IS NOT NULL").dropDuplicates(["question"]), "quiz-questions")
+    per_kind = all_.groupBy("kind").agg(F.count("*").alias("of_kind"))  # one row for each kind
+    weights = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     weight = F.element_at(weights, F.col("kind")) / F.col("of_kind")
     return all_.join(F.broadcast(per_kind), "kind").orderBy(weighted_order(weight, F.col("question"), seed=seed), "question").limit(n).select("kind", "question", "answer")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,17 +138,57 @@ def items_with_points(perf: DataFrame, spec: FilterSpec = FilterSpec()) -> DataF
     return known.groupBy("group_name", "event_year", "item_name", "item_code").agg(F.max("full").alias("full"))
 
 
-#: Pillars too small to count, and the beginnings of their names without spaces and dashes. Fixed values.
-SMALL_PILLARS = ("P1", "P2", "P3", "P4", "P5")
-SMALL_BEGINNINGS = ("p10", "p11", "p12")
+@dataclass(frozen=True)
+class SmallItems:
+    """Items that are too small to ask for: by name, by the beginning of their name in small letters without spaces and dashes, and
+    by other beginnings where a group has more than `many` items at an event."""
+
+    names: tuple[str, ...] = ()
+    beginnings: tuple[str, ...] = ()
+    many: int | None = None
+    beginnings_of_many: tuple[str, ...] = ()
+
+
+#: Small pillars where items of an event are listed, where they are chosen from, and where they are counted. Fixed values.
+SMALL_LISTED = SmallItems(beginnings=("pd4", "pde4"), many=6, beginnings_of_many=("pd5", "pde5"))
+SMALL_CHOSEN = SmallItems(beginnings=("pd4", "pde4"), many=8, beginnings_of_many=("pd5", "pde5"))
+SMALL_COUNTED = SmallItems(names=("Pde4", "Pde4cam", "Pde4ps"), beginnings=("pde4",))
 
 
-def without_small_pillars(perf: DataFrame) -> DataFrame:
+def without_small(perf: DataFrame, small: SmallItems) -> DataFrame:
     name = F.lower(F.regexp_replace("item_name", "[ -]", ""))
-    small = F.col("item_name").isin(*SMALL_PILLARS)
-    for beginning in SMALL_BEGINNINGS:
-        small = small | name.startswith(beginning)
-    return perf.filter(~small)
+    begins = lambda beginnings: reduce(lambda x, b: x | name.startswith(b), beginnings, F.lit(False))
+    drop = F.col("item_name").isin(*small.names) | begins(small.beginnings)
+    if small.many is not None:
+        at_event = F.count("*").over(Window.partitionBy("event_id", "group_id"))
+        perf = perf.withColumn("__n", at_event)
+        drop = drop | ((F.col("__n") > small.many) & begins(small.beginnings_of_many))
+    return perf.filter(~drop).drop("__n")
+
+
+#: What each report shows, in this order, and under which names. Fixed values.
+LAYOUTS = {
+    "best_event": {"ranking": "#", "event_name": "Diada", "event_date": "Data", "group_name": "Colla", "event_city": "Ciutat", "items_done": "Castells"},
+    "best_item": {"tier_filtered": "Gamma", "item_name": "Castell", "event_name": "Diada", "date": "Data", "group_name": "Colla", "city": "Ciutat", "status": "Estat"},
+    "item_history": {"tier_filtered": "Gamma", "item_name": "Castell", "status": "Estat", "occurrences": "Vegades", "group_name": "Colla", "group_names": "Colles", "first_date": "Primera Data", "last_date": "Última Data", "cities": "Ciutats"},
+    "location_performances": {"event_name": "Diada", "event_date": "Data", "event_city": "Ciutat", "group_name": "Colla", "items_done": "Castells"},
+    "first_item": {"item_name": "Castell", "status": "Estat", "event_name": "Diada", "date": "Data", "group_name": "Colla", "city": "Ciutat"},
+    "item_statistics": {
+        "item_name": "Castell", "times_complete": "Cops Descarregat", "times_loaded": "Cops Carregat", "times_dismantled": "Cops Intent Desmuntat", "times_attempted": "Cops Intent",
+        "first_complete": "Primera Data Descarregat", "first_loaded": "Primera Data Carregat", "groups_complete": "Colles Descarregat", "groups_loaded": "Colles Carregat", "groups_attempted": "Colles Intentat",
+        "names_complete": "Primeres Colles Descarregat", "names_loaded": "Primeres Colles Carregat",
+    },
+    "contest_ranking": {"group_name": "Colla", "position": "Posició", "total_points": "Punts Totals", "day": "Jornada", "round_1": "Ronda 1", "round_2": "Ronda 2", "round_3": "Ronda 3", "round_4": "Ronda 4", "round_5": "Ronda 5"},
+    "contest_history": {"year": "Any", "day": "Jornada", "groups": "Colles Participants", "winner": "Colla Guanyadora", "winner_points": "Punts Guanyador", "r1": "Castells R1", "r2": "Castells R2", "r3": "Castells R3", "r4": "Castells R4", "r5": "Castells R5"},
+    "year_summary": {"tier_filtered": "Gamma", "group_name": "Colla", "num_events": "Núm. Actuacions", "num_attempts": "Núm. Castells", "complete": "Castells Descarregats", "loaded": "Castells Carregats", "dismantled": "Castells Intent Desmuntat", "attempts_failed": "Castells Intent"},
+}
+#: Columns whose lists are cut.
+CUT_COLUMNS = ("cities", "group_names")
+
+
+def laid_out(report: DataFrame, kind: str, rows: int = 20) -> DataFrame:
+    """The report as it is shown: those of its layout's columns that it has."""
+    return display(report, {c: n for c, n in LAYOUTS[kind].items() if c in report.columns}, CUT_COLUMNS, rows)
 
 
 def display(report: DataFrame, names: dict[str, str], lists: tuple[str, ...] = (), rows: int = 20) -> DataFrame:
@@ -155,7 +198,7 @@ def display(report: DataFrame, names: dict[str, str], lists: tuple[str, ...] = (
         value = F.col(column).cast("string")
         if column in lists:
             parts = F.split(value, ", ")
-            cut = F.concat(F.array_join(F.slice(parts, 1, DISPLAY_CUT), ", "), F.lit(", ..."))
+            cut = F.concat(F.array_join(F.slice(parts, 1, DISPLAY_CUT), ", "), F.lit("..."))
             value = F.when(F.size(parts) > DISPLAY_CUT, cut).otherwise(value)
         return F.coalesce(value, F.lit("-")).alias(names[column])
 

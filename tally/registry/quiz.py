@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tally.operators import contest, quiz, reports, scoring
@@ -9,15 +10,26 @@ from tally.plans import roles
 from tally.registry.contest import _RANKED
 from tally.registry.sqlroles import roles as R
 from tally.sources import readers
-from tally.sources.scratch import scratch_path
+from tally.sources.scratch import materialize, scratch_path
 
 perf = scoring.performances
 
 
+#: What stands for small pillars in the tables.
+SMALL = reports.SmallItems(names=("P1", "P2", "P3", "P4", "P5"), beginnings=("p10", "p11", "p12"))
+
+
+def _colours(s, d):
+    return roles.groups(s, d).select("group_name", F.concat(F.lit("colour "), (F.col("group_id") % 6).cast("string")).alias("value"))
+
+
+def _founded(p):
+    return p.groupBy("group_name").agg((F.min("event_year") - F.min("group_id") % 5).cast("string").alias("value"))
+
+
 def attribute(s, d):
     """Shirt colours, and the year of a group's first event as its founding year."""
-    colours = roles.groups(s, d).select("group_name", F.concat(F.lit("colour "), (F.col("group_id") % 6).cast("string")).alias("value"))
-    founded = perf(s, d).groupBy("group_name").agg((F.min("event_year") - F.min("group_id") % 5).cast("string").alias("value"))
+    colours, founded = _colours(s, d), _founded(perf(s, d))
     return quiz.attribute(colours).withColumn("kind", F.lit("colour")).union(quiz.attribute(founded).withColumn("kind", F.lit("founded")))
 
 
@@ -53,20 +65,41 @@ def quiz_dictionaries(s, d):
     return out
 
 
+def _active(s, d):
+    """Groups with their years of activity, and a boost by their number."""
+    ranges = reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d))
+    return ranges.select("group_name", "min_year", "max_year", (F.length("group_name") % 4).alias("boost"))
+
+
+def quiz_dataset(s, d):
+    p = materialize(perf(s, d), "quiz-performances")
+    return quiz.dataset(p, roles.scores(s, d), materialize(contest.rankings_of(p), "quiz-rankings"), _colours(s, d), _founded(p), small=SMALL)
+
+
+def similar_items(s, d):
+    """For each group and year its four best items, and the two first codes of nearly their average of points."""
+    best = quiz.best_item_unique(perf(s, d)).filter("points > 0")
+    top = best.withColumn("rn", F.row_number().over(Window.partitionBy("group_name", "event_year").orderBy(F.desc("points"), "item_name"))).filter("rn <= 4")
+    answers = top.groupBy(F.concat_ws("|", "group_name", "event_year").alias("key")).agg(F.collect_list(F.struct("item_name", "status")).alias("items"))
+    return quiz.similar_items(answers, roles.scores(s, d), order=F.col("code")).select("key", F.round("average", 6).alias("average"), "similar")
+
+
 QUERIES = {
     "quiz_dictionaries": quiz_dictionaries,
     "quiz_best_event": lambda s, d: quiz.best_event(perf(s, d)),
     "best_item_unique": lambda s, d: quiz.best_item_unique(perf(s, d)),
     "distractors": lambda s, d: quiz.distractors(roles.scores(s, d)),
-    "quiz_performance": lambda s, d: quiz.performance(perf(s, d)),
-    "quiz_multi": lambda s, d: quiz.multi(perf(s, d), roles.scores(s, d)),
+    "quiz_performance": lambda s, d: quiz.performance(materialize(perf(s, d), "quiz-performances"), SMALL),
+    "quiz_multi": lambda s, d: quiz.multi(perf(s, d), roles.scores(s, d), SMALL),
     "first_groups": lambda s, d: quiz.first_groups(perf(s, d)),
     "quiz_attribute": attribute,
-    "quiz_counts": lambda s, d: quiz.counts(perf(s, d)),
+    "quiz_counts": lambda s, d: quiz.counts(perf(s, d), SMALL),
     "quiz_ordering": lambda s, d: quiz.ordering(contest.rankings(s, d)),
     "quiz_scoring": scoring_of_answers,
-    "quiz_sample": lambda s, d: quiz.sample_years(perf(s, d)),
-    "quiz_dataset": lambda s, d: quiz.dataset(perf(s, d), contest.rankings(s, d)),
+    "quiz_sample": lambda s, d: quiz.sample_years(perf(s, d)).select("group_name", "event_year"),
+    "quiz_groups": lambda s, d: quiz.sample_groups(_active(s, d)),
+    "similar_items": similar_items,
+    "quiz_dataset": quiz_dataset,
 }
 
 _LABEL = "event_name || ', ' || city || ' (' || event_date || ' | ' || group_name || ')'"
@@ -90,6 +123,7 @@ SQL = {
     "quiz_best_event": R("totals") + f", t AS (SELECT *, year(event_date)::INTEGER AS y, row_number() OVER (PARTITION BY group_id, year(event_date) ORDER BY total_points DESC, event_date, event_id) AS rn FROM totals QUALIFY rn <= 4) SELECT group_name, y AS year, max(CASE WHEN rn = 1 THEN {_LABEL} END) AS correct, string_agg(CASE WHEN rn > 1 THEN {_LABEL} END, '; ' ORDER BY rn) AS wrong FROM t GROUP BY group_name, y HAVING count(*) > 1",
     "best_item_unique": R("perf") + f"SELECT group_name, event_year, item_name, status, points FROM perf QUALIFY row_number() OVER (PARTITION BY group_name, event_year, item_name ORDER BY points DESC, {_PRIO}, attempt_id) = 1",
     "distractors": R("sc", **_WRONG) + 'SELECT code, "full", wrong FROM sc JOIN wrongs ON p = "full"',
+    "similar_items": R("perf", "sc") + f", b AS (SELECT group_name || '|' || event_year AS key, item_name, status, points, row_number() OVER (PARTITION BY group_name, event_year ORDER BY points DESC, item_name) AS rn FROM (SELECT group_name, event_year, item_name, status, points FROM perf QUALIFY row_number() OVER (PARTITION BY group_name, event_year, item_name ORDER BY points DESC, {_PRIO}, attempt_id) = 1) WHERE points > 0 QUALIFY rn <= 4), v AS (SELECT key, avg(points) AS average FROM b GROUP BY key), w AS (SELECT key, average, greatest(0, average - greatest(200, floor(average * 0.2))) AS lo, average + greatest(200, floor(average * 0.2)) AS hi FROM v), n AS (SELECT key, average, external AS code, CASE WHEN \"full\" BETWEEN lo AND hi THEN 'Descarregat' ELSE 'Carregat' END AS st FROM w JOIN sc ON \"full\" BETWEEN lo AND hi OR partial BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = w.key AND lower(b.item_name) = lower(external)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY external) <= 2) SELECT key, round(average, 6) AS average, string_agg(code || ' (' || st || ')', ', ' ORDER BY code) AS similar FROM n GROUP BY key, average",
     "quiz_performance": R("perf", **_EVENTS) + ", li AS (SELECT event_id, group_id, string_agg(item_name || ' (' || status || ')', ', ' ORDER BY points DESC, item_name) AS items FROM its GROUP BY ALL), g AS (SELECT group_id, group_name, event_year, min_by(event_id, place) AS event_id, max(CASE WHEN place = 1 THEN event_name || ' (' || event_date || ')' END) AS correct, string_agg(CASE WHEN place > 1 THEN event_name || ' (' || event_date || ')' END, '; ' ORDER BY place) AS wrong FROM evs GROUP BY ALL) SELECT group_name, event_year, items, correct, wrong FROM g JOIN li USING (event_id, group_id)",
     "quiz_multi": R("perf", **_EVENTS, **_WRONG) + ", f AS (SELECT i.*, group_name, row_number() OVER (PARTITION BY i.event_id, i.group_id ORDER BY i.points DESC, item_name) AS rn FROM its i JOIN evs e USING (event_id, group_id) WHERE place <= 3 AND item_code IS NOT NULL QUALIFY rn <= 4) SELECT group_name, event_id, string_agg(item_name || ' (' || status || ')', ', ' ORDER BY rn) AS \"right\", string_agg(CASE WHEN rn <= 2 THEN item_name || ' (' || CASE WHEN status = 'Descarregat' THEN 'Carregat' ELSE 'Descarregat' END || ')' ELSE other || ' (' || status || ')' END, ', ' ORDER BY rn) AS wrong FROM f JOIN sc ON code = item_code LEFT JOIN wrongs ON p = \"full\" GROUP BY group_name, event_id HAVING count(*) = 4",
     "first_groups": R("perf") + "SELECT item_code, row_number() OVER (PARTITION BY item_code ORDER BY d, e, group_name) AS place, group_name, d AS date FROM (SELECT item_code, group_name, min(event_date) AS d, arg_min(event_id, struct_pack(d := event_date, e := event_id)) AS e FROM perf WHERE item_code IS NOT NULL GROUP BY ALL) QUALIFY place <= 4",

@@ -8,6 +8,7 @@ from tally.operators import reports, scoring
 from tally.plans import roles
 from tally.plans.filters import FilterSpec
 from tally.registry.sqlroles import roles as R
+from tally.sources.scratch import materialize
 
 perf = scoring.performances
 ITEMS = ("1", "2", "3", "5", "8", "13", "21", "34", "55", "89", "144")
@@ -61,9 +62,10 @@ def dataset_stats(s, d):
 def option_lists(s, d):
     """The values that a user can choose from, by kind."""
     p = perf(s, d)
-    kind = lambda name, col: p.select(F.lit(name).alias("kind"), F.col(col).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
+    one = lambda name, col: F.struct(F.lit(name).alias("kind"), F.col(col).cast("string").alias("value"))
+    each = p.select(F.explode(F.array(one("group", "group_name"), one("city", "city"), one("event", "event_name"), one("item", "item_code"))).alias("v")).select("v.*").filter("value IS NOT NULL").distinct()
     years = roles.events(s, d).select(F.lit("year").alias("kind"), F.regexp_extract("date_text", "([0-9]{4})", 1).alias("value")).distinct()
-    return kind("group", "group_name").union(kind("city", "city")).union(kind("event", "event_name")).union(kind("item", "item_code")).union(years)
+    return each.union(years)
 
 
 DISPLAY = {"ranking": "#", "event_name": "Diada", "event_date": "Data", "event_place": "Lloc", "event_city": "Ciutat", "group_name": "Colla", "items_done": "Castells", "total_points": "Punts"}
@@ -79,7 +81,7 @@ QUERIES = {
     "first_item": lambda s, d: reports.first_item(perf(s, d), FilterSpec(items=ITEMS)),
     "item_statistics": lambda s, d: reports.item_statistics(perf(s, d)),
     "year_ranges": lambda s, d: reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d)),
-    "active_groups": lambda s, d: reports.active_groups(reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d))).join(reports.groups_with_min_events(perf(s, d)), "group_name"),
+    "active_groups": lambda s, d: reports.active_groups(reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d))).join(reports.groups_with_min_events(materialize(perf(s, d).select("group_name", "event_id", "event_year"), "active-events")), "group_name"),
     "item_count": lambda s, d: reports.item_count(perf(s, d), list(ITEMS), roles.COMPLETE),
     "star_join": star_join,
     "alias_join": lambda s, d: scoring.alias_join(roles.attempts(s, d), roles.scores(s, d)).select("attempt_id", "item_name", "item_code", "full", "partial"),
@@ -134,6 +136,6 @@ SQL = {
     "dataset_stats": R("att", "ev") + "SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT event_id) FROM att) AS events_with_results, (SELECT count(*) FROM ev WHERE event_id NOT IN (SELECT event_id FROM att)) AS events_without_results, (SELECT count(DISTINCT city) FROM ev) AS cities, (SELECT count(*) FROM att) AS attempts, (SELECT count(DISTINCT group_id) FROM att) AS groups",
     "option_lists": R("perf") + "SELECT DISTINCT 'group' AS kind, group_name AS value FROM perf UNION ALL SELECT DISTINCT 'city', city FROM perf UNION ALL SELECT DISTINCT 'event', event_name FROM perf UNION ALL SELECT DISTINCT 'item', item_code FROM perf WHERE item_code IS NOT NULL UNION ALL SELECT DISTINCT 'year', regexp_extract(date_text, '([0-9]{4})', 1) FROM ev",
     "display_table": R("perf") + "SELECT item_name AS \"Castell\", status AS \"Estat\", count(*)::VARCHAR AS \"Vegades\", "
-    + ", ".join(f"CASE WHEN count(DISTINCT {c}) > 10 THEN array_to_string(list_sort(list(DISTINCT {c}))[1:10], ', ') || ', ...' ELSE coalesce(string_agg(DISTINCT {c}, ', ' ORDER BY {c}), '-') END AS \"{n}\"" for c, n in (("group_name", "Colles"), ("city", "Ciutats")))
+    + ", ".join(f"CASE WHEN count(DISTINCT {c}) > 10 THEN array_to_string(list_sort(list(DISTINCT {c}))[1:10], ', ') || '...' ELSE coalesce(string_agg(DISTINCT {c}, ', ' ORDER BY {c}), '-') END AS \"{n}\"" for c, n in (("group_name", "Colles"), ("city", "Ciutats")))
     + " FROM perf GROUP BY item_name, status ORDER BY count(*) DESC, item_name, status LIMIT 20",
 }

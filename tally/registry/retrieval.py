@@ -66,7 +66,7 @@ def doc_assemble(s, d):
 
 def hybrid_context(s, d):
     """Questions for years with and without events: the best event, else a document."""
-    perf = scoring.performances(s, d)
+    perf = materialize(scoring.performances(s, d), "hybrid-performances")
     years = perf.select("event_year").distinct()
     questions = years.select(F.col("event_year").alias("qid")).union(years.select(F.col("event_year") + 5)).distinct()
     best = scoring.event_totals(perf).groupBy(F.year("event_date").alias("qid")).agg(F.max_by(F.concat_ws(" ", "event_name", "group_name", F.col("total_points")), F.struct("total_points", (-F.col("event_id")).alias("e"), (-F.col("group_id")).alias("g"))).alias("report"))

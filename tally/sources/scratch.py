@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,30 +21,44 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tally-shared")
-    return f"{folder.rstrip('/')}/tally"
+    return f"{qualified(spark, folder)}/tally"
 
 
-_made: list[str] = []
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, the default one if it names none, so that what reads it without Spark finds the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+
+
+#: The scratch tables made inside the innermost scope of this thread; None outside of scopes.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 @contextmanager
 def scope(spark: SparkSession, keep: str) -> Iterator[None]:
-    """Deletes the scratch tables that are made inside, at its end, but for those whose name begins with `keep`. What is
-    computed from them must be written by then."""
-    start = len(_made)
-    yield
-    mine, _made[start:] = _made[start:], []
-    for path in mine:
-        if os.path.basename(path).startswith(keep):
-            _made.append(path)
-        else:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Deletes the scratch tables that this thread makes inside, at its end, but for those whose name begins with `keep`, which a scope
+    around it gets. What is computed from them must be written by then."""
+    outer = _made.set([])
+    try:
+        yield
+    finally:
+        mine = _made.get()
+        _made.reset(outer)
+        for path in mine:
+            if os.path.basename(path).startswith(keep):
+                if (around := _made.get()) is not None:
+                    around.append(path)
+            else:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

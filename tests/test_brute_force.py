@@ -10,12 +10,12 @@ from tally.functions import fuzzy
 from tally.functions.tables import DISPLAY_NAMES, TEMPLATES
 from tally.operators import linking, pages, quiz, retrieval
 from tally.plans import roles
-from tally.registry import parsing, retrieval as registered
+from tally.registry import parsing, quiz as quiz_registry, retrieval as registered
 from tally.registry import queries
 
 QUERIES = queries()
 #: The queries without SQL, all of which are held against something here or in test_semantics.
-COVERED = {"classify_question", "fuzzy_link", "link_cities", "link_events", "link_items", "page_extract", "quiz_dataset", "quiz_sample", "rerank_fuzzy", "vector_ivf"}
+COVERED = {"classify_question", "fuzzy_link", "link_cities", "link_events", "link_items", "page_extract", "quiz_dataset", "quiz_groups", "quiz_sample", "rerank_fuzzy", "vector_ivf"}
 
 
 @pytest.fixture(scope="module")
@@ -169,10 +169,61 @@ def test_quiz_sample(spark, data):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["quiz_sample"](spark, data).collect()))
 
 
+def test_chances_and_samplers(spark):
+    """Kinds, years and groups come as often as the rules say."""
+    every = quiz.chances()
+    assert sum(every.values()) == pytest.approx(1) and every["best_event"] == pytest.approx(0.7 / 1.1 * 0.3) and every["counts"] == pytest.approx(0.2 / 1.1 / 2)
+    assert set(quiz.chances(groups=("a",))) == {"best_event", "best_item", "performance", "multi", "counts"}
+    assert set(quiz.chances(years=(2000,))) == {"best_event", "best_item", "first_group", "multi", "counts", "ordering"}
+    perf = spark.range(3000).select(F.col("id").cast("string").alias("group_name"), F.explode(F.sequence(F.lit(1950), F.lit(2025))).alias("event_year"))
+    first = quiz.sample_years(perf, n=1).groupBy("event_year").count().collect()
+    share = {r["event_year"]: r["count"] / 3000 for r in first}
+    assert not set(share) & {2020, 2021} and min(share) >= 1960
+    for a, b, chance in quiz.ERAS:
+        assert sum(v for y, v in share.items() if a <= y <= b) == pytest.approx(chance, abs=0.03)
+    assert {r["event_year"] for r in quiz.sample_years(perf, n=9, chosen=(2020, 1955)).select("event_year").distinct().collect()} == {2020, 1955}
+    active = spark.createDataFrame([("a", 1000, 3999, 3), ("b", 1000, 3999, 1), ("c", 1000, 2499, 4), ("d", 1000, 3999, 0)], "group_name string, min_year int, max_year int, boost int")
+    late = quiz.sample_groups(active, n=1).filter("year >= 2500").groupBy("group_name").count().collect()
+    assert {r["group_name"]: r["count"] / 1500 for r in late} == pytest.approx({"a": 0.75, "b": 0.25}, abs=0.05)
+    assert {r["group_name"] for r in quiz.sample_groups(active, n=1, chosen=("d", "c")).collect()} == {"c", "d"}
+
+
+def test_quiz_groups(spark, data):
+    active = {(y, g) for g, a, b, boost in ((r["group_name"], r["min_year"], r["max_year"], r["boost"]) for r in quiz_registry._active(spark, data).collect()) if boost for y in range(a, b + 1)}
+    rows = QUERIES["quiz_groups"](spark, data).collect()
+    assert {(r["year"], r["group_name"]) for r in rows} <= active
+    per_year = {y: sum(a == y for a, _ in active) for y, _ in active}
+    assert {y: sum(r["year"] == y for r in rows) for y in per_year} == {y: min(5, n) for y, n in per_year.items()}
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["quiz_groups"](spark, data).collect()))
+
+
+def test_small_items_and_layouts(spark):
+    from tally.operators import reports
+
+    rows = [(1, 1, f"3d{i}") for i in range(6)] + [(1, 1, "Pd5"), (1, 1, "P de 4"), (2, 1, "Pd5"), (2, 1, "pd4ps"), (2, 1, "4d8"), (3, 1, "Pde4cam")]
+    perf = spark.createDataFrame(rows, "event_id int, group_id int, item_name string")
+    kept = lambda small: sorted((r["event_id"], r["item_name"]) for r in reports.without_small(perf, small).collect() if not r["item_name"].startswith("3d"))
+    assert kept(reports.SMALL_LISTED) == [(2, "4d8"), (2, "Pd5")]
+    assert kept(reports.SMALL_CHOSEN) == [(1, "Pd5"), (2, "4d8"), (2, "Pd5")]
+    assert kept(reports.SMALL_COUNTED) == [(1, "Pd5"), (2, "4d8"), (2, "Pd5"), (2, "pd4ps")]
+    cities = ", ".join(f"c{i}" for i in range(12))
+    shown = reports.laid_out(spark.createDataFrame([("3d7", "Descarregat", 5, cities, None)], "item_name string, status string, occurrences long, cities string, group_names string"), "item_history")
+    assert shown.columns == ["Castell", "Estat", "Vegades", "Colles", "Ciutats"]
+    assert tuple(shown.first()) == ("3d7", "Descarregat", "5", "-", ", ".join(f"c{i}" for i in range(10)) + "...")
+
+
+def test_drawn_distractors(spark):
+    scores = spark.createDataFrame([(f"x{i:02}", 1000 + 30 * i) for i in range(20)], "code string, full int")
+    drawn = {r["code"]: r["wrong"].split(",") for r in quiz.distractors(scores, seed=4).collect()}
+    assert len(drawn) == 20 and all(len(set(w)) == 3 for w in drawn.values())
+    nearest = {f"x{i:02}": [f"x{j:02}" for _, j in sorted((abs(i - j), j) for j in range(20) if j != i)[:6]] for i in range(20)}
+    assert all(set(w) <= set(nearest[c]) for c, w in drawn.items()) and any(set(w) != set(nearest[c][:3]) for c, w in drawn.items())
+
+
 def test_quiz_dataset(spark, data):
     rows = QUERIES["quiz_dataset"](spark, data).collect()
     assert len({r["question"] for r in rows}) == len(rows) > 0
-    assert {r["kind"] for r in rows} <= set(quiz.KINDS)
+    assert {r["kind"] for r in rows} == set(quiz.chances())
     best = {(r["group_name"], r["year"]): r["correct"] for r in QUERIES["quiz_best_event"](spark, data).collect()} if "quiz_best_event" in QUERIES else None
     counts = {f"How often was {r['item_name']} {r['status']} by {r['group_name']} in {r['event_year']}?": str(r["answer"]) for r in QUERIES["quiz_counts"](spark, data).collect()}
     for r in rows:
