@@ -52,17 +52,40 @@ def flatten_scores(nested: DataFrame) -> DataFrame:
     return one.select("code", F.replace("code", F.lit("d"), F.lit("de")).alias("external"), either("descarregat", "descarregats").alias("full"), either("carregat", "carregats").alias("partial"))
 
 
+GRAM = 3
+
+
+def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) for each text of parts (part) that a text of wholes (whole) contains, each different text once. A part is looked
+    up by the rarest of its runs of three characters, or by itself if it is shorter, among those of the wholes."""
+
+    def runs(text: Column, size) -> Column:
+        n = F.length(text) - size + 1
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size) if isinstance(size, int) else size))).otherwise(F.array().cast("array<string>"))
+
+    whole, part = F.col("whole"), F.col("part")
+    every = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[runs(whole, q) for q in range(1, GRAM + 1)])))
+    of_wholes = wholes.select("whole").filter("whole IS NOT NULL").distinct().select("whole", F.explode(every).alias("gram"))
+    own = F.when(part == "", F.array(F.lit(""))).otherwise(runs(part, F.least(F.lit(GRAM), F.length(part))))
+    of_parts = parts.select("part").filter("part IS NOT NULL").distinct().select("part", F.explode(F.array_distinct(own)).alias("gram"))
+    counts = of_wholes.groupBy("gram").agg(F.count("*").alias("n"))
+    # a part with a run that no whole has is in none; its other runs may still be looked up, and give nothing
+    rarest = of_parts.join(counts, "gram").groupBy("part").agg(F.min(F.struct("n", "gram")).alias("r")).select("part", F.col("r.gram").alias("gram"))
+    return rarest.join(of_wholes, "gram").filter(whole.contains(part)).select("part", "whole")
+
+
 def resolve_names(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
     """(raw, group_id, step) for each different name: equal, by alias, contained in a group's name, or containing
-    one; the least id where several fit. Only what no equality resolves meets the groups one by one; the groups
-    are a dictionary, not data that grows."""
+    one; the least id where several fit."""
     raw = names.select("raw").distinct()
     found = raw.join(groups, F.col("raw") == F.col("group_name")).select("raw", "group_id", F.lit(1).alias("step"))
     by_alias = raw.join(aliases, F.col("raw") == F.col("alias")).join(groups, "group_name").select("raw", "group_id", F.lit(2).alias("step"))
     found = found.union(by_alias)
     rest = raw.join(found, "raw", "left_anti")
-    inside, around = F.col("group_name").contains(F.col("raw")), F.col("raw").contains(F.col("group_name"))
-    near = rest.join(groups, inside | around).select("raw", "group_id", F.when(inside, 3).otherwise(4).alias("step"))
+    known = groups.select(F.col("group_name").alias("name"))
+    inside = containing(rest.select(F.col("raw").alias("part")), known.select(F.col("name").alias("whole"))).select(F.col("part").alias("raw"), F.col("whole").alias("group_name"), F.lit(3).alias("step"))
+    around = containing(known.select(F.col("name").alias("part")), rest.select(F.col("raw").alias("whole"))).select(F.col("whole").alias("raw"), F.col("part").alias("group_name"), F.lit(4).alias("step"))
+    near = inside.union(around).join(groups, "group_name").select("raw", "group_id", "step")
     best = found.union(near).groupBy("raw").agg(F.min(F.struct("step", "group_id")).alias("b"))
     return raw.join(best, "raw", "left").select("raw", "b.group_id", "b.step")
 

@@ -115,3 +115,18 @@ def test_expiry_counts(spark, tmp_path):
     now = F.lit("2024-01-01 00:10:00").cast("timestamp")
     assert chat_store.expire(spark, f"{tmp_path}/pending", now) == 1 and chat_store.expire(spark, f"{tmp_path}/pending", now) == 0
     assert {r["message_id"] for r in chat_store.read(spark, f"{tmp_path}/pending").collect()} == {"a", "c"}
+
+
+def test_containing_equals_brute_force(spark):
+    r = random.Random(6)
+    text = lambda most: "".join(r.choice("abcé ") for _ in range(r.randint(0, most)))
+    parts, wholes = sorted({text(5) for _ in range(150)}), sorted({text(14) for _ in range(150)})
+    got = ingest.containing(spark.createDataFrame([(x,) for x in [*parts, None, parts[0]]], "part string"), spark.createDataFrame([(x,) for x in [*wholes, None, wholes[3]]], "whole string"))
+    assert sorted(map(tuple, got.collect())) == sorted((p, w) for p in parts for w in wholes if p in w)
+    names = spark.createDataFrame([("Colla Vella",), ("Vella",), ("la Colla Vella dels Xiquets",), ("zz",), (None,)], "raw string")
+    groups = spark.createDataFrame([(2, "Colla Vella"), (1, "Colla Vella dels X"), (5, "Colla")], "group_id long, group_name string")
+    aliases = spark.createDataFrame([], "alias string, group_name string")
+    resolved = ingest.resolve_names(names, groups, aliases)
+    assert {tuple(x) for x in resolved.collect()} == {("Colla Vella", 2, 1), ("Vella", 1, 3), ("la Colla Vella dels Xiquets", 1, 4), ("zz", None, None), (None, None, None)}
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
