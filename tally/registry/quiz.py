@@ -89,7 +89,7 @@ QUERIES = {
     "quiz_best_event": lambda s, d: quiz.best_event(perf(s, d)),
     "best_item_unique": lambda s, d: quiz.best_item_unique(perf(s, d)),
     "distractors": lambda s, d: quiz.distractors(roles.scores(s, d)),
-    "quiz_performance": lambda s, d: quiz.performance(materialize(perf(s, d), "quiz-performances"), SMALL),
+    "quiz_performance": lambda s, d: quiz.performance(materialize(perf(s, d).select("event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "item_name", "status", "points", "attempt_id"), "quiz-performances"), SMALL),
     "quiz_multi": lambda s, d: quiz.multi(perf(s, d), roles.scores(s, d), SMALL),
     "first_groups": lambda s, d: quiz.first_groups(perf(s, d)),
     "quiz_attribute": attribute,
