@@ -20,15 +20,17 @@ rows is split into blocks, each visited by all probes of the bucket. Probes trav
 once to each shard that its probes name. A task holds the rows of one shard, passes its queries by in batches,
 and keeps `k` rows for each. Queries for which fewer than k candidates were found visit all shards of one table.
 
-Vectors that are null, empty or zero, or hold a null or a number that is not finite, or whose length is not the
-most frequent one, take no part; nor do null ids. Rows repeated in id and vector count once; ties in score go
-to the smaller id. An empty table, or one with no queries, gives an empty result.
+Vectors that are null, empty or zero, or hold a null or a number that is not finite, take no part; nor do null ids.
+Vectors of different lengths have no inner product: each length is searched by itself, with parameters of its own, so a
+query meets the rows of its own length. Rows repeated in id and vector count once; ties in score go to the smaller
+id. An empty table, or one with no queries, gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -311,17 +313,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     parameters: (tables, functions, width, probes); by default what fit() chooses."""
     spark = vectors.sparkSession
     all_rows = materialize(valid(vectors, id_col, vector_col), "ann-vectors")
-    common = all_rows.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy(F.desc("n"), "size").first()
-    if common is None:
+    asks = F.count_if(is_query).alias("asks")
+    # one row for each length of a vector
+    lengths = all_rows.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"), F.max("norm").alias("longest"), asks).filter("asks > 0").collect()
+    found = [_of_length(all_rows.filter(F.size("vec") == x["size"]), is_query, x["size"], x["n"], x["longest"], k, parameters, block, shard_rows) for x in lengths]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = common["size"]
-    rows = all_rows.filter(F.size("vec") == size)
+    best = Window.partitionBy("query", "size").orderBy(F.desc("score"), "id")
+    ranked = reduce(DataFrame.union, found).distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def _of_length(rows: DataFrame, is_query: Column, size: int, n: int, longest: float, k: int, parameters: tuple[int, int, float, int] | None, block: int, shard_rows: int) -> DataFrame:
+    """(query, id, score, size): the best rows found for each query, k or more unless there are fewer; rows are n vectors of one length."""
     queries = rows.filter(is_query)
-    tables, functions, width, probes = parameters or fit(rows, queries, size, common["longest"], k)
+    tables, functions, width, probes = parameters or fit(rows, queries, size, longest, k)
     hashes = Hashes(size, tables, functions, width)
-    index = _index(rows, hashes, size, common["longest"])
+    index = _index(rows, hashes, size, longest)
     directory = materialize(index.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ann-buckets")
-    shards = blocks_for(common["n"] * tables, shard_rows)
+    shards = blocks_for(n * tables, shard_rows)
     shard = F.pmod(F.xxhash64("tbl", "bucket", "block"), F.lit(shards)).cast("int").alias("shard")
     members = index.join(directory, ["tbl", "bucket"]).select("tbl", "bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "vec").select(shard, "*")
     visits = _probes(queries, hashes, size, probes).join(directory, ["tbl", "bucket"]).select("id", "tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -334,6 +344,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         # fewer than k found: a visit to the first table's part of every shard meets all rows
         every = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "vec", F.lit(None).alias("seen"))
         found = found.union(_visit(members, every, size, k, shards))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return found.withColumn("size", F.lit(size))

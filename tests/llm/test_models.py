@@ -372,6 +372,23 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_lengths_are_searched_by_themselves(spark):
+    """Two equally common lengths, a rare one with queries, one without queries, and a query that is alone."""
+    rng = np.random.default_rng(4)
+    long_, short = ({i: rng.normal(size=n).tolist() for i in range(at, at + 300)} for n, at in ((16, 0), (8, 300)))
+    rare = {1000: [1.0, 2.0, 3.0], 1001: [3.0, 1.0, 0.5], 1003: [0.1, 0.1, 0.1]}
+    df = spark.createDataFrame([*long_.items(), *short.items(), *rare.items(), (1007, [1.0] * 5), (2000, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, k=10, block=40).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i in (*long_, *short, *rare) if i % 20 == 0}
+    assert [(i, round(s, 9)) for _, i, s in found[1000]] == [(1001, 6.5), (1003, 0.6)]
+    for vectors in (long_, short):
+        own = {q: x for q, x in found.items() if q in vectors}
+        assert all([f[0] for f in x] == list(range(1, 11)) and all(f[1] in vectors for f in x) for x in own.values())
+        assert sum(f[1] in exact(vectors, q, 10) for q, x in own.items() for f in x) >= 0.9 * 10 * len(own)
+
+
 def test_mixing_a_very_long_text(spark):
     df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x y", "a"), (3, "z", "b")], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["size"], r["copies"]) for r in mixing.mixture_plan(df).collect()}
