@@ -19,6 +19,14 @@ PRIORITY = {COMPLETE: 1, LOADED: 2, ATTEMPT: 3, DISMANTLED: 4}
 #: The first and last year of eras with their chance, which their years share alike, and the years without events. Fixed values.
 ERAS = ((2016, 2025, 0.45), (2005, 2015, 0.25), (1990, 2004, 0.20), (1960, 1989, 0.10))
 EXCLUDED_YEARS = (2020, 2021)
+#: The weight of a contest's year from each of these years on, the session-day that weighs more in a year of several, and how much. Fixed values.
+CONTEST_YEARS = ((2016, 0.5), (2000, 0.35), (1980, 0.10), (0, 0.05))
+MAIN_DAY, MAIN_DAY_WEIGHT = "Jornada Diumenge Tarragona", 5
+#: Groups that fill a question when there are no others, and the years and the distance within which other years do. Fixed values.
+FILL_GROUPS = ("Castellers de Vilafranca", "Castellers de Barcelona", "Colla Joves Xiquets de Valls")
+FIRST_YEAR, LAST_YEAR, YEARS_APART = 1960, 2025, 5
+#: In how many drawn orders the groups of a year stand ready to fill its questions.
+DRAWS = 16
 #: How often each way of answering comes, and within it each kind of question: of all questions, of those about chosen groups, and
 #: of those about chosen years. Fixed values.
 FORMS = {"all": {"options": 0.7, "multi": 0.15, "slider": 0.2, "ordering": 0.05}, "groups": {"options": 0.5, "multi": 0.25, "slider": 0.25}, "years": {"options": 0.45, "multi": 0.2, "slider": 0.2, "ordering": 0.15}}
@@ -130,6 +138,26 @@ def performance(perf: DataFrame, small: reports.SmallItems = reports.SMALL_LISTE
     return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", "correct", "wrong")
 
 
+def performance_options(perf: DataFrame, small: reports.SmallItems = reports.SMALL_LISTED, seed: int | None = None) -> DataFrame:
+    """performance() with three wrong options at all times, as "group, event, city (year)": the year's next best events, then the right
+    event in other years, at most YEARS_APART away: with a seed, drawn ones, else the nearest, earlier ones first. The city stands
+    only where the event's name does not hold it."""
+    held = F.coalesce(F.contains("event_name", "city"), F.lit(False)) | (F.coalesce("city", F.lit("")) == "")
+    name = F.when(held, F.coalesce("event_name", F.lit("Diada castellera"))).otherwise(F.concat(F.coalesce("event_name", F.lit("Diada castellera")), F.lit(", "), "city"))
+    events = _events_by_best(perf.withColumn("event_name", name))
+    items = _items_of(perf, small).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "event_name")))  # OPTIONS events at most
+    grouped = events.groupBy("group_id", "group_name", "event_year").agg(F.min_by("event_id", "place").alias("event_id"), F.transform(listed, lambda x: x["event_name"]).alias("names"))
+    label = lambda event, year: F.concat(F.col("group_name"), F.lit(", "), event, F.lit(" ("), year.cast("string"), F.lit(")"))
+    offsets = F.array(*[F.lit(i) for i in range(-YEARS_APART, YEARS_APART + 1) if i])
+    rank = (lambda o: F.abs(o).cast("long")) if seed is None else (lambda o: F.xxhash64(F.lit(seed), F.col("group_name"), F.col("event_year"), o))
+    near = F.array_sort(F.transform(F.filter(offsets, lambda o: (F.col("event_year") + o).between(FIRST_YEAR, LAST_YEAR)), lambda o: F.struct(rank(o).alias("rank"), o.alias("off"))))
+    elsewhen = F.transform(near, lambda x: label(F.col("names")[0], F.col("event_year") + x["off"]))
+    same_year = F.transform(F.slice("names", 2, WRONG), lambda n: label(n, F.col("event_year")))
+    wrong = F.array_join(F.slice(F.concat(same_year, elsewhen), 1, WRONG), "; ")
+    return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", label(F.col("names")[0], F.col("event_year")).alias("correct"), wrong.alias("wrong"))
+
+
 def multi(perf: DataFrame, scores: DataFrame, small: reports.SmallItems = reports.SMALL_CHOSEN) -> DataFrame:
     """(group_name, event_id, right, wrong): four items of one of a group's three best events of a year; wrong are
     the first two with another outcome and similar items of the last two."""
@@ -154,6 +182,30 @@ def first_groups(perf: DataFrame, most: int = 4) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("item_code", "place", "group_name", F.col("f.event_date").alias("date"))
 
 
+def first_group(perf: DataFrame, active: DataFrame, first_year: int = 2005, fill: tuple[str, ...] = FILL_GROUPS, order: tuple[Column, ...] | None = None, seed: int = 1) -> DataFrame:
+    """(event_year, item_code, correct, wrong): which group was the year's first to do the item, of the items completed in the year? Wrong are
+    the next three. Where they are fewer, groups active in the year (group_name, min_year, max_year, boost) fill up, drawn by
+    boost + 1 unless there is an order, and then `fill`.
+
+    The groups of a year are drawn DRAWS times, not once for each question, and a question takes the draw that its item's hash names.
+    Of a draw the first OPTIONS are enough, as a question that needs fill names fewer groups than that."""
+    of_year = perf.filter(F.col("item_code").isNotNull() & (F.col("event_year") >= first_year))
+    first = of_year.groupBy("event_year", "item_code", "group_name").agg(F.min(F.struct("event_date", "event_id")).alias("f"), F.bool_or(F.col("status") == COMPLETE).alias("complete"))
+    order_of = Window.partitionBy("event_year", "item_code").orderBy("f.event_date", "f.event_id", "group_name")
+    placed = first.withColumn("place", F.row_number().over(order_of))
+    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= OPTIONS, F.struct("place", "group_name"))))
+    asked = placed.groupBy("event_year", "item_code").agg(F.bool_or("complete").alias("complete"), F.transform(listed, lambda x: x["group_name"]).alias("names")).filter("complete")
+    each = active.select("group_name", "boost", F.explode(F.sequence("min_year", "max_year")).alias("event_year"), F.lit(list(range(DRAWS))).alias("draws")).filter(F.col("event_year") >= first_year)
+    each = each.select("group_name", "boost", "event_year", F.explode("draws").alias("draw"))
+    drawn = weighted_order(F.coalesce(F.col("boost"), F.lit(0)) + 1, F.col("event_year"), F.col("draw"), F.col("group_name"), seed=seed)
+    best = each.withColumn("rn", F.row_number().over(Window.partitionBy("event_year", "draw").orderBy(*(order or (drawn,)), "group_name"))).filter(F.col("rn") <= OPTIONS)
+    more = best.groupBy("event_year", "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "group_name"))), lambda x: x["group_name"]).alias("more"))
+    named = asked.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "item_code"), F.lit(DRAWS)).cast("int")).join(more, ["event_year", "draw"], "left")
+    others = F.array_except(F.concat(F.coalesce("more", F.lit([]).cast("array<string>")), F.lit(list(fill)).cast("array<string>")), "names")
+    wrong = F.slice(F.concat(F.slice("names", 2, WRONG), others), 1, WRONG)
+    return named.select("event_year", "item_code", F.col("names")[0].alias("correct"), F.array_join(wrong, ", ").alias("wrong"))
+
+
 def attribute(groups: DataFrame) -> DataFrame:
     """groups (group_name, value) with wrong: the first three different values that are not the group's. Names
     that end in years are no groups of today. The first three of the others are among the first four of all."""
@@ -236,31 +288,67 @@ def sample_groups(active: DataFrame, n: int = 5, seed: int = 1, chosen: tuple[st
     return each.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).select("year", "group_name", "rn")
 
 
-def dataset(perf: DataFrame, scores: DataFrame, ranked: DataFrame, colours: DataFrame, founded: DataFrame, n: int = 200, seed: int = 1, groups: tuple[str, ...] = (), years: tuple[int, ...] = (), small: reports.SmallItems | None = None) -> DataFrame:
-    """(kind, question, answer): n questions of all kinds that go with what was chosen, drawn by the kinds' chances, no question twice.
-    colours and founded: (group_name, value). The fact and the ranking are written once, narrow, and every kind reads that."""
+def _item_weights(questions: DataFrame, scores: DataFrame) -> DataFrame:
+    """questions (event_year, item_code, ...) with `w`, the full points of the item; 1 for all of a year without points."""
+    known = questions.join(scores.groupBy(F.col("code").alias("item_code")).agg(F.max("full").alias("full")), "item_code", "left").withColumn("full", F.coalesce("full", F.lit(0)))
+    of_year = F.sum("full").over(Window.partitionBy("event_year"))
+    return known.withColumn("w", F.when(of_year == 0, 1.0).otherwise(F.col("full").cast("double"))).drop("full")
+
+
+def sample_items(questions: DataFrame, scores: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
+    """n of the questions (event_year, item_code, ...) of each year, by the full points of their items, with their place rn."""
+    weighed = _item_weights(questions, scores).filter("w > 0")
+    order = Window.partitionBy("event_year").orderBy(weighted_order(F.col("w"), F.col("event_year"), F.col("item_code"), seed=seed), "item_code")
+    return weighed.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).drop("w")
+
+
+def _day_weights(days: DataFrame, years: tuple[int, ...] = (), main_day: str = MAIN_DAY) -> DataFrame:
+    """days (year, day, ...) with `w`: late years weigh more, chosen years alike, and in a year of several days the main one more than each
+    other. If no chosen year is there, all are, alike."""
+    if years:
+        among = days.filter(F.col("year").isin(*years))
+        days, of_year = (among if among.limit(1).count() else days), F.lit(1.0)
+    else:
+        of_year = F.lit(None).cast("double")
+        for first, weight in reversed(CONTEST_YEARS):
+            of_year = F.when(F.col("year") >= first, F.lit(weight)).otherwise(of_year)
+    of_day = F.when(F.col("day") == main_day, float(MAIN_DAY_WEIGHT)).otherwise(1.0)
+    return days.withColumn("d", of_day).withColumn("w", of_year * F.col("d") / F.sum("d").over(Window.partitionBy("year"))).drop("d").filter("w IS NOT NULL")
+
+
+def sample_days(days: DataFrame, n: int = 10, seed: int = 1, years: tuple[int, ...] = (), main_day: str = MAIN_DAY) -> DataFrame:
+    """n of the days (year, day, ...), each year and day once, drawn by their weights."""
+    return _day_weights(days, years, main_day).orderBy(weighted_order(F.col("w"), F.col("year"), F.col("day"), seed=seed), "year", "day").limit(n).drop("w")
+
+
+def dataset(perf: DataFrame, scores: DataFrame, ranked: DataFrame, colours: DataFrame, founded: DataFrame, n: int = 200, seed: int = 1, groups: tuple[str, ...] = (), years: tuple[int, ...] = (), small: reports.SmallItems | None = None, active: DataFrame | None = None, first_year: int = 2005) -> DataFrame:
+    """(kind, question, answer): n questions of all kinds that go with what was chosen, drawn by the kinds' chances, no question twice; within a
+    kind, first groups by the points of their items and orders by their years and days, the others alike.
+    colours and founded: (group_name, value); active: as first_group() takes it, which asks for a year's firsts from first_year on (of chosen years, all);
+    without it only firsts of all time are asked. The fact and the ranking are written once, narrow, and every kind reads that."""
     kinds = chances(groups, years)
     chosen = perf.filter(F.col("group_name").isin(*groups)) if groups else perf
     chosen = chosen.filter(F.col("event_year").isin(*years)) if years else chosen
     chosen = materialize(chosen.select("attempt_id", "event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "place", "city", "item_name", "item_code", "item_class", "status", "points"), "quiz-fact")
     days = ranked.filter(F.col("year").isin(*years)) if years else ranked
     named = lambda default: default if small is None else small
-    q = lambda kind, text, answer: [F.lit(kind).alias("kind"), F.expr(text).alias("question"), F.col(answer).cast("string").alias("answer")]
+    q = lambda kind, text, answer, w=F.lit(1.0): [F.lit(kind).alias("kind"), F.expr(text).alias("question"), F.col(answer).cast("string").alias("answer"), w.alias("w")]
+    firsts = lambda: _item_weights(first_group(chosen, active, 0 if years else first_year), scores).select(*q("first_group", "concat('Which group did ', item_code, ' first in ', event_year, '? ', array_join(array_sort(array_append(split(wrong, ', '), correct)), ' / '))", "correct", F.col("w")))
     makers = {
         "best_event": lambda: best_event(chosen).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
         "best_item": lambda: best_item_unique(chosen).filter("points > 0").groupBy("group_name", "event_year").agg(F.max_by("item_name", F.struct("points", "item_name")).alias("item")).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
         "colour": lambda: attribute(colours).select(*q("colour", "concat('Colour of the shirt of ', group_name, '?')", "correct")),
         "founded": lambda: attribute(founded).select(*q("founded", "concat('Founding year of ', group_name, '?')", "correct")),
         "performance": lambda: performance(chosen, named(reports.SMALL_LISTED)).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
-        "first_group": lambda: first_groups(chosen, most=1).select(*q("first_group", "concat('Which group did ', item_code, ' first?')", "group_name")),
+        "first_group": firsts if active is not None else lambda: first_groups(chosen, most=1).select(*q("first_group", "concat('Which group did ', item_code, ' first?')", "group_name")),
         "multi": lambda: multi(chosen, scores, named(reports.SMALL_CHOSEN)).select(*q("multi", "concat('Which items did ', group_name, ' do at event ', event_id, '?')", "right")),
         "founded_year": lambda: founded.select(*q("founded_year", "concat('In which year was ', group_name, ' founded?')", "value")),
         "counts": lambda: counts(chosen, named(reports.SMALL_COUNTED)).select(*q("counts", "concat('How often was ', item_name, ' ', status, ' by ', group_name, ' in ', event_year, '?')", "answer")),
-        "ordering": lambda: ordering(days).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names")),
+        "ordering": lambda: _day_weights(ordering(days), years).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names", F.col("w"))),
     }
     all_ = reduce(DataFrame.union, [makers[k]() for k in kinds])
-    all_ = materialize(all_.filter("question IS NOT NULL AND answer IS NOT NULL").dropDuplicates(["question"]), "quiz-questions")
-    per_kind = all_.groupBy("kind").agg(F.count("*").alias("of_kind"))  # one row for each kind
+    all_ = materialize(all_.filter("question IS NOT NULL AND answer IS NOT NULL AND w > 0").dropDuplicates(["question"]), "quiz-questions")
+    per_kind = all_.groupBy("kind").agg(F.sum("w").alias("of_kind"))  # one row for each kind
     weights = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    weight = F.element_at(weights, F.col("kind")) / F.col("of_kind")
+    weight = F.element_at(weights, F.col("kind")) * F.col("w") / F.col("of_kind")
     return all_.join(F.broadcast(per_kind), "kind").orderBy(weighted_order(weight, F.col("question"), seed=seed), "question").limit(n).select("kind", "question", "answer")

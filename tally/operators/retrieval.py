@@ -172,6 +172,12 @@ def hybrid(report: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFram
     return joined.select("qid", F.when(F.col("report").isNotNull(), "report").when(F.col("docs").isNotNull(), "documents").otherwise("none").alias("source"), F.coalesce("report", "docs").alias("context"))
 
 
+def group_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(kind, key, group_name, text): texts (text_id, group_id, text) as documents of their groups; a null text is empty."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return texts.join(groups, "group_id").select(F.lit("wiki").alias("kind"), F.col("text_id").cast("string").alias("key"), "group_name", text)
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
     """(id, pos, text): paragraphs of at least 15 words of JSON that is a list of texts, of maps, or one map."""
     as_map = "map<string, string>"

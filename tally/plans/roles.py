@@ -66,6 +66,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(p.alias("code"), F.concat(F.lit("P"), p).alias("external"), F.concat(p, F.lit("de")).alias("name"), full.alias("full"), (full - 100).alias("partial"), F.col("p_type").alias("tier"))
 
 
+def group_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written about a group: text_id, group_id, text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), (F.col("doc_id") % 25).alias("group_id"), "text")
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat turns: session, turn, role, text; a turn's time is a minute for each turn after the session's hour."""
     start = F.expr("timestamp_seconds(1704067200 + conv_id * 3600 + turn * 60)")

@@ -73,7 +73,19 @@ def _active(s, d):
 
 def quiz_dataset(s, d):
     p = materialize(perf(s, d), "quiz-performances")
-    return quiz.dataset(p, roles.scores(s, d), materialize(contest.rankings_of(p), "quiz-rankings"), _colours(s, d), _founded(p), small=SMALL)
+    active = p.groupBy("group_name").agg(F.min("event_year").alias("min_year"), F.max("event_year").alias("max_year")).withColumn("boost", F.length("group_name") % 4)
+    return quiz.dataset(p, roles.scores(s, d), materialize(contest.rankings_of(p), "quiz-rankings"), _colours(s, d), _founded(p), small=SMALL, active=active, first_year=0)
+
+
+def _first_group(s, d, **how):
+    """The questions of each year; the tables' years are all before the first one of the rules."""
+    p = perf(s, d).select("event_year", "item_code", "group_name", "event_date", "event_id", "status")
+    return quiz.first_group(p, _active(s, d), first_year=0, **how)
+
+
+def _days(s, d):
+    """Session-days of the contests, those of the second priority being the main ones, in years as late as the rules'."""
+    return roles.order_events(s, d).select((F.year("event_date") + 20).alias("year"), F.when(F.col("day") == "2-HIGH", quiz.MAIN_DAY).otherwise(F.col("day")).alias("day")).distinct()
 
 
 def similar_items(s, d):
@@ -92,6 +104,10 @@ QUERIES = {
     "quiz_performance": lambda s, d: quiz.performance(materialize(perf(s, d).select("event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "item_name", "status", "points", "attempt_id"), "quiz-performances"), SMALL),
     "quiz_multi": lambda s, d: quiz.multi(perf(s, d), roles.scores(s, d), SMALL),
     "first_groups": lambda s, d: quiz.first_groups(perf(s, d)),
+    "quiz_first_group": lambda s, d: _first_group(s, d, order=(F.desc("boost"),)),
+    "quiz_items": lambda s, d: quiz.sample_items(_first_group(s, d), roles.scores(s, d)),
+    "quiz_days": lambda s, d: quiz.sample_days(_days(s, d)),
+    "quiz_performance_options": lambda s, d: quiz.performance_options(materialize(perf(s, d).select("event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "city", "item_name", "status", "points", "attempt_id"), "quiz-performances"), SMALL),
     "quiz_attribute": attribute,
     "quiz_counts": lambda s, d: quiz.counts(perf(s, d), SMALL),
     "quiz_ordering": lambda s, d: quiz.ordering(contest.rankings(s, d)),
@@ -127,6 +143,8 @@ SQL = {
     "quiz_performance": R("perf", **_EVENTS) + ", li AS (SELECT event_id, group_id, string_agg(item_name || ' (' || status || ')', ', ' ORDER BY points DESC, item_name) AS items FROM its GROUP BY ALL), g AS (SELECT group_id, group_name, event_year, min_by(event_id, place) AS event_id, max(CASE WHEN place = 1 THEN event_name || ' (' || event_date || ')' END) AS correct, string_agg(CASE WHEN place > 1 THEN event_name || ' (' || event_date || ')' END, '; ' ORDER BY place) AS wrong FROM evs GROUP BY ALL) SELECT group_name, event_year, items, correct, wrong FROM g JOIN li USING (event_id, group_id)",
     "quiz_multi": R("perf", **_EVENTS, **_WRONG) + ", f AS (SELECT i.*, group_name, row_number() OVER (PARTITION BY i.event_id, i.group_id ORDER BY i.points DESC, item_name) AS rn FROM its i JOIN evs e USING (event_id, group_id) WHERE place <= 3 AND item_code IS NOT NULL QUALIFY rn <= 4) SELECT group_name, event_id, string_agg(item_name || ' (' || status || ')', ', ' ORDER BY rn) AS \"right\", string_agg(CASE WHEN rn <= 2 THEN item_name || ' (' || CASE WHEN status = 'Descarregat' THEN 'Carregat' ELSE 'Descarregat' END || ')' ELSE other || ' (' || status || ')' END, ', ' ORDER BY rn) AS wrong FROM f JOIN sc ON code = item_code LEFT JOIN wrongs ON p = \"full\" GROUP BY group_name, event_id HAVING count(*) = 4",
     "first_groups": R("perf") + "SELECT item_code, row_number() OVER (PARTITION BY item_code ORDER BY d, e, group_name) AS place, group_name, d AS date FROM (SELECT item_code, group_name, min(event_date) AS d, arg_min(event_id, struct_pack(d := event_date, e := event_id)) AS e FROM perf WHERE item_code IS NOT NULL GROUP BY ALL) QUALIFY place <= 4",
+    "quiz_first_group": R("perf", "ranges") + ", f AS (SELECT event_year, item_code, group_name, min(event_date) AS d, arg_min(event_id, struct_pack(d := event_date, e := event_id)) AS e, bool_or(status = 'Descarregat') AS c FROM perf WHERE item_code IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_year, item_code ORDER BY d, e, group_name) AS place, bool_or(c) OVER (PARTITION BY event_year, item_code) AS done FROM f), q AS (SELECT event_year, item_code, list(group_name ORDER BY place) FILTER (place <= 4) AS names FROM r WHERE done GROUP BY ALL), y AS (SELECT group_name, unnest(range(min_year, max_year + 1)) AS event_year FROM ranges), m AS (SELECT event_year, list(group_name ORDER BY length(group_name) % 4 DESC, group_name) AS more FROM y GROUP BY ALL) SELECT event_year, item_code, names[1] AS correct, array_to_string(list_concat(names[2:4], list_filter(list_concat(coalesce(more, []), FILL), lambda x: NOT list_contains(names, x)))[1:3], ', ') AS wrong FROM q LEFT JOIN m USING (event_year)".replace("FILL", str(list(quiz.FILL_GROUPS))),
+    "quiz_performance_options": R("perf", **_EVENTS) + ", li AS (SELECT event_id, group_id, string_agg(item_name || ' (' || status || ')', ', ' ORDER BY points DESC, item_name) AS items FROM its GROUP BY ALL), n AS (SELECT e.*, CASE WHEN contains(e.event_name, city) THEN e.event_name ELSE e.event_name || ', ' || city END AS label FROM evs e JOIN ev USING (event_id)), g AS (SELECT group_id, group_name, event_year, min_by(event_id, place) AS event_id, list(label ORDER BY place) AS names FROM n GROUP BY ALL) SELECT group_name, event_year, items, group_name || ', ' || names[1] || ' (' || event_year || ')' AS correct, array_to_string(list_concat(list_transform(names[2:4], lambda x: group_name || ', ' || x || ' (' || event_year || ')'), list_transform([-1, 1, -2], lambda o: group_name || ', ' || names[1] || ' (' || (event_year + o) || ')'))[1:3], '; ') AS wrong FROM g JOIN li USING (event_id, group_id)",
     "quiz_attribute": R("perf") + ", v AS (SELECT 'colour' AS kind, group_name, 'colour ' || group_id % 6 AS value FROM grp UNION ALL SELECT 'founded', group_name, (min(event_year) - min(group_id) % 5)::VARCHAR FROM perf GROUP BY group_name), a AS (SELECT kind, list_sort(list(DISTINCT value)) AS vals FROM v GROUP BY kind) SELECT kind, group_name, value AS correct, array_to_string(list_filter(vals, lambda x: x <> value)[1:3], ', ') AS wrong FROM v JOIN a USING (kind)",
     "quiz_counts": R("perf") + f", c AS (SELECT group_name, event_year, item_name, count_if(status = 'Descarregat') AS f, count_if(status = 'Carregat') AS l FROM perf WHERE {_BIG} GROUP BY ALL), a AS (SELECT group_name, event_year, item_name, CASE WHEN f > 0 THEN 'Descarregat' ELSE 'Carregat' END AS status, CASE WHEN f > 0 THEN f ELSE l END AS answer FROM c) SELECT *, CASE WHEN answer <= 2 THEN 0 WHEN answer <= 9 THEN 1 ELSE 2 END AS margin, answer + 5 + answer % 16 AS slider_max FROM a WHERE answer > 0",
     "quiz_ordering": R("perf", **{k: v for k, v in _RANKED.items() if k in ("tot", "ranked")}) + "SELECT year, day, count(*) AS n, string_agg(group_name, ' > ' ORDER BY position) AS names FROM (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY year, day ORDER BY position) <= 10) GROUP BY ALL HAVING count(*) >= 3",

@@ -54,12 +54,13 @@ def doc_assemble(s, d):
     items = "listagg(concat(item_name, ' (', status, ')'), '; ') WITHIN GROUP (ORDER BY attempt_id)"
     shows = perf.groupBy("event_id", "group_id", "group_name", "date_text", "event_name", "place", "city").agg(F.expr(f"concat(date_text, ' - ', event_name, ' - ', place, ' ', city, '. Castells: ', {items}) AS text"))
     shows = shows.select(F.lit("event").alias("kind"), F.concat_ws("-", F.col("event_id"), F.col("group_id")).alias("key"), "group_name", "text")
+    wiki = retrieval.group_texts(roles.group_texts(s, d), groups)
     bench = roles.table(s, d, "benchmark")
     general = bench.select(F.lit("general").alias("kind"), F.col("item_id").cast("string").alias("key"), F.col("text"))
     as_json = F.when(F.col("item_id") % 2 == 0, F.to_json(F.array("text", F.lit("too short")))).otherwise(F.to_json(F.create_map(F.lit("info1"), F.col("text"))))
     contest = retrieval.paragraphs(bench.select(F.col("item_id").alias("id"), as_json.alias("json"))).select(F.lit("contest").alias("kind"), F.concat_ws("-", F.col("id"), F.col("pos")).alias("key"), "text")
     out = info
-    for part in (best, shows, general, contest):
+    for part in (wiki, best, shows, general, contest):
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -147,7 +148,7 @@ reranked AS (SELECT * FROM r WHERE score >= 0.005) """
 SQL = {
     "chunk_table": r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) <= 200 THEN [0] ELSE range(0, len(ws) - 50, 150) END) AS start FROM w WHERE len(ws) > 0) SELECT doc_id, (start // 150)::INTEGER AS chunk_index, len(ws[start + 1:start + 200])::INTEGER AS n_words, array_to_string(ws[start + 1:start + 200], ' ') AS chunk FROM s",
     "chunk_arrays": "SELECT 'c' || doc_id AS id, upper(source) AS title, (doc_id % 50 + 1950)::INTEGER AS first_year, 2 AS n_years, source || ',' || lang AS colles FROM documents",
-    "doc_assemble": R("totals") + ", best AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY total_points DESC, event_id) AS rank FROM totals QUALIFY rank <= 5) SELECT 'info' AS kind, group_id::VARCHAR AS key, group_name, 'code: ' || group_id AS text FROM grp UNION ALL SELECT 'performance', group_id || '-' || rank, group_name, 'Actuació (rank ' || rank || ') - ' || event_date || ' - ' || place || ' - ' || event_name || '. Actuació: ' || items_done || '. Punts: ' || total_points FROM best UNION ALL SELECT 'event', event_id || '-' || group_id, group_name, date_text || ' - ' || event_name || ' - ' || place || ' ' || city || '. Castells: ' || string_agg(item_name || ' (' || status || ')', '; ' ORDER BY attempt_id) FROM perf GROUP BY event_id, group_id, group_name, date_text, event_name, place, city UNION ALL SELECT 'general', item_id::VARCHAR, NULL, text FROM benchmark UNION ALL SELECT 'contest', item_id || '-0', NULL, text FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) >= 15",
+    "doc_assemble": R("totals") + ", best AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY total_points DESC, event_id) AS rank FROM totals QUALIFY rank <= 5) SELECT 'info' AS kind, group_id::VARCHAR AS key, group_name, 'code: ' || group_id AS text FROM grp UNION ALL SELECT 'performance', group_id || '-' || rank, group_name, 'Actuació (rank ' || rank || ') - ' || event_date || ' - ' || place || ' - ' || event_name || '. Actuació: ' || items_done || '. Punts: ' || total_points FROM best UNION ALL SELECT 'event', event_id || '-' || group_id, group_name, date_text || ' - ' || event_name || ' - ' || place || ' ' || city || '. Castells: ' || string_agg(item_name || ' (' || status || ')', '; ' ORDER BY attempt_id) FROM perf GROUP BY event_id, group_id, group_name, date_text, event_name, place, city UNION ALL SELECT 'wiki', doc_id::VARCHAR, group_name, coalesce(text, '') FROM documents JOIN grp ON doc_id % 25 = group_id UNION ALL SELECT 'general', item_id::VARCHAR, NULL, text FROM benchmark UNION ALL SELECT 'contest', item_id || '-0', NULL, text FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) >= 15",
     "group_chunks": R("perf") + ", b AS (SELECT group_id, array_to_string(list(item_name ORDER BY points DESC, item_name)[1:3], ', ') AS best FROM (SELECT DISTINCT group_id, points, item_name FROM perf WHERE points > 0) GROUP BY 1), g AS (SELECT * FROM grp LEFT JOIN b USING (group_id)) SELECT 'colla_' || lower(group_name) || '_info' AS id, group_name || ' - Informació general' AS title, group_name || ' is a group More on ' || group_name AS text FROM g UNION ALL SELECT 'colla_' || lower(group_name) || '_stats', group_name || ' - Estadístiques i dades', concat_ws(' ', 'Els millors castells de ' || group_name || ' són: ' || best || '.', group_name || ':', 'El sobrenom és the ' || lower(group_name) || '.', 'Va ser creada l''any 19' || lpad(group_id::VARCHAR, 2, '0') || '.') FROM g",
     "vector_normalize": "SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * vec_id / CASE WHEN vec_id = 0 THEN 1e-9 ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * vec_id END, 6) + 0.0::DOUBLE) AS unit FROM embeddings",
     "vector_combine": "WITH c AS (SELECT a.vec_id AS id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * 0.2 + z[2]::DOUBLE * 0.8) AS v FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6) + 0.0::DOUBLE) AS unit FROM c",

@@ -15,7 +15,7 @@ from tally.registry import queries
 
 QUERIES = queries()
 #: The queries without SQL, all of which are held against something here or in test_semantics.
-COVERED = {"classify_question", "fuzzy_link", "link_cities", "link_events", "link_items", "page_extract", "quiz_dataset", "quiz_groups", "quiz_sample", "rerank_fuzzy", "vector_ivf"}
+COVERED = {"classify_question", "fuzzy_link", "link_cities", "link_events", "link_items", "page_extract", "quiz_dataset", "quiz_days", "quiz_groups", "quiz_items", "quiz_sample", "rerank_fuzzy", "vector_ivf"}
 
 
 @pytest.fixture(scope="module")
@@ -197,6 +197,56 @@ def test_quiz_groups(spark, data):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["quiz_groups"](spark, data).collect()))
 
 
+def test_first_group_of_a_year(spark):
+    rows = [(2010, "3d8", g, f"2010-01-0{i + 1}", i, "Carregat") for i, g in enumerate("edcba")] + [(2010, "4d8", "b", "2010-05-01", 9, "Descarregat"), (2010, "4d8", "a", "2010-04-01", 8, "Intent")]
+    rows += [(2010, "3d8", "e", "2010-02-01", 7, "Descarregat"), (2011, "4d8", "a", "2011-04-01", 10, "Descarregat"), (2012, "4d8", "a", "2012-04-01", 11, "Carregat"), (2012, None, "a", "2012-04-01", 11, "Descarregat"), (2001, "4d8", "a", "2001-04-01", 1, "Descarregat")]
+    perf = spark.createDataFrame(rows, "event_year int, item_code string, group_name string, event_date string, event_id int, status string")
+    active = spark.createDataFrame([(g, 2000, 2010, b) for g, b in (("a", 5), ("b", 4), ("x", 0), ("y", 9), ("z", None))], "group_name string, min_year int, max_year int, boost int")
+    asked = lambda **how: {(r["event_year"], r["item_code"]): (r["correct"], r["wrong"].split(", ")) for r in quiz.first_group(perf, active, **how).collect()}
+    got = asked(order=(F.desc_nulls_last("boost"),))
+    # 2011: nobody is active; 2012: not completed; 2001: before the first year
+    assert got == {(2010, "3d8"): ("e", ["d", "c", "b"]), (2010, "4d8"): ("a", ["b", "y", "x"]), (2011, "4d8"): ("a", list(quiz.FILL_GROUPS))}
+    assert asked() == asked() and set(asked(first_year=0)) == {*got, (2001, "4d8")}
+    many = perf.filter("event_year = 2011").select(F.explode(F.sequence(F.lit(1), F.lit(400)).cast("array<string>")).alias("item_code"), F.lit(2010).alias("event_year"), "group_name", "event_date", "event_id", "status")
+    filled = [r["wrong"].split(", ") for r in quiz.first_group(many, active).collect()]
+    assert len(filled) == 400 and all(len(set(w)) == 3 and set(w) <= set("bxyz") for w in filled) and len(set(map(tuple, filled))) > 3
+    assert sum("y" in w for w in filled) > sum("x" in w for w in filled)  # drawn by boost
+    assert quiz.first_group(perf.limit(0), active).count() == 0 and quiz.first_group(perf, active.limit(0)).count() == 3
+
+
+def test_drawn_items_and_days(spark, data):
+    """Items by their points, days by the rules of years and of the main day."""
+    scores = spark.createDataFrame([("a", 600), ("b", 300), ("c", 100), ("d", None), ("e", 0)], "code string, full int")
+    asked = spark.range(1, 3001).select(F.col("id").alias("event_year"), F.explode(F.lit(list("abcde"))).alias("item_code"))
+    first = quiz.sample_items(asked, scores, n=1).groupBy("item_code").count().collect()
+    assert {r["item_code"]: r["count"] / 3000 for r in first} == pytest.approx({"a": 0.6, "b": 0.3, "c": 0.1}, abs=0.04)
+    assert quiz.sample_items(asked.filter("event_year < 10 AND item_code IN ('d', 'e')"), scores, n=5).count() == 18  # no points: alike
+    rows = [(1970, ""), (1990, ""), (2000, ""), (2018, "x"), (2018, quiz.MAIN_DAY)]
+    weights = {(r["year"], r["day"]): r["w"] for r in quiz._day_weights(spark.createDataFrame(rows, "year int, day string")).collect()}
+    assert weights == pytest.approx({(1970, ""): 0.05, (1990, ""): 0.1, (2000, ""): 0.35, (2018, "x"): 0.5 / 6, (2018, quiz.MAIN_DAY): 2.5 / 6})
+    drawn = lambda **how: [tuple(r) for r in quiz.sample_days(spark.createDataFrame(rows, "year int, day string"), **how).collect()]
+    assert sorted(drawn()) == sorted(rows) and drawn(n=2) == drawn(n=2) and {y for y, _ in drawn(years=(1970, 2018))} == {1970, 2018} and len(drawn(years=(1,))) == 5
+    often = [drawn(n=1, seed=i)[0][0] for i in range(40)]
+    assert sum(y >= 2000 for y in often) > 25
+    days = [tuple(r) for r in QUERIES["quiz_days"](spark, data).collect()]
+    assert len(days) == len(set(days)) == 10 and set(days) <= {tuple(r) for r in quiz_registry._days(spark, data).collect()}
+    every = {(r["event_year"], r["item_code"]): r["correct"] for r in quiz_registry._first_group(spark, data).collect()}
+    chosen = QUERIES["quiz_items"](spark, data).collect()
+    assert all(every[r["event_year"], r["item_code"]] == r["correct"] for r in chosen)
+    years = {y: sum(a == y for a, _ in every) for y, _ in every}
+    assert {y: sorted(r["rn"] for r in chosen if r["event_year"] == y) for y in years} == {y: list(range(1, min(5, n) + 1)) for y, n in years.items()}
+
+
+def test_performance_in_other_years(spark):
+    """Two events of a year leave a place for the right one in another year; a year at the edge has years on one side only."""
+    rows = [(1, 1, "g", "Fair", "2020-01-01", 2020, "Valls", "3d8", "Descarregat", 9), (2, 1, "g", None, "2020-02-01", 2020, None, "3d7", "Carregat", 5), (3, 2, "h", "Fair of Reus", "2025-01-01", 2025, "Reus", "4d8", "Carregat", 4)]
+    perf = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(rows)], "event_id int, group_id int, group_name string, event_name string, event_date string, event_year int, city string, item_name string, status string, points long, attempt_id string")
+    got = {r["group_name"]: (r["correct"], r["wrong"].split("; ")) for r in quiz.performance_options(perf).collect()}
+    assert got == {"g": ("g, Fair, Valls (2020)", ["g, Diada castellera (2020)", "g, Fair, Valls (2019)", "g, Fair, Valls (2021)"]), "h": ("h, Fair of Reus (2025)", ["h, Fair of Reus (2024)", "h, Fair of Reus (2023)", "h, Fair of Reus (2022)"])}
+    drawn = {r["group_name"]: r["wrong"].split("; ") for r in quiz.performance_options(perf, seed=3).collect()}
+    assert len(set(drawn["h"])) == 3 and all(2020 <= int(w[-5:-1]) <= 2024 for w in drawn["h"])
+
+
 def test_small_items_and_layouts(spark):
     from tally.operators import reports
 
