@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,43 +121,60 @@ def above(found: DataFrame, least: float = 0.2, most: int = 2) -> DataFrame:
     return enough.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).select("query_id", "id", "score")
 
 
-def question_words(question: str) -> list[str]:
-    import re
+def question_words(question: Column) -> Column:
+    """The words of a question that say something."""
+    return F.filter(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
 
-    return [w for w in re.findall(r"\w+", question.lower()) if w not in STOP_WORDS and len(w) > 2]
+
+def about(question: Column) -> Column:
+    """The category of documents that a question is about, if it says so."""
+    says = lambda *words: reduce(Column.__or__, [F.contains(F.lower(question), F.lit(w)) for w in words])
+    return F.when(says("història", "origen"), "history").when(says("tècnic", "estructura"), "technique").when(says("concurs"), "concurs")
 
 
 def rerank(found: DataFrame, question: str, groups: list[str], years: list[int], places: list[str], similar: bool = False) -> DataFrame:
-    """found (id, score, title, category, groups, years, year_ranges, keywords, places) by score and boosts: groups
-    named on either side, years, ranges that name one of them, keywords, the category that the question is about
-    and places. At most 1; documents of a named group come first."""
+    """rerank_each() for one question: (id, title, is_match, score)."""
+    texts = lambda values: F.lit(list(values)).cast("array<string>")
+    asked = {"query_id": F.lit(0), "question": F.lit(question), "asked_groups": texts(groups), "asked_years": F.lit(list(map(int, years))).cast("array<int>"), "asked_places": texts(places)}
+    return rerank_each(found.withColumns(asked), similar).drop("query_id")
+
+
+def rerank_each(found: DataFrame, similar: bool = False) -> DataFrame:
+    """(query_id, id, title, is_match, score) of what is found for many questions at once: found (query_id, question, asked_groups,
+    asked_years, asked_places, id, score, title, category, groups, years, year_ranges, keywords, places) by score and
+    boosts: groups named on either side, years, ranges that name one of them, keywords, the category that the question
+    is about and places. At most 1; documents of a named group come first. Null lists are empty ones, a null question says nothing."""
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
-    one = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-    wanted_groups, doc_groups = one([g.lower() for g in groups]), low(F.col("groups"))
+    wanted_groups, doc_groups = low(F.col("asked_groups")), low(F.col("groups"))
     named = F.size(F.filter(wanted_groups, lambda g: F.exists(doc_groups, lambda x: F.contains(x, g) | F.contains(g, x))))
-    wanted_years = F.array(*[F.lit(int(y)) for y in years]) if years else F.array().cast("array<int>")
-    hits = F.size(F.array_intersect("years", wanted_years))
+    wanted_years = F.coalesce("asked_years", F.array().cast("array<int>"))
+    hits = F.size(F.array_intersect(F.coalesce("years", F.array().cast("array<int>")), wanted_years))
     in_range = F.exists(low(F.col("year_ranges")), lambda r: F.exists(wanted_years, lambda y: F.contains(r, y.cast("string"))))
-    words, keywords = one(question_words(question)), low(F.col("keywords"))
+    words, keywords = question_words(F.coalesce("question", F.lit(""))), low(F.col("keywords"))
     alike = lambda w, k: F.contains(k, w) | F.contains(w, k)
     matched = F.size(F.filter(words, lambda w: F.exists(keywords, lambda k: alike(w, k))))
     if similar:
         # the matcher cannot run inside a lambda; pairs of words are scored as rows and joined back
-        pairs = found.select("id", F.explode(words).alias("w"), keywords.alias("ks")).select("id", "w", F.explode("ks").alias("k"))
-        close = pairs.filter(alike(F.col("w"), F.col("k")) | (fuzzy.sequence_ratio("w", "k") > SIMILAR_KEYWORD)).groupBy("id").agg(F.count_distinct("w").alias("matched"))
-        found, matched = found.join(close, "id", "left"), F.coalesce("matched", F.lit(0))
+        pairs = found.select("query_id", "id", F.explode(words).alias("w"), keywords.alias("ks")).select("query_id", "id", "w", F.explode("ks").alias("k"))
+        close = pairs.filter(alike(F.col("w"), F.col("k")) | (fuzzy.sequence_ratio("w", "k") > SIMILAR_KEYWORD)).groupBy("query_id", "id").agg(F.count_distinct("w").alias("matched"))
+        found, matched = found.join(close, ["query_id", "id"], "left"), F.coalesce("matched", F.lit(0))
     by_words = F.when(matched > 1, 0.15 + (F.least(matched, F.lit(4)) - 1) * 0.15).when(matched == 1, 0.1).otherwise(0.0)
-    text = question.lower()
-    about = "history" if "història" in text or "origen" in text else "technique" if "tècnic" in text or "estructura" in text else "concurs" if "concurs" in text else None
     boost = named * GROUP_BOOST + F.least(hits, F.lit(MOST_YEARS)) * YEAR_BOOST + F.when(in_range, RANGE_BOOST).otherwise(0.0) + by_words
-    boost = boost + (F.when(F.col("category") == about, CATEGORY_BOOST).otherwise(0.0) if about else 0.0)
-    boost = boost + F.when(F.size(F.array_intersect(low(F.col("places")), one([p.lower() for p in places]))) > 0, PLACE_BOOST).otherwise(0.0)
-    if not groups:
-        boost = boost - F.when(F.col("category") == "colles", GROUP_PENALTY).otherwise(0.0)
-    scored = found.select("id", "title", (named > 0).alias("is_match"), F.round(F.least(F.col("score") + boost, F.lit(1.0)), 6).alias("score"))
+    boost = boost + F.when(F.col("category") == about(F.col("question")), CATEGORY_BOOST).otherwise(0.0)
+    boost = boost + F.when(F.size(F.array_intersect(low(F.col("places")), low(F.col("asked_places")))) > 0, PLACE_BOOST).otherwise(0.0)
+    boost = boost - F.when((F.size(wanted_groups) == 0) & (F.col("category") == "colles"), GROUP_PENALTY).otherwise(0.0)
+    scored = found.select("query_id", "id", "title", (named > 0).alias("is_match"), F.round(F.least(F.col("score") + boost, F.lit(1.0)), 6).alias("score"))
     return scored.filter(F.col("score") >= LEAST_SCORE)
 
 
+def context_each(ranked: DataFrame, texts: DataFrame, k: int = 2) -> DataFrame:
+    """(query_id, context, documents): context() for each question of ranked (query_id, id, title, is_match, score)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("is_match"), F.desc("score"), "id")
+    top = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    part = "concat('[Document ', n, ': ', title, ']\n', coalesce(text, ''))"
+    return top.join(texts, top["id"] == texts["doc_id"]).groupBy("query_id").agg(F.expr(f"listagg({part}, '\n\n') WITHIN GROUP (ORDER BY n) AS context"), F.count("*").alias("documents"))
+
+
 def context(ranked: DataFrame, texts: DataFrame, k: int = 2) -> DataFrame:
     """The text that is handed on: the first k documents with their titles, those of a named group first."""
     order = [F.desc("is_match"), F.desc("score"), F.col("id")]

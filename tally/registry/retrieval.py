@@ -24,11 +24,26 @@ def _queries(s, d, below):
 
 def _found(s, d, k=50):
     """The nearest documents of the first vector with what is known of them."""
-    top = retrieval.top_k(_vectors(s, d).filter("id > 0"), _queries(s, d, 1), k)
+    return _described(s, d, retrieval.top_k(_vectors(s, d).filter("id > 0"), _queries(s, d, 1), k))
+
+
+def _described(s, d, top):
     doc = roles.table(s, d, "documents").select(F.col("doc_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 3 == 0, "history").when(F.col("doc_id") % 3 == 1, "colles").otherwise("technique").alias("category"), F.array("source").alias("groups"), F.array((F.col("doc_id") % 30 + 1970).cast("int")).alias("years"), F.array(F.concat((F.col("doc_id") % 30 + 1970).cast("string"), F.lit("-x"))).alias("year_ranges"), F.array("lang", F.lit("historia"), "source").alias("keywords"), F.array("lang").alias("places"))
     return top.join(doc, top["id"] == doc["doc_id"])
 
 
+def _reranked_each(s, d):
+    """A question about each document whose id is divisible by 50: its group in the eighties, how things are built, or its contest."""
+    queries = _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    top = retrieval.top_k_blocks(_vectors(s, d), queries, 51).filter("id <> query_id")
+    kind, none = F.floor(F.col("doc_id") / 50) % 3, F.array().cast("array<string>")
+    year = F.col("doc_id") % 30 + 1970
+    question = F.when(kind == 0, F.concat(F.lit("Història de "), "source", F.lit(" als anys 80 a "), "lang")).when(kind == 1, "Quina és la tècnica i l'estructura dels castells?").otherwise(F.concat(F.lit("El concurs de "), year.cast("string"), F.lit(" i "), "source"))
+    asked_years = F.when(kind == 0, F.sequence(F.lit(1980), F.lit(1989))).when(kind == 2, F.array(year.cast("int"))).otherwise(F.array().cast("array<int>"))
+    asked = roles.table(s, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), question.alias("question"), F.when(kind == 0, F.array("source")).otherwise(none).alias("asked_groups"), asked_years.alias("asked_years"), F.when(kind == 0, F.array("lang")).otherwise(none).alias("asked_places"))
+    return retrieval.rerank_each(_described(s, d, top).join(asked, "query_id"))
+
+
 def _reranked(s, d, similar=False):
     return retrieval.rerank(_found(s, d), QUESTION, GROUPS, YEARS, PLACES, similar)
 
@@ -130,6 +145,8 @@ QUERIES = {
     "vector_ivf": vector_ivf,
     "vector_store": vector_store_written,
     "rerank": _reranked,
+    "rerank_each": _reranked_each,
+    "context_each": lambda s, d: retrieval.context_each(_reranked_each(s, d), roles.table(s, d, "documents").select("doc_id", "text")),
     "rerank_fuzzy": lambda s, d: _reranked(s, d, similar=True),
     "context_build": lambda s, d: retrieval.context(_reranked(s, d), roles.table(s, d, "documents").select("doc_id", "text")),
     "hybrid_context": hybrid_context,
@@ -145,6 +162,15 @@ m AS (SELECT *, contains(lower(source), 'src3') OR contains('src3', lower(source
 r AS (SELECT id, title, is_match, round(least(1.0, score + CASE WHEN is_match THEN 0.35 ELSE 0 END + CASE WHEN y BETWEEN 1980 AND 1989 THEN 0.2 + 0.1 ELSE 0 END + CASE WHEN k > 1 THEN 0.15 + (least(k, 4) - 1) * 0.15 WHEN k = 1 THEN 0.1 ELSE 0 END + CASE WHEN category = 'history' THEN 0.15 ELSE 0 END + CASE WHEN lang = 'fr' THEN 0.15 ELSE 0 END), 6)::DOUBLE AS score FROM m),
 reranked AS (SELECT * FROM r WHERE score >= 0.005) """
 
+_RERANK_EACH = f"""WITH top AS ({_EACH(51)}),
+q AS (SELECT doc_id AS query_id, doc_id // 50 % 3 AS kind, source AS qs, lang AS ql, doc_id % 30 + 1970 AS qy FROM documents WHERE doc_id % 50 = 0),
+a AS (SELECT query_id, CASE kind WHEN 0 THEN 'Història de ' || qs || ' als anys 80 a ' || ql WHEN 1 THEN 'Quina és la tècnica i l''estructura dels castells?' ELSE 'El concurs de ' || qy || ' i ' || qs END AS question, CASE kind WHEN 0 THEN [lower(qs)] ELSE [] END AS gs, CASE kind WHEN 0 THEN range(1980, 1990) WHEN 2 THEN [qy] ELSE [] END AS ys, CASE kind WHEN 0 THEN [lower(ql)] ELSE [] END AS ps FROM q),
+w AS (SELECT *, list_filter(regexp_extract_all(lower(coalesce(question, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: len(x) > 2 AND NOT list_contains({list(retrieval.STOP_WORDS)}, x)) AS ws, CASE WHEN contains(lower(question), 'història') THEN 'history' WHEN contains(lower(question), 'tècnic') THEN 'technique' WHEN contains(lower(question), 'concurs') THEN 'concurs' END AS about FROM a),
+f AS (SELECT top.query_id, top.id, score, 'Doc ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'history' WHEN 1 THEN 'colles' ELSE 'technique' END AS category, lower(source) AS source, lower(lang) AS lang, doc_id % 30 + 1970 AS y, gs, ys, ps, ws, about FROM top JOIN documents ON doc_id = id JOIN w ON w.query_id = top.query_id WHERE top.id <> top.query_id),
+m AS (SELECT *, len(list_filter(gs, lambda g: contains(source, g) OR contains(g, source))) AS named, len(list_filter(ws, lambda x: contains(lang, x) OR contains(x, lang) OR contains('historia', x) OR contains(x, 'historia') OR contains(source, x) OR contains(x, source))) AS k FROM f),
+r AS (SELECT query_id, id, title, named > 0 AS is_match, round(least(1.0, score + named * 0.35 + CASE WHEN list_contains(ys, y) THEN 0.2 + 0.1 ELSE 0 END + CASE WHEN k > 1 THEN 0.15 + (least(k, 4) - 1) * 0.15 WHEN k = 1 THEN 0.1 ELSE 0 END + CASE WHEN category = about THEN 0.15 ELSE 0 END + CASE WHEN list_contains(ps, lang) THEN 0.15 ELSE 0 END - CASE WHEN len(gs) = 0 AND category = 'colles' THEN 0.2 ELSE 0 END), 6)::DOUBLE AS score FROM m),
+reranked AS (SELECT * FROM r WHERE score >= 0.005) """
+
 SQL = {
     "chunk_table": r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) <= 200 THEN [0] ELSE range(0, len(ws) - 50, 150) END) AS start FROM w WHERE len(ws) > 0) SELECT doc_id, (start // 150)::INTEGER AS chunk_index, len(ws[start + 1:start + 200])::INTEGER AS n_words, array_to_string(ws[start + 1:start + 200], ' ') AS chunk FROM s",
     "chunk_arrays": "SELECT 'c' || doc_id AS id, upper(source) AS title, (doc_id % 50 + 1950)::INTEGER AS first_year, 2 AS n_years, source || ',' || lang AS colles FROM documents",
@@ -157,6 +183,8 @@ SQL = {
     "vector_topk_each": _EACH(10),
     "vector_store": "WITH w AS (SELECT doc_id, source, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS ws FROM documents), s AS (SELECT doc_id, source, ws, unnest(CASE WHEN len(ws) <= 200 THEN [0] ELSE range(0, len(ws) - 50, 150) END) AS start FROM w WHERE len(ws) > 0) SELECT 'documents' AS source_table, doc_id::VARCHAR AS source_pk, source AS category, (start // 150)::INTEGER AS chunk_index, len(ws[start + 1:start + 200])::INTEGER AS chunk_length_words, md5(array_to_string(ws[start + 1:start + 200], ' ')) AS text_md5, len(embedding)::INTEGER AS dimensions FROM s JOIN embeddings ON vec_id = doc_id",
     "vector_raw_floor": f"WITH t AS ({_EACH(350)}) SELECT query_id, id, score FROM t WHERE id <> query_id AND score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 2",
+    "rerank_each": _RERANK_EACH + "SELECT * FROM reranked",
+    "context_each": _RERANK_EACH + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_match DESC, score DESC, id) AS n FROM reranked QUALIFY n <= 2) SELECT query_id, string_agg('[Document ' || n || ': ' || title || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY n) AS context, count(*) AS documents FROM t JOIN documents ON doc_id = id GROUP BY query_id",
     "rerank": _RERANK + "SELECT * FROM reranked",
     "context_build": _RERANK + ", t AS (SELECT *, row_number() OVER (ORDER BY is_match DESC, score DESC, id) AS n FROM reranked QUALIFY n <= 2) SELECT string_agg('[Document ' || n || ': ' || title || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS documents FROM t JOIN documents ON doc_id = id",
     "hybrid_context": R("totals") + ", y AS (SELECT DISTINCT year(event_date)::INTEGER AS y FROM ev WHERE event_id IN (SELECT event_id FROM att)), q AS (SELECT y AS qid FROM y UNION SELECT y + 5 FROM y), b AS (SELECT year(event_date)::INTEGER AS qid, event_name || ' ' || group_name || ' ' || total_points AS report FROM totals QUALIFY row_number() OVER (PARTITION BY year(event_date) ORDER BY total_points DESC, event_id, group_id) = 1) SELECT qid, CASE WHEN report IS NOT NULL THEN 'report' WHEN doc_id IS NOT NULL THEN 'documents' ELSE 'none' END AS source, coalesce(report, 'Doc ' || doc_id) AS context FROM q LEFT JOIN b USING (qid) LEFT JOIN documents ON doc_id + 2000 = qid",

@@ -121,6 +121,26 @@ def test_pages(spark, data):
     assert len({(r["page_id"], r["kind"], r["key"], r["value"]) for r in found}) == len(found)
 
 
+def words_of(question):
+    return [w for w in re.findall(r"\w+", question.lower()) if w not in retrieval.STOP_WORDS and len(w) > 2]
+
+
+def test_rerank_many_questions(spark):
+    """Each question by its own words, lists that are null or empty, and the context of each."""
+    schema = "query_id int, question string, asked_groups array<string>, asked_years array<int>, asked_places array<string>, id int, score double, title string, category string, groups array<string>, years array<int>, year_ranges array<string>, keywords array<string>, places array<string>"
+    doc = lambda i, category, score: (i, score, f"D{i}", category, ["Xiquets"], [1980, 1981], ["1980-1989"], ["folre", "Història"], ["Valls"])
+    asked = [(1, "La història dels Xiquets", ["xiquets de valls"], [1980, 1995], ["VALLS"]), (2, None, None, None, None), (3, "Com es fa el folre?", [], [], [])]
+    found = spark.createDataFrame([(*a, *d) for a in asked for d in (doc(7, "history", 0.1), doc(8, "colles", 0.1), doc(9, "colles", 0.5))] + [(4, "nulls", [], [], [], 7, 0.0, "D7", None, None, None, None, None, None)], schema)
+    got = {(r["query_id"], r["id"]): (r["is_match"], r["score"]) for r in retrieval.rerank_each(found).collect()}
+    assert got == {(1, 7): (True, 1.0), (1, 8): (True, pytest.approx(0.1 + 0.35 + 0.2 + 0.1 + 0.1 + 0.15)), (1, 9): (True, 1.0), (2, 7): (False, 0.1), (2, 9): (False, pytest.approx(0.3)), (3, 7): (False, pytest.approx(0.2)), (3, 9): (False, pytest.approx(0.4))}
+    texts = spark.createDataFrame([(7, "seven"), (8, "eight"), (9, None)], "doc_id int, text string")
+    contexts = {r["query_id"]: (r["context"], r["documents"]) for r in retrieval.context_each(retrieval.rerank_each(found), texts).collect()}
+    assert contexts == {1: ("[Document 1: D7]\nseven\n\n[Document 2: D8]\neight", 2), 2: ("[Document 1: D9]\n\n\n[Document 2: D7]\nseven", 2), 3: ("[Document 1: D9]\n\n\n[Document 2: D7]\nseven", 2)}
+    words = ["Quina és la tècnica, i l'estructura?", "3d9f de 2004 als ANYS_80"]
+    rows = spark.createDataFrame([(w,) for w in words], "q string").select(retrieval.question_words(F.col("q")).alias("w"), retrieval.about(F.col("q")).alias("about")).collect()
+    assert [r["w"] for r in rows] == [words_of(w) for w in words] and [r["about"] for r in rows] == ["technique", None]
+
+
 def test_rerank_fuzzy(spark, data):
     from tally.registry.retrieval import GROUPS, PLACES, QUESTION, YEARS
 
@@ -132,7 +152,7 @@ def test_rerank_fuzzy(spark, data):
         years = len(set(r["years"]) & set(YEARS))
         in_range = any(str(y) in x for x in r["year_ranges"] for y in YEARS)
         alike = lambda w, k: w in k or k in w or difflib.SequenceMatcher(None, w, k).ratio() > 0.7
-        matched = sum(any(alike(w, k.lower()) for k in r["keywords"]) for w in retrieval.question_words(QUESTION))
+        matched = sum(any(alike(w, k.lower()) for k in r["keywords"]) for w in words_of(QUESTION))
         score = r["score"] + 0.35 * named + 0.2 * min(years, 3) + 0.1 * in_range
         score += 0.15 + (min(matched, 4) - 1) * 0.15 if matched > 1 else 0.1 * matched
         score += 0.15 * (r["category"] == "history") + 0.15 * bool({p.lower() for p in r["places"]} & set(PLACES))
