@@ -49,8 +49,16 @@ def asked(s, d):
     return q.select("qid", "session", "turn", form.alias("text"))
 
 
+#: The forms and, with numbers of their own, what the turns really say.
+SPOKEN = ASKED + ", spoken AS (SELECT * FROM asked UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, conv_id, turn, text FROM conversations WHERE role = 'user')"
+
+
+def spoken(s, d):
+    return asked(s, d).union(roles.questions(s, d).select(F.col("qid") + 1_000_000_000, "session", "turn", "text"))
+
+
 def _each(parser):
-    return lambda s, d: asked(s, d).select("qid", "text", parser(F.col("text")).alias("value"))
+    return lambda s, d: spoken(s, d).select("qid", "text", parser(F.col("text")).alias("value"))
 
 
 def _entities(s, d):
@@ -106,12 +114,12 @@ def _raw_event(s, d):
 
 QUERIES = {
     "parse_item_code": _each(parse.item_code),
-    "parse_years": lambda s, d: asked(s, d).select("qid", F.array_join(parse.years(F.col("text")), ",").alias("value")),
+    "parse_years": lambda s, d: spoken(s, d).select("qid", F.array_join(parse.years(F.col("text")), ",").alias("value")),
     "parse_status": _each(parse.status),
     "detect_tier": _each(parse.tier),
     "synonym_rewrite": _each(parse.rewrite_synonyms),
     "guard_flags": lambda s, d: roles.questions(s, d).select("qid", parse.guard_flags(F.col("text")).alias("g")).select("qid", "g.*").unionByName(asked(s, d).select((F.col("qid") + 1_000_000_000).alias("qid"), parse.guard_flags(F.col("text")).alias("g")).select("qid", "g.*")),
-    "decade_expand": lambda s, d: asked(s, d).select("qid", F.array_join(parse.decades(F.col("text")), ",").alias("years")),
+    "decade_expand": lambda s, d: spoken(s, d).select("qid", F.array_join(parse.decades(F.col("text")), ",").alias("years")),
     "clean_text": lambda s, d: roles.chat(s, d).select("session", "turn", parse.clean_answer(F.concat(F.lit("| a | b |\n|--|--|\n"), F.coalesce("text", F.lit("")), F.lit("  , end ."))).alias("text")),
     "parse_place_city": lambda s, d: _raw_event(s, d).select("event_id", parse.place_city(F.col("place_raw")).alias("p")).select("event_id", "p.*"),
     "parse_result": lambda s, d: roles.attempts(s, d).select("attempt_id", parse.result(F.concat(F.lit(" "), "item_name", F.lit(" ("), "status", F.lit(") "))).alias("r")).select("attempt_id", "r.*"),
@@ -133,6 +141,7 @@ QUERIES = {
 }
 
 _W = "WITH " + ASKED + " "
+_SPOKEN = "WITH " + SPOKEN + " "
 _num = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in parse.NUMBERS.items()) + " END"
 
 
@@ -145,7 +154,7 @@ def _chain() -> str:
 
 
 _N = len(parse.PARTS)
-_ITEM = _W + f""", a AS (SELECT qid, text, lower(trim(text)) AS t FROM asked),
+_ITEM = _SPOKEN + f""", a AS (SELECT qid, text, lower(trim(text)) AS t FROM spoken),
 b AS (SELECT *, {_num(r"regexp_extract(t, '([a-z]+)\s+de\s+([a-z]+)', 1)")} AS width, regexp_extract(t, '([a-z]+)\\s+de\\s+([a-z]+)', 2) AS w2,
   trim(CASE WHEN width IS NOT NULL THEN regexp_replace(t, '(?s)^.*?[a-z]+\\s+de\\s+[a-z]+', '') ELSE regexp_replace(t, '(?s)^.*?[0-9]+\\s+de\\s+[0-9]+', '') END) AS rest FROM a),
 c AS ({_chain()})
@@ -183,12 +192,12 @@ _RAWS = ", raws AS (SELECT event_id, strftime(event_date, '%d/%m/%Y') AS ds, eve
 
 SQL = {
     "parse_item_code": _ITEM,
-    "parse_years": _W + f"SELECT qid, array_to_string({_YEARS}, ',') AS value FROM asked",
-    "parse_status": _W + f"SELECT qid, text, {_STATUS} AS value FROM asked",
-    "detect_tier": _W + f"SELECT qid, text, {_cases('lower(text)', parse.TIER_WORDS)} AS value FROM asked",
-    "synonym_rewrite": _W + f"SELECT qid, text, {_synonyms_sql()} AS value FROM asked",
+    "parse_years": _SPOKEN + f"SELECT qid, array_to_string({_YEARS}, ',') AS value FROM spoken",
+    "parse_status": _SPOKEN + f"SELECT qid, text, {_STATUS} AS value FROM spoken",
+    "detect_tier": _SPOKEN + f"SELECT qid, text, {_cases('lower(text)', parse.TIER_WORDS)} AS value FROM spoken",
+    "synonym_rewrite": _SPOKEN + f"SELECT qid, text, {_synonyms_sql()} AS value FROM spoken",
     "guard_flags": _W + f"SELECT conv_id * 1000 + turn AS qid, {_GUARD('text')} FROM conversations WHERE role = 'user' UNION ALL SELECT qid + 1000000000, {_GUARD('text')} FROM asked",
-    "decade_expand": _W + f"SELECT qid, {_DEC} AS years FROM asked",
+    "decade_expand": _SPOKEN + f"SELECT qid, {_DEC} AS years FROM spoken",
     "clean_text": r"SELECT conv_id AS session, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(coalesce(text, '') || '  , end .', chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 2), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\s{2,}', ' ', 'g'), '\s+\.', '.', 'g'), '\s+,', ',', 'g'), '^\s+|\s+$', '', 'g') AS text FROM conversations",
     "parse_place_city": R("ev") + _RAWS + " SELECT event_id, ds AS date, CASE WHEN NOT untimed THEN '09:30' END AS time, 'Plaça Vella' AS place, CASE WHEN contains(city, ' ') THEN 'Middle East' ELSE low END AS city FROM raws",
     "parse_result": R("att") + "SELECT attempt_id, item_name, status FROM att",
