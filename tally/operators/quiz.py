@@ -291,8 +291,9 @@ def sample_groups(active: DataFrame, n: int = 5, seed: int = 1, chosen: tuple[st
 def _item_weights(questions: DataFrame, scores: DataFrame) -> DataFrame:
     """questions (event_year, item_code, ...) with `w`, the full points of the item; 1 for all of a year without points."""
     known = questions.join(scores.groupBy(F.col("code").alias("item_code")).agg(F.max("full").alias("full")), "item_code", "left").withColumn("full", F.coalesce("full", F.lit(0)))
-    of_year = F.sum("full").over(Window.partitionBy("event_year"))
-    return known.withColumn("w", F.when(of_year == 0, 1.0).otherwise(F.col("full").cast("double"))).drop("full")
+    known = materialize(known, "quiz-weighed")  # a year holds many questions: its sum is a row of a small table, not a window over them
+    of_year = known.groupBy("event_year").agg(F.sum("full").alias("of_year"))
+    return known.join(of_year, "event_year").withColumn("w", F.when(F.col("of_year") == 0, 1.0).otherwise(F.col("full").cast("double"))).drop("full", "of_year")
 
 
 def sample_items(questions: DataFrame, scores: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:

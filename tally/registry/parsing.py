@@ -1,4 +1,4 @@
-"""Cleaning and parsing queries. Questions are user turns, put in the words of a dozen fixed forms."""
+"""Cleaning and parsing queries. Questions are user turns, put in the words of a dozen fixed forms, and as they are."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def follow_up(s, d):
 def _routed(s, d):
     """Questions with the route that they were given, and what they name."""
     route = F.element_at(F.array(*map(F.lit, ("sql", "hybrid", "rag", "direct"))), (F.col("session") % 4 + 1).cast("int"))
-    return asked(s, d).select("*", route.alias("route"), F.contains("text", F.lit("NATION")).alias("has_entities"), (F.col("turn") % 4 == 0).alias("has_places_in_contest"))
+    return spoken(s, d).select("*", route.alias("route"), F.contains("text", F.lit("NATION")).alias("has_entities"), (F.col("turn") % 4 == 0).alias("has_places_in_contest"))
 
 
 def _codes(s, d):
@@ -130,12 +130,12 @@ QUERIES = {
     "follow_up": follow_up,
     "classify_question": lambda s, d: linking.classify(_routed(s, d)),
     "template_inherit": lambda s, d: linking.inherit_template(asked(s, d).select("qid", "session", "turn", linking.classify_by_phrase(F.col("text")).alias("template"))),
-    "link_items": lambda s, d: linking.link_items(asked(s, d), _codes(s, d)),
-    "link_cities": lambda s, d: linking.link_cities(asked(s, d), _names(s, d, "city")),
+    "link_items": lambda s, d: linking.link_items(spoken(s, d), _codes(s, d)),
+    "link_cities": lambda s, d: linking.link_cities(spoken(s, d), _names(s, d, "city")),
     "item_repair": lambda s, d: linking.repair_items(_asked_items(s, d), _codes(s, d)),
     "entity_checks": entity_checks,
-    "fuzzy_link": lambda s, d: linking.fuzzy_link(asked(s, d), _names(s, d)),
-    "link_events": lambda s, d: linking.link_events(asked(s, d), _names(s, d, "event_name"), words=EVENT_WORDS),
+    "fuzzy_link": lambda s, d: linking.fuzzy_link(spoken(s, d), _names(s, d)),
+    "link_events": lambda s, d: linking.link_events(spoken(s, d), _names(s, d, "event_name"), words=EVENT_WORDS),
     "page_extract": lambda s, d: pages.extract(roles.table(s, d, "pages")),
     "page_links": lambda s, d: pages.links(roles.table(s, d, "pages")),
 }

@@ -20,7 +20,7 @@ COVERED = {"classify_question", "fuzzy_link", "link_cities", "link_events", "lin
 
 @pytest.fixture(scope="module")
 def asked(spark, data):
-    return [(r["qid"], r["text"]) for r in parsing.asked(spark, data).collect()]
+    return [(r["qid"], r["text"]) for r in parsing.spoken(spark, data).collect()]
 
 
 def cached(function):
