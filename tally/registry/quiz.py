@@ -68,6 +68,10 @@ def quiz_dictionaries(s, d):
 def _active(s, d):
     """Groups with their years of activity, and a boost by their number."""
     ranges = reports.group_year_ranges(roles.attempts(s, d), roles.events(s, d), roles.groups(s, d))
+    return _boosted(ranges)
+
+
+def _boosted(ranges):
     return ranges.select("group_name", "min_year", "max_year", (F.length("group_name") % 4).alias("boost"))
 
 
@@ -79,8 +83,11 @@ def quiz_dataset(s, d):
 
 def _first_group(s, d, **how):
     """The questions of each year; the tables' years are all before the first one of the rules."""
-    p = perf(s, d).select("event_year", "item_code", "group_name", "event_date", "event_id", "status")
-    return quiz.first_group(p, _active(s, d), first_year=0, **how)
+    p = materialize(perf(s, d).select("event_year", "item_code", "group_id", "group_name", "event_date", "event_id", "date_text", "status"), "quiz-firsts")
+    # the fact is written once, narrow, and the groups' years come from it too: one row for each event of a group, then one for each event
+    shows = p.select("event_id", "group_id", "group_name", "date_text").distinct()
+    ranges = reports.group_year_ranges(shows, shows.select("event_id", "date_text").distinct(), shows.select("group_id", "group_name").distinct())
+    return quiz.first_group(p, _boosted(ranges), first_year=0, **how)
 
 
 def _days(s, d):
