@@ -16,6 +16,8 @@ CHUNK_WORDS, OVERLAP = 200, 50
 TITLE_WEIGHT, TEXT_WEIGHT = 0.2, 0.8
 LEAST_NORM = 1e-9
 LEAST_PARAGRAPH = 15
+#: What a task of the blocked search holds of its best rows.
+HELD_ROWS = 1 << 20
 #: The boosts of the ranking. Fixed values.
 GROUP_BOOST, YEAR_BOOST, MOST_YEARS, RANGE_BOOST, CATEGORY_BOOST, PLACE_BOOST, GROUP_PENALTY = 0.35, 0.2, 3, 0.1, 0.15, 0.15, 0.2
 LEAST_SCORE = 0.005
@@ -89,27 +91,51 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(pack, "ids binary, units binary")
 
 
+def _cut(found: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by score and then by id."""
+    query, ids, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, -score, query))
+    q, n = query[order], np.arange(len(order))
+    first = np.ones(len(q), bool)
+    first[1:] = q[1:] != q[:-1]
+    keep = order[n - np.maximum.accumulate(np.where(first, n, 0)) < k]
+    return query[keep], ids[keep], score[keep]
+
+
 def best_of_blocks(k: int) -> Callable:
-    """A function for mapInArrow: (query_id, id, score) of the k rows of largest product for each query of each pair of blocks
-    (ids, units, q_ids, q_units), and those tied with the last."""
+    """A function for mapInArrow: (query_id, id, score) of the k rows of largest product for each query, of all pairs of blocks
+    (ids, units, q_ids, q_units) that a task meets. A task holds HELD_ROWS of them at most: beyond, it cuts them to the best, and gives
+    them away if that does not halve them."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda found: pa.RecordBatch.from_pydict(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
+        held, n = [], 0
         for batch in batches:
             for ids, units, q_ids, q_units in zip(*(batch.column(c).to_pylist() for c in ("ids", "units", "q_ids", "q_units"))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 scores = np.frombuffer(q_units).reshape(len(q_ids), -1) @ np.frombuffer(units).reshape(len(ids), -1).T
                 least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
                 query, row = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[query], "id": ids[row], "score": scores[query, row]})
+                held.append((q_ids[query], ids[row], scores[query, row]))
+                n += len(query)
+                if n > HELD_ROWS:
+                    held = [_cut(held, k)]
+                    n = len(held[0][0])
+                    if n > HELD_ROWS // 2:
+                        yield batch_of(held[0])
+                        held, n = [], 0
+        if held:
+            yield batch_of(_cut(held, k))
 
     return meet
 
 
 def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As top_k, for a query set that grows with the table: blocks of queries meet blocks of vectors, each pair by one
-    product of matrices, and gives k rows for each of its queries. No side is broadcast whole."""
+    product of matrices. The queries come first, so that a task is through with a block of them when it takes the next, and gives k rows
+    for each query, not for each pair of blocks. No side is broadcast whole."""
     asked = _blocks(queries, "query_id", "qvec").toDF("q_ids", "q_units")
-    found = _blocks(vectors, "id", "vec").crossJoin(asked).mapInArrow(best_of_blocks(k), "query_id long, id long, score double")
+    found = asked.crossJoin(_blocks(vectors, "id", "vec")).mapInArrow(best_of_blocks(k), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 

@@ -1,5 +1,6 @@
 """Decisions that a comparison with SQL does not show: edge cases, properties and plans."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,11 @@ def test_blocks_of_queries_find_what_single_ones_do(spark):
     queries = vectors.filter("id % 7 = 0").selectExpr("id AS query_id", "vec AS qvec")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(retrieval.top_k_blocks(vectors, queries, 9)) == rows(retrieval.top_k(vectors, queries, 9))
+    # what a task cuts and gives away on its way loses nothing
+    whole = sorted((-float(x), i, q) for q in range(3) for i, x in enumerate(np.random.default_rng(q).normal(size=40).round(1)))
+    parts = [tuple(np.array(c) for c in ([q for _, _, q in p], [i for _, i, _ in p], [-x for x, _, _ in p])) for p in (whole[::2], whole[1::2])]
+    got = sorted(zip(*(c.tolist() for c in retrieval._cut([retrieval._cut(parts[:1], 5), parts[1]], 5))))
+    assert got == sorted((q, i, -x) for n in range(3) for x, i, q in [w for w in whole if w[2] == n][:5])
     assert retrieval.top_k_blocks(vectors.limit(0), queries, 9).count() == 0
     assert retrieval.top_k_blocks(vectors.limit(4), queries, 9).count() == 4 * queries.count()
 
