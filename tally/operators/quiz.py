@@ -250,9 +250,15 @@ def ordering_score(given: Column, right: Column) -> Column:
     return F.when(F.size(right) > 0, same / F.size(right)).otherwise(0.0)
 
 
-def game(points: Column, n: Column) -> tuple[Column, Column]:
-    """A game's per cent and its band."""
-    percent = F.floor(points / n * 100 + 0.5).cast("int")
+def exactly(score: Column, places: int = 6) -> Column:
+    """A rounded score as a decimal number, so that sums of many do not hang on their order."""
+    return F.round(score, places).cast(f"decimal(18,{places})")
+
+
+def game(points: Column, n: Column, places: int = 6) -> tuple[Column, Column]:
+    """A game's per cent, half up, and its band; in whole numbers, so that a half is a half. Points are a sum of at most so many places."""
+    got, full = (F.round(points, places) * 10**places).cast("long"), (n * 10**places).cast("long")
+    percent = F.call_function("div", 200 * got + full, 2 * full).cast("int")
     return percent, F.when(percent >= 80, "excellent").when(percent >= 50, "good").otherwise("again")
 
 

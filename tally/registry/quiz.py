@@ -40,9 +40,10 @@ def scoring_of_answers(s, d):
     array = lambda *x: F.array(*[(v % 6).cast("int") for v in x])
     chosen, right = F.array_distinct(array(i, i + 2, i * 3)), F.array_distinct(array(i, i + 1))
     given, order = array(i, i + 1, i + 2, i + 3), array(i, i + 1, i + 3, i + 2)
-    rows = e.select("event_id", "user_id", F.round(quiz.slider_score(i % 20, i % 17, i % 4), 6).alias("slider"), F.round(quiz.multi_score(chosen, right), 6).alias("multi"), F.round(quiz.ordering_score(given, F.when(i % 3 == 0, given).otherwise(order)), 6).alias("ordering"))
+    rows = e.select("event_id", "user_id", quiz.exactly(quiz.slider_score(i % 20, i % 17, i % 4)).alias("slider"), quiz.exactly(quiz.multi_score(chosen, right)).alias("multi"), quiz.exactly(quiz.ordering_score(given, F.when(i % 3 == 0, given).otherwise(order))).alias("ordering"))
+    total = lambda c: F.round(F.sum(c), 4).cast("double").alias(c)
     percent, band = quiz.game(F.sum(F.col("slider") + F.col("multi") + F.col("ordering")), F.count("*") * 3)
-    return rows.groupBy("user_id").agg(F.round(F.sum("slider"), 4).alias("slider"), F.round(F.sum("multi"), 4).alias("multi"), F.round(F.sum("ordering"), 4).alias("ordering"), percent.alias("percent"), band.alias("band"))
+    return rows.groupBy("user_id").agg(total("slider"), total("multi"), total("ordering"), percent.alias("percent"), band.alias("band"))
 
 
 def quiz_dictionaries(s, d):

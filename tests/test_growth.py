@@ -2,6 +2,9 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
+from tally.operators import quiz
 from tally.streaming import jobs
 
 
@@ -40,3 +43,18 @@ def test_progress_of_messages_over_hours(spark, tmp_path):
     assert "TransformWithState" not in _analyzed(stream)
     got = jobs.whole(jobs.run_latest(stream, "status", ["message_id", "slot"], "updates")).collect()
     assert sorted(map(tuple, got)) == [("a", "complete", 2), ("b", "error", 2), ("c", "entities_ready", 2)]
+
+
+def test_halves_of_a_game_are_halves_in_any_order(spark):
+    """65 of 200 points are 32.5 per cent, which goes up; ten sums of a tenth and the like do not move it."""
+    scores = [0.633333, 0.366667, 0.1, 0.2, 0.7] * 13 + [0.0] * 69 + [39.0]
+    for part in (scores, scores[::-1], sorted(scores)):
+        df = spark.createDataFrame([(x,) for x in part], "s double").select(quiz.exactly(F.col("s")).alias("s"))
+        percent, band = quiz.game(F.sum("s"), F.lit(200))
+        assert tuple(df.agg(percent.alias("p"), band.alias("b")).first()) == (33, "again")
+
+
+def test_totals_of_answers_are_exact(spark, tmp_path):
+    """Slider scores of 0.633333 and 0.366667 by turns add up to whole numbers, whatever the parts they come in."""
+    one = spark.range(0, 3000, 1, 7).select(quiz.exactly(F.when(F.col("id") % 2 == 0, 0.633333).otherwise(0.366667)).alias("s"))
+    assert float(one.agg(F.sum("s").alias("s")).first()["s"]) == 1500.0
