@@ -95,7 +95,8 @@ def similar_items(answers: DataFrame, scores: DataFrame, most: int = 2, order: C
     the codes whose points are within a fifth, or BAND, of the average points of the answer's items: complete ones if those
     points are near, else loaded ones. Items of the answer are no choice, and items without points do not count.
 
-    Points are binned by BAND, so that a band meets the bins that it covers by equality."""
+    Points are binned by BAND, so that a band meets the bins that it covers by equality. An order, which goes by the code alone, is taken
+    before that: of each number of points no more codes are needed than `most`, and as many as any answer excludes."""
     known = scoring.aliases(scores).select(F.lower(F.trim("alias")).alias("name"), "full", "partial")
     each = answers.select("key", F.explode("items").alias("i")).select("key", F.lower(F.trim("i.item_name")).alias("name"), "i.status")
     value = F.coalesce(F.when(F.col("status") == COMPLETE, F.col("full")).when(F.col("status") == LOADED, F.col("partial")), F.lit(0))
@@ -104,12 +105,19 @@ def similar_items(answers: DataFrame, scores: DataFrame, most: int = 2, order: C
     low, high = F.greatest(F.lit(0.0), F.col("average") - width), F.col("average") + width
     bands = average.select("key", "average", low.alias("low"), high.alias("high")).select("*", F.explode(F.sequence(F.floor(F.col("low") / BAND), F.floor(F.col("high") / BAND))).alias("bin"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("full").alias("points")), F.struct(F.lit(1).alias("kind"), F.col("partial").alias("points")))).alias("p")
-    codes = scores.select(F.coalesce("external", "code").alias("code"), kinds).filter("p.points IS NOT NULL").select("code", "p.*", F.floor(F.col("p.points") / BAND).alias("bin"))
-    near = bands.join(codes, "bin").filter("points BETWEEN low AND high").groupBy("key", "average", "code").agg(F.min("kind").alias("kind"))
+    codes = scores.select(F.coalesce("external", "code").alias("code"), kinds).filter("p.points IS NOT NULL").select("code", "p.*")
     own = each.select("key", F.col("name").alias("own")).distinct()
+    choice = codes.select("code", "points")
+    if order is not None:
+        excluded = own.join(codes.select("code").distinct(), F.lower(F.trim("code")) == F.col("own")).groupBy("key").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("excluded"))
+        rank = F.dense_rank().over(Window.partitionBy("points").orderBy(order, "code"))
+        choice = choice.withColumn("place", rank).join(F.broadcast(excluded)).filter(F.col("place") <= most + F.col("excluded")).select("code", "points")  # one row
+    near = bands.join(choice.withColumn("bin", F.floor(F.col("points") / BAND)), "bin").filter("points BETWEEN low AND high").select("key", "average", "low", "high", "code").distinct()
     near = near.join(own, (near["key"] == own["key"]) & (F.lower(F.trim("code")) == F.col("own")), "left_anti")
     draw = weighted_order(F.lit(1.0), F.col("key").cast("string"), F.col("code"), seed=seed) if order is None else order
     first = near.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(draw, "code"))).filter(F.col("rn") <= most)
+    every = codes.withColumnRenamed("code", "same")  # a code may be near by its other points too
+    first = first.join(every, F.col("code").eqNullSafe(F.col("same")) & F.col("points").between(F.col("low"), F.col("high"))).groupBy("key", "average", "rn", "code").agg(F.min("kind").alias("kind"))
     text = F.concat("code", F.lit(" ("), F.when(F.col("kind") == 0, COMPLETE).otherwise(LOADED), F.lit(")"))
     return first.groupBy("key", "average").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"]), ", ").alias("similar"))
 

@@ -101,6 +101,7 @@ def similar_items(s, d):
     best = quiz.best_item_unique(perf(s, d)).filter("points > 0")
     top = best.withColumn("rn", F.row_number().over(Window.partitionBy("group_name", "event_year").orderBy(F.desc("points"), "item_name"))).filter("rn <= 4")
     answers = top.groupBy(F.concat_ws("|", "group_name", "event_year").alias("key")).agg(F.collect_list(F.struct("item_name", "status")).alias("items"))
+    answers = materialize(answers, "similar-answers")  # a row for each group and year, for which the fact is read once
     return quiz.similar_items(answers, roles.scores(s, d), order=F.col("code")).select("key", F.round("average", 6).alias("average"), "similar")
 
 

@@ -58,3 +58,23 @@ def test_totals_of_answers_are_exact(spark, tmp_path):
     """Slider scores of 0.633333 and 0.366667 by turns add up to whole numbers, whatever the parts they come in."""
     one = spark.range(0, 3000, 1, 7).select(quiz.exactly(F.when(F.col("id") % 2 == 0, 0.633333).otherwise(0.366667)).alias("s"))
     assert float(one.agg(F.sum("s").alias("s")).first()["s"]) == 1500.0
+
+
+def test_similar_items_meet_no_more_codes_than_answers_can_need(spark):
+    """Many codes of the same points, an answer's own ones in front, under two spellings; a code that is near by both of its points."""
+    scores = spark.createDataFrame([(f"c{i:04d}", f"P{i:04d}", None, 1000 + i % 3 * 150, 900 + i % 3 * 150, "t") for i in range(900)] + [("x", "p0000", None, 1000, 900, "t")], "code string, external string, name string, full long, partial long, tier string")
+    items = [[("P0000", "Descarregat")], [("P0000", "Carregat"), ("P0003", "Carregat"), ("P0006", "Descarregat")], [("P0002", "Descarregat"), ("P0001", "Carregat")]]
+    answers = spark.createDataFrame(list(enumerate(items)), "key int, items array<struct<item_name: string, status: string>>")
+    rows = scores.collect()
+    value = {(a.lower(), s): v for r in rows for a in (r["code"], r["external"]) for s, v in (("Descarregat", r["full"]), ("Carregat", r["partial"]))}
+    want = {}
+    for k, its in enumerate(items):
+        found = [float(r["full"] if s == "Descarregat" else r["partial"]) for i, s in its for r in rows if i.lower() in (r["code"].lower(), r["external"].lower())]
+        average = sum(found) / len(found)
+        width = max(quiz.BAND, average * quiz.BAND_PERCENT // 100)
+        near = {r["external"]: ("Descarregat" if abs(r["full"] - average) <= width else "Carregat") for r in rows if min(abs(r["full"] - average), abs(r["partial"] - average)) <= width and r["external"].lower() not in {i.lower() for i, _ in its}}
+        want[k] = (average, ", ".join(f"{c} ({near[c]})" for c in sorted(near)[:2]))
+    got = quiz.similar_items(answers, scores, order=F.col("code"))
+    assert {r["key"]: (r["average"], r["similar"]) for r in got.collect()} == want
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "denserank" in text.lower() or "dense_rank" in text
