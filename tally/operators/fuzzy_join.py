@@ -37,24 +37,31 @@ def needed(size: int, least: float) -> int:
     return math.ceil(fuzzy.least_common(size, least) * (3 - 200 / least) - 1)
 
 
+def _parts(texts: DataFrame) -> int:
+    """Parts of texts and pairs: cutting and comparing takes far longer than their bytes say, so the number is not left to these."""
+    return int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _grams(strings: DataFrame, column: str, least: float) -> DataFrame:
-    """strings with size, need, and one row for each pair of adjacent characters; the n-th of a kind is a gram of its own."""
-    schema = strings.selectExpr("*", "0 AS size", "0 AS need", "'' AS gram").schema
+    """(the other columns of strings, size, need, gram): a row for each pair of adjacent characters; the n-th of a kind is a gram of its
+    own. The string itself is not repeated beside its grams."""
+    keys = [c for c in strings.columns if c != column]
+    schema = strings.select(*keys).selectExpr("*", "0 AS size", "0 AS need", "'' AS gram").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, needs, grams = [], [], [], []
-            for i, s in enumerate(batch.column(column).to_pylist()):
+            texts, grams = batch.column(column).to_pylist(), []
+            for s in texts:
                 seen: Counter = Counter()
-                for gram in (s[j : j + GRAM] for j in range(len(s) - GRAM + 1)):
+                for gram in map("".join, zip(s, s[1:])):
                     seen[gram] += 1
-                    rows.append(i)
-                    sizes.append(len(s))
-                    needs.append(needed(len(s), least))
                     grams.append(f"{gram}{seen[gram]}")
-            out = batch.take(pa.array(rows, pa.int64()))
-            for name, values, kind in (("size", sizes, pa.int32()), ("need", needs, pa.int32()), ("gram", grams, pa.string())):
-                out = out.append_column(name, pa.array(values, kind))
+            sizes = np.array([len(s) for s in texts], np.int64)
+            rows = np.repeat(np.arange(len(texts)), np.maximum(sizes - GRAM + 1, 0))
+            needs = np.array([needed(int(n), least) for n in sizes], np.int32)
+            out = batch.select(keys).take(pa.array(rows, pa.int64()))
+            for name, values in (("size", pa.array(sizes[rows], pa.int32())), ("need", pa.array(needs[rows], pa.int32())), ("gram", pa.array(grams, pa.string()))):
+                out = out.append_column(name, values)
             yield out
 
     return strings.mapInArrow(cut, schema)
@@ -69,14 +76,23 @@ def _rarest(grams: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _indexed(texts: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """(asked, name, low) whose shorter string has grams enough, and that share enough of those looked up."""
-    of_names, of_texts = _grams(names, "low", least), _grams(texts, "asked", least)
+    """(asked, name, low) whose shorter string has grams enough, and that share enough of those looked up.
+
+    Texts go through the index by a hash, so that a row of it is as small for a long text; two texts of one hash would only be compared
+    with each other's names too. Texts are looked up in names only where they are shorter than the longest name."""
+    keyed = texts.select("asked", F.xxhash64("asked").alias("key"))
+    longest = names.agg(F.coalesce(F.max(F.length("low")), F.lit(0))).first()[0]
+    low = names.select("name", "low", F.col("low").alias("string"))
+    of_names, of_texts = _grams(low, "string", least), _grams(keyed, "asked", least)
+    of_short = _grams(keyed.filter(F.length("asked") < longest), "asked", least)
     counts = of_names.groupBy("gram").agg(F.count("*").alias("n"))
     plain = lambda grams, keys: grams.select(*keys, F.col("size").alias("other"), "gram")
-    by_name = _rarest(of_names, counts, ["name", "low"]).join(plain(of_texts, ["asked"]), "gram").filter("size <= other")
-    by_text = _rarest(of_texts, counts, ["asked"]).join(plain(of_names, ["name", "low"]), "gram").filter("size < other")
-    found = by_name.select("asked", "name", "low", "hits").union(by_text.select("asked", "name", "low", "hits"))
-    return found.groupBy("asked", "name", "low", "hits").agg(F.count("*").alias("n")).filter("n >= hits").select("asked", "name", "low")
+    by_name = _rarest(of_names, counts, ["name", "low"]).join(plain(of_texts, ["key"]), "gram").filter("size <= other")
+    by_text = _rarest(of_short, counts, ["key"]).join(plain(of_names, ["name", "low"]), "gram").filter("size < other")
+    found = by_name.select("key", "name", "low", "hits").union(by_text.select("key", "name", "low", "hits"))
+    enough = found.groupBy("key", "name", "low", "hits").agg(F.count("*").alias("n")).filter("n >= hits").select("key", "name", "low")
+    parts = _parts(texts)
+    return enough.repartition(parts, "key").join(keyed.repartition(parts, "key"), "key").select("asked", "name", "low")
 
 
 def _in_blocks(texts: DataFrame, names: DataFrame, least: float, most: int) -> DataFrame:
@@ -124,7 +140,7 @@ def _in_blocks(texts: DataFrame, names: DataFrame, least: float, most: int) -> D
 def best_names(texts: DataFrame, names: DataFrame, least: float, most: int) -> DataFrame:
     """(asked, name, score, rank): for each different text (asked) the `most` names whose small letters have the largest partial ratio with
     it, from `least` on, ties by name. Nulls and empty strings have no part in it."""
-    texts = texts.select("asked").filter("asked <> ''").distinct()
+    texts = texts.select("asked").filter("asked <> ''").repartition(_parts(texts), "asked").distinct()
     names = names.select("name", F.lower("name").alias("low")).filter("name <> ''").distinct()
     if needed(10 * TRIED, least) < 1:  # no string gives a gram
         scored = _in_blocks(texts, names, least, most)

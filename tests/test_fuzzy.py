@@ -82,3 +82,13 @@ def test_large_dictionary(spark):
         best = sorted((-scores[i], names[i]) for i in (scores >= 85).nonzero()[0])[:5]
         want |= {(x, name, round(-s, 9)) for s, name in best}
     assert got == want and len({x for x, _, _ in want}) == len(texts)
+
+
+def test_index_rows_hold_no_texts(spark):
+    """A text is cut into rows that do not repeat it, and only texts that are shorter than some name are looked up among names."""
+    texts = ["x" * 30_000 + "colla vella" + "y" * 30_000, "cola vella", "colla vella dels xiquets", "vella"]
+    t, n = spark.createDataFrame([(x,) for x in texts], "asked string"), spark.createDataFrame([("Colla Vella",), ("Colla Jove",)], "name string")
+    grams = fuzzy_join._grams(t.selectExpr("asked", "xxhash64(asked) AS key"), "asked", 85)
+    assert grams.columns == ["key", "size", "need", "gram"] and grams.count() == sum(len(x) - 1 for x in texts)
+    got = {(x["asked"], x["name"], round(x["score"], 6)) for x in fuzzy_join.best_names(t, n, 85, 5).collect()}
+    assert got == {(x, name, round(s, 6)) for x in texts for name in ("Colla Vella", "Colla Jove") if (s := fuzzy.partial_ratio_of(x[29_980:30_031] if len(x) > 99 else x, name.lower())) >= 85}
