@@ -16,8 +16,9 @@ def aliases(scores: DataFrame) -> DataFrame:
     return scores.select(names, F.col("code").alias("item_code"), "full", "partial", "tier")
 
 
-def alias_join(attempts: DataFrame, scores: DataFrame) -> DataFrame:
-    known = aliases(scores)
+def alias_join(attempts: DataFrame, scores: DataFrame, parts: int | None = None) -> DataFrame:
+    """attempts with the score that their item's name answers to; `parts`: in how many parts they meet, if Spark's own number will not do."""
+    attempts, known = roles.dealt(attempts, parts, "item_name"), roles.dealt(aliases(scores), parts, "alias")
     return attempts.join(known, attempts["item_name"] == known["alias"], "left").drop("alias")
 
 
@@ -33,7 +34,8 @@ def item_class(item: str = "item_name") -> Column:
 
 def performances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide fact: each attempt with its event, group, score, points and class."""
-    scored = alias_join(roles.attempts_at_events(spark, sf_dir), roles.scores(spark, sf_dir))
+    parts = roles.parts_of(spark, sf_dir)
+    scored = alias_join(roles.attempts_at_events(spark, sf_dir, parts), roles.scores(spark, sf_dir), parts)
     joined = scored.join(roles.groups(spark, sf_dir), "group_id")
     return joined.select("*", points().alias("points"), item_class().alias("item_class"), F.year("event_date").alias("event_year"))
 

@@ -17,14 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of the fact for each part of its joins, so that what a task sorts does not grow with the tables.
+PART_ROWS = 250_000
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many parts the joins of the fact need for PART_ROWS each, by the counts in the footers of its files; None where no more are needed than
+    Spark takes by itself."""
+    n = -(-table(spark, sf_dir, "lineitem").count() // PART_ROWS)
+    return n if n > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df by the hash of the keys in so many parts, as a join or grouping by these keys takes it over."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def order_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """The event of each order: o_orderkey, event_id, event_date, region, the order's priority, and its own date,
     which filters on years reach the scan by."""
     t = lambda name: table(spark, sf_dir, name)
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
     number = (F.year("o_orderdate") * 100 + F.month("o_orderdate")) * 10 + F.col("r_regionkey")
-    return t("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", number.cast("long").alias("event_id"), month.alias("event_date"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"), F.col("o_orderpriority").alias("day"), F.col("o_orderdate").alias("ordered_on"))
+    placed = dealt(t("orders"), parts, "o_custkey").join(dealt(places, parts, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return placed.select("o_orderkey", number.cast("long").alias("event_id"), month.alias("event_date"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"), F.col("o_orderpriority").alias("day"), F.col("o_orderdate").alias("ordered_on"))
 
 
 EVENT_COLUMNS = ["event_id", "event_date", "date_text", "event_name", "place", "city"]
@@ -49,15 +66,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attempts_at_events(spark, sf_dir).select("attempt_id", "event_id", "group_id", "item_name", "status", "day")
 
 
-def attempts_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """attempts with the columns of their events and ordered_on, by one pass over the orders."""
+def attempts_at_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """attempts with the columns of their events, order_key and ordered_on, by one pass over the orders. Where the tables need `parts`, the
+    rows of an order stay in one of them."""
     t = lambda name: table(spark, sf_dir, name)
     p = F.col("l_partkey").cast("string")
     item = F.when(F.col("l_linenumber") % 4 == 0, p).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("P"), p)).when(F.col("l_linenumber") % 4 == 2, F.concat(p, F.lit("de"))).otherwise(F.concat(F.lit("X"), p))
     status = F.when(F.col("l_returnflag") == "A", COMPLETE).when(F.col("l_returnflag") == "R", LOADED).when(F.col("l_linestatus") == "O", ATTEMPT).otherwise(DISMANTLED)
     lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("attempt_id"), "l_suppkey", item.alias("item_name"), status.alias("status"))
-    joined = lines.join(_named(order_events(spark, sf_dir)), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select("attempt_id", F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day", "ordered_on", *EVENT_COLUMNS)
+    parts = parts or parts_of(spark, sf_dir)
+    orders = dealt(order_events(spark, sf_dir, parts), parts, "o_orderkey")
+    joined = dealt(lines, parts, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # what an event is called follows from its region, and is made when the rows have met
+    return _named(joined).select("attempt_id", F.col("l_orderkey").alias("order_key"), F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day", "ordered_on", *EVENT_COLUMNS)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

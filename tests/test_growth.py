@@ -78,3 +78,27 @@ def test_similar_items_meet_no_more_codes_than_answers_can_need(spark):
     assert {r["key"]: (r["average"], r["similar"]) for r in got.collect()} == want
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "denserank" in text.lower() or "dense_rank" in text
+
+
+def _sorted_parts(df):
+    """The numbers of partitions that the joins of a plan take their rows in."""
+    import re
+
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", text)}
+
+
+def test_parts_of_the_fact_grow_with_the_tables(spark, data, monkeypatch):
+    """Tasks of the joins hold PART_ROWS rows of the fact each, however many there are, and the results are the same."""
+    from compare import rows
+    from tally.operators import scoring
+    from tally.plans import roles
+
+    import __spark_entry__ as entry
+
+    names = ("items_with_points", "item_statistics", "ingest_flatten", "load_batches", "first_groups", "agg_counts")
+    few = {n: rows(entry.queries()[n](spark, data)) for n in names}
+    assert not _sorted_parts(scoring.performances(spark, data))
+    monkeypatch.setattr(roles, "PART_ROWS", 500)
+    assert _sorted_parts(scoring.performances(spark, data)) == {12}
+    assert {n: rows(entry.queries()[n](spark, data)) for n in names} == few
