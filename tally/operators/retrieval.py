@@ -17,7 +17,7 @@ TITLE_WEIGHT, TEXT_WEIGHT = 0.2, 0.8
 LEAST_NORM = 1e-9
 LEAST_PARAGRAPH = 15
 #: What a task of the blocked search holds of its best rows.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 #: The boosts of the ranking. Fixed values.
 GROUP_BOOST, YEAR_BOOST, MOST_YEARS, RANGE_BOOST, CATEGORY_BOOST, PLACE_BOOST, GROUP_PENALTY = 0.35, 0.2, 3, 0.1, 0.15, 0.15, 0.2
 LEAST_SCORE = 0.005
@@ -74,13 +74,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 BLOCK_ROWS = 2048
 
 
-def _blocks(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vectors of one length as rows of at most BLOCK_ROWS: their ids, and their units one after another."""
+def query_rows(k: int) -> int:
+    """How many queries a block has: so few that the k best of each leave room among the rows that a task holds."""
+    return max(1, min(BLOCK_ROWS, HELD_ROWS // (4 * k)))
+
+
+def _blocks(vectors: DataFrame, id_col: str, vec_col: str, most: int = BLOCK_ROWS) -> DataFrame:
+    """vectors of one length as rows of `most` at most: their ids, and their units one after another."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
                 ids = batch.column("id").to_numpy().astype(np.int64)
                 flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
                 rows = flat.reshape(len(ids), -1)
@@ -111,7 +116,8 @@ def best_of_blocks(k: int) -> Callable:
         batch_of = lambda found: pa.RecordBatch.from_pydict(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
         held, n = [], 0
         for batch in batches:
-            for ids, units, q_ids, q_units in zip(*(batch.column(c).to_pylist() for c in ("ids", "units", "q_ids", "q_units"))):
+            for i in range(batch.num_rows):  # one pair of blocks at a time, not copied
+                ids, units, q_ids, q_units = (batch.column(c)[i].as_buffer() for c in ("ids", "units", "q_ids", "q_units"))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 scores = np.frombuffer(q_units).reshape(len(q_ids), -1) @ np.frombuffer(units).reshape(len(ids), -1).T
                 least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q_ids), -np.inf)
@@ -134,7 +140,7 @@ def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As top_k, for a query set that grows with the table: blocks of queries meet blocks of vectors, each pair by one
     product of matrices. The queries come first, so that a task is through with a block of them when it takes the next, and gives k rows
     for each query, not for each pair of blocks. No side is broadcast whole."""
-    asked = _blocks(queries, "query_id", "qvec").toDF("q_ids", "q_units")
+    asked = _blocks(queries, "query_id", "qvec", query_rows(k)).toDF("q_ids", "q_units")
     found = asked.crossJoin(_blocks(vectors, "id", "vec")).mapInArrow(best_of_blocks(k), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))

@@ -102,3 +102,19 @@ def test_parts_of_the_fact_grow_with_the_tables(spark, data, monkeypatch):
     monkeypatch.setattr(roles, "PART_ROWS", 500)
     assert _sorted_parts(scoring.performances(spark, data)) == {12}
     assert {n: rows(entry.queries()[n](spark, data)) for n in names} == few
+
+
+def test_a_task_of_the_blocked_search_gives_k_rows_a_query_for_many_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from tally.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 4000)
+    k, r = 100, np.random.default_rng(1)
+    n = retrieval.query_rows(k)
+    units = lambda m: (lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None])(r.normal(size=(m, 8)))
+    q, v = units(n), units(3000)
+    rows = [{"ids": np.arange(a, a + 300).tobytes(), "units": v[a : a + 300].tobytes(), "q_ids": np.arange(n).tobytes(), "q_units": q.tobytes()} for a in range(0, 3000, 300)]
+    got = pa.Table.from_batches(list(retrieval.best_of_blocks(k)(iter([pa.RecordBatch.from_pylist(rows)]))))
+    want = {(i, int(j)) for i, s in enumerate(q @ v.T) for j in np.argsort(-s)[:k]}
+    assert got.num_rows == n * k and set(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == want
