@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tally.operators import reports, retrieval, scoring, vector_store
@@ -92,7 +93,11 @@ def hybrid_context(s, d):
 
 def group_chunks(s, d):
     g = roles.groups(s, d)
-    best = scoring.performances(s, d).filter("points > 0").groupBy("group_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("points")).alias("p"), "item_name"))), 1, 3).alias("b"))
+    # a group's three best are cut before they are gathered: its items grow with the tables
+    order = Window.partitionBy("group_id").orderBy(F.desc("points"), "item_name")
+    items = scoring.performances(s, d).filter("points > 0").select("group_id", "points", "item_name").distinct()
+    top = items.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
+    best = top.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("rn", "item_name"))).alias("b"))
     facts = F.map_from_arrays(F.array(F.lit("Sobrenom"), F.lit("Creació"), F.lit("Local")), F.array(F.concat(F.lit("the "), F.lower("group_name"), F.lit("[2]")), F.concat(F.lit("19"), F.lpad(F.col("group_id").cast("string"), 2, "0")), F.lit("")))
     joined = g.join(best, "group_id", "left")
     rows = joined.select("group_name", F.concat("group_name", F.lit("  is a [1] group [cal citació]")).alias("description"), F.array(F.lit("## Head"), F.concat(F.lit("More  on "), "group_name")).alias("info"), F.coalesce(F.transform("b", lambda x: x["item_name"]), F.array().cast("array<string>")).alias("best"), facts.alias("facts"))

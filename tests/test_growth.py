@@ -118,3 +118,10 @@ def test_a_task_of_the_blocked_search_gives_k_rows_a_query_for_many_blocks(monke
     got = pa.Table.from_batches(list(retrieval.best_of_blocks(k)(iter([pa.RecordBatch.from_pylist(rows)]))))
     want = {(i, int(j)) for i, s in enumerate(q @ v.T) for j in np.argsort(-s)[:k]}
     assert got.num_rows == n * k and set(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == want
+
+
+def test_items_of_group_chunks_are_cut_before_they_are_gathered(spark, data):
+    from tally.registry import retrieval
+
+    plan = retrieval.group_chunks(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "WindowGroupLimit" in plan
