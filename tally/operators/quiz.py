@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +54,7 @@ def priority(status: str = "status") -> Column:
 
 def best_event(perf: DataFrame) -> DataFrame:
     """(group_name, year, correct, wrong): a group's best event of a year among its best four."""
-    totals = scoring.event_totals(perf)
+    totals = scoring.event_points(perf)
     year = F.year("event_date")
     best = Window.partitionBy("group_id", year).orderBy(F.desc("total_points"), "event_date", "event_id")
     top = totals.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= OPTIONS)
@@ -123,24 +124,26 @@ def similar_items(answers: DataFrame, scores: DataFrame, most: int = 2, order: C
 
 
 def _events_by_best(perf: DataFrame) -> DataFrame:
-    """A group's events of each year in order of the points of their best four items."""
-    best = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "attempt_id")
+    """A group's events of each year in order of the points of their best four items. Which of items of equal points count makes no
+    difference to their sum, so no text is sorted. The events are few, and written, so that what is joined to them knows their size."""
+    best = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"))
     top = perf.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= TOP_ITEMS)
     sums = top.groupBy("event_id", "group_id", "group_name", "event_name", "event_date", "event_year").agg(F.sum("points").alias("top_points"))
     order = Window.partitionBy("group_id", "event_year").orderBy(F.desc("top_points"), "event_date", "event_id")
-    return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OPTIONS)
+    return materialize(sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OPTIONS), "quiz-best-events")
 
 
-def _items_of(perf: DataFrame, small: reports.SmallItems) -> DataFrame:
-    """Items of an event and group without small pillars, each with its best outcome."""
+def _items_of(perf: DataFrame, small: reports.SmallItems, events: DataFrame) -> DataFrame:
+    """Items of those events and groups without small pillars, each with its best outcome. All others go before they are grouped."""
     best = F.min(F.struct(priority().alias("p"), F.col("status"))).alias("b")
+    perf = perf.join(events.select("event_id", "group_id"), ["event_id", "group_id"], "left_semi")
     return reports.without_small(perf, small).groupBy("event_id", "group_id", "item_name").agg(best, F.max("points").alias("points")).select("event_id", "group_id", "item_name", F.col("b.status").alias("status"), "points")
 
 
-def performance(perf: DataFrame, small: reports.SmallItems = reports.SMALL_LISTED) -> DataFrame:
-    """(group_name, event_year, items, correct, wrong): which event of the year had these items?"""
-    events = _events_by_best(perf)
-    items = _items_of(perf, small).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
+def performance(perf: DataFrame, small: reports.SmallItems = reports.SMALL_LISTED, events: DataFrame | None = None) -> DataFrame:
+    """(group_name, event_year, items, correct, wrong): which event of the year had these items? `events`: _events_by_best(perf), if it is there."""
+    events = _events_by_best(perf) if events is None else events
+    items = _items_of(perf, small, events.filter("place = 1")).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
     label = "concat(event_name, ' (', event_date, ')')"
     grouped = events.groupBy("group_id", "group_name", "event_year").agg(F.min_by("event_id", "place").alias("event_id"), F.expr(f"max(CASE WHEN place = 1 THEN {label} END) AS correct"), F.expr(f"listagg(CASE WHEN place > 1 THEN {label} END, '; ') WITHIN GROUP (ORDER BY place) AS wrong"))
     return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", "correct", "wrong")
@@ -153,7 +156,7 @@ def performance_options(perf: DataFrame, small: reports.SmallItems = reports.SMA
     held = F.coalesce(F.contains("event_name", "city"), F.lit(False)) | (F.coalesce("city", F.lit("")) == "")
     name = F.when(held, F.coalesce("event_name", F.lit("Diada castellera"))).otherwise(F.concat(F.coalesce("event_name", F.lit("Diada castellera")), F.lit(", "), "city"))
     events = _events_by_best(perf.withColumn("event_name", name))
-    items = _items_of(perf, small).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
+    items = _items_of(perf, small, events.filter("place = 1")).groupBy("event_id", "group_id").agg(F.expr("listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, item_name) AS items"))
     listed = F.array_sort(F.collect_list(F.struct("place", "event_name")))  # OPTIONS events at most
     grouped = events.groupBy("group_id", "group_name", "event_year").agg(F.min_by("event_id", "place").alias("event_id"), F.transform(listed, lambda x: x["event_name"]).alias("names"))
     label = lambda event, year: F.concat(F.col("group_name"), F.lit(", "), event, F.lit(" ("), year.cast("string"), F.lit(")"))
@@ -166,12 +169,12 @@ def performance_options(perf: DataFrame, small: reports.SmallItems = reports.SMA
     return grouped.join(items, ["event_id", "group_id"]).select("group_name", "event_year", "items", label(F.col("names")[0], F.col("event_year")).alias("correct"), wrong.alias("wrong"))
 
 
-def multi(perf: DataFrame, scores: DataFrame, small: reports.SmallItems = reports.SMALL_CHOSEN) -> DataFrame:
+def multi(perf: DataFrame, scores: DataFrame, small: reports.SmallItems = reports.SMALL_CHOSEN, events: DataFrame | None = None) -> DataFrame:
     """(group_name, event_id, right, wrong): four items of one of a group's three best events of a year; wrong are
-    the first two with another outcome and similar items of the last two."""
-    events = _events_by_best(perf).filter("place <= 3").select("event_id", "group_id", "group_name")
+    the first two with another outcome and similar items of the last two. `events`: _events_by_best(perf), if it is there."""
+    events = (_events_by_best(perf) if events is None else events).filter("place <= 3").select("event_id", "group_id", "group_name")
     order = Window.partitionBy("event_id", "group_id").orderBy(F.desc("points"), "item_name")
-    items = _items_of(perf.filter("item_code IS NOT NULL"), small).join(events, ["event_id", "group_id"])
+    items = _items_of(perf.filter("item_code IS NOT NULL"), small, events).join(events, ["event_id", "group_id"])
     first = items.withColumn("rn", F.row_number().over(order)).filter("rn <= 4")
     code = scoring.aliases(scores).select(F.col("alias").alias("item_name"), F.col("item_code").alias("code"))
     similar = distractors(scores).select("code", F.split_part("wrong", F.lit(","), F.lit(1)).alias("other"))
@@ -190,6 +193,12 @@ def first_groups(perf: DataFrame, most: int = 4) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("item_code", "place", "group_name", F.col("f.event_date").alias("date"))
 
 
+def _when() -> Column:
+    """An event's date and then its id as one whole number in their order, nulls first; the least of it needs no sort, unlike that of a struct."""
+    day = F.coalesce(F.unix_date("event_date"), F.lit(-(1 << 31))).cast("decimal(10,0)")
+    return day * F.lit(Decimal(10**20)) + F.coalesce(F.col("event_id").cast("decimal(20,0)"), F.lit(Decimal(-(10**19))).cast("decimal(20,0)"))
+
+
 def first_group(perf: DataFrame, active: DataFrame, first_year: int = 2005, fill: tuple[str, ...] = FILL_GROUPS, order: tuple[Column, ...] | None = None, seed: int = 1) -> DataFrame:
     """(event_year, item_code, correct, wrong): which group was the year's first to do the item, of the items completed in the year? Wrong are
     the next three. Where they are fewer, groups active in the year (group_name, min_year, max_year, boost) fill up, drawn by
@@ -198,11 +207,12 @@ def first_group(perf: DataFrame, active: DataFrame, first_year: int = 2005, fill
     The groups of a year are drawn DRAWS times, not once for each question, and a question takes the draw that its item's hash names.
     Of a draw the first OPTIONS are enough, as a question that needs fill names fewer groups than that."""
     of_year = perf.filter(F.col("item_code").isNotNull() & (F.col("event_year") >= first_year))
-    first = of_year.groupBy("event_year", "item_code", "group_name").agg(F.min(F.struct("event_date", "event_id")).alias("f"), F.bool_or(F.col("status") == COMPLETE).alias("complete"))
-    order_of = Window.partitionBy("event_year", "item_code").orderBy("f.event_date", "f.event_id", "group_name")
+    first = of_year.groupBy("event_year", "item_code", "group_name").agg(F.min(_when()).alias("f"), F.bool_or(F.col("status") == COMPLETE).alias("complete"))
+    order_of = Window.partitionBy("event_year", "item_code").orderBy("f", "group_name")
     placed = first.withColumn("place", F.row_number().over(order_of))
-    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= OPTIONS, F.struct("place", "group_name"))))
-    asked = placed.groupBy("event_year", "item_code").agg(F.bool_or("complete").alias("complete"), F.transform(listed, lambda x: x["group_name"]).alias("names")).filter("complete")
+    # the rows come in order of these keys, so that plain maxima take them as they come; lists would be hashed or sorted again
+    listed = F.slice(F.array(*[F.max(F.when(F.col("place") == i + 1, F.col("group_name"))) for i in range(OPTIONS)]), F.lit(1), F.least(F.max("place"), F.lit(OPTIONS)))
+    asked = placed.groupBy("event_year", "item_code").agg(F.bool_or("complete").alias("complete"), listed.alias("names")).filter("complete")
     each = active.select("group_name", "boost", F.explode(F.sequence("min_year", "max_year")).alias("event_year"), F.lit(list(range(DRAWS))).alias("draws")).filter(F.col("event_year") >= first_year)
     each = each.select("group_name", "boost", "event_year", F.explode("draws").alias("draw"))
     drawn = weighted_order(F.coalesce(F.col("boost"), F.lit(0)) + 1, F.col("event_year"), F.col("draw"), F.col("group_name"), seed=seed)
@@ -336,33 +346,52 @@ def sample_days(days: DataFrame, n: int = 10, seed: int = 1, years: tuple[int, .
     return _day_weights(days, years, main_day).orderBy(weighted_order(F.col("w"), F.col("year"), F.col("day"), seed=seed), "year", "day").limit(n).drop("w")
 
 
+def _best_item(perf: DataFrame) -> DataFrame:
+    """(group_name, event_year, item): the item of the most points of a group and year, of equal ones the last by name. The most points
+    are found first, as numbers, and only rows that have them are compared by name."""
+    keys = ["group_name", "event_year"]
+    most = materialize(perf.filter("points > 0").groupBy(*keys).agg(F.max("points").alias("points")), "quiz-most-points")
+    return perf.join(most, [*keys, "points"], "left_semi").groupBy(*keys).agg(F.max("item_name").alias("item"))
+
+
+def _no_question_twice(stored: DataFrame) -> DataFrame:
+    """Questions (kind, question, answer, w), of equal ones the first by kind, answer and w. They are counted by hashes, and only texts whose
+    hash is not single, few or none as a rule, are sorted. The table is read as often as the result, so it is to be stored."""
+    hashed = stored.withColumn("h", F.xxhash64("question"))
+    again = materialize(hashed.groupBy("h").count().filter("count > 1").select("h"), "quiz-repeated")
+    first = hashed.join(again, "h", "left_semi").groupBy("question").agg(F.min(F.struct("kind", "answer", "w")).alias("f"))
+    return hashed.join(again, "h", "left_anti").select("kind", "question", "answer", "w").union(first.select("f.kind", "question", "f.answer", "f.w"))
+
+
 def dataset(perf: DataFrame, scores: DataFrame, ranked: DataFrame, colours: DataFrame, founded: DataFrame, n: int = 200, seed: int = 1, groups: tuple[str, ...] = (), years: tuple[int, ...] = (), small: reports.SmallItems | None = None, active: DataFrame | None = None, first_year: int = 2005) -> DataFrame:
     """(kind, question, answer): n questions of all kinds that go with what was chosen, drawn by the kinds' chances, no question twice; within a
     kind, first groups by the points of their items and orders by their years and days, the others alike.
     colours and founded: (group_name, value); active: as first_group() takes it, which asks for a year's firsts from first_year on (of chosen years, all);
-    without it only firsts of all time are asked. The fact and the ranking are written once, narrow, and every kind reads that."""
+    without it only firsts of all time are asked. Every kind reads the fact, the ranking and founded for itself: they are to be stored tables, the fact narrow."""
     kinds = chances(groups, years)
     chosen = perf.filter(F.col("group_name").isin(*groups)) if groups else perf
     chosen = chosen.filter(F.col("event_year").isin(*years)) if years else chosen
-    chosen = materialize(chosen.select("attempt_id", "event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "place", "city", "item_name", "item_code", "item_class", "status", "points"), "quiz-fact")
+    # one sort of the fact for what goes by the points of events
+    best = materialize(scoring.best_of_classes(chosen.select(*scoring.EVENT_KEYS, "event_year", "item_class", "points"), TOP_ITEMS), "quiz-best")
+    events = _events_by_best(best) if {"performance", "multi"} & set(kinds) else None
     days = ranked.filter(F.col("year").isin(*years)) if years else ranked
     named = lambda default: default if small is None else small
     q = lambda kind, text, answer, w=F.lit(1.0): [F.lit(kind).alias("kind"), F.expr(text).alias("question"), F.col(answer).cast("string").alias("answer"), w.alias("w")]
     firsts = lambda: _item_weights(first_group(chosen, active, 0 if years else first_year), scores).select(*q("first_group", "concat('Which group did ', item_code, ' first in ', event_year, '? ', array_join(array_sort(array_append(split(wrong, ', '), correct)), ' / '))", "correct", F.col("w")))
     makers = {
-        "best_event": lambda: best_event(chosen).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
-        "best_item": lambda: best_item_unique(chosen).filter("points > 0").groupBy("group_name", "event_year").agg(F.max_by("item_name", F.struct("points", "item_name")).alias("item")).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
+        "best_event": lambda: best_event(best).select(*q("best_event", "concat('Best event of ', group_name, ' in ', year, '?')", "correct")),
+        "best_item": lambda: _best_item(chosen).select(*q("best_item", "concat('Best item of ', group_name, ' in ', event_year, '?')", "item")),
         "colour": lambda: attribute(colours).select(*q("colour", "concat('Colour of the shirt of ', group_name, '?')", "correct")),
         "founded": lambda: attribute(founded).select(*q("founded", "concat('Founding year of ', group_name, '?')", "correct")),
-        "performance": lambda: performance(chosen, named(reports.SMALL_LISTED)).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
+        "performance": lambda: performance(chosen, named(reports.SMALL_LISTED), events).select(*q("performance", "concat('At which event of ', event_year, ' did ', group_name, ' do ', items, '?')", "correct")),
         "first_group": firsts if active is not None else lambda: first_groups(chosen, most=1).select(*q("first_group", "concat('Which group did ', item_code, ' first?')", "group_name")),
-        "multi": lambda: multi(chosen, scores, named(reports.SMALL_CHOSEN)).select(*q("multi", "concat('Which items did ', group_name, ' do at event ', event_id, '?')", "right")),
+        "multi": lambda: multi(chosen, scores, named(reports.SMALL_CHOSEN), events).select(*q("multi", "concat('Which items did ', group_name, ' do at event ', event_id, '?')", "right")),
         "founded_year": lambda: founded.select(*q("founded_year", "concat('In which year was ', group_name, ' founded?')", "value")),
         "counts": lambda: counts(chosen, named(reports.SMALL_COUNTED)).select(*q("counts", "concat('How often was ', item_name, ' ', status, ' by ', group_name, ' in ', event_year, '?')", "answer")),
         "ordering": lambda: _day_weights(ordering(days), years).select(*q("ordering", "concat('Order of ', day, ' in ', year, '?')", "names", F.col("w"))),
     }
     all_ = reduce(DataFrame.union, [makers[k]() for k in kinds])
-    all_ = materialize(all_.filter("question IS NOT NULL AND answer IS NOT NULL AND w > 0").dropDuplicates(["question"]), "quiz-questions")
+    all_ = _no_question_twice(materialize(all_.filter("question IS NOT NULL AND answer IS NOT NULL AND w > 0"), "quiz-questions"))
     per_kind = all_.groupBy("kind").agg(F.sum("w").alias("of_kind"))  # one row for each kind
     weights = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     weight = F.element_at(weights, F.col("kind")) * F.col("w") / F.col("of_kind")

@@ -156,7 +156,7 @@ SMALL_COUNTED = SmallItems(names=("Pde4", "Pde4cam", "Pde4ps"), beginnings=("pde
 
 
 def without_small(perf: DataFrame, small: SmallItems) -> DataFrame:
-    name = F.lower(F.regexp_replace("item_name", "[ -]", ""))
+    name = F.lower(F.translate("item_name", " -", ""))
     begins = lambda beginnings: reduce(lambda x, b: x | name.startswith(b), beginnings, F.lit(False))
     drop = F.col("item_name").isin(*small.names) | begins(small.beginnings)
     if small.many is not None:

@@ -35,19 +35,27 @@ def item_class(item: str = "item_name") -> Column:
 def performances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide fact: each attempt with its event, group, score, points and class."""
     parts = roles.parts_of(spark, sf_dir)
-    scored = alias_join(roles.attempts_at_events(spark, sf_dir, parts), roles.scores(spark, sf_dir), parts)
-    joined = scored.join(roles.groups(spark, sf_dir), "group_id")
-    return joined.select("*", points().alias("points"), item_class().alias("item_class"), F.year("event_date").alias("event_year"))
+    scored = alias_join(roles.attempts_in_regions(spark, sf_dir, parts), roles.scores(spark, sf_dir), parts)
+    joined = roles.named(scored).join(roles.groups(spark, sf_dir), "group_id")
+    columns = ["group_id", *[c for c in roles.ATTEMPT_COLUMNS if c != "group_id"], "item_code", "full", "partial", "tier", "group_name"]
+    return joined.select(*columns, points().alias("points"), item_class().alias("item_class"), F.year("event_date").alias("event_year"))
 
 
-def counted(perf: DataFrame) -> DataFrame:
-    """The attempts that count for an event and group: the best three towers and the best pillar."""
-    best = Window.partitionBy("event_id", "group_id", "item_class").orderBy(F.desc("points"), "attempt_id")
+def counted(perf: DataFrame, ties: tuple[str, ...] = ("attempt_id",)) -> DataFrame:
+    """The attempts that count for an event and group: the best three towers and the best pillar; of equal points, the first by `ties`."""
+    best = Window.partitionBy("event_id", "group_id", "item_class").orderBy(F.desc("points"), *ties)
     ranked = perf.filter(F.col("item_class").isin(TOWER, PILLAR)).withColumn("rn", F.row_number().over(best))
     # the plain bound lets Spark cut the windows' input before its shuffle
     return ranked.filter((F.col("rn") <= 3) & ((F.col("item_class") == TOWER) | (F.col("rn") == 1)))
 
 
+def best_of_classes(perf: DataFrame, most: int) -> DataFrame:
+    """So many best attempts of each event, group and class, for what sums their points: of equal points any. The best of an event and group
+    in all classes are among them, too."""
+    best = Window.partitionBy("event_id", "group_id", "item_class").orderBy(F.desc("points"))
+    return perf.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most).drop("rn")
+
+
 EVENT_KEYS = ["event_id", "group_id", "event_name", "event_date", "place", "city", "group_name"]
 ITEMS_DONE = "listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (ORDER BY points DESC, attempt_id) AS items_done"
 
@@ -55,3 +63,8 @@ ITEMS_DONE = "listagg(concat(item_name, ' (', status, ')'), ', ') WITHIN GROUP (
 def event_totals(perf: DataFrame, *more: Column) -> DataFrame:
     """One row for each event and group: the counted items, best first, and their points."""
     return counted(perf).groupBy(*EVENT_KEYS).agg(F.expr(ITEMS_DONE), F.sum("points").alias("total_points"), F.count("*").alias("num_items"), *more)
+
+
+def event_points(perf: DataFrame) -> DataFrame:
+    """event_totals() without the items, for which no text is sorted: which of items of equal points count makes no difference to their sum."""
+    return counted(perf, ties=()).groupBy(*EVENT_KEYS).agg(F.sum("points").alias("total_points"))

@@ -44,17 +44,19 @@ def order_events(spark: SparkSession, sf_dir: str, parts: int | None = None) ->
     return placed.select("o_orderkey", number.cast("long").alias("event_id"), month.alias("event_date"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"), F.col("o_orderpriority").alias("day"), F.col("o_orderdate").alias("ordered_on"))
 
 
+ATTEMPT_COLUMNS = ["attempt_id", "order_key", "group_id", "item_name", "status", "day", "ordered_on", "event_id", "event_date", "date_text", "event_name", "place", "city"]
 EVENT_COLUMNS = ["event_id", "event_date", "date_text", "event_name", "place", "city"]
 
 
-def _named(orders: DataFrame) -> DataFrame:
-    """orders with what an event is called and where it is."""
+def named(orders: DataFrame) -> DataFrame:
+    """orders with what an event is called and where it is. It follows from the region, and is made when the rows have met, since it is
+    longer than that."""
     text = F.when(F.col("region_id") % 2 == 0, F.date_format("event_date", "dd/MM/yyyy")).otherwise(F.date_format("event_date", "yyyy-MM-dd"))
     return orders.select("*", text.alias("date_text"), F.concat(F.lit("Fair "), "region").alias("event_name"), F.concat(F.lit("Square "), "region").alias("place"), F.col("region").alias("city"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(order_events(spark, sf_dir).select("event_id", "event_date", "region_id", "region").distinct()).select(*EVENT_COLUMNS)
+    return named(order_events(spark, sf_dir).select("event_id", "event_date", "region_id", "region").distinct()).select(*EVENT_COLUMNS)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,11 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempts_at_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """attempts with the columns of their events, order_key and ordered_on, by one pass over the orders. Where the tables need `parts`, the
     rows of an order stay in one of them."""
+    return named(attempts_in_regions(spark, sf_dir, parts)).select(*ATTEMPT_COLUMNS)
+
+
+def attempts_in_regions(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """attempts_at_events() with the regions that named() makes the events' texts of."""
     t = lambda name: table(spark, sf_dir, name)
     p = F.col("l_partkey").cast("string")
     item = F.when(F.col("l_linenumber") % 4 == 0, p).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("P"), p)).when(F.col("l_linenumber") % 4 == 2, F.concat(p, F.lit("de"))).otherwise(F.concat(F.lit("X"), p))
@@ -77,8 +84,7 @@ def attempts_at_events(spark: SparkSession, sf_dir: str, parts: int | None = Non
     parts = parts or parts_of(spark, sf_dir)
     orders = dealt(order_events(spark, sf_dir, parts), parts, "o_orderkey")
     joined = dealt(lines, parts, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    # what an event is called follows from its region, and is made when the rows have met
-    return _named(joined).select("attempt_id", F.col("l_orderkey").alias("order_key"), F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day", "ordered_on", *EVENT_COLUMNS)
+    return joined.select("attempt_id", F.col("l_orderkey").alias("order_key"), F.col("s_nationkey").cast("long").alias("group_id"), "item_name", "status", "day", "ordered_on", "event_id", "event_date", "region_id", "region")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,9 +77,10 @@ def _boosted(ranges):
 
 
 def quiz_dataset(s, d):
-    p = materialize(perf(s, d), "quiz-performances")
+    p = perf(s, d).select("attempt_id", "event_id", "group_id", "group_name", "event_name", "event_date", "event_year", "place", "city", "day", "item_name", "item_code", "item_class", "status", "points")
+    p = materialize(p, "quiz-performances")  # once, and narrow
     active = p.groupBy("group_name").agg(F.min("event_year").alias("min_year"), F.max("event_year").alias("max_year")).withColumn("boost", F.length("group_name") % 4)
-    return quiz.dataset(p, roles.scores(s, d), materialize(contest.rankings_of(p), "quiz-rankings"), _colours(s, d), _founded(p), small=SMALL, active=active, first_year=0)
+    return quiz.dataset(p, roles.scores(s, d), materialize(contest.rankings_of(p), "quiz-rankings"), _colours(s, d), materialize(_founded(p), "quiz-founded"), small=SMALL, active=materialize(active, "quiz-active"), first_year=0)
 
 
 def _first_group(s, d, **how):

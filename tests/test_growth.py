@@ -125,3 +125,71 @@ def test_items_of_group_chunks_are_cut_before_they_are_gathered(spark, data):
 
     plan = retrieval.group_chunks(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan and "WindowGroupLimit" in plan
+
+
+def _perf(spark):
+    """A small fact: two groups with two events a year, items of equal points, one without a date and one of an event with the least id."""
+    rows = []
+    for g in (1, 2):
+        for e in range(6):
+            for i in range(5):
+                status = ("Descarregat", "Carregat", "Intent")[(e + i + g) % 3]
+                rows.append((f"a{g}{e}{i}", e - 3, g, f"g{g}", f"Fair {e}", None if e == 0 else datetime.date(2000 + e // 2, 1 + e, 1), 2000 + e // 2, "square", "city", f"P{(i * g) % 7}", f"{(i * g) % 7}", "pilar" if i % 2 else "castell", status, 100 * ((i + e) % 3)))
+    return spark.createDataFrame(rows, "attempt_id string, event_id long, group_id long, group_name string, event_name string, event_date date, event_year int, place string, city string, item_name string, item_code string, item_class string, status string, points long")
+
+
+def test_items_are_listed_of_the_asked_events_only(spark):
+    """Before, the items of all events were grouped and listed, and those of few then joined."""
+    for made in (quiz.performance(_perf(spark)), quiz.performance_options(_perf(spark)), quiz.multi(_perf(spark), spark.createDataFrame([("1", "P1", None, 100, 50, "t")], "code string, external string, name string, full long, partial long, tier string"))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.splitlines()
+        semi = next(n for n, line in enumerate(lines) if "LeftSemi" in line)
+        assert any("Aggregate" in line and "item_name" in line and line.index("Aggregate") < lines[semi].index("Join") for line in lines[:semi])
+
+
+def test_first_groups_of_years_are_found_without_a_sort_of_structs(spark):
+    perf = _perf(spark)
+    active = perf.groupBy("group_name").agg(F.min("event_year").alias("min_year"), F.max("event_year").alias("max_year")).withColumn("boost", F.lit(1))
+    made = quiz.first_group(perf, active, first_year=0, fill=())
+    firsts = {}
+    for r in perf.collect():
+        found = firsts.setdefault((r["event_year"], r["item_code"]), {}), r["group_name"]
+        at = (r["event_date"] is not None, r["event_date"] or datetime.date.min, r["event_id"])
+        one = found[0].setdefault(found[1], [at, False])
+        one[0], one[1] = min(one[0], at), one[1] or r["status"] == "Descarregat"
+    want = {k: min(v, key=lambda g: (v[g][0], g)) for k, v in firsts.items() if any(c for _, c in v.values())}
+    assert {(r["event_year"], r["item_code"]): r["correct"] for r in made.collect()} == want
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate(key" in line and all(k in line.split("functions")[0] for k in ("event_year", "item_code", "group_name"))]
+    assert keyed and all("HashAggregate" in line for line in keyed)
+
+
+def test_best_items_go_by_points_and_then_by_name(spark):
+    perf = _perf(spark)
+    best = {}
+    for r in perf.collect():
+        if r["points"] > 0:
+            key = r["group_name"], r["event_year"]
+            best[key] = max(best.get(key, (0, "")), (r["points"], r["item_name"]))
+    assert {(r["group_name"], r["event_year"]): r["item"] for r in quiz._best_item(perf).collect()} == {k: v[1] for k, v in best.items()}
+
+
+def test_points_of_events_from_the_best_of_classes(spark):
+    from tally.operators import scoring
+
+    perf, keys = _perf(spark), ["event_id", "group_id"]
+    few = scoring.best_of_classes(perf, quiz.TOP_ITEMS)
+    of = lambda df: {tuple(r[k] for k in keys): r["total_points"] for r in df.collect()}
+    assert of(scoring.event_points(few)) == of(scoring.event_totals(perf))
+    top = {}
+    for r in perf.collect():
+        top.setdefault((r["event_id"], r["group_id"]), []).append(r["points"])
+    got = {tuple(r[k] for k in keys): r["top_points"] for r in quiz._events_by_best(few).collect()}
+    assert got == {k: sum(sorted(v)[-quiz.TOP_ITEMS :]) for k, v in top.items()}
+
+
+def test_questions_are_once_without_a_sort_of_all(spark):
+    rows = [("counts", f"q{i}", str(i), 1.0) for i in range(50)] + [("best", "q3", "z", 2.0), ("best", "q3", "y", 3.0), ("counts", "q4", "4", 1.0)]
+    got = quiz._no_question_twice(spark.createDataFrame(rows, "kind string, question string, answer string, w double"))
+    want = {q: (k, a, w) for k, q, a, w in rows[:50]} | {"q3": ("best", "y", 3.0)}
+    assert {r["question"]: (r["kind"], r["answer"], r["w"]) for r in got.collect()} == want and got.count() == 50
