@@ -20,6 +20,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.llm.common import materialize
-from tally.llm.pieces import Recent
 
 CLASSES = 32
 TOKENS = CLASSES * CLASSES
@@ -79,13 +79,16 @@ def shares(counts: DataFrame, known: list[tuple[bytes, int]]) -> DataFrame:
 SHARED = TOKENS - UNKNOWN
 
 
-class Ids(Recent):
-    """Words to tokens; what has no token of its own shares one from SHARED on. Words met lately are kept."""
+class Ids(dict):
+    """Words to tokens; what has no token of its own shares one from SHARED on. That is found anew each time: a checksum takes less time
+    than a store of words, most of which come only once."""
 
     def __init__(self, known: list[bytes]):
-        own = {w: i for i, w in enumerate(known)}
-        super().__init__(lambda word: own[word] if word in own else SHARED + zlib.crc32(word) % UNKNOWN, COUNTED)
-        self.update(own)
+        super().__init__((w, i) for i, w in enumerate(known))
+
+    def of(self, said: list[bytes]) -> list[int]:
+        own, shared = self.get, zlib.crc32
+        return [t if (t := own(w)) is not None else SHARED + shared(w) % UNKNOWN for w in said]
 
 
 class Network:
@@ -120,60 +123,70 @@ class Network:
         return net
 
     def forward(self, around: np.ndarray, target: np.ndarray, slopes: bool) -> tuple[np.ndarray, dict | None]:
-        """The log-probability of each target, tokens being in order of their class, and the slopes of their mean."""
+        """The log-probability of each target, tokens being in order of their class, and the slopes of their mean.
+        A token is a column of what the layers say, so that sums and maxima over classes run along the tokens."""
         p = self.part
-        hidden = np.tanh(sum(p["embedding"][o][around[:, o]] for o in range(2 * SIDE)))
+        near = [np.ascontiguousarray(around[:, o]) for o in range(2 * SIDE)]
+        hidden = np.take(p["embedding"][0], near[0], axis=0)
+        for o in range(1, 2 * SIDE):
+            hidden += np.take(p["embedding"][o], near[o], axis=0)
+        np.tanh(hidden, out=hidden)
         n, kind, member = len(target), target // CLASSES, target % CLASSES
         rows = np.arange(n)
 
-        def soft(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(chosen)), chosen].copy()
+        def soft(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            logits = weights.T @ seen.T
+            logits += bias[:, None]
+            logits -= logits.max(axis=0)
+            own = logits[chosen, rows[: len(chosen)]]
             np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            return own - np.log(total), logits / total[:, None] if slopes else logits
+            total = logits.sum(axis=0)
+            if slopes:
+                logits /= total
+            return own - np.log(total), logits
 
-        of_class, share = soft(hidden @ p["class_w"] + p["class_b"], kind)
+        of_class, share = soft(p["class_w"], p["class_b"], hidden, kind)
         out = of_class
-        grad = {name: np.zeros(shape, np.float32) for name, shape in self.SHAPES.items()} if slopes else None
+        grad = {name: np.zeros(shape, self.flat.dtype) for name, shape in self.SHAPES.items()} if slopes else None
         if slopes:
-            share[rows, kind] -= 1
+            share[kind, rows] -= 1
             share /= n
-            grad["class_w"][:] = hidden.T @ share
-            grad["class_b"][:] = share.sum(axis=0)
-            back = share @ p["class_w"].T
+            grad["class_w"][:] = (share @ hidden).T
+            grad["class_b"][:] = share.sum(axis=1)
+            back = p["class_w"] @ share
         cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a == b:
                 continue
-            in_class, share = soft(hidden[a:b] @ p["token_w"][c] + p["token_b"][c], member[a:b])
+            in_class, share = soft(p["token_w"][c], p["token_b"][c], hidden[a:b], member[a:b])
             out[a:b] += in_class
             if slopes:
-                share[np.arange(b - a), member[a:b]] -= 1
+                share[member[a:b], rows[: b - a]] -= 1
                 share /= n
-                grad["token_w"][c] = hidden[a:b].T @ share
-                grad["token_b"][c] = share.sum(axis=0)
-                back[a:b] += share @ p["token_w"][c].T
+                grad["token_w"][c] = (share @ hidden[a:b]).T
+                grad["token_b"][c] = share.sum(axis=1)
+                back[:, a:b] += p["token_w"][c] @ share
         if slopes:
-            back *= 1 - hidden**2
-            place = np.arange(SIZE)
+            back *= (1 - hidden**2).T
+            back = back.astype(np.float64)
             for o in range(2 * SIDE):
-                at = (around[:, o, None] * SIZE + place).ravel()
-                grad["embedding"][o] = np.bincount(at, back.ravel(), minlength=(TOKENS + 1) * SIZE).reshape(TOKENS + 1, SIZE)
+                at = near[o].astype(np.intp)
+                for k in range(SIZE):
+                    grad["embedding"][o, :, k] = np.bincount(at, back[k], minlength=TOKENS + 1)
         return out, grad
 
 
 def _windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, the 2 * SIDE tokens around each, its document); past a text's ends stands the token TOKENS."""
-    gap = [TOKENS] * SIDE
-    flat = np.array([t for d in docs for t in (*d, *gap)], np.int32)
-    line = np.concatenate([np.full(SIDE, TOKENS, np.int32), flat])
-    owner = np.repeat(np.arange(len(docs)), [len(d) + SIDE for d in docs])
-    real = np.flatnonzero(flat < TOKENS)
-    offsets = [o for o in range(-SIDE, SIDE + 1) if o]
-    around = np.stack([line[real + SIDE + o] if o < 0 else np.concatenate([line, gap])[real + SIDE + o] for o in offsets], axis=1)
-    return flat[real], around, owner[real]
+    lengths = np.array([len(d) for d in docs], np.int64)
+    tokens = np.fromiter(chain.from_iterable(docs), np.int32, int(lengths.sum()))
+    owner = np.repeat(np.arange(len(docs)), lengths)
+    at = np.arange(len(tokens)) + SIDE * (owner + 1)  # a gap stands before each text, and one after the last
+    line = np.full(len(tokens) + SIDE * (len(docs) + 1), TOKENS, np.int32)
+    line[at] = tokens
+    around = np.stack([line[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
+    return tokens, around, owner
 
 
 def _batches(batches: Iterator[pa.RecordBatch], ids: Ids, sharing: bool = False) -> Iterator[tuple[list[tuple[int, int]], list[list[int]], list[Counter]]]:
@@ -183,7 +196,7 @@ def _batches(batches: Iterator[pa.RecordBatch], ids: Ids, sharing: bool = False)
     for number, batch in enumerate(batches):
         for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             said = words(text)
-            doc = list(map(ids.__getitem__, said))
+            doc = ids.of(said)
             if sharing:
                 others.append(Counter([w for w, t in zip(said, doc) if t >= SHARED]))
             names.append((number, row))

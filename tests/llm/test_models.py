@@ -427,3 +427,26 @@ def test_probe_order():
     assert len({tuple(s) for s in got}) == 81 and costs == sorted(costs) and costs[0] == 0
 
 
+
+
+def test_steps_of_scores_keep_no_store_of_words_and_run_along_tokens():
+    """Words without a token get it from a checksum, however many there are; a window is made without a Python step for each token; and
+    embeddings' slopes are those of a plain sum, for a place that recurs too."""
+    known = [f"k{i}".encode() for i in range(9)]
+    ids, said = lm_score.Ids(known), [f"x{i}".encode() for i in range(1000)] + known
+    want = [lm_score.SHARED + zlib.crc32(w) % lm_score.UNKNOWN for w in said[:1000]] + list(range(9))
+    assert ids.of(said) == want and len(ids) == 9
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, lm_score.TOKENS, n).tolist() for n in (0, 5, 1, 0, 700, 2, 0)]
+    target, around, owner = lm_score._windows(docs)
+    gap = [lm_score.TOKENS] * lm_score.SIDE
+    lines = [[*gap, *d, *gap] for d in docs]
+    assert around.tolist() == [[*x[i : i + 2], *x[i + 3 : i + 5]] for x in lines for i in range(len(x) - 4)]
+    assert target.tolist() == sum(docs, []) and owner.tolist() == [k for k, d in enumerate(docs) for _ in d]
+    assert all(len(x) == 0 for x in lm_score._windows([[], []]))
+    net = lm_score.Network.fresh([5, 4, 3])
+    order = np.argsort(target // lm_score.CLASSES, kind="stable")
+    one, grad = net.forward(around[order], target[order], slopes=True)
+    first = net.forward(around[order][:1], target[order][:1], slopes=False)[0]
+    assert one.dtype == np.float32 and first[0] == pytest.approx(one[0], abs=1e-5)
+    assert grad["embedding"][:, lm_score.TOKENS].any() and grad["embedding"].dtype == np.float32
