@@ -30,10 +30,11 @@ RANKED = ("event_year", "day", "group_id", "group_name", "points", "attempt_id",
 
 
 def rankings_of(perf: DataFrame) -> DataFrame:
-    """The rankings of performances, which are read twice: a stored table, or one that is written first."""
+    """The rankings of performances, which are read three times: a stored table, or one that is written first."""
     best = Window.partitionBy("event_year", "day", "group_id").orderBy(F.desc("points"), "attempt_id")
     totals = perf.groupBy("event_year", "day", "group_id", "group_name").agg(F.sum("points").alias("points"))
-    top = perf.withColumn("rn", F.row_number().over(best)).filter(f"rn <= {SHOWN_ROUNDS}")
+    top = scoring.without_hopeless(perf, ("event_year", "day", "group_id"), SHOWN_ROUNDS)
+    top = top.withColumn("rn", F.row_number().over(best)).filter(f"rn <= {SHOWN_ROUNDS}")
     cell = "concat('\"', rn, 'a\":{\"castell\":\"', item_name, '\",\"status\":\"', status, '\"}')"
     rounds = top.groupBy("event_year", "day", "group_id").agg(F.expr(f"concat('{{', listagg({cell}, ',') WITHIN GROUP (ORDER BY rn), '}}') AS rounds"))
     position = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("points"), "group_id", "day"))

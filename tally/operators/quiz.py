@@ -371,7 +371,7 @@ def dataset(perf: DataFrame, scores: DataFrame, ranked: DataFrame, colours: Data
     kinds = chances(groups, years)
     chosen = perf.filter(F.col("group_name").isin(*groups)) if groups else perf
     chosen = chosen.filter(F.col("event_year").isin(*years)) if years else chosen
-    # one sort of the fact for what goes by the points of events
+    # one pass for what goes by the points of events
     best = materialize(scoring.best_of_classes(chosen.select(*scoring.EVENT_KEYS, "event_year", "item_class", "points"), TOP_ITEMS), "quiz-best")
     events = _events_by_best(best) if {"performance", "multi"} & set(kinds) else None
     days = ranked.filter(F.col("year").isin(*years)) if years else ranked

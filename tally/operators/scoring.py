@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tally.plans import roles
+from tally.sources.scratch import materialize
 
 TOWER, PILLAR, OTHER = "castell", "pilar", "altres"
 
@@ -49,11 +52,27 @@ def counted(perf: DataFrame, ties: tuple[str, ...] = ("attempt_id",)) -> DataFra
     return ranked.filter((F.col("rn") <= 3) & ((F.col("item_class") == TOWER) | (F.col("rn") == 1)))
 
 
+LEAST = -(1 << 63)
+
+
+def without_hopeless(perf: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """perf without rows that cannot be among the `most` of the most points of their keys; what has that many rows of more points goes.
+    Rows are dealt to so many heaps, and the least of the heaps' maxima is a bound: each heap has a row of no fewer points. Maxima are hashed
+    where windows sort, so that these have few rows left. Rows of equal points stay. perf is read twice: a stored table."""
+    heap = perf.select(*keys, "points", (F.monotonically_increasing_id() % most).alias("heap"))
+    highest = [F.coalesce(F.max(F.when(F.col("heap") == i, F.col("points"))), F.lit(LEAST)) for i in range(most)]
+    bounds = heap.groupBy(*keys).agg((F.least(*highest) if most > 1 else highest[0]).alias("bound"))
+    bounds = materialize(bounds.select(*[F.col(k).alias(f"of_{k}") for k in keys], "bound"), "best-bounds")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return perf.join(bounds, same & (F.coalesce("points", F.lit(LEAST)) >= F.col("bound")), "left_semi")
+
+
 def best_of_classes(perf: DataFrame, most: int) -> DataFrame:
     """So many best attempts of each event, group and class, for what sums their points: of equal points any. The best of an event and group
-    in all classes are among them, too."""
-    best = Window.partitionBy("event_id", "group_id", "item_class").orderBy(F.desc("points"))
-    return perf.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most).drop("rn")
+    in all classes are among them, too. perf is read twice."""
+    keys = ("event_id", "group_id", "item_class")
+    best = Window.partitionBy(*keys).orderBy(F.desc("points"))
+    return without_hopeless(perf, keys, most).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most).drop("rn")
 
 
 EVENT_KEYS = ["event_id", "group_id", "event_name", "event_date", "place", "city", "group_name"]

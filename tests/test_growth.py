@@ -193,3 +193,21 @@ def test_questions_are_once_without_a_sort_of_all(spark):
     got = quiz._no_question_twice(spark.createDataFrame(rows, "kind string, question string, answer string, w double"))
     want = {q: (k, a, w) for k, q, a, w in rows[:50]} | {"q3": ("best", "y", 3.0)}
     assert {r["question"]: (r["kind"], r["answer"], r["w"]) for r in got.collect()} == want and got.count() == 50
+
+
+def test_rows_that_cannot_be_among_the_best_go_before_windows(spark):
+    """Few rows of many stay for a window, all of equal points that may be among them, and all of keys with too few rows; null keys and points too."""
+    from tally.operators import scoring
+
+    rows = [(1, i * 7919 % 3000) for i in range(3000)] + [(2, 5)] * 20 + [(3, None), (3, 1), (None, 4), (None, None)] + [(4, p) for p in (9, 9, 9, 9, 8, 8, None)]
+    perf = spark.createDataFrame([(g, p, f"a{i}") for i, (g, p) in enumerate(rows)], "g long, points long, attempt_id string").repartition(5)
+    for most in (1, 2, 5):
+        left = {}
+        for r in scoring.without_hopeless(perf, ("g",), most).collect():
+            left.setdefault(r["g"], []).append((r["points"] is not None, r["points"] or 0, r["attempt_id"]))
+        every = {}
+        for r in perf.collect():
+            every.setdefault(r["g"], []).append((r["points"] is not None, r["points"] or 0, r["attempt_id"]))
+        best = lambda x: sorted(x, key=lambda r: (not r[0], -r[1], r[2]))[:most]
+        assert {g: best(x) for g, x in left.items()} == {g: best(x) for g, x in every.items()}
+        assert len(left[1]) < 300 and len(left[2]) == 20
