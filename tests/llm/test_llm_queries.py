@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from compare import connection, rows
-from test_dedup import brute_first, near_groups
+from test_dedup import brute, brute_first, near_groups
 
 import corpus_pipeline
 from tally.llm import bpe, mixing, quality_rules, queries, warc
@@ -31,6 +32,21 @@ def test_one_row_for_each_document(name, spark, data):
         assert found.count() == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
+def test_op1_cuts_from_400_bytes_on(spark, tmp_path):
+    """Passages of over 50 words that two documents share go if they have the contract's 400 bytes, and stay below."""
+    rows = []
+    for k, size in enumerate((394, 399, 400, 401)):
+        passage = " ".join(f"{chr(97 + k)}{i:04d}" for i in range(80))[:size]
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        rows += [(2 * k, f"before {k} <{passage}> after {k}"), (2 * k + 1, f"first {k} [{passage}] last {k}")]
+    rows += [(8, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(t or "").encode() for _, t in rows]
+    want = {i: (len(t), gone, spans, hashlib.sha256(left).hexdigest()) for (i, _), t, (gone, spans, left) in zip(rows, texts, brute(texts, 400))}
+    assert [want[i][1] for i in range(10)] == [0, 0, 0, 0, 400, 400, 401, 401, 0, 0]
+    assert {r[0]: tuple(r[1:5]) for r in QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()} == want
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, n = docs.columns, docs.count()
